@@ -1,17 +1,450 @@
-"""Registered queries of the vector engine."""
+"""Registered queries of the vector engine, each with its DuckDB SQL where SQL can express it.
+
+All run over the whole `embeddings` table. The query set of a search is its first 100 rows,
+as a dataset's default is; `scaled` and `tapered` variants of the vectors make norms and
+variances unequal, which the table's unit vectors do not have.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecpress.functions import distance
+from vecpress.functions.arrays import from_binary, map_batches, to_lists, vectors
+from vecpress.operators import allocation, codecs, ivf, kmeans, knn, metrics, moments, report
+from vecpress.plans import oracles, study
+from vecpress.sources import datasets, fvecs, runlog
+from vecpress.streaming import sweep as streaming
+
+FLAGSHIP = "study_sq_lvq"
+QUERIES = 100
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _x(spark, sf_dir).select("vec_id", F.transform("v", lambda e: e * (1 + F.col("vec_id") % 7)).alias("v"))
+
+
+def _tapered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _x(spark, sf_dir).select("vec_id", F.transform("v", lambda e, d: e * (F.lit(4.0) - F.lit(3.8) * d / F.lit(63.0))).alias("v"))
+
+
+def _q(x: DataFrame) -> DataFrame:
+    return datasets.first_queries(x, QUERIES)
+
+
+def _elements(df: DataFrame, places: int | None = None) -> DataFrame:
+    """(vec_id, d, x) of (vec_id, v)."""
+    out = df.select("vec_id", F.posexplode("v").alias("d", "x"))
+    return out.withColumn("x", F.round("x", places)) if places else out
+
+
+def _hex(codes: DataFrame) -> DataFrame:
+    return codes.select("vec_id", F.hex("code").alias("code"))
+
+
+def _levels(codec, codes: DataFrame) -> DataFrame:
+    """(vec_id, d, idx) of packed codes."""
+
+    def run(b) -> dict:
+        own = codecs.bitpack.unpack_dense(from_binary(b.column("code"))[:, : -8 if codec.code_size() > codec.dims * codec.bits // 8 else None], np.full(codec.dims, codec.bits))
+        return {"vec_id": b.column("vec_id"), "v": to_lists(own)}
+
+    return map_batches(codes, run, "vec_id long, v array<long>").select("vec_id", F.posexplode("v").alias("d", "idx"))
+
+
+def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
+    return df.withColumn("score", F.round("score", places))
+
+
+# --- search ------------------------------------------------------------------------------
+
+
+def _knn(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir)
+    return knn.search(x, _q(x), 100, metric)
+
+
+def _knn_metric(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir)
+    return _rounded(knn.search_metric(x, _q(x), 10, metric))
+
+
+def _knn_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir)
+    return knn.normalised_ground_truth(x, _q(x), 100)
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    return knn.wide(knn.search(x, _q(x), 100)).select("qid", F.array_join("ids", ",").alias("ids"))
+
+
+def _flat(codec: codecs.Codec, metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec.fit(x)
+    return _rounded(ivf.flat_search(codec, codec.encode(x), _q(x), 10, metric))
+
+
+def _ivf(spark: SparkSession, sf_dir: str, codec: codecs.Codec | None = None, per_cell: bool = False, estimate: bool = False, iterations: int = 3) -> DataFrame:
+    x = _x(spark, sf_dir)
+    index = ivf.IVF(8, codec, per_cell=per_cell, iterations=iterations).fit(x)
+    return _rounded(index.search(index.encode(), _q(x), 10, 3, estimate))
+
+
+def _ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    centroids = kmeans.kmeans(x, 8, 3)
+    return map_batches(_q(x), lambda b: {"qid": b.column("qid"), "cells": to_lists(ivf.probe(np.array(b.column("q").to_pylist()), centroids, 3))}, "qid long, cells array<long>").select("qid", F.posexplode("cells").alias("rk", "cell"))
+
+
+def _rabitq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec = codecs.SignBit().fit(x)
+    return _rounded(ivf.estimate_search(codec, codec.encode(x), _q(x), 10, 4), 5)
+
+
+def _saq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _tapered(spark, sf_dir)
+    codec = codecs.Segmented(4).fit(x)
+    return ivf.estimate_search(codec, codec.encode(x), _q(x), 10)
+
+
+def _codebook_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    return _rounded(ivf.codebook_query(kmeans.pq_train(x, 8, 16, 2), _q(x), 2))
+
+
+# --- codecs ------------------------------------------------------------------------------
+
+
+def _sq_encode(bits: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec = codecs.Scalar(bits).fit(x)
+    return _hex(codec.encode(x))
+
+
+def _decode(make: Callable[[], codecs.Codec], places: int | None, source, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = source(spark, sf_dir)
+    codec = make().fit(x)
+    return _elements(codec.decode(codec.encode(x)), places)
+
+
+def _encode_levels(make: Callable[[], codecs.Codec], spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec = make().fit(x)
+    return _levels(codec, codec.encode(x))
+
+
+def _pq_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec = codecs.Product(8, 4, 2).fit(x)
+
+    def run(b) -> dict:
+        return {"vec_id": b.column("vec_id"), "v": to_lists(codecs.bitpack.unpack_dense(from_binary(b.column("code")), np.full(8, 4)))}
+
+    return map_batches(codec.encode(x), run, "vec_id long, v array<long>").select("vec_id", F.posexplode("v").alias("m", "idx"))
+
+
+def _rabitq_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec = codecs.SignBit().fit(x)
+
+    def run(b) -> dict:
+        code = from_binary(b.column("code"))
+        _, norm2, factor = codec.parts(code)
+        bits = np.unpackbits(code[:, :8], axis=1)
+        return {"vec_id": b.column("vec_id"), "bits": ["".join(map(str, r)) for r in bits], "norm2": norm2, "factor": factor}
+
+    out = map_batches(codec.encode(x), run, "vec_id long, bits string, norm2 double, factor double")
+    return out.withColumns({c: F.round(c, 5) for c in ("norm2", "factor")})
+
+
+def _kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    return kmeans.assign(x, kmeans.kmeans(x, 8, 3)).withColumn("dist", F.round("dist", 9))
+
+
+# --- statistics, allocation, packing ---------------------------------------------------------
+
+
+def _dim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = moments.dim_stats(_tapered(spark, sf_dir))
+    rows = [(d, *(round(float(got[c][d]), 9) for c in ("mn", "mx", "mean", "var"))) for d in range(len(got["mean"]))]
+    return spark.createDataFrame(rows, "d int, mn double, mx double, mean double, var double")
+
+
+def _mean_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cov = moments.mean_cov(_tapered(spark, sf_dir))
+    rows = [(i, j, round(float(cov[i, j]), 8)) for i in range(len(cov)) for j in range(len(cov))]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
+
+
+def _pca_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, var = moments.pca(_tapered(spark, sf_dir))
+    return spark.createDataFrame([(d, float(v)) for d, v in enumerate(var)], "d int, var double")
+
+
+def _alloc_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = allocation.rank_aware(moments.dim_stats(_tapered(spark, sf_dir))["var"], 3, 0.5)
+    return spark.createDataFrame([(d, int(b)) for d, b in enumerate(bits)], "d int, bits int")
+
+
+def _alloc_bennett(spark: SparkSession, sf_dir: str) -> DataFrame:
+    var = moments.dim_stats(_tapered(spark, sf_dir))["var"]
+    bits, dist = allocation.bennett(var, 3 * len(var)), allocation.normal_distortion()
+    rows = [(d, int(b), round(float(var[d] * dist[b]), 9)) for d, b in enumerate(bits)]
+    return spark.createDataFrame(rows, "d int, bits int, cost double")
+
+
+def _cost_table(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Measured squared error of each (dimension, bits) under exact codebooks of up to 5 bits."""
+    x = _tapered(spark, sf_dir)
+    books = kmeans.per_dimension(x, [0, 1, 2, 3, 4, 5], "lloyd")
+    dims = 1 + max(d for d, _ in books)
+
+    def fold(m: np.ndarray) -> dict:
+        return {"e": np.array([[((m[:, d] - books[d, b][kmeans.levels_of(m[:, d], books[d, b])]) ** 2).sum() for b in range(6)] for d in range(dims)])}
+
+    from vecpress.functions.arrays import reduce_tables
+
+    return reduce_tables(x, fold, {"e": np.add})["e"].reshape(dims, 6)
+
+
+def _alloc_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy, optimal and analytic allocation, scored on measured costs."""
+    costs = _cost_table(spark, sf_dir)
+    budget = 3 * len(costs)
+    var = costs[:, 0]
+    rows = [(name, float(allocation.rescore(bits, costs)), int(bits.sum())) for name, bits in (("greedy", allocation.empirical(costs, budget)), ("optimal", allocation.optimal(costs, budget)), ("bennett", allocation.bennett(var, budget, 5)))]
+    return spark.createDataFrame(rows, "method string, cost double, bits int")
+
+
+def _ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = allocation.rank_aware(moments.dim_stats(_tapered(spark, sf_dir))["var"], 3, 0.5)
+    byte, offset, _ = codecs.bitpack.first_fit_layout([int(b) for b in bits])
+    rows = [(d, int(b), int(byte[d]), int(offset[d])) for d, b in enumerate(bits)]
+    return spark.createDataFrame(rows, "d int, bits int, byte int, bit int")
+
+
+def _kmeans1d(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = kmeans.per_dimension(_tapered(spark, sf_dir), [3], method, 2000)
+    rows = [(d, i, float(c)) for (d, _), levels in sorted(books.items()) for i, c in enumerate(levels)]
+    return spark.createDataFrame(rows, "d int, level int, centroid double")
+
+
+def _histogram_bins(spark: SparkSession, sf_dir: str, bins: int = 500) -> DataFrame:
+    x = _tapered(spark, sf_dir)
+    low, high = moments.ranges(x)
+    limits = spark.createDataFrame([(d, float(a), float(b)) for d, (a, b) in enumerate(zip(low, high, strict=True))], "d int, a double, b double")
+    own = F.least(F.floor((F.col("x") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).cast("int")
+    return _elements(x).join(F.broadcast(limits), "d").groupBy("d", own.alias("bin")).agg(F.count("*").alias("n"))
+
+
+# --- metrics -----------------------------------------------------------------------------
+
+
+def _truth_and_found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    x = _x(spark, sf_dir)
+    codec = codecs.Scalar(4).fit(x)
+    return knn.search(x, _q(x), 100), ivf.flat_search(codec, codec.encode(x), _q(x), 100)
+
+
+def _recall(measure: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, found = _truth_and_found(spark, sf_dir)
+    parts = [measure(truth, found, k) for k in (1, 10, 100)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("k", F.round(out.columns[1], 9).alias(out.columns[1]))
+
+
+def _rank_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rank_distortion_per_query(*_truth_and_found(spark, sf_dir), 10)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    return codecs.Scalar(4).fit(x).reconstruct(x)
+
+
+def _distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.distortion_per_vector(_pairs(spark, sf_dir)).withColumn("distortion", F.round("distortion", 9))
+
+
+def _mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mse_per_element(_pairs(spark, sf_dir)).withColumn("mse", F.round("mse", 11))
+
+
+def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    out = metrics.pairwise_distortion(_pairs(spark, sf_dir), metrics.hashed_links(x, x.count()))
+    return out.select(*(F.round(c, 9).alias(c) for c in ("mean", "median", "p95", "max", "std")), "num_pairs")
+
+
+def _footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _x(spark, sf_dir).count()
+    rows = [(k, metrics.footprint(k, n, 64, 32, 16, 8, 4)) for k in ("flat", "ivf", "ivfpq", "rabitq", "rabitq_ivf", "saq")]
+    return spark.createDataFrame(rows, "kind string, bytes long")
+
+
+def _compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    parts = []
+    for bits in (4, 8, 16):
+        sizes = metrics.stored_bytes(codecs.Scalar(bits).fit(x).encode(x))
+        parts.append(sizes.select(F.lit(bits).alias("bits"), "code_bytes", "code_bytes_with_norm", (F.lit(4.0 * 64) * x.count() / F.col("code_bytes")).alias("factor")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _study(methods: list[str], bpds: list[float], spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir)
+    out = study.run_study(x, _q(x), methods, bpds)
+    return out.select("method", "bpd", "code_bytes", F.round("compression_factor", 9).alias("compression_factor"), F.round("mse", 9).alias("mse"), "n_db", "n_queries", "D", *(F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in study.KS))
+
+
+# --- splits, streams, logs, reports ------------------------------------------------------------
+
+
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, queries = datasets.holdout(_x(spark, sf_dir), QUERIES)
+    return base.select("vec_id", F.lit("base").alias("side")).union(queries.select("qid", F.lit("query")))
+
+
+def _base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, queries = datasets.base_and_queries(_x(spark, sf_dir), 300, 100)
+    return base.select("vec_id", F.lit("base").alias("side")).union(queries.select("qid", F.lit("query")))
+
+
+def _fvecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = datasets.scratch(spark, "embeddings") + ".fvecs"
+    fvecs.write(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), path)
+    return _elements(vectors(fvecs.read(spark, path)))
+
+
+def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    stream = streaming.stream_vectors(spark, sf_dir, 1, "embeddings.parquet") if single else streaming.stream_vectors(spark, f"{sf_dir}/embeddings.parquet")
+    out = streaming.streaming_distortion(stream, codecs.Scalar(4).fit(x), datasets.scratch(spark, "stream"), f"distortion_{abs(hash(sf_dir))}")
+    return out.withColumn("distortion", F.round("distortion", 9))
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(oracles.RUNS, "method string, bpd double, compression double, recall double, mse double, timestamp string")
+
+
+def _runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _runs(spark).select("method", "timestamp", F.to_json(F.struct("compression", "recall", F.col("mse").alias("rank_distortion@10"))).alias("metrics_json"))
+    out = runlog.parsed(log)
+    return out.select("method", "timestamp", runlog.metric("compression").alias("compression"), runlog.metric("recall").alias("recall"), runlog.metric("absent", -1.0).alias("absent"), runlog.rank_metric().alias("rank"))
+
+
+def _report(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(_runs(spark))
+
+
+def _round_all(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
 
-FLAGSHIP = "knn_l2"
+REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "pareto_frontier": lambda r: report.pareto_frontier(r.drop("timestamp")),
+    "radar_normalised": lambda r: _round_all(report.radar_normalised(r, ["compression", "recall"], ["mse"])),
+    "tradeoff_series": lambda r: report.tradeoff_series(r, "compression", "recall"),
+    "pivot_bpd_method": lambda r: _round_all(report.pivot(r, "mse", ["lvq", "pq", "sq"])),
+    "dedup_keep_last": lambda r: report.keep_last(r, ["method", "bpd"], "timestamp"),
+    "best_in_band": lambda r: report.best_in_bands(r, oracles.BANDS),
+    "method_ratio": lambda r: _round_all(report.method_ratio(report.keep_last(r, ["method", "bpd"], "timestamp"), "pq", "sq")),
+    "monotone_breaks": lambda r: report.monotone_breaks(report.keep_last(r, ["method", "bpd"], "timestamp")),
+    "comparison_table": lambda r: report.comparison_table(r),
+    "method_summary": lambda r: _round_all(report.by_method(r, ["recall", "mse"])),
+    "run_sanity": lambda r: report.sanity(r, ["recall", "mse"]),
+    "top_runs": lambda r: report.top_runs(r.drop("timestamp"), F.col("compression") * F.col("recall"), 10),
+    "ratio_summary": lambda r: _round_all(report.ratio_summary(r.select(F.col("mse").alias("ratio"), F.col("compression").alias("weight")))),
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {
+        "knn_l2": partial(_knn, "l2"),
+        "knn_ip": partial(_knn, "ip"),
+        "knn_normalised_ip": _knn_normalised,
+        "knn_wide": _wide,
+    }
+    out |= {f"knn_metric_{m}": partial(_knn_metric, m) for m in oracles.METRIC_TERMS}
+    out |= {
+        "sq8_flat_search": partial(_flat, codecs.Scalar(8), "l2"),
+        "sq8_flat_search_ip": partial(_flat, codecs.Scalar(8), "ip"),
+        "lvq4_flat_search": partial(_flat, codecs.Local(4), "l2"),
+        "ivf_probe": _ivf_probe,
+        "ivf_flat_search": _ivf,
+        "ivf_sq_search": lambda s, d: _ivf(s, d, codecs.Scalar(8), per_cell=True),
+        "ivfpq_search": lambda s, d: _ivf(s, d, codecs.Product(8, 4, 2)),
+        "rabitq_search": _rabitq_search,
+        "rabitq_ivf_search": lambda s, d: _ivf(s, d, codecs.SignBit(), estimate=True),
+        "saq_ivf_search": lambda s, d: _ivf(s, d, codecs.Segmented(4), estimate=True),
+        "saq_search": _saq_search,
+        "codebook_query": _codebook_query,
+        "sq4_encode_packed": partial(_sq_encode, 4),
+        "sq8_encode": partial(_sq_encode, 8),
+        "sq16_encode": partial(_sq_encode, 16),
+        "sq4_decode": partial(_decode, lambda: codecs.Scalar(4), None, _x),
+        "sq8_decode": partial(_decode, lambda: codecs.Scalar(8), None, _x),
+        "lvq2_encode": partial(_encode_levels, lambda: codecs.Local(2)),
+        "lvq4_encode": partial(_encode_levels, lambda: codecs.Local(4)),
+        "lvq8_encode": partial(_encode_levels, lambda: codecs.Local(8)),
+        "lvq4_decode": partial(_decode, lambda: codecs.Local(4), 6, _x),
+        "kmeans_assign": _kmeans_assign,
+        "pq_codes": _pq_codes,
+        "pq_decode": partial(_decode, lambda: codecs.Product(8, 4, 2), 9, _x),
+        "opq_decode": partial(_decode, lambda: codecs.OptimizedProduct(8, 4, 4), None, _x),
+        "rabitq1_codes": _rabitq_codes,
+        "extrabitq4_decode": partial(_decode, lambda: codecs.MultiBit(4), 6, _x),
+        "rankaware_decode": partial(_decode, lambda: codecs.RankAware(4, 0.5), None, _tapered),
+        "rankaware_dense_decode": partial(_decode, lambda: codecs.RankAware(4, 0.0, packing="dense", codebook="gaussian"), None, _tapered),
+        "saq_decode": partial(_decode, lambda: codecs.Segmented(4), None, _tapered),
+        "dim_stats": _dim_stats,
+        "mean_cov": _mean_cov,
+        "pca_variances": _pca_variances,
+        "alloc_greedy": _alloc_greedy,
+        "alloc_bennett_rescore": _alloc_bennett,
+        "alloc_study": _alloc_study,
+        "ffd_layout": _ffd,
+        "kmeans1d_exact": partial(_kmeans1d, "exact"),
+        "kmeans1d_lloyd": partial(_kmeans1d, "lloyd"),
+        "kmeans1d_histogram": partial(_kmeans1d, "histogram"),
+        "histogram_bins": _histogram_bins,
+        "recall_sweep": partial(_recall, metrics.recall_sweep),
+        "recall_study": partial(_recall, metrics.recall_study),
+        "recall_bench": partial(_recall, metrics.recall_bench),
+        "recall_ivf": partial(_recall, metrics.recall_ivf),
+        "rank_distortion": partial(_recall, metrics.rank_distortion),
+        "rank_distortion_per_query": _rank_per_query,
+        "distortion_per_vector": _distortion,
+        "mse_per_element": _mse,
+        "pairwise_distortion": _pairwise,
+        "memory_footprint": _footprint,
+        "compression_factor": _compression,
+        "study_sq_lvq": partial(_study, ["sq", "lvq"], [4, 8]),
+        "study_trained": partial(_study, ["pq", "rabitq", "saq_paper", "rankaware"], [2, 4]),
+        "holdout_split": _holdout,
+        "base_query_split": _base_query,
+        "fvecs_roundtrip": _fvecs,
+        "streaming_distortion": _streaming,
+        "runlog_metrics": _runlog,
+    }
+    return out | {name: _report(make) for name, make in REPORTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
