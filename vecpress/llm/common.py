@@ -48,6 +48,12 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, marked for a sort-merge join whatever its size: for sides that grow with the input, so
+    that the plan is the same at every size and adaptive execution can split hot keys."""
+    return df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import SPACES, ascii_lower, materialize, small
+from vecpress.llm.common import SPACES, ascii_lower, materialize, shuffled
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """docs with text replaced by what stays, and the numbers of lines before and of those
     dropped (long) under `names`."""
     repeated = materialize(repeated_lines(docs, min_docs, min_chars), "lines")
-    found = small(repeated.select("h1", "h2", "keeper"), repeated.count())
+    found = shuffled(repeated.select("h1", "h2", "keeper"))
     drops = (
         _lines(docs, min_chars)
         .join(found, ["h1", "h2"])
@@ -67,8 +67,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
         .agg(F.collect_set("pos").alias("__drop"))
     )
-    drops = materialize(drops, "drops")
-    drops = small(drops, drops.agg(F.sum(F.size("__drop") + 8)).head()[0] or 0)
+    drops = shuffled(materialize(drops, "drops"))
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.join(drops, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
