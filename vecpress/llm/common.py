@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,29 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def ascii_lower(col):
     """A-Z lower-cased, every other character kept (lower() would fold more)."""
     return F.translate(col, _UPPER, _UPPER.lower())
+
+
+class Recent:
+    """What a worker remembers of chunks of text, in bounded memory.
+
+    Two generations of at most `most` entries: when the new one is full it becomes the old
+    one, and entries that are asked for again move on from there. So frequent ones stay.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Those of keys that must be put before `new` can be read."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for key in {k for k in keys if k not in new}:
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                new[key] = value
+        return out

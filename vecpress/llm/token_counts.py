@@ -7,9 +7,9 @@ its link; each character is read once and no piece is built. Words are counted o
 worker and remembered.
 
 A word is what the tokenizer's pre-tokenizer yields after its normalisation (NFC, lower case):
-a run of letters, one number, a run of other signs or a contraction ending, as UTF-8 bytes
-and closed by a word-end mark. All single bytes are pieces, with and without the mark, so
-every word has a count.
+a run of letters, one number, a run of other signs or a contraction ending, as UTF-8 bytes,
+the last of which carries the word-end mark. All single bytes are pieces, with and without
+the mark, so every word has a count.
 
 Defined cases: a null or empty text, or one of white space, has no words and no pieces.
 Repeated rows are counted each; extra columns are kept, save one named like an output.
@@ -22,6 +22,7 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from vecpress.llm.common import Recent
+
 #: The pre-tokenizer's pattern and the word-end mark of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Chunks of text whose counts a worker remembers.
-CACHED = 1_000_000
+CACHED = 200_000
 
-_END = 256  # the word-end mark as a symbol after the 256 bytes
+_END = 256  # symbols from here on are bytes with the word-end mark
 _workers: dict[int, Automaton] = {}
 
 
@@ -49,8 +52,13 @@ def byte_letters() -> dict[str, int]:
 
 
 def symbols(token: str, letters: dict[str, int]) -> tuple[int, ...]:
-    body, end = (token[: -len(WORD_END)], (_END,)) if token.endswith(WORD_END) else (token, ())
-    return tuple(letters[c] for c in body) + end
+    body = [letters[c] for c in token.removesuffix(WORD_END)]
+    return closed(body) if token.endswith(WORD_END) else tuple(body)
+
+
+def closed(body: list[int] | bytes) -> tuple[int, ...]:
+    """Bytes of a word; its last one, which carries the word-end mark, is a symbol of its own."""
+    return (*body[:-1], _END + body[-1])
 
 
 class Automaton:
@@ -118,25 +126,24 @@ def words(text: str) -> list[str]:
 class Counter:
     def __init__(self, tokenizer_json: str):
         self.automaton = load(tokenizer_json)
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known = Recent(CACHED)
+        self.same: dict[int, int] = {}  # one object for each number that occurs
 
-    def _chunk(self, chunk: bytes) -> tuple[int, int]:
+    def _chunk(self, chunk: bytes) -> int:
         found = words(chunk.decode("utf-8", "replace"))
-        return len(found), sum(self.automaton.count([*w.encode(), _END]) for w in found)
-
-    def text(self, text: bytes | None) -> tuple[int, int]:
-        """Words and pieces. Chunks between ASCII white space share no word."""
-        known = self.known
-        n_words = n_pieces = 0
-        for chunk in (text or b"").lower().split():
-            got = known.get(chunk)
-            if got is None:
-                if len(known) >= CACHED:
-                    known.clear()
-                got = known[chunk] = self._chunk(chunk)
-            n_words += got[0]
-            n_pieces += got[1]
-        return n_words, n_pieces
+        both = len(found) << 32 | sum(self.automaton.count(closed(w.encode())) for w in found)
+        return self.same.setdefault(both, both) if len(self.same) < 4096 else both
+
+    def texts(self, texts: list[bytes | None]) -> list[tuple[int, int]]:
+        """Words and pieces of each. Chunks between ASCII white space share no word."""
+        split = [(t or b"").lower().split() for t in texts]
+        missing = self.known.missing(chain.from_iterable(split))
+        new = self.known.new
+        for chunk in missing:
+            new[chunk] = self._chunk(chunk)
+        get = new.__getitem__
+        sums = [sum(map(get, chunks)) for chunks in split]
+        return [(s >> 32, s & 0xFFFFFFFF) for s in sums]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -150,8 +157,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if key not in _workers:
             _workers[key] = Counter(sent.value)
         counter = _workers[key]
-        for batch in batches:
-            both = [counter.text(t.as_py()) for t in batch.column("__text")]
+        for batch in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
+            both = counter.texts(batch.column("__text").to_pylist())
             new = [pa.array([x[i] for x in both], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, "n_words", "n_tokens"])
 
