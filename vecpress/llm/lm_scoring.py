@@ -45,8 +45,8 @@ PAIRS = 20_000
 #: Documents whose pairs look for frequent ones, about.
 SAMPLED = 4000
 #: Bytes of text that travel as one batch, and words of the corpus for each partition at most.
-BATCH = 8 << 20
-PARTITION = 64_000_000
+BATCH = 3 << 20
+PARTITION = 2_000_000
 
 START = np.uint64(0)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -64,7 +64,7 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words, remembered; never 0."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
