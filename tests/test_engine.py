@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecpress.functions import distance
 from vecpress.operators import allocation, bitpack, codecs, ivf, kmeans, knn, metrics, moments, report
 from vecpress.plans import registry, study
-from vecpress.sources import datasets, fvecs, runlog
+from vecpress.sources import datasets, fvecs, models, runlog
 from vecpress.streaming import sweep
 
 
@@ -373,6 +373,39 @@ def test_vector_files(spark, tmp_path, x):
     assert np.array_equal(fvecs.parse(fvecs.dump(ints, "<i4"), "<i4"), ints)
 
 
+@pytest.mark.parametrize("codec", [codecs.Scalar(4), codecs.Product(8, 4, 2), codecs.OptimizedProduct(8, 3, 2, 1), codecs.SignBit(), codecs.MultiBit(3), codecs.Local(5), codecs.RankAware(3), codecs.Segmented(3)])
+def test_saved_codecs(spark, tmp_path, x, codec):
+    codec.fit(x)
+    models.save_codec(spark, codec, str(tmp_path / "m"))
+    again = models.load_codec(spark, str(tmp_path / "m"))
+    rows = matrix(x)[:50]
+    assert np.array_equal(again._encode(rows), codec._encode(rows)) and again.code_size() == codec.code_size()
+    if isinstance(codec, (codecs.Product, codecs.Scalar)):
+        models.export_codebook(spark, codec, str(tmp_path / "book"), codec.encode(x))
+        book = fvecs.parse((tmp_path / "book.fvecs").read_bytes())
+        assert book.shape == ((2, 32) if isinstance(codec, codecs.Scalar) else (8 << codec.bits, 4))
+        sent = fvecs.parse((tmp_path / "book.codes.ivecs").read_bytes(), "<i4")
+        assert np.array_equal(sent[:50], codec._encode(rows))
+    else:
+        with pytest.raises(RuntimeError):
+            models.codebook(codec)
+
+
+def test_saved_index(spark, tmp_path, x):
+    queries = datasets.as_queries(datasets.from_matrix(spark, normal(5, 32, 9)))
+    for codec, per_cell in ((codecs.Scalar(8), True), (codecs.Product(8, 4, 2), False)):
+        index = ivf.IVF(6, codec, per_cell=per_cell, iterations=2).fit(x)
+        codes = index.encode()
+        models.save_index(index, codes, str(tmp_path / "i"))
+        again, stored = models.load_index(spark, str(tmp_path / "i"))
+        assert ids(again.search(stored, queries, 5, 2)) == ids(index.search(codes, queries, 5, 2))
+
+
+def test_csv(spark, tmp_path):
+    models.write_csv(spark.createDataFrame([(1, None), (2, "b")], "a int, b string").orderBy("a"), str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_text() == "a,b\n1,\n2,b\n"
+
+
 def test_dataset_folders(spark, tmp_path):
     train, query = normal(50, 4), normal(5, 4, 1)
     np.save(tmp_path / "train.npy", train)
@@ -522,5 +555,6 @@ def test_entry_point_without_the_training_data_folder(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/vecpress", tmp_path / "vecpress", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "vecpress" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_l2' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

@@ -6,7 +6,7 @@ must fit a task. Ids are the record numbers in file order, files by name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,22 +68,21 @@ def read(spark: SparkSession, path: str, kind: str = "f", strict: bool = True) -
     return found.join(F.broadcast(firsts), "file").select((F.col("at") + F.col("first")).alias("vec_id"), "embedding")
 
 
-def write(x: DataFrame, path: str, vector_col: str = "embedding", id_col: str = "vec_id", kind: str = "f", files: int = 1) -> None:
-    """Write rows in order of id into `files` files under path, through Spark's writer of binary
-    rows: each record is one line-less value of a text-free sink, joined on the driver's file
-    system only when files = 1."""
-    dtype = "<f4" if kind == "f" else "<i4"
-    parts = x.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).repartitionByRange(files, id_col).sortWithinPartitions(id_col)
-    spark = x.sparkSession
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-
-    blobs = map_batches(parts, lambda b: {"first": pa.array([b.column(0)[0].as_py()] if b.num_rows else [], pa.int64()), "data": pa.array([dump(to_matrix(b.column(1)), dtype)] if b.num_rows else [], pa.binary())}, "first long, data binary")
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    out = fs.create(target, True)
+def write_bytes(spark: SparkSession, path: str, blocks: Iterable[bytes]) -> None:
+    """One file from blocks of bytes, in any store that Spark writes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        for row in blobs.orderBy("first").toLocalIterator():  # one block of rows at a time
-            out.write(bytearray(row["data"]))
+        for block in blocks:
+            out.write(bytearray(block))
     finally:
         out.close()
+
+
+def write(x: DataFrame, path: str, vector_col: str = "embedding", id_col: str = "vec_id", kind: str = "f") -> None:
+    """One file of rows in order of id. Records are made by the tasks and pass the driver one
+    block of at most 4096 rows at a time; the format is a single file, so one writer is its limit."""
+    dtype = "<f4" if kind == "f" else "<i4"
+    parts = x.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).orderBy(id_col)
+    blobs = map_batches(parts, lambda b: {"data": pa.array([dump(to_matrix(b.column(1)), dtype)] if b.num_rows else [], pa.binary())}, "data binary")
+    write_bytes(x.sparkSession, path, (row["data"] for row in blobs.toLocalIterator()))
