@@ -40,15 +40,17 @@ from vecpress.llm.common import materialize, shuffle_partitions
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Words with at least 1/HOT of all words are frequent; so are pairs with 1/PAIRS of a sample.
-HOT = 50_000
-PAIRS = 20_000
+HOT = 60_000
+PAIRS = 100_000
 #: Documents whose pairs look for frequent ones, about.
-SAMPLED = 4000
+SAMPLED = 10_000
 #: Bytes of text that travel as one batch, and words of the corpus for each partition at most.
 BATCH = 3 << 20
-PARTITION = 2_000_000
+PARTITION = 1_500_000
 
 START = np.uint64(0)
+#: START among the numbers of frequent words, which are fewer.
+FIRST = 65535
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,16 +98,42 @@ def _batches(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tupl
 
 
 def _bigrams(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, first word, second word, occurrences) of each document's distinct
-    bigrams; the first word of a text follows START."""
+    """(document number, first word's place, second word's place, occurrences) of each document's
+    distinct bigrams, places being those in words. The first word of a text follows place -1."""
     doc = np.repeat(np.arange(len(counts)), counts)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = START
+    place = np.arange(-1, len(words) - 1)
+    place[(np.cumsum(counts) - counts)[counts > 0]] = -1
+    before = np.where(place < 0, START, words[place]) if len(words) else words
     key = _pair(before, words) ^ _mix(doc.astype(np.uint64) + np.uint64(1))
     _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return doc[at], before[at], words[at], n
+    return doc[at], place[at], at, n
+
+
+def _squeeze(words: np.ndarray, hot: np.ndarray) -> bytes:
+    """Words as bits that tell frequent ones, those as two-byte numbers, and the other hashes.
+    hot: number of each word in the frequent list, -1 if it is none, FIRST for START."""
+    flags = hot >= 0
+    return np.packbits(flags).tobytes() + hot[flags].astype("<u2").tobytes() + words[~flags].astype("<u8").tobytes()
+
+
+def _restore(data: bytes, n: int, names: np.ndarray) -> np.ndarray:
+    """The hashes of n squeezed words."""
+    size = -(-n // 8)
+    flags = np.unpackbits(np.frombuffer(data, np.uint8, size))[:n].astype(bool)
+    k = int(flags.sum())
+    numbers = np.frombuffer(data, "<u2", k, size)
+    out = np.empty(n, np.uint64)
+    out[flags] = np.append(names, START)[np.minimum(numbers, len(names))]
+    out[~flags] = np.frombuffer(data, "<u8", n - k, size + 2 * k)
+    return out
+
+
+def _number(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in sorted names, -1 where they are not."""
+    if not len(names):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return np.where(names[at] == keys, at, -1)
 
 
 def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -196,25 +224,27 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
         place, number = TaskContext.get().partitionId(), 0
         for ids, counts, words in _batches(batches, Hasher()):
             batch, number = (place << 32) + number, number + 1
-            doc, first, second, n = _bigrams(counts, words)
-            # frequent pairs of frequent words are scored here
-            c = _lookup(pairs, _pair(first, second))
-            c1 = _lookup(hot, first)
-            here = (first != START) & (c >= min_count) & (c1 > 0)
+            number_of = _number(hot[0], words)
+            doc, before, after, n = _bigrams(counts, words)
+            first, second = np.where(before < 0, START, words[before]), words[after]
+            u, v = np.where(before < 0, FIRST, number_of[before]), number_of[after]
+            c1 = np.append(hot[1], 0)[np.where(before < 0, -1, u)]  # 0 where the count is not at hand
+            cw = np.append(hot[1], 0)[v]
+            # frequent pairs of frequent words, and frequent first words, are scored here
+            c = np.where((v >= 0) & (c1 > 0), _lookup(pairs, _pair(first, second)), 0)
+            here = c >= min_count
             own = np.bincount(doc[here], n[here] * (np.log(c[here]) - np.log(c1[here])), len(ids))
-            doc, first, second, n = doc[~here], first[~here], second[~here], n[~here]
-            hot_first, hot_second = (first == START) | (_lookup(hot, first) > 0), _lookup(hot, second) > 0
-            part = np.where(~hot_second, _mix(second), np.where(~hot_first, _mix(first), _pair(first, second))) % np.uint64(parts)
-            start = (first == START) & hot_second  # first words whose count is at hand
-            c = _lookup(hot, second[start])
-            own += np.bincount(doc[start], np.log(c) - log_total, len(ids)) if start.any() else 0
-            doc, first, second, n, part = doc[~start], first[~start], second[~start], n[~start], part[~start]
+            start = (before < 0) & (v >= 0)
+            own += np.bincount(doc[start], np.log(cw[start]) - log_total, len(ids))
+            sent_on = ~here & ~start
+            doc, first, second, n, u, v = (x[sent_on] for x in (doc, first, second, n, u, v))
+            part = np.where(v < 0, _mix(second), np.where(u < 0, _mix(first), _pair(first, second))) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            doc, first, second, n, part = (x[order] for x in (doc, first, second, n, part))
+            doc, first, second, n, u, v, part = (x[order] for x in (doc, first, second, n, u, v, part))
             to, at = np.unique(part, return_index=True)
             rows = [(int(batch % parts), 0, batch, np.array([i is None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), counts.astype(np.int64).tobytes(), own.tobytes())]
             for p, a, b in zip(to.tolist(), at.tolist(), [*at.tolist()[1:], len(part)], strict=True):
-                rows.append((p, 1, batch, doc[a:b].astype(np.uint16).tobytes(), first[a:b].tobytes(), second[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()))
+                rows.append((p, 1, batch, doc[a:b].astype(np.uint16).tobytes(), _squeeze(first[a:b], u[a:b]), _squeeze(second[a:b], v[a:b]), n[a:b].astype(np.uint32).tobytes()))
             for i in range(0, len(rows), 256):
                 yield _blobs(rows[i : i + 256], names)
 
@@ -231,8 +261,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
         rows = [tuple(left.column(n)[i].as_py() for n in names) for i, k in enumerate(kinds) if k == 0]
         mine = [i for i, k in enumerate(kinds) if k == 1]
         if mine:
-            docs, first, second, n = (np.concatenate([np.frombuffer(left.column(c)[i].as_py(), t) for i in mine]) for c, t in (("docs", np.uint16), ("first", np.uint64), ("second", np.uint64), ("value", np.uint32)))
+            docs, n = (np.concatenate([np.frombuffer(left.column(c)[i].as_py(), t) for i in mine]) for c, t in (("docs", np.uint16), ("value", np.uint32)))
             sizes = [len(left.column("docs")[i].as_py()) // 2 for i in mine]
+            first, second = (np.concatenate([_restore(left.column(c)[i].as_py(), k, hot[0]) for i, k in zip(mine, sizes, strict=True)]) for c in ("first", "second"))
             _, at, inverse = np.unique(_pair(first, second), return_index=True, return_inverse=True)
             c2 = np.bincount(inverse, n)[: len(at)]
             u1, u2 = first[at], second[at]
