@@ -16,8 +16,10 @@ columns are not carried: the result is pieces, to be joined on doc_id.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -25,23 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import materialize
+from vecpress.llm.common import Recent, materialize
+from vecpress.llm.token_counts import byte_letters
 
 TOKENS = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker remembers.
-CACHED = 1_000_000
+CACHED = 180_000
 #: Pieces that one numbering task should get at most.
 RANKED = 250_000
 
 _workers: dict[int, ChunkEncoder] = {}
+#: A mark after an ASCII letter or digit and before white space is a chunk of its own.
+_MARK = re.compile(rb"(?<=[a-z0-9])[.,!?;:](?=\s|\Z)")
 
 
 class ChunkEncoder:
     """Ids of texts, remembered by chunk between ASCII white space.
 
     The pre-tokenizer never joins across white space and normalisation acts within a chunk,
-    so the ids of a text are those of its chunks in order.
+    so the ids of a text are those of its chunks in order. A chunk of plain letters is one
+    word, which the merge table takes without the steps before it.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -52,53 +58,28 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
-        self.marks = {m: self._alone(m.decode()) for m in (b",", b".", b"!", b"?", b";", b":")}
-        self.known: dict[bytes, bytes] = {}
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Add chunks. A run of letters ends with one word-end token, so many runs are encoded
-        at once and their ids cut at those tokens; other chunks go one by one."""
-        words, tails = {}, {}
-        for c in chunks:
-            w = c[:-1] if c[-1:] in self.marks and len(c) > 1 else c
-            s = w.decode("utf-8", "replace")
-            if s.isascii() and s.isalpha() or s.isalpha() and s == s.casefold() and all("ß" <= x <= "ÿ" or "a" <= x <= "z" for x in s):
-                words[w] = s
-                tails[c] = w
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.known = Recent(CACHED)
+
+    def _learn(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters only
+            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode())]
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if text.isalpha() and all("à" <= c <= "ÿ" or "a" <= c <= "z" for c in text):
+                ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
             else:
-                self.known[c] = self._alone(c.decode("utf-8", "replace"))
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(words[w] for w in part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("a run of letters must end with one word-end token")
-            at = 0
-            for w, end in zip(part, cuts.tolist(), strict=True):
-                self.known[w] = ids[at:end].tobytes()
-                at = end
-        for c, w in tails.items():
-            if c is not w and c != w:
-                self.known[c] = self.known[w] + self.marks[c[-1:]]
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or b"").lower().split() for t in texts]  # the normaliser lower-cases anyway
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        missing = {c for chunks in split for c in chunks if c not in known}
-        if missing:
-            self._learn(list(missing))
-        get = known.__getitem__
+        split = [_MARK.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # the normaliser lower-cases anyway
+        missing = self.known.missing(chain.from_iterable(split))
+        new = self.known.new
+        for chunk in missing:
+            new[chunk] = self._learn(chunk)
+        get = new.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
