@@ -327,6 +327,9 @@ def test_recalls_on_known_lists(spark):
     with pytest.raises(ValueError):
         metrics.rank_distortion(truth, found, 3, num_queries=5)
     assert metrics.recall_study(truth, found.limit(0), 3).head()["recall"] == 0
+    both = truth.union(table([5, 6]).withColumn("qid", F.lit(1)))
+    assert tuple(metrics.recalls_study(both, found, [1, 3]).head()) == pytest.approx(tuple(metrics.recall_study(both, found, k).head()["recall"] for k in (1, 3)))
+    assert metrics.recalls_study(both, found.limit(0), [3]).head()[0] == 0
 
 
 def test_errors_per_element_and_vector(spark):

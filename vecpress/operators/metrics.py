@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import statistics
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,22 @@ def recall_study(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return _hits(truth, found, k).agg(F.lit(k).alias("k"), F.coalesce(F.avg(each), F.lit(0.0)).alias("recall"))
 
 
+def recalls_study(truth: DataFrame, found: DataFrame, ks: Iterable[int]) -> DataFrame:
+    """recall_study at several k in one pass: one row, a column recall_at_<k> for each."""
+    a = truth.select("qid", "id", F.col("rk").alias("a"), F.lit(None).cast("int").alias("b"))
+    b = found.select("qid", "id", F.lit(None).cast("int").alias("a"), F.col("rk").alias("b"))
+    ranks = a.unionByName(b).groupBy("qid", "id").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    within = lambda c, k: F.sum((c <= k).cast("long"))
+    counts = [f(k).alias(f"{n}{k}") for k in ks for n, f in (("hits", lambda k: within(F.greatest("a", "b") + F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(None)).otherwise(0), k)), ("true", lambda k: within(F.col("a"), k)), ("got", lambda k: within(F.col("b"), k)))]
+    each = ranks.groupBy("qid").agg(*counts).where(" or ".join(f"true{k} > 0" for k in ks))
+
+    def mean(k: int):
+        low = F.least(F.lit(k), F.coalesce(F.col(f"true{k}"), F.lit(0)), F.coalesce(F.col(f"got{k}"), F.lit(0)))
+        return F.coalesce(F.avg(F.when(low > 0, F.coalesce(F.col(f"hits{k}"), F.lit(0)) / low).otherwise(0.0)), F.lit(0.0)).alias(f"recall_at_{k}")
+
+    return each.agg(*(mean(k) for k in ks))
+
+
 def recall_bench(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Hits of all queries over the sum of min(k, true)."""
     return _hits(truth, found, k).agg(F.lit(k).alias("k"), (F.sum("hits") / F.sum(F.least(F.lit(k), "n_truth"))).alias("recall"))

@@ -40,15 +40,13 @@ def measure(x: DataFrame, queries: DataFrame, truth: DataFrame, codec: codecs.Co
     """One cell: code bytes (with a 4-byte norm a row), compression, error and recalls."""
     codec = codec.fit(x)
     ks = sorted(ks)
-    n = x.count()
     pairs = codec.reconstruct(x)
-    mse = metrics.mse_per_element(pairs).head()[0]
+    error, n = pairs.agg(F.sum(distance.squared_l2(F.col("v"), F.col("r"))), F.count("*")).head()
     decoded = pairs.select("vec_id", F.col("r").alias("v"), distance.floored_norm(F.col("v")).alias("norm"))
-    found = knn.search(decoded, queries, ks[-1], "ip", scale="norm").persist()
-    recalls = {f"recall_at_{k}": metrics.recall_study(truth, found, k).head()["recall"] for k in ks}
-    found.unpersist()
+    found = knn.search(decoded, queries, ks[-1], "ip", scale="norm")
+    recalls = metrics.recalls_study(truth, found, ks).head().asDict()
     code_bytes = n * (codec.code_size() + codecs.NORM_BYTES)
-    return {"code_bytes": code_bytes, "compression_factor": metrics.compression_factor(n, codec.dims, code_bytes), "mse": mse, "n_db": n, "n_queries": queries.count(), "D": codec.dims} | recalls
+    return {"code_bytes": code_bytes, "compression_factor": metrics.compression_factor(n, codec.dims, code_bytes), "mse": error / (n * codec.dims), "n_db": n, "n_queries": queries.count(), "D": codec.dims} | recalls
 
 
 def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: Iterable[float], ks: Iterable[int] = KS, dataset: str = "", checkpoint: str | None = None) -> DataFrame:
@@ -64,7 +62,7 @@ def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: It
         target = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
         if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
             done = {(r["method"], r["bpd"]) for r in spark.read.schema(schema).parquet(checkpoint).collect()}  # one row a cell
-    x = x.persist()
+    x, queries = x.persist(), queries.persist()
     dims = x.select(F.size("v")).head()[0]
     truth = knn.normalised_ground_truth(x, queries, ks[-1]).persist()
     rows = []
@@ -78,6 +76,7 @@ def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: It
             if checkpoint:
                 spark.createDataFrame(rows[-1:], schema).coalesce(1).write.mode("append").parquet(checkpoint)
     truth.unpersist()
+    queries.unpersist()
     x.unpersist()
     return spark.read.schema(schema).parquet(checkpoint) if checkpoint else spark.createDataFrame(rows, schema)
 
