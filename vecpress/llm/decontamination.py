@@ -44,7 +44,7 @@ SHORT = 8
 #: Bits of each table that documents are tested against.
 BITS = 1 << 24
 #: Shingles of a document that are held against all hash functions at a time.
-SEGMENT = 32768
+SEGMENT = 4096
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.random.default_rng(17).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,7 +71,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[str, int] = {}
         self.most = most
 
@@ -154,6 +154,12 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(BITS - 1)).astype(np.int64)
 
 
+def _set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value's bit is set in a packed table."""
+    at = _bits(values)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = WordHashes()
     for batch in batches:
@@ -196,15 +202,14 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_table, shingle_table, sizes = sent.value
-        keys_table, shingle_table = (np.unpackbits(t).view(bool) for t in (keys_table, shingle_table))
         hashed = WordHashes()
 
         def admit(keys: np.ndarray) -> np.ndarray:
-            return keys[keys_table[_bits(keys)]]
+            return keys[_set(keys_table, keys)]
 
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for i in range(0, whole.num_rows, 64):
+                batch = whole.slice(i, 64)
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = tokenize(text)
@@ -213,7 +218,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
                     h = shingle_hashes(hashed(words))
                     keys = window_keys(h, sizes, admit)
                     if len(keys):
-                        at = np.flatnonzero(shingle_table[_bits(h)]).tolist()
+                        at = np.flatnonzero(_set(shingle_table, h)).tolist()
                         rows.append((doc, keys.view(np.int64), list({" ".join(words[k : k + WORDS]) for k in at})))
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "keys", "held"])
