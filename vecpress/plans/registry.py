@@ -14,7 +14,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.functions import distance
 from vecpress.functions.arrays import from_binary, map_batches, to_lists, vectors
 from vecpress.operators import allocation, codecs, ivf, kmeans, knn, metrics, moments, report
 from vecpress.plans import oracles, study
