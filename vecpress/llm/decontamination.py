@@ -5,7 +5,8 @@ lower-cased). A short item hides in a long document, where the similarity of the
 says nothing; so items are partitioned by the number of their shingles, and for each
 partition documents are read in overlapping windows a little longer than its largest item.
 A window and an item that share any of HASHES minima make a candidate. With the windows of
-one quarter more than the item, a contained item is missed with a chance below 1e-5. Items
+one quarter more than the largest item, a contained item is missed with a chance of 1e-5 at
+worst, and a whole copy of one with 1e-7. Items
 of up to SHORT shingles have windows of one shingle, whose minimum is the shingle itself:
 there every shared shingle makes a candidate.
 

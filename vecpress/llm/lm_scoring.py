@@ -282,24 +282,31 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
                 batch = left.column("batch")[i].as_py()
                 to, back = np.unique(docs[own], return_inverse=True)
                 rows.append((part, 1, batch, to.tobytes(), b"", b"", np.bincount(back, value[own] * n[own], len(to)).tobytes()))
-                if later[own].any():
-                    w, d, m = first[own][later[own]], docs[own][later[own]], n[own][later[own]]
-                    target = _mix(w) % np.uint64(parts)
-                    for p in np.unique(target).tolist():
-                        at = target == p
-                        rows.append((p, 2, batch, d[at].tobytes(), w[at].tobytes(), b"", m[at].tobytes()))
+            if later.any():  # one row for each partition that has their first words' counts
+                batches = np.repeat([left.column("batch")[i].as_py() for i in mine], sizes)
+                target = (_mix(first) % np.uint64(parts))[later]
+                w, d, m, batches = first[later], docs[later], n[later], batches[later]
+                for p in np.unique(target).tolist():
+                    at = target == p
+                    rows.append((p, 2, -1, d[at].tobytes(), w[at].tobytes(), batches[at].tobytes(), m[at].tobytes()))
         return pa.Table.from_batches([_blobs(rows, names)])
 
     bigrams = texts.mapInArrow(send, sent_schema)
     joined = materialize(bigrams.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(join, sent_schema), "joined")
 
     def rest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        table, rows = _sorted_arrays(right), []
-        for i in range(left.num_rows):
-            docs, words, n = (np.frombuffer(left.column(c)[i].as_py(), t) for c, t in (("docs", np.uint16), ("first", np.uint64), ("value", np.uint32)))
-            to, back = np.unique(docs, return_inverse=True)
-            value = np.bincount(back, -np.log(_lookup(table, words)) * n, len(to))
-            rows.append((key[0].as_py(), 1, left.column("batch")[i].as_py(), to.tobytes(), b"", b"", value.tobytes()))
+        if not left.num_rows:
+            return pa.Table.from_batches([_blobs([], names)])
+        kinds = (("docs", np.uint16), ("first", np.uint64), ("second", np.int64), ("value", np.uint32))
+        docs, words, batches, n = (np.concatenate([np.frombuffer(x, t) for x in left.column(c).to_pylist()]) for c, t in kinds)
+        value = -np.log(_lookup(_sorted_arrays(right), words)) * n
+        order = np.argsort(batches, kind="stable")
+        docs, batches, value = docs[order], batches[order], value[order]
+        own, at = np.unique(batches, return_index=True)
+        rows = []
+        for batch, i, j in zip(own.tolist(), at.tolist(), [*at.tolist()[1:], len(batches)], strict=True):
+            to, back = np.unique(docs[i:j], return_inverse=True)
+            rows.append((key[0].as_py(), 1, batch, to.tobytes(), b"", b"", np.bincount(back, value[i:j], len(to)).tobytes()))
         return pa.Table.from_batches([_blobs(rows, names)])
 
     rest_rows = joined.where("kind = 2").groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(rest, sent_schema)
