@@ -536,7 +536,7 @@ def test_compare_and_sweeps(spark, x):
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_sql(spark, data, name):
-    if name in ("study_trained",) or name.startswith("knn_metric_j"):
+    if name == "study_trained":
         pytest.skip("slow; the driver's own comparison runs it")
     got = registry.queries()[name](spark, data).toPandas()
     assert len(got)

@@ -49,7 +49,6 @@ def fold(term: str, a: str, b: str) -> str:
 
 def _metric(name: str, a: str = "q.q", b: str = "x.v") -> str:
     f = lambda t: fold(_TERMS[t], a, b)
-    total = lambda c: f"list_reduce(list_transform({c}, lambda e: abs(e)), lambda s, t: s + t)"
     if name == "linf":
         return f"list_max(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
     if name == "lp":
@@ -60,10 +59,9 @@ def _metric(name: str, a: str = "q.q", b: str = "x.v") -> str:
         return f"1 - {f('low')} / {f('high')}"
     if name == "nan_euclidean":
         return f"sqrt({f('l2')} * len({b}) / len({b}))"
-    if name == "jensenshannon":
-        u, v = f"(abs(p[1]) / {total(a)})", f"(abs(p[2]) / {total(b)})"
-        part = lambda w: f"CASE WHEN {w} > 0 THEN {w} * ln({w} / (({u} + {v}) / 2)) ELSE 0.0 END"
-        return fold(f"(({part(u)}) + ({part(v)})) / 2", a, b)
+    if name == "jensenshannon":  # of entries that are shares already
+        part = lambda w: f"CASE WHEN {w} > 0 THEN {w} * ln({w} / ((p[1] + p[2]) / 2)) ELSE 0.0 END"
+        return fold(f"(({part('p[1]')}) + ({part('p[2]')})) / 2", a, b)
     return f(name)
 
 
@@ -86,6 +84,9 @@ def top(scores: str, k: int, order: str = "score", places: int | None = None) ->
 
 
 def knn(source: str, metric: str, k: int, order: str = "score", places: int | None = None) -> str:
+    if metric == "jensenshannon":
+        source = source.replace("x AS (", "raw AS (", 1) + """, sized AS (SELECT *, list_reduce(list_transform(v, lambda e: abs(e)), lambda s, t: s + t) AS t FROM raw),
+x AS (SELECT vec_id, list_transform(v, lambda e: abs(e) / t) AS v FROM sized)"""
     return f"WITH {source}, {Q} " + top(f"SELECT qid, vec_id AS id, {_metric(metric)} AS score FROM q, x", k, order, places)
 
 
