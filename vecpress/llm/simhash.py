@@ -19,7 +19,7 @@ that repeat a doc_id or a text are linked as any others. Extra columns are kept
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,10 +144,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return units.agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forests, "u long, v long")
 
 
-def named_fingerprints(ids: DataFrame) -> DataFrame:
-    """ids: doc_id, fp. Returns (fp, component_id) of each distinct fingerprint."""
+def named_fingerprints(ids: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """ids: doc_id, fp. Returns (fp, component_id) of each distinct fingerprint; `linked` gives
+    the links between distinct fingerprints."""
     least = materialize(ids.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    joined = components(links(least.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("r"))
+    joined = components(linked(least.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("r"))
     rooted = materialize(least.join(joined, "fp", "left").select("fp", "first", F.coalesce("r", "fp").alias("root")), "rooted")
     names = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     return materialize(rooted.join(names, "root").select("fp", "component_id"), "named")
@@ -169,7 +170,12 @@ def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     it, the one with the smallest text hash, once. Rows with a null doc_id all stay."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__t"))
     ids = materialize(with_fingerprint(texts, ["doc_id", "__t"], width), "fingerprints")
-    first = ids.join(named_fingerprints(ids), "fp").where("doc_id = component_id")
+    return first_of_components(docs, ids, named_fingerprints(ids))
+
+
+def first_of_components(docs: DataFrame, ids: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs that keep_first keeps. ids: doc_id, __t (text hash), fp of each row."""
+    first = ids.join(named, "fp").where("doc_id = component_id")
     first = materialize(first.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__t").alias("__k"), F.count("*").alias("__n")), "first")
     rows = docs.join(first, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__k")))
     out = rows.where("__n = 1").select(*docs.columns)
