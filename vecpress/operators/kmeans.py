@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vecpress.functions.arrays import map_batches, reduce_tables, to_matrix
 from vecpress.operators.knn import best, ordered_sum
+from vecpress.operators.moments import ranges
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, spherical: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -126,20 +127,22 @@ def exact_1d(values: np.ndarray, ks: list[int], weights: np.ndarray | None = Non
 
     most = min(max(ks), n)
     layer = np.concatenate([[0.0], cost(np.zeros(n, int), np.arange(1, n + 1))])
-    cuts = [np.zeros(n + 1, int)]
+    cuts = [np.zeros(n + 1, np.int32)]
     for k in range(2, most + 1):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        todo = [(k, n, k - 1, n - 1)]  # ends lo..hi have their last cut in a..b
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int32)
+        lo, hi, a, b = (np.array([e]) for e in (k, n, k - 1, n - 1))  # ends lo..hi have their last cut in a..b
+        while len(lo):
             mid = (lo + hi) // 2
-            i = np.arange(a, min(b, mid - 1) + 1)
-            total = layer[i] + cost(i, np.full(len(i), mid))
-            j = int(total.argmin())
-            new[mid], cut[mid] = total[j], i[j]
-            todo += [(lo, mid - 1, a, int(i[j])), (mid + 1, hi, int(i[j]), b)]
+            size = np.minimum(b, mid - 1) - a + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(start - a, size)
+            total = layer[i] + cost(i, np.repeat(mid, size))
+            least = np.minimum.reduceat(total, start)
+            at = np.flatnonzero(total == np.repeat(least, size))
+            own = i[at[np.searchsorted(at, start)]]
+            new[mid], cut[mid] = least, own
+            lo, hi, a, b = (np.concatenate(e) for e in ((lo, mid + 1), (mid - 1, hi), (a, own), (own, b)))
+            lo, hi, a, b = (e[lo <= hi] for e in (lo, hi, a, b))
         layer = new
         cuts.append(cut)
     out = {}
@@ -166,23 +169,43 @@ def histogram_1d(values: np.ndarray, ks: list[int], bins: int = 500) -> dict[int
     return exact_1d(np.bincount(own, v, bins)[used] / n[used], ks, n[used])
 
 
-def per_dimension(x: DataFrame, bits: list[int], method: str = "lloyd", sample: int = 20_000) -> dict[tuple[int, int], np.ndarray]:
-    """Codebook of each (dimension, bits), one group a dimension, trained on about `sample`
-    rows drawn by a hash of the id. 0 bits is the single level 0."""
-    rows = x.count()
-    share = min(1.0, sample / max(rows, 1))
-    u = F.xxhash64("vec_id", F.lit(2)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    long = x.where(u < share).select(F.posexplode("v").alias("d", "x"))
+def histograms(x: DataFrame, bins: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums (D, bins) of all rows in equal-width bins of each dimension."""
+    low, high = (e[:, None] for e in ranges(x))
+    width = (high - low) / bins
+
+    def fold(m: np.ndarray) -> dict[str, np.ndarray]:
+        own = np.where(width == 0, 0, np.minimum((m.T - low) / np.where(width == 0, 1, width), bins - 1)).astype(int)
+        flat = (own + np.arange(len(own))[:, None] * bins).ravel()
+        return {"n": np.bincount(flat, minlength=len(own) * bins), "total": np.bincount(flat, m.T.ravel(), len(own) * bins)}
+
+    got = reduce_tables(x, fold, {"n": np.add, "total": np.add})
+    return got["n"].reshape(-1, bins), got["total"].reshape(-1, bins)
+
+
+def per_dimension(x: DataFrame, bits: list[int], method: str = "lloyd", sample: int | None = None) -> dict[tuple[int, int], np.ndarray]:
+    """Codebook of each (dimension, bits), trained on all rows, or on about `sample` drawn by a
+    hash of the id. 0 bits is the single level 0. A histogram is counted where the rows are;
+    the other methods take one group a dimension, whose values one task holds."""
+    if sample is not None:
+        share = min(1.0, sample / max(x.count(), 1))
+        u = F.xxhash64("vec_id", F.lit(2)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+        x = x.where(u < share)
+    if method == "histogram":
+        books = {(d, 0): np.zeros(1) for d in range(len(first_rows(x, 1)[0]))} if 0 in bits else {}
+        for d, (n, total) in enumerate(zip(*histograms(x), strict=True)):
+            used = n > 0
+            found = exact_1d(total[used] / n[used], [1 << b for b in bits if b], n[used])
+            books |= {(d, b): np.sort(found[1 << b]) for b in bits if b}
+        return books
+    long = x.select(F.posexplode("v").alias("d", "x"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         values, d = frame["x"].to_numpy(), int(frame["d"].iloc[0])
         if method == "lloyd":
             books = {b: lloyd_1d(values, 1 << b)[0] for b in bits if b}
-        elif method == "exact":
-            found = exact_1d(values, [1 << b for b in bits if b])
-            books = {b: found[1 << b] for b in bits if b}
         else:
-            found = histogram_1d(values, [1 << b for b in bits if b])
+            found = exact_1d(values, [1 << b for b in bits if b])
             books = {b: found[1 << b] for b in bits if b}
         if 0 in bits:
             books[0] = np.zeros(1)

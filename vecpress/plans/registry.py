@@ -237,7 +237,7 @@ def _ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kmeans1d(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = kmeans.per_dimension(_tapered(spark, sf_dir), [3], method, 2000)
+    books = kmeans.per_dimension(_tapered(spark, sf_dir), [3], method)
     rows = [(d, i, float(c)) for (d, _), levels in sorted(books.items()) for i, c in enumerate(levels)]
     return spark.createDataFrame(rows, "d int, level int, centroid double")
 
