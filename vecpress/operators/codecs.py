@@ -314,14 +314,16 @@ class Local(Codec):
 
 class RankAware(Codec):
     """Principal axes with unequal bits: a greedy allocation weighted by variance**(1 + alpha),
-    levels by dimension (shared normal, Lloyd or exact), packed densely or in whole bytes."""
+    levels by dimension (shared normal, Lloyd or exact), packed densely or in whole bytes. Lloyd
+    and exact levels are trained on about `sample` rows drawn by a hash of the id, or on all
+    rows if that is None."""
 
     name = "rankaware"
 
-    def __init__(self, avg_bits: float = 4, alpha: float = 0.5, max_bits: int = 8, packing: str = "ffd", codebook: str = "lloyd"):
+    def __init__(self, avg_bits: float = 4, alpha: float = 0.5, max_bits: int = 8, packing: str = "ffd", codebook: str = "lloyd", sample: int | None = 200_000):
         if not 1 <= max_bits <= 8 or packing not in ("dense", "ffd") or codebook not in ("gaussian", "lloyd", "exact"):
             raise ValueError("max_bits 1 to 8, packing dense or ffd, codebook gaussian, lloyd or exact")
-        self.avg_bits, self.alpha, self.max_bits, self.packing, self.codebook = avg_bits, alpha, max_bits, packing, codebook
+        self.avg_bits, self.alpha, self.max_bits, self.packing, self.codebook, self.sample = avg_bits, alpha, max_bits, packing, codebook, sample
 
     def fit(self, x: DataFrame) -> RankAware:
         self.mean, self.axes, self.variance = moments.pca(x)
@@ -332,7 +334,7 @@ class RankAware(Codec):
         else:
             turned = map_batches(x, lambda b: {"vec_id": b.column("vec_id"), "v": to_lists((to_matrix(b.column("v")) - self.mean) @ self.axes)}, "vec_id long, v array<double>")
             wanted = sorted({int(b) for b in self.bits})
-            books = kmeans.per_dimension(turned, wanted, self.codebook, 20_000 if self.codebook == "lloyd" else 2_000)
+            books = kmeans.per_dimension(turned, wanted, self.codebook, self.sample)
             self.levels = [books[d, int(b)] for d, b in enumerate(self.bits)]
         self.byte, self.offset, self.size = bitpack.first_fit_layout([int(b) for b in self.bits])
         if self.packing == "dense":
