@@ -3,15 +3,18 @@
 Queries and candidates are dealt to the cells of a grid: strip r of the candidates meets
 strip c of the queries in cell (r, c), so a record is sent once for each strip of the other
 side. Strips have a bounded number of rows, whatever the table's size. In a cell vectors are
-quantised to int8, x = s q + e with |e| known exactly, and tiles of integer products give
+quantised to int8, x = s q + e with |e| measured, and tiles of integer products give
 approximate distances d; the triangle inequality bounds the true distance by d - |e_x| - |e_y|
-and d + |e_x| + |e_y|. Pairs whose lower bound passes the k-th smallest upper bound of their
-query cannot be among its k nearest; the others are computed again in double precision on the
-original vectors. Every task keeps one heap of k for each query of its cells, and the heaps
-of all tasks are merged by heaps of k. The result is exact: nothing is lost to quantisation.
+and d + |e_x| + |e_y|. Both bounds are widened by what rounding may add to them: d is the root
+of a difference of numbers as large as the squared norms, so its error follows those and not
+d (`ROUND`). Pairs whose lower bound passes the k-th smallest upper bound of their query cannot
+be among its k nearest; the others are computed again in double precision on the original
+vectors. A task keeps one heap of k for each query of the strip it is at, and the heaps of all
+tasks are merged by heaps of k. The result is exact: nothing is lost to quantisation.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null, a NaN or an infinity
-take no part, nor do rows with a null id. Vectors are compared with those of their own
+take no part, nor do rows with a null id. A distance whose square passes the largest double is
+infinite: such rows come last, by id. Vectors are compared with those of their own
 length. Rows that repeat an id count once: as a query the first by vector, as a candidate the
 nearest. Ties go to the smaller id. With fewer than k candidates all are returned. An empty
 table gives no rows. Extra columns are ignored.
@@ -31,8 +34,13 @@ K = 10
 #: Rows of a strip of queries, and of candidates, on average.
 QUERY_STRIP = 4096
 CANDIDATE_STRIP = 16384
+#: Partitions at most; with more cells a task takes several, one after another.
+PARTS = 20_000
 #: Dimensions whose int8 products a float32 sum holds exactly: 127 * 127 * 1024 < 2**24.
 EXACT_DIMS = 1024
+#: Rounding unit of doubles, and a length below which squares lose their digits.
+ROUND = float(np.finfo(np.float64).eps)
+FAINT = 1e-150
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -44,11 +52,15 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows, their scales and the norms of what is lost."""
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 rows, their scales, bounds on the norms of what is lost, and the squared norms of
+    the quantised rows."""
     scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(np.float64).tiny)
     q = np.rint(x / scale[:, None]).astype(np.int8)
-    return q, scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
+    near = q * scale[:, None]
+    norm2 = (q.astype(np.float64) ** 2).sum(axis=1) * scale**2
+    lost = np.sqrt(((x - near) ** 2).sum(axis=1))
+    return q, scale, lost * (1 + x.shape[1] * ROUND) + 8 * ROUND * np.sqrt((x**2).sum(axis=1)) + FAINT, norm2
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,8 +74,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def exact_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows, the squares summed in order of dimension."""
     total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += (x[:, d] - y[:, d]) ** 2
+    with np.errstate(over="ignore"):
+        for d in range(x.shape[1]):
+            total += (x[:, d] - y[:, d]) ** 2
     return np.sqrt(total)
 
 
@@ -72,27 +85,28 @@ def cell_pairs(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids
 
     kth: the k-th distance that each query is already sure of; lowered as tiles are seen.
     """
-    qq, qs, qe = quantise(queries)
-    slack = 1e-9
-    qn = (qq.astype(np.float64) ** 2).sum(axis=1) * qs**2
-    for i in range(0, len(rows), 4096):
-        part, own = rows[i : i + 4096], ids[i : i + 4096]
-        cq, cs, ce = quantise(part)
-        cn = (cq.astype(np.float64) ** 2).sum(axis=1) * cs**2
-        for j in range(0, len(queries), 1024):
-            sl = slice(j, j + 1024)
-            d = qn[sl, None] + cn[None, :] - 2 * qs[sl, None] * cs[None, :] * products(qq[sl], cq)
-            d = np.sqrt(np.maximum(d, 0))
-            err = qe[sl, None] + ce[None, :]
-            same = query_ids[sl, None] == own[None, :]
-            high = np.where(same, np.inf, (d + err) * (1 + slack))
-            if high.shape[1] > k and len(np.unique(own)) == len(own):
-                kth[sl] = np.minimum(kth[sl], np.partition(high, k - 1, axis=1)[:, k - 1])
-            low = (d - err) * (1 - slack) - slack * (d + 1e-300)
-            a, b = np.nonzero((low <= kth[sl, None]) & ~same)
-            for m in range(0, len(a), 65536):
-                x, y = a[m : m + 65536] + j, b[m : m + 65536]
-                yield x, own[y], exact_distance(queries[x], part[y])
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, qs, qe, qn = quantise(queries)
+        rel = (queries.shape[1] + 16) * ROUND  # of a computed distance
+        for i in range(0, len(rows), 4096):
+            part, own = rows[i : i + 4096], ids[i : i + 4096]
+            cq, cs, ce, cn = quantise(part)
+            distinct = len(np.unique(own)) == len(own)
+            for j in range(0, len(queries), 1024):
+                sl = slice(j, j + 1024)
+                size = qn[sl, None] + cn[None, :]
+                d2 = size - 2 * qs[sl, None] * cs[None, :] * products(qq[sl], cq)
+                off, err = 32 * ROUND * size, qe[sl, None] + ce[None, :]
+                same = query_ids[sl, None] == own[None, :]
+                if len(own) > k and distinct:
+                    high = (np.sqrt(np.maximum(d2 + off, 0)) + err) * (1 + rel)
+                    high[same | np.isnan(high)] = np.inf
+                    kth[sl] = np.minimum(kth[sl], np.partition(high, k - 1, axis=1)[:, k - 1])
+                low = (np.sqrt(np.maximum(d2 - off, 0)) - err) * (1 - rel)
+                a, b = np.nonzero(~(low > kth[sl, None]) & ~same)  # bounds that overflowed (NaN) keep their pair
+                for m in range(0, len(a), 65536):
+                    x, y = a[m : m + 65536] + j, b[m : m + 65536]
+                    yield x, own[y], exact_distance(queries[x], part[y])
 
 
 class Nearest:
@@ -127,9 +141,12 @@ class Nearest:
                 yield query, rank, -v, -d
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "rank", "vec_id", "score"])
+def _tables(best: Nearest) -> Iterator[pa.RecordBatch]:
+    rows = list(best.rows())
+    for a in range(0, len(rows), 65536):
+        part = rows[a : a + 65536]
+        columns = [pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "rank", "vec_id", "score"])
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = K, query_strip: int = QUERY_STRIP, candidate_strip: int = CANDIDATE_STRIP) -> DataFrame:
@@ -146,16 +163,20 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, query_strip: i
     cells = left.select("r", "c", "side", "vec_id", "v").unionByName(right)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by cell, a cell's queries first; candidates are taken batch by batch."""
+        """Rows come by strip of queries, then by strip of candidates, a cell's queries first;
+        candidates are taken batch by batch. Heaps go out when a strip of queries ends."""
         best, cell, held, kths = Nearest(k), None, {}, {}
         for batch in batches:
-            key = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("r", "c", "side")], 1)
+            key = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("c", "r", "side")], 1)
             cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if a == b:
                     continue
                 part, now = batch.slice(a, b - a), tuple(key[a, :2])
                 if now != cell:
+                    if cell is not None and now[0] != cell[0]:
+                        yield from _tables(best)
+                        best = Nearest(k)
                     cell, held, kths = now, {}, {}
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False)
                 sizes = part.column("v").value_lengths().to_numpy(zero_copy_only=False)
@@ -173,22 +194,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, query_strip: i
                             for query, vec, dist in zip(query_ids[x].tolist(), y.tolist(), d.tolist(), strict=True):
                                 best.add(query, dist, vec)
                         kths[dim] = np.minimum(kth, [best.kth(x) for x in query_ids.tolist()])
-        rows = list(best.rows())
-        for i in range(0, len(rows), 65536):
-            yield _table(rows[i : i + 65536])
+        yield from _tables(best)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Nearest(k)
         for batch in batches:
             for query, _, vec, dist in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 best.add(query, dist, vec)
-        rows = list(best.rows())
-        for i in range(0, len(rows), 65536):
-            yield _table(rows[i : i + 65536])
+        yield from _tables(best)
 
     schema = "query_id long, rank int, vec_id long, score double"
-    parts = max(1, min(down * across, 20_000))
-    met = cells.repartition(parts, "r", "c").sortWithinPartitions("r", "c", "side").mapInArrow(meet, schema)
+    parts = max(1, min(down * across, PARTS))
+    met = cells.repartition(parts, "r", "c").sortWithinPartitions("c", "r", "side").mapInArrow(meet, schema)
     return met.repartition("query_id").mapInArrow(merge, schema)
 
 
