@@ -23,7 +23,7 @@ def _nasty():
     base = prose(300)
     texts = [None, "", "   \t\n ", "x", "One two", "a\nb\n\nc", "12 34 !!", LINE, base, base, base + " tail", base.replace(" ", "\n", 20), prose(30_000)]
     texts += [f"  {LINE.upper() if i % 2 else LINE}\n{prose(40)}\nshort" for i in range(9)]
-    texts += [prose(60) for _ in range(15)] + [" nbsp word em \x1cfile", "Σίσυφος ΣΑΣ", "ÀÉÎ é ﬁ 漢字 ½ ٣"]
+    texts += [prose(60) for _ in range(15)] + ["end<|endoftext|>START<|startoftext|> <|EndOfText|>", " nbsp word em \x1cfile", "Σίσυφος ΣΑΣ", "ÀÉÎ é ﬁ 漢字 ½ ٣"]
     rows = [(i, t) for i, t in enumerate(texts)]
     rows += [(8, base), (20, rows[20][1]), (None, base), (None, None), (13, "another text under the id 13")]
     return rows
@@ -92,7 +92,6 @@ def test_pieces_are_the_tokenizers(spark, nasty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = packing.pieces(nasty, queries.tokenizer_path(), with_ids=True)
     found = rows_of(got, "doc_id", "piece", "start", "length", "ids_crc32")
     want = sorted(((d, *p) for d, t in _nasty() for p in brute.pieces(tokenizer, t)), key=repr)
@@ -100,7 +99,7 @@ def test_pieces_are_the_tokenizers(spark, nasty):
     assert got.where("octet_length(ids) <> 4 * length").count() == 0
 
 
-@pytest.mark.parametrize("text", ["<|startoftext|> it's I'LL x's 's,", "##, a., b,, don't. 3.14,", "é, ß. ſ, K, İ, ŉ, ª, µ.", "á, ́x, ²,", "tab\x0bvt \x1c fs \x85 nel   ls", "漢,字. ١٢,"])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "A<|ENDOFTEXT|>b", "<|endoftext|>", "<|startoftext|><|endoftext|>x<|endoftext|", "don<|endoftext|>'t e<|startoftext|>\u0301 <|<|endoftext|>|>", "<|endoftext|>\n ab. <|startoftext|>, CD", "<|startoftext|> it's I'LL x's 's,", "##, a., b,, don't. 3.14,", "é, ß. ſ, K, İ, ŉ, ª, µ.", "á, ́x, ²,", "tab\x0bvt \x1c fs \x85 nel   ls", "漢,字. ١٢,"])
 def test_chunks_tokenize_as_whole_texts(text):
     from pathlib import Path
 
@@ -108,7 +107,6 @@ def test_chunks_tokenize_as_whole_texts(text):
 
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     coder = packing.ChunkEncoder(Path(path).read_text())
     want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert coder.encode([text.encode()]) == [want]

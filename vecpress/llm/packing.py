@@ -47,7 +47,9 @@ class ChunkEncoder:
 
     The pre-tokenizer never joins across white space and normalisation acts within a chunk,
     so the ids of a text are those of its chunks in order. A chunk of plain letters is one
-    word, which the merge table takes without the steps before it.
+    word, which the merge table takes without the steps before it. Added tokens are taken out
+    of a text first, as the tokenizer does: they stand for their id and split what is around
+    them. Those that it would look for in normalised text are not supported.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -57,7 +59,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.single_word or not t.special for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens must be special ones that are looked for in the text as it is")
+        self.tokenizer.encode_special_tokens = True  # of chunks, which are lower-cased: added tokens are out by then
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        longest = sorted(added, key=len, reverse=True)
+        self.split_added = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if added else None
         self.letters = {b: c for c, b in byte_letters().items()}
         self.known = Recent(CACHED)
 
@@ -74,6 +82,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        marked = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if marked:
+            return self._around_added(texts, marked)
         split = [_MARK.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # the normaliser lower-cases anyway
         missing = self.known.missing(chain.from_iterable(split))
         new = self.known.new
@@ -82,6 +93,16 @@ class ChunkEncoder:
         get = new.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
+    def _around_added(self, texts: list[bytes | None], marked: list[int]) -> list[bytes]:
+        """Texts that hold added tokens go by the stretches between them."""
+        parts = {i: self.split_added(texts[i]) for i in marked}
+        flat = [p for i in marked for p in parts[i][::2]]
+        ids = iter(self.encode([None if i in parts else t for i, t in enumerate(texts)] + flat))
+        out = [next(ids) for _ in texts]
+        for i in marked:
+            out[i] = b"".join(self.added[p] if n % 2 else next(ids) for n, p in enumerate(parts[i]))
+        return out
+
 
 def encoder(tokenizer_json: str) -> ChunkEncoder:
     key = zlib.crc32(tokenizer_json.encode())
