@@ -260,11 +260,29 @@ def test_contained_items_equal_brute_force(spark, nasty, empty):
     named = [(d, t) for d, t in docs if d is not None]
     assert got == brute.contained(named, [(i, t) for i, t in items if i is not None])
     kept = decontamination.decontaminate(nasty, table)
-    assert kept.columns == nasty.columns and kept.count() == sum(d is None or d not in {x for x, _ in got} for d, _ in docs)
+    named_items = [(i, t) for i, t in items if i is not None]
+    assert kept.columns == nasty.columns and kept.count() == sum(d is None or not brute.contained([(d, t)], named_items) for d, t in docs)
     assert decontamination.contained(empty, table).count() == 0
     assert decontamination.contained(nasty, table.limit(0)).count() == 0
 
 
+def test_texts_under_one_item_id_are_items_of_their_own(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words[:15]), " ".join(words[20:35])
+    table = spark.createDataFrame([(1, one), (1, two), (1, two), (2, one)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, " ".join([*words[:9], "x", *words[20:29]])), (3, one + " and " + two), (4, two), (5, " ".join(words[:9])), (5, " ".join(words[5:15])), (6, one), (6, "clean"), (None, one)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontamination.contained(docs, table).collect())
+    assert got == [(1, 1, 11, 11, 1.0), (1, 2, 11, 11, 1.0), (3, 1, 11, 11, 1.0), (3, 1, 11, 11, 1.0), (3, 2, 11, 11, 1.0), (4, 1, 11, 11, 1.0), (6, 1, 11, 11, 1.0), (6, 2, 11, 11, 1.0)]
+    kept = decontamination.decontaminate(docs, table).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"].split())) for r in kept) == [(0, 15), (2, 19), (5, 9), (5, 10), (6, 1)]
+
+
+def test_bit_tables_grow_with_the_items():
+    assert decontamination.table_bits(0) == decontamination.LEAST_BITS
+    assert decontamination.table_bits(1_000_000) >= 16_000_000
+    assert decontamination.table_bits(10**9) == decontamination.MOST_BITS
+
+
 def test_planted_items_are_found(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]

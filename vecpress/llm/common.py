@@ -9,8 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if a count of its rows says it is at most this large.
+#: A side is broadcast only if it is at most this large, by measure: rows, and bytes of what they hold.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 32 << 20
 
 _own_dir: str | None = None
 
@@ -41,12 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if `rows` (its counted rows) is within the limit.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it is within both limits: its rows and bytes are summed first,
+    strings by their length, other columns by eight bytes.
 
-    Beyond the limit the join shuffles both sides and adaptive execution splits hot keys.
+    Beyond them the join shuffles both sides and adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if rows <= limit else df
+    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes]
+    total = sum(width[1:], width[0]).cast("long")
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).head()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def shuffled(df: DataFrame) -> DataFrame:

@@ -13,15 +13,19 @@ there every shared shingle makes a candidate.
 Candidates are verified by the exact share of the item's distinct shingles (as strings) that
 the whole document holds; pairs at THRESHOLD or more are the result.
 
-What documents are tested against while they are read is two bit tables of fixed size, filled
-from the items' minima and shingles; a bit set by chance costs a candidate that the joins
-then drop. So memory does not follow the benchmark's size.
+What documents are tested against while they are read is two bit tables, filled from the
+items' minima and shingles; a bit set by chance costs a candidate that the joins then drop.
+They have SPARSE bits for each entry, up to MOST_BITS (32 MB each); a benchmark of more than a
+million long items fills them further, which costs candidates but loses none.
 
 Defined cases: null or empty texts, and those without words, hold nothing and match nothing.
-A text of one to four words is one shingle, its whole word sequence. Equal items are found
-each; repeated documents give their pairs once for each doc_id. Rows with a null doc_id or
-item_id name nothing and take no part (`decontaminate` keeps such documents). Extra columns
-are ignored by the search and kept by `decontaminate`.
+A text of one to four words is one shingle, its whole word sequence. Equal items under
+different ids are found each. An item_id that comes with several texts names several items,
+each held against documents on its own and reported with its own figures; rows that repeat
+both are one. The same goes for documents that share a doc_id: each text is searched on its
+own, and `decontaminate` drops the rows that hold an item, not those beside them. Rows with a
+null doc_id or item_id name nothing and take no part (`decontaminate` keeps such documents).
+Extra columns are ignored by the search and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -42,8 +46,10 @@ THRESHOLD = 0.8
 HASHES = 32
 #: Items of up to so many shingles are found by any shared shingle.
 SHORT = 8
-#: Bits of each table that documents are tested against.
-BITS = 1 << 24
+#: Bits of the tables that documents are tested against: for each entry, at least, at most.
+SPARSE = 24
+LEAST_BITS = 1 << 20
+MOST_BITS = 1 << 28
 #: Shingles of a document that are held against all hash functions at a time.
 SEGMENT = 4096
 
@@ -151,13 +157,13 @@ def _minima(hashes: np.ndarray, sizes: list[int], admit) -> Iterator[np.ndarray]
             yield admit(_scramble(low ^ marks[:, None]).ravel())
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return (values & np.uint64(BITS - 1)).astype(np.int64)
+def _bits(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value's bit is set in a packed table."""
-    at = _bits(values)
+    at = _bits(values, 8 * len(table))
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -165,28 +171,35 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = WordHashes()
     for batch in batches:
         rows = []
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for item, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             words = tokenize(text)
             if words:
                 h = shingle_hashes(hashed(words))
-                rows.append((item, size_class(len(np.unique(h))), signature(h).view(np.int64), h.view(np.int64), list(dict.fromkeys(shingles(words)))))
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["item_id", "size", "keys", "hashes", "shingles"])
+                rows.append((item, row, size_class(len(np.unique(h))), signature(h).view(np.int64), h.view(np.int64), list(dict.fromkeys(shingles(words)))))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["item_id", "row", "size", "keys", "hashes", "shingles"])
 
 
-def _tables(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def table_bits(entries: int) -> int:
+    """A power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(entries, 1) * SPARSE - 1).bit_length()))
+
+
+def _tables(items: DataFrame, entries: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Bit tables of the items' keys and shingles: made by few tasks, joined on the driver."""
+    bits = [table_bits(n) for n in entries]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [np.zeros(BITS, bool), np.zeros(BITS, bool)]
+        made = [np.zeros(n, bool) for n in bits]
         for batch in batches:
             for table, name in zip(made, ("keys", "hashes"), strict=True):
-                table[_bits(batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64))] = True
+                table[_bits(batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64), len(table))] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(t).tobytes()]) for t in made], names=["a", "b"])
 
-    out = [np.zeros(BITS // 8, np.uint8), np.zeros(BITS // 8, np.uint8)]
+    out = [np.zeros(n // 8, np.uint8) for n in bits]
     for row in items.select("keys", "hashes").coalesce(4).mapInArrow(fill, "a binary, b binary").toLocalIterator():
-        out = [o | np.frombuffer(r, np.uint8) for o, r in zip(out, row, strict=True)]
+        for o, r in zip(out, row, strict=True):
+            o |= np.frombuffer(r, np.uint8)
     return out[0], out[1]
 
 
@@ -195,11 +208,17 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
     docs: doc_id, text; items: item_id, text. shingles counts the item's distinct shingles.
     """
+    return _found(docs, items, threshold).drop("doc_row")
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """contained, with the hash of the document's text as doc_row."""
     spark = docs.sparkSession
-    known = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(_item_rows, "item_id long, size int, keys array<long>, hashes array<long>, shingles array<string>")
-    known = materialize(known, "items")
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect())
-    sent = spark.sparkContext.broadcast((*_tables(known), sizes))
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.xxhash64("text").alias("row"), "text").distinct()
+    known = materialize(rows.mapInArrow(_item_rows, "item_id long, row long, size int, keys array<long>, hashes array<long>, shingles array<string>"), "items")
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # one for each power of two
+    entries = known.agg(F.sum(F.size("keys")), F.sum(F.size("hashes"))).head()
+    sent = spark.sparkContext.broadcast((*_tables(known, (entries[0] or 0, entries[1] or 0)), sizes))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_table, shingle_table, sizes = sent.value
@@ -212,7 +231,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
             for i in range(0, whole.num_rows, 64):
                 batch = whole.slice(i, 64)
                 rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     words = tokenize(text)
                     if not words or not sizes:
                         continue
@@ -220,23 +239,24 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
                     keys = window_keys(h, sizes, admit)
                     if len(keys):
                         at = np.flatnonzero(_set(shingle_table, h)).tolist()
-                        rows.append((doc, keys.view(np.int64), list({" ".join(words[k : k + WORDS]) for k in at})))
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "keys", "held"])
-
-    hits = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    hits = materialize(hits.mapInArrow(read, "doc_id long, keys array<long>, held array<string>"), "hits")
-    by_key = known.select("item_id", F.explode("keys").alias("key")).distinct()
-    by_shingle = known.select("item_id", F.size("shingles").cast("long").alias("shingles"), F.explode("shingles").alias("shingle")).distinct()
-    n_keys, n_shingles = by_key.count(), by_shingle.count()
-    candidates = hits.select("doc_id", F.explode("keys").alias("key")).join(small(by_key, n_keys), "key").select("doc_id", "item_id").distinct()
-    held = hits.select("doc_id", F.explode("held").alias("shingle")).distinct()
-    shared = held.join(small(by_shingle, n_shingles), "shingle").groupBy("doc_id", "item_id", "shingles").agg(F.count("*").alias("shared"))
-    found = shared.where(F.col("shared") >= threshold * F.col("shingles")).join(candidates, ["doc_id", "item_id"])
-    return found.select("doc_id", "item_id", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
+                        rows.append((doc, row, keys.view(np.int64), list({" ".join(words[k : k + WORDS]) for k in at})))
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "doc_row", "keys", "held"])
+
+    hits = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_row"), "text")
+    hits = materialize(hits.mapInArrow(read, "doc_id long, doc_row long, keys array<long>, held array<string>"), "hits")
+    doc, item = ["doc_id", "doc_row"], ["item_id", "row"]
+    by_key = known.select(*item, F.explode("keys").alias("key")).distinct()
+    by_shingle = known.select(*item, F.size("shingles").cast("long").alias("shingles"), F.explode("shingles").alias("shingle")).distinct()
+    candidates = hits.select(*doc, F.explode("keys").alias("key")).join(small(by_key), "key").select(*doc, *item).distinct()
+    held = hits.select(*doc, F.explode("held").alias("shingle")).distinct()
+    shared = held.join(small(by_shingle), "shingle").groupBy(*doc, *item, "shingles").agg(F.count("*").alias("shared"))
+    found = shared.where(F.col("shared") >= threshold * F.col("shingles")).join(candidates, [*doc, *item])
+    return found.select(*doc, "item_id", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that contain an item."""
-    bad = materialize(contained(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), F.col("doc_id") == F.col("__bad"), "left_anti")
+    bad = _found(docs, items, threshold).select(F.col("doc_id").alias("__bad"), F.col("doc_row").alias("__row")).distinct()
+    bad = small(materialize(bad, "contaminated"))
+    return docs.join(bad, (F.col("doc_id") == F.col("__bad")) & (F.xxhash64("text") == F.col("__row")), "left_anti")

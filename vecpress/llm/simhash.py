@@ -137,7 +137,7 @@ def links(distinct: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("base").alias("any")).where("n > 1 and any")
     shared = materialize(shared.select("key", "n"), "keys")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = rows.join(small(shared, shared.count()), "key").select("key", "fp", blocks.alias("k"))
+    members = rows.join(small(shared), "key").select("key", "fp", blocks.alias("k"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     units = members.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
