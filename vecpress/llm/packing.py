@@ -195,12 +195,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(parts: DataFrame, capacity: int = TOKENS, ranked: int = RANKED) -> DataFrame:
     """parts with sequence_id and offset (long). parts: doc_id, piece, length (1 to capacity)
-    and whatever else; it is read twice, so pass a written table."""
+    and whatever else; it is read twice, so pass a written table. A long column __salt deals the
+    pieces of one length to numbering tasks; without it (doc_id, piece) does, and rows that
+    repeat both are numbered by one task."""
     spark = parts.sparkSession
-    kept = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    kept = [c for c in parts.columns if c not in ("sequence_id", "offset", "__salt")]
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
     salts = max(16, -(-sum(counts.values()) // ranked))
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    dealt = F.col("__salt") if "__salt" in parts.columns else F.xxhash64("doc_id", "piece")
+    salted = parts.withColumn("__salt", F.pmod(dealt, F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "__salt").count()
     before = "sum(count) over (partition by length order by __salt rows between unbounded preceding and 1 preceding)"
     firsts = sizes.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), F.expr(f"coalesce({before}, 0)").alias("__first"))
@@ -232,7 +235,8 @@ def pack(parts: DataFrame, capacity: int = TOKENS, ranked: int = RANKED) -> Data
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, with_ids: bool = False) -> DataFrame:
     """Pieces of docs with their sequence and offset: the columns of the query op2, and ids on demand."""
-    return pack(materialize(pieces(docs, tokenizer_path, tokens, with_ids=with_ids), "pieces"), tokens)
+    salt = F.xxhash64(F.monotonically_increasing_id())  # written with the pieces, so that all reads agree
+    return pack(materialize(pieces(docs, tokenizer_path, tokens, with_ids=with_ids).withColumn("__salt", salt), "pieces"), tokens)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
