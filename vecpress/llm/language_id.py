@@ -5,14 +5,16 @@ over one-hot bytes, a rectifier and the maximum over each window feed a softmax;
 probabilities are the mean over all its windows by length. The network is trained in numpy on
 windows drawn from labelled texts.
 
-Training rows are a bounded sample: about PER_LANGUAGE texts of each language, drawn by a hash
-of doc_id with a chance set from the exact count of each language, and WINDOWS windows of each
-text. Prediction reads every byte of every text.
+Training rows are a bounded sample: at most PER_LANGUAGE distinct texts of each language, those
+with the smallest hashes of their text, and WINDOWS windows of each; at most LANGUAGES
+languages, those with the most labelled rows. The draw goes by text, never by doc_id, so rows
+that share an id, or have none, are drawn like any others, and a text that fills a third of the
+table is drawn once. Prediction reads every byte of every text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. With no labelled
-text at all every text is `und`. With a single language all others get it with score 1.
-Repeated rows are predicted each; ties go to the language that sorts first. Extra columns are
-kept; one named like an output is replaced.
+text that is not empty every text is `und`. With a single language all others get it with
+score 1. Repeated rows are predicted each; ties go to the language that sorts first. A row with
+a null doc_id is not held out. Extra columns are kept; one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: The bound on the training sample: about this many texts of each language, so many windows of each.
+#: The bounds on the training sample: texts of each language, windows of each text, languages.
 PER_LANGUAGE = 500
 WINDOWS = 4
+LANGUAGES = 256
 EPOCHS = 8
 UNDETERMINED = "und"
 
@@ -143,26 +146,32 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: in
     return net
 
 
-def fit(docs: DataFrame, use: Column, per_language: int = PER_LANGUAGE, per_text: int = WINDOWS) -> Network | None:
+def fit(docs: DataFrame, use: Column, per_language: int = PER_LANGUAGE, per_text: int = WINDOWS, languages: int = LANGUAGES) -> Network | None:
     """Train on the rows of docs that `use` admits and whose lang is not null."""
-    known = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not counts:
+    known = docs.where(use & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not sizes:
         return None
-    chance = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))))
-    u = F.xxhash64("doc_id", F.lit(3)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    sample = known.select("lang", "text", "doc_id").where(u < F.try_element_at(chance, F.col("lang")))
+    # A draw by chance leaves little more than what is wanted; the smallest hashes of it are the
+    # smallest of all, so the sample does not depend on the estimate of distinct texts.
+    chance = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * per_language / r["texts"] + 20 / r["texts"]))))
+    u = F.xxhash64("h", F.lit(3)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    drawn = known.withColumn("u", u).where(F.col("u") < F.try_element_at(chance, F.col("lang")))
+    drawn = drawn.groupBy("lang", "h", "u").agg(F.min("text").alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))
+    sample = drawn.withColumn("rank", order).where(F.col("rank") <= per_language)
     # so many windows of each text, at places spread over all of it
     n = F.length("text")
     starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.floor(i * F.greatest(n - WINDOW // 2, F.lit(0)) / max(per_text - 1, 1)).cast("int") + 1))
-    cut = sample.select("doc_id", "lang", F.explode(starts).alias("at"), "text").select("doc_id", "lang", "at", F.substring("text", F.col("at"), F.lit(WINDOW)).alias("part"))
-    got = cut.where("length(part) > 0").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("lang", "ascending"), ("part", "ascending")])
+    cut = sample.select("lang", "rank", F.explode(starts).alias("at"), "text").select("lang", "rank", "at", F.substring("text", F.col("at"), F.lit(WINDOW)).alias("part"))
+    got = cut.toArrow().sort_by([("lang", "ascending"), ("rank", "ascending"), ("at", "ascending")])
     parts, langs = [p.encode()[:WINDOW] for p in got["part"].to_pylist()], got["lang"].to_pylist()
-    languages = sorted(set(langs) | set(counts))
+    names = sorted(set(langs))
     rows = np.zeros((len(parts), WINDOW), np.uint8)
     for i, p in enumerate(parts):
         rows[i, : len(p)] = np.frombuffer(p, np.uint8)
-    return train(rows, np.array([languages.index(x) for x in langs], np.int64), languages)
+    return train(rows, np.array([names.index(x) for x in langs], np.int64), names)
 
 
 def predict_texts(net: Network | None, tables: list, texts: list[bytes | None]) -> list[tuple[str, float]]:
