@@ -80,9 +80,53 @@ def test_hot_text_is_split(spark):
     assert len(load) == 8 and max(load.values()) <= 1.1 * min(load.values())
 
 
+@pytest.mark.parametrize("doc_id", ["own", "null", "same"])
+def test_law_holds_with_several_heavy_texts(spark, doc_id):
+    rng = random.Random(3)
+    texts = [f"heavy text {i} " * 5 for i in range(9) for _ in range(990)]
+    texts += ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 150))) for _ in range(1000)]
+    name = {"own": lambda i: i, "null": lambda i: None, "same": lambda i: 5}[doc_id]
+    rows = sharding.digest(spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    load, slots = Counter(), defaultdict(list)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(load) == 8 and max(load.values()) < 1.05 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_like_rows_are_split(spark):
+    rows = sharding.digest(spark.createDataFrame([(None, "same text here")] * 4000, "doc_id long, text string")).collect()
+    load = Counter(r["shard"] for r in rows)
+    assert len(load) == 8 and max(load.values()) <= 1.1 * min(load.values())
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    """With a first sample of a few records nearly all ranges are overfull."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "x" * rng.randint(1, 400)) for i in range(3000)] + [(9000, "y" * 30_000)], "doc_id long, text string")
+    plain, taken = sharding._drawn, []
+
+    def first_is_poor(sized, per_byte):
+        out = plain(sized, per_byte if taken else per_byte / 300)
+        taken.append(len(out))
+        return out
+
+    monkeypatch.setattr(sharding, "_drawn", first_is_poor)
+    load = Counter()
+    for r in sharding.digest(docs).collect():
+        load[r["shard"]] += r["size"]
+    assert len(taken) > 1 and taken[0] < 200
+    assert max(load.values()) < 1.03 * min(load.values())
+
+
 def test_written_shards(spark, nasty, tmp_path):
     sharding.write_shards(sharding.shard(nasty, shards=2), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(_nasty())
+    for shard in (0, 1):
+        slots = [s for f in sorted((tmp_path / "s" / f"shard={shard}").glob("*.parquet")) for s in spark.read.parquet(str(f)).toPandas()["slot"]]
+        assert slots == list(range(len(slots)))
 
 
 # --- packing -------------------------------------------------------------------------------

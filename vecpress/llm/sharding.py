@@ -1,17 +1,19 @@
 """Sharding by sampled splitters.
 
-Keys are (hash of the text, doc_id). Records are drawn with a chance in proportion to their
-size; quantiles of the drawn keys are the boundaries of many small ranges, so that equal
-texts lie side by side and a text with more bytes than a range is cut by doc_id. Each range is
-measured exactly; one that came out overfull is subdivided by a denser sample of its own.
-Ranges then go to shards, largest first to the emptiest shard. Ranges of one text travel
-together unless the text outweighs what a shard may hold.
-
-Law: bytes. Shards get nearly equal sizes (within about one range).
-
-Defined cases: a null text has no bytes and the key of an empty one. Equal keys and repeated
-rows are ordered by doc_id and then at will. Null doc_ids come first. An empty table gives no
-rows. Extra columns are carried by `shard`; one named like an output is replaced.
+Keys are (hash of the text, hash of the doc_id and of the row). Records are drawn with a chance
+in proportion to their size; quantiles of the drawn keys are the boundaries of many small
+ranges, so that equal texts lie side by side and a text with more bytes than a range is cut
+between its rows, be they alike or not. Each range is measured exactly; those that came out
+overfull are subdivided by denser samples of their own until none is, or no boundary is left
+that would part one. Ranges then go to shards, largest first to the emptiest shard. Ranges of
+one text travel together as long as that leaves their shard within a range of the mean.
+
+Law: bytes. Shards get nearly equal sizes (within about one range, or the largest record).
+
+Defined cases: a null text has no bytes and the key of an empty one. Rows that repeat a key are
+told apart by their place in the written table, which is all that tells them apart; null
+doc_ids are an id like others. An empty table gives no rows. Extra columns are carried by
+`shard`; one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -46,14 +48,15 @@ def _sized(docs: DataFrame) -> DataFrame:
         "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
         "text_crc32": F.crc32(text.cast("binary")),
         "__key": F.xxhash64(text),
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
+        # the id's hash, and below it as many bits of the row's as part a million like rows
+        "__id": F.xxhash64("doc_id").bitwiseAND(F.lit(~((1 << 20) - 1))).bitwiseOR(F.xxhash64("__row", F.lit(5)).bitwiseAND(F.lit((1 << 20) - 1))),
     })
 
 
 def _drawn(sized: DataFrame, per_byte: float) -> np.ndarray:
     """(n, 2) keys of a size-weighted sample, sorted; a record of weight w counts up to
-    ceil(w * per_byte) times. The draw depends on the record, not on the run."""
-    u = (F.xxhash64("__key", "__id", F.lit(11)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).cast("double")
+    ceil(w * per_byte) times. The draw depends on the record and its row, not on the run."""
+    u = (F.xxhash64("__key", "__row", F.lit(11)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).cast("double")
     times = F.floor(F.col("size") * per_byte + u).cast("int")
     rows = sized.select("__key", "__id", times.alias("n")).where("n > 0").toArrow()
     key, doc, n = (rows.column(i).to_numpy() for i in range(3))
@@ -109,23 +112,26 @@ def _measure(ranged: DataFrame) -> dict[int, tuple[int, int]]:
 
 def assign(sizes: dict[int, tuple[int, int]], bounds: np.ndarray, shards: int) -> dict[int, int]:
     """Shard of each range: units, largest first, to the emptiest shard. A unit is a range, or
-    all ranges of one text if together they fit a shard."""
-    total = sum(b for b, _ in sizes.values())
+    all ranges of one text unless they would take the shard over the mean by more than a range."""
+    total, largest = sum(b for b, _ in sizes.values()), max((b for b, _ in sizes.values()), default=0)
     units: dict[tuple, list[int]] = defaultdict(list)
     for r in sizes:
         inside = r and bounds[r - 1, 1] != np.iinfo(np.int64).min  # begins within a text
         opens = r < len(bounds) and bounds[r, 1] != np.iinfo(np.int64).min
         units[("text", int(bounds[r - 1, 0])) if r and (inside or opens) else ("range", r)].append(r)
-    heap = [(0, s) for s in range(shards)]
+    loads = [(0, s) for s in range(shards)]
+    waiting = [(-sum(sizes[r][0] for r in rs), key[1], rs) for key, rs in units.items()]
+    heapq.heapify(waiting)
     out = {}
-    weighed = []
-    for key, rs in units.items():
-        weight = sum(sizes[r][0] for r in rs)
-        weighed += [(weight, key[1], rs)] if weight <= total / shards else [(sizes[r][0], key[1], [r]) for r in rs]
-    for weight, _, rs in sorted(weighed, reverse=True):
-        load, s = heapq.heappop(heap)
+    while waiting:
+        weight, key, rs = heapq.heappop(waiting)
+        load, s = loads[0]
+        if len(rs) > 1 and load - weight > total / shards + largest:
+            for r in rs:  # too much for any shard: its ranges go one by one
+                heapq.heappush(waiting, (-sizes[r][0], key, [r]))
+            continue
         out.update(dict.fromkeys(rs, s))
-        heapq.heappush(heap, (load + weight, s))
+        heapq.heapreplace(loads, (load - weight, s))
     return out
 
 
@@ -133,33 +139,33 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, samples:
     """docs with size, text_crc32, law, shard, slot and grown_shard (null under this law).
 
     slot numbers the records of a shard from 0 in order of range and key. Splitters come from
-    keys and sizes alone. keep_text=False leaves the text out, and texts are then read once.
+    keys and sizes alone. The records are written once, with a number of their row, as like
+    rows must keep theirs from pass to pass. keep_text=False leaves the text out of that.
     """
     spark = docs.sparkSession
     outputs = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [c for c in docs.columns if c not in outputs]
-    whole = _sized(docs.select(*kept))
-    slim = materialize(whole.select("doc_id", "size", "text_crc32", "__key", "__id"), "sized")
-    if kept == ["doc_id", "text"] and not keep_text:
-        whole, kept = slim, ["doc_id"]
-    sized = slim.select("size", "__key", "__id")
+    kept = [c for c in docs.columns if c not in outputs and (keep_text or c != "text")]
+    source = docs.select(*[c for c in docs.columns if c not in outputs]).withColumn("__row", F.monotonically_increasing_id())
+    whole = materialize(_sized(source).select(*kept, "size", "text_crc32", "__key", "__id", "__row"), "sized")
+    sized = whole.select("size", "__key", "__id", "__row")
     rows, total = sized.agg(F.count("*"), F.sum("size")).head()
     total = total or 0
     wanted = shards * max(ranges, rows // (shards * ROWS))
     bounds = _quantiles(_drawn(sized, min(1.0, wanted * samples / max(total, 1))), wanted)
     sizes = _measure(_ranged(sized, bounds))
-    for _ in range(3):
+    while True:
         most = OVERFULL * total / wanted
         over = [r for r, (b, n) in sizes.items() if b > most and n > 1]
         if not over:
             break
-        inner = _ranged(sized, bounds).where(F.col("__range").isin(over))
+        table = spark.createDataFrame([(r,) for r in over], "__r int")
+        inner = _ranged(sized, bounds).join(F.broadcast(table), F.col("__range") == F.col("__r"), "left_semi")  # fewer than ranges
         heavy = sum(sizes[r][0] for r in over)
         parts = int(min(4 * wanted, 1 + 2 * heavy * wanted / total))
         more = _quantiles(_drawn(inner, min(1.0, 4 * parts * samples / heavy)), 2 * parts)
         merged = np.unique(np.concatenate([bounds, more]), axis=0)
         if len(merged) == len(bounds):
-            break
+            break  # what is left are rows that no key parts
         bounds = merged
         sizes = _measure(_ranged(sized, bounds))
     to = assign(sizes, bounds, shards)
@@ -168,12 +174,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, samples:
         first[r] = used[to[r]]
         used[to[r]] += sizes[r][1]
     table = spark.createDataFrame([(r, to[r], first[r]) for r in sorted(sizes)], "__r int, shard int, __first long")
-    order = "row_number() over (partition by __range order by __key, __id, size)"
-    numbered = _ranged(whole.select(*kept, "size", "text_crc32", "__key", "__id"), bounds).withColumn("__row", F.expr(order) - 1)
+    order = "row_number() over (partition by __range order by __key, __id, __row)"
+    numbered = _ranged(whole, bounds).withColumn("__n", F.expr(order) - 1)
     numbered = numbered.join(F.broadcast(table), F.col("__range") == F.col("__r"))  # one row a range
     return numbered.select(
         *kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("__row") + F.col("__first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("__n") + F.col("__first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
@@ -183,5 +189,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its records in order of slot."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder for each shard. Its files hold runs of slots, each in order, and their names
+    sort as their runs do; slots are dealt to tasks by range, so that no shard is one task."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
