@@ -438,29 +438,42 @@ def _chats():
     return rows
 
 
-def test_chat_rotation(spark):
-    table = spark.createDataFrame([(*r, "x", 1) for r in _chats()], "conv_id long, turn int, role string, text string, speaker string, part int")
-    got = chat_format.rotate(table).collect()
+def _rendered(turns, speaker):
+    text, spans = "", []
+    for r, x in turns:
+        text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == speaker else f"<|user name={r}|>\n"
+        if r == speaker:
+            spans.append((len(text), len(text) + len(x) + 8))
+        text += x + "<|end|>\n"
+    return text, spans
+
+
+def _dialogues(chats):
     by = defaultdict(list)
-    for c, t, r, x in _chats():
+    for c, t, r, x in chats:
         by[c].append((-1 if t is None else t, r or "unknown", (x or "").replace("<|", "< |")))
+    return {(c, s): [(r, x) for _, r, x in sorted(turns)] for c, turns in by.items() for s in {r for _, r, _ in turns if r != "system"}}
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 23])
+def test_chat_rotation(spark, partitions):
+    chats = _chats() + [(6, t, "ann" if t % 3 else "bob", f"turn {t}") for t in range(250, 260)] + [(None, None, None, "like rows")] * 300
+    table = spark.createDataFrame([(*r, "x", 1) for r in chats], "conv_id long, turn int, role string, text string, speaker string, part int").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rotated = chat_format.rotate(table)
+        got, joined = rotated.collect(), chat_format.join_parts(rotated).collect()
+        assert chat_format.rotate(table.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    spans = lambda r: [(m["start"], m["stop"]) for m in r["mask"]]
     want = {}
-    for c, turns in by.items():
-        blocks = defaultdict(list)
-        for t, r, x in sorted(turns):
-            blocks[t // 256].append((r, x))
-        for s in {r for _, r, _ in turns if r != "system"}:
-            for p, block in blocks.items():
-                for i in range(0, len(block), 256):
-                    text, spans = "", []
-                    for r, x in block[i : i + 256]:
-                        text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == s else f"<|user name={r}|>\n"
-                        if r == s:
-                            spans.append((len(text), len(text) + len(x) + 8))
-                        text += x + "<|end|>\n"
-                    want[c, s, p, i // 256] = (text, spans)
-    assert {(r["conv_id"], r["speaker"], r["part"], r["sub_part"]): (r["text"], [(m["start"], m["stop"]) for m in r["mask"]]) for r in got} == want
-    assert chat_format.rotate(table.limit(0)).count() == 0
+    for (c, s), turns in _dialogues(chats).items():
+        want |= {(c, s, i // 256): (len(turns[i : i + 256]), *_rendered(turns[i : i + 256], s)) for i in range(0, len(turns), 256)}
+    assert {(r["conv_id"], r["speaker"], r["part"]): (r["n_turns"], r["text"], spans(r)) for r in got} == want
+    assert sum(r["conv_id"] == 6 for r in got) == 2  # ten turns are one row a speaker whatever their numbers
+    assert {(r["conv_id"], r["speaker"]): (r["n_turns"], r["text"], spans(r)) for r in joined} == {k: (len(t), *_rendered(t, k[1])) for k, t in _dialogues(chats).items()}
 
 
 # --- token counts --------------------------------------------------------------------------------
