@@ -8,6 +8,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecpress.llm import chat_format, components, decontamination, language_id, line_dedup, lm_scoring, nearest, packing, queries, sharding, simhash, token_counts
 
@@ -382,6 +383,8 @@ def test_simhash_equals_brute_force(spark, nasty, empty):
         least[root] = min(least.get(root, d), d)
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, least[roots[brute.simhash(t)]]) for d, t in rows}
     assert simhash.digest(empty).count() == 0
+    clash = simhash.link(nasty.withColumn("fp", F.lit("mine")))
+    assert set(clash.columns) == {*nasty.columns, "fp", "component_id"} and clash.select("fp").distinct().collect()[0][0] == "mine"
 
 
 def test_links_lose_none_within_three_bits(spark, monkeypatch):
@@ -422,6 +425,17 @@ def test_keep_first_leaves_one_of_each_group(spark, nasty):
     assert len(roots) == len(_nasty())
 
 
+def test_components_of_stars_and_rings(spark):
+    rng = random.Random(2)
+    links = [(7, i) for i in range(100, 400)] + [(i, 2) for i in range(100, 130)] + [(1000 + i, 1000 + (i + 1) % 40) for i in range(40)] + [(5000 - i, 4999 - i) for i in range(30)]
+    rng.shuffle(links)
+    nodes = {n for p in links for n in p}
+    both = set(links) | {(b, a) for a, b in links}
+    want = brute.components(nodes, lambda a, b: (a, b) in both)
+    got = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
 @pytest.mark.parametrize("n", [1, 2, 50])
 def test_components_of_chains(spark, n):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1000)], "a long, b long").repartition(5)

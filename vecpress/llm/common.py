@@ -14,32 +14,67 @@ BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 32 << 20
 
 _own_dir: str | None = None
+#: Folders of the tables that this process has written and not deleted.
+_written: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local master
+    gets a folder of its own; a cluster has none that is shared, and an error says so."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="vecpress-checkpoint-")
     return _own_dir
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back.
 
     This cuts lineage: a lost executor costs the running tasks, not the steps before. The
-    folder goes when the application ends.
+    folder goes when the application ends, or before that by `forget` or `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecpress/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _folder(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    out._vecpress_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_vecpress_path", None)
+        if _written.pop(id(df), None) == path and path:
+            system, target = _folder(df.sparkSession, path)
+            system.delete(target, True)
+
+
+def written() -> set[str]:
+    """The folders written so far, as a mark for `release`."""
+    return set(_written.values())
+
+
+def release(spark: SparkSession, since: set[str], keep: DataFrame) -> None:
+    """Deletes what was written after the mark `since`, save the table `keep`."""
+    for key, path in list(_written.items()):
+        if path not in since and path != keep._vecpress_path:
+            del _written[key]
+            system, target = _folder(spark, path)
+            system.delete(target, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,7 +1,10 @@
 """Connected components of a link table, by alternating star contractions on DataFrames.
 
 Links stay distributed: each round is two grouped minima and two joins, and its result is
-written to the shared folder. Rounds grow with the logarithm of the longest chain.
+written to the shared folder; the round before is deleted then. Rounds grow with the logarithm
+of the longest chain. A link is kept once, from its larger to its smaller node, so that a node
+of many links is one key only where it is joined; those are sort-merge joins, whose hot keys
+adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import materialize
+from vecpress.llm.common import forget, materialize, shuffled
 
 _PAIR = "u long, v long"
 
@@ -47,14 +50,15 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         # Each node's larger neighbours go to the smallest of its neighbours and itself.
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        up = shuffled(least.withColumnRenamed("u", "v"))
+        large = edges.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = materialize(large, "large")
         # Each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(least.select("u", F.col("m").alias("v")).union(moved).distinct(), "small")
+        moved = large.join(shuffled(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, edges = edges, materialize(least.select("u", F.col("m").alias("v")).union(moved).distinct(), "small")
+        forget(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == seen:
             return edges

@@ -65,7 +65,6 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, keep: list[str], width: int = SHINGLE) -> DataFrame:
     """The columns `keep` of docs, and fp: the bits of the text's fingerprint as a long."""
-    keep = [c for c in keep if c != "fp"]
     schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +160,10 @@ def _finish(ids: DataFrame, kept: list[str]) -> DataFrame:
 
 def link(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """docs with fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
-    kept = [c for c in docs.columns if c not in ("fingerprint", "component_id", "fp")]
-    return _finish(materialize(with_fingerprint(docs, kept, width), "fingerprints"), kept)
+    own = {c: f"__own_{c}" if c == "fp" else c for c in docs.columns if c not in ("fingerprint", "component_id")}
+    renamed = docs.withColumnsRenamed({c: n for c, n in own.items() if c != n})
+    out = _finish(materialize(with_fingerprint(renamed, list(own.values()), width), "fingerprints"), list(own.values()))
+    return out.withColumnsRenamed({n: c for c, n in own.items() if c != n})
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
