@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 
@@ -14,8 +15,16 @@ BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 32 << 20
 
 _own_dir: str | None = None
-#: Folders of the tables that this process has written and not deleted.
-_written: dict[int, str] = {}
+
+
+class _Written(threading.local):
+    """Folders of the tables that this thread has written and not deleted."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+
+_written = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,32 +58,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     system, target = _folder(spark, path)
     system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
-    _written[id(out)] = path
+    _written.paths.add(path)
     out._vecpress_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.paths.discard(path)
+    system, target = _folder(spark, path)
+    system.delete(target, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of `materialize` that nothing will read again."""
     for df in tables:
-        path = getattr(df, "_vecpress_path", None)
-        if _written.pop(id(df), None) == path and path:
-            system, target = _folder(df.sparkSession, path)
-            system.delete(target, True)
+        _delete(df.sparkSession, df._vecpress_path)
 
 
 def written() -> set[str]:
-    """The folders written so far, as a mark for `release`."""
-    return set(_written.values())
+    """The folders that this thread has written so far, as a mark for `release`."""
+    return set(_written.paths)
 
 
 def release(spark: SparkSession, since: set[str], keep: DataFrame) -> None:
-    """Deletes what was written after the mark `since`, save the table `keep`."""
-    for key, path in list(_written.items()):
-        if path not in since and path != keep._vecpress_path:
-            del _written[key]
-            system, target = _folder(spark, path)
-            system.delete(target, True)
+    """Deletes what this thread has written after the mark `since`, save the table `keep`."""
+    for path in _written.paths - since - {keep._vecpress_path}:
+        _delete(spark, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
