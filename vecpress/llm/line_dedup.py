@@ -41,13 +41,14 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, n_docs, keeper) of each line key that at least min_docs documents hold.
+def repeated_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lines: doc_id, h1, h2. (h1, h2, n_docs, keeper) of each line key that at least min_docs
+    documents hold.
 
     The distinct (key, document) pairs are dealt by both, so that a line of a third of all
     documents spreads over all tasks; only per-task counts then meet by key.
     """
-    pairs = _lines(docs, min_chars).select("h1", "h2", "doc_id").distinct()
+    pairs = lines.select("h1", "h2", "doc_id").distinct()
     return (
         pairs.groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
@@ -57,12 +58,12 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with text replaced by what stays, and the numbers of lines before and of those
-    dropped (long) under `names`."""
-    repeated = materialize(repeated_lines(docs, min_docs, min_chars), "lines")
+    dropped (long) under `names`. Texts are split and hashed once, and the hashes written."""
+    lines = materialize(_lines(docs, min_chars), "lines")
+    repeated = materialize(repeated_lines(lines, min_docs), "repeated")
     found = shuffled(repeated.select("h1", "h2", "keeper"))
     drops = (
-        _lines(docs, min_chars)
-        .join(found, ["h1", "h2"])
+        lines.join(found, ["h1", "h2"])
         .where("doc_id <> keeper")
         .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
         .agg(F.collect_set("pos").alias("__drop"))
