@@ -232,30 +232,44 @@ def test_table_features_equal_convolutions():
 # --- n-gram scores -----------------------------------------------------------------------------
 
 
-def _backoff(rows):
+def _backoff(rows, least):
     texts = [brute.words(t) for _, t in rows]
     ones = Counter(w for t in texts for w in t)
     twos = Counter(p for t in texts for p in zip(t, t[1:], strict=False))
     n = sum(ones.values())
     out = []
     for (doc, _), t in zip(rows, texts, strict=True):
-        s = sum(math.log(ones[w] / n) if i == 0 else math.log(twos[t[i - 1], w] / ones[t[i - 1]]) if twos[t[i - 1], w] >= 2 else math.log(0.4 * ones[w] / n) for i, w in enumerate(t))
+        s = sum(math.log(ones[w] / n) if i == 0 else math.log(twos[t[i - 1], w] / ones[t[i - 1]]) if twos[t[i - 1], w] >= least else math.log(0.4 * ones[w] / n) for i, w in enumerate(t))
         out.append((doc, len(t), round(s, 3), round(s / len(t), 3) if t else None))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("hot", "pairs"), [(50_000, 20_000), (20, 400), (1, 1)])
-def test_backoff_scores(spark, nasty, empty, monkeypatch, hot, pairs):
+@pytest.mark.parametrize("least", [1, 2])
+@pytest.mark.parametrize(("hot", "pairs", "partition"), [(50_000, 20_000, 6_000_000), (20, 400, 3000), (1, 1, 1000), (2000, 20_000, 500)])
+def test_backoff_scores(spark, nasty, empty, monkeypatch, hot, pairs, partition, least):
     monkeypatch.setattr(lm_scoring, "HOT", hot)
     monkeypatch.setattr(lm_scoring, "PAIRS", pairs)
-    got = sorted(((r[0], r[1], round(r[2], 3), None if r[3] is None else round(r[3], 3)) for r in lm_scoring.score(nasty).collect()), key=repr)
-    want = _backoff(_nasty())
+    monkeypatch.setattr(lm_scoring, "PARTITION", partition)
+    monkeypatch.setattr(lm_scoring, "BATCH", 60_000)
+    got = sorted(((r[0], r[1], round(r[2], 3), None if r[3] is None else round(r[3], 3)) for r in lm_scoring.score(nasty, min_count=least).collect()), key=repr)
+    want = _backoff(_nasty(), least)
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=0.002)
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_every_pair_that_occurs_counts_by_default(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_score"] for r in lm_scoring.score(docs).collect()}
+    assert got == {1: pytest.approx(math.log(3 / 6 * 2 / 3)), 2: pytest.approx(math.log(3 / 6 * 1 / 3)), 3: pytest.approx(math.log(3 / 6 * 2 / 3))}
+
+
+def test_word_counts(spark, nasty):
+    want = Counter(w for _, t in _nasty() for w in brute.words(t))
+    assert sorted(r["n"] for r in lm_scoring.count_words(nasty).collect()) == sorted(want.values())
+
+
 # --- nearest neighbours --------------------------------------------------------------------------
 
 

@@ -1,23 +1,27 @@
 """Language-model scores by stupid backoff over word bigrams.
 
 The corpus is its own training text. A word w after v scores c(vw)/c(v) if the pair occurs at
-least MIN_COUNT times in all documents (the bigram table keeps no rarer ones), and else
-ALPHA c(w)/N; the first word of a text scores c(w)/N. A document's score is the sum of the
-logarithms. Counts are over all documents; nothing is cut off or sampled from them.
-
-Tables and n-grams meet by hash partition. Bigrams of a document, with their number in it,
-are sent to the partition of one of their words; the words' counts are sent to the partition
-of the word. There the bigrams are counted and each one's logarithm is summed for each
-document; sums go back to the batch the document came from. They travel as arrays, one for
-each batch and partition, which a shuffle of single rows would multiply in size.
-
-Frequent words and pairs must not meet in one task: counts of words above 1/HOT of the corpus
-(at most HOT words, by arithmetic) are broadcast, a bigram goes to the partition of its rarer
-word, and one of two frequent words by its own hash. Frequent pairs (at most about PAIRS, found
-by a sample of documents that decides nothing but this) are counted beforehand task by task
-and scored where they stand.
-
-Words: runs without `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Words are told apart by 64-bit hashes.
+least MIN_COUNT times in all documents, and else ALPHA c(w)/N; the first word of a text scores
+c(w)/N. A document's score is the sum of the logarithms. Counts are over all documents. With
+MIN_COUNT 1 every pair that occurs has a count, so a corpus that is scored by its own tables
+never backs off; higher values prune the bigram table.
+
+The scores are relational. Words are counted into a table (word, count). Bigrams are exploded
+to rows (first word, second word, document), dealt by the hash of the first word and joined
+there with its count; the same partition counts the rows of each pair; each row's logarithm is
+summed by document. Pairs below MIN_COUNT are joined with the counts of their second words. For
+the way to their partition, the bigrams of one first word in one batch of texts travel as one
+row, an array of second words beside one of documents, and are exploded on arrival: that is
+what keeps the shuffle near the size of the texts.
+
+Frequent keys are spread. Counts of words above 1/HOT of the corpus (at most HOT words, by
+arithmetic) are broadcast; the rows of such a first word are dealt by (first word, bucket of the
+second) into as many buckets as its count asks for. Frequent pairs (at most PAIRS, proposed by a
+sample of documents that decides nothing but this) are counted exactly with the words and
+scored where they stand. Partitions hold about PARTITION words; sorts and counts in them spill.
+
+Words: runs without `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Words are told apart by 64-bit
+hashes, pairs by 64-bit hashes of both: of 10**10 distinct words a few would share one.
 
 Defined cases: a null or empty text, or one of white space, has no words and score 0 (mean
 null). Repeated rows count and are scored each. Extra columns are ignored.
@@ -26,31 +30,31 @@ null). Repeated rows count and are scored each. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecpress.llm.common import materialize, shuffle_partitions
 
 ALPHA = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Words with at least 1/HOT of all words are frequent; so are pairs with 1/PAIRS of a sample.
-HOT = 60_000
+HOT = 120_000
 PAIRS = 100_000
 #: Documents whose pairs look for frequent ones, about.
 SAMPLED = 10_000
-#: Bytes of text that travel as one batch, and words of the corpus for each partition at most.
-BATCH = 3 << 20
-PARTITION = 1_500_000
+#: Bytes of text that travel as one batch; words of the corpus for each partition, and partitions at most.
+BATCH = 4 << 20
+PARTITION = 6_000_000
+PARTS = 100_000
 
+#: Stands for the word before the first one.
 START = np.uint64(0)
-#: START among the numbers of frequent words, which are fewer.
-FIRST = 65535
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,53 +94,29 @@ def _batches(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tupl
             counts.append(len(words))
             hashes.append(hasher(words))
             size += len(words) * 6
-            if size >= BATCH or len(ids) == 60_000:
-                yield ids, np.array(counts), np.concatenate(hashes)
+            if size >= BATCH or len(ids) == 32_000:
+                yield ids, np.array(counts, np.int64), np.concatenate(hashes)
                 ids, counts, hashes, size = [], [], [], 0
     if ids:
-        yield ids, np.array(counts), np.concatenate(hashes)
-
-
-def _bigrams(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, first word's place, second word's place, occurrences) of each document's
-    distinct bigrams, places being those in words. The first word of a text follows place -1."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(-1, len(words) - 1)
-    place[(np.cumsum(counts) - counts)[counts > 0]] = -1
-    before = np.where(place < 0, START, words[place]) if len(words) else words
-    key = _pair(before, words) ^ _mix(doc.astype(np.uint64) + np.uint64(1))
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return doc[at], place[at], at, n
-
-
-def _squeeze(words: np.ndarray, hot: np.ndarray) -> bytes:
-    """Words as bits that tell frequent ones, those as two-byte numbers, and the other hashes.
-    hot: number of each word in the frequent list, -1 if it is none, FIRST for START."""
-    flags = hot >= 0
-    return np.packbits(flags).tobytes() + hot[flags].astype("<u2").tobytes() + words[~flags].astype("<u8").tobytes()
-
-
-def _restore(data: bytes, n: int, names: np.ndarray) -> np.ndarray:
-    """The hashes of n squeezed words."""
-    size = -(-n // 8)
-    flags = np.unpackbits(np.frombuffer(data, np.uint8, size))[:n].astype(bool)
-    k = int(flags.sum())
-    numbers = np.frombuffer(data, "<u2", k, size)
-    out = np.empty(n, np.uint64)
-    out[flags] = np.append(names, START)[np.minimum(numbers, len(names))]
-    out[~flags] = np.frombuffer(data, "<u8", n - k, size + 2 * k)
+        yield ids, np.array(counts, np.int64), np.concatenate(hashes)
+
+
+def _starts(counts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words are the first of their document."""
+    out = np.zeros(n, bool)
+    out[(np.cumsum(counts) - counts)[counts > 0]] = True
     return out
 
 
-def _number(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in sorted names, -1 where they are not."""
-    if not len(names):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-    return np.where(names[at] == keys, at, -1)
+def _all_pairs(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of all bigrams within documents, without the first words."""
+    return _pair(words[:-1], words[1:])[~_starts(counts, len(words))[1:]] if len(words) else words
+
+
+Table = tuple[np.ndarray, np.ndarray]
 
 
-def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+def _lookup(table: Table, keys: np.ndarray) -> np.ndarray:
     """Counts of keys in a sorted table, 0 where it has none."""
     names, values = table
     if not len(names):
@@ -145,7 +125,7 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarra
     return np.where(names[at] == keys, values[at], 0)
 
 
-def _sorted(rows: list) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(rows: list) -> Table:
     names = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(names)
     return names[order], np.array([r[1] for r in rows], np.int64)[order]
@@ -155,196 +135,135 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _tally(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    """(kind, key, count) sums of what `of(batch)` gives."""
-    for ids, counts, words in _batches(batches, Hasher()):
-        for kind, keys in of(ids, counts, words):
-            names, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+def _tally(texts: DataFrame, admit: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """(kind, key, n): words (0), and of the pairs (1) those that `admit` marks, or all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, counts, words in _batches(batches, Hasher()):
+            pairs = _all_pairs(counts, words)
+            for kind, keys in ((0, words), (1, pairs[admit(pairs)] if admit else pairs)):
+                names, n = np.unique(keys, return_counts=True)
+                for i in range(0, len(names), 65536):
+                    part = slice(i, i + 65536)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names[part]), kind, np.int32)), pa.array(names[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=["kind", "key", "n"])
 
-def _all_pairs(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of all bigrams within documents, without the first words."""
-    if not len(words):
-        return words
-    inner = np.ones(len(words), bool)
-    inner[(np.cumsum(counts) - counts)[counts > 0]] = False
-    inner[0] = False
-    return _pair(words[:-1], words[1:])[inner[1:]]
+    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of each row of docs (doc_id, text).
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """Pairs that a sample finds frequent, sorted: at most PAIRS."""
+    share = SAMPLED / max(texts.count(), 1)
+    drawn = texts.where(F.rand(5) < share) if share < 1 else texts
+    pairs = _tally(drawn, None).where("kind = 1")
+    pairs = materialize(pairs, "sampled")
+    total = pairs.agg(F.sum("n")).head()[0] or 0
+    found = pairs.where((F.col("n") * PAIRS >= total) & (F.col("n") > 3)).select("key").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
-    docs is read three times: pass a table, not a computation whose rows change their order.
-    """
-    spark = docs.sparkSession
-    texts = _texts(docs)
-    share = int(min(1.0, SAMPLED / max(docs.count(), 1)) * (1 << 32))
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(ids: list, counts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-            yield 0, words
-            drawn = np.array([xxhash.xxh32_intdigest(str(i), 1) < share for i in ids], bool)
-            yield 1, _all_pairs(counts[drawn], words[np.repeat(drawn, counts)])
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word hash, n) of all words of docs (doc_id, text)."""
+    return _tally(_texts(docs), lambda pairs: np.zeros(len(pairs), bool)).where("kind = 0").select(F.col("key").alias("word"), "n")
 
-        return _tally(batches, of)
 
-    # Words are told apart from sampled pairs by kind.
-    tally = texts.mapInArrow(count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    tally = materialize(tally, "words")
-    total = tally.where("kind = 0").agg(F.sum("n")).head()[0] or 0
-    sampled = tally.where("kind = 1").agg(F.sum("n")).head()[0] or 0
-    hot = _sorted(tally.where((F.col("kind") == 0) & (F.col("n") * HOT >= total)).select("key", "n").collect())
-    frequent = tally.where((F.col("kind") == 1) & (F.col("n") * PAIRS >= sampled) & (F.col("n") > 3)).select("key").collect()
-    frequent = np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast((hot, frequent))
+_SENT = "k long, kind int, c1 double, base long, words array<long>, docs array<short>, ids array<long>, counts array<long>, own array<double>"
+_NAMES = ["k", "kind", "c1", "base", "words", "docs", "ids", "counts", "own"]
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, frequent = sent.value
-        ones = (frequent, np.ones(len(frequent), np.int64))
 
-        def of(ids: list, counts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-            pairs = _all_pairs(counts, words)
-            yield 2, pairs[_lookup(ones, pairs) > 0]
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
-        return _tally(batches, of)
 
-    pairs = _sorted(texts.mapInArrow(count_pairs, "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()) if len(frequent) else (frequent, frequent.astype(np.int64))
-    known = spark.sparkContext.broadcast((hot, pairs))
-    parts = max(shuffle_partitions(spark), -(-total // PARTITION))
-    log_total, log_alpha = math.log(max(total, 1)), math.log(alpha)
-    names = ["part", "kind", "batch", "docs", "first", "second", "value"]
-    sent_schema = "part int, kind int, batch long, docs binary, first binary, second binary, value binary"
+def _nested(hot: Table, pairs: Table, total: int, parts: int, min_count: int) -> Callable:
+    """The map from texts to _SENT rows. kind 0: second words that follow one first word in a
+    batch, and the documents they stand in; kind 1: documents that begin with the word k; kind 2:
+    a batch's documents, with what was scored on the spot. A document's number is base + its place."""
+    log_total = math.log(max(total, 1))
+    split = max(1, total // parts // 8)  # of a partition, so much may be one key
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a batch's doc ids (first), words (second) and what is scored on the spot (value);
-        kind 1: bigrams for one partition."""
-        hot, pairs = known.value
-        place, number = TaskContext.get().partitionId(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 33
         for ids, counts, words in _batches(batches, Hasher()):
-            batch, number = (place << 32) + number, number + 1
-            number_of = _number(hot[0], words)
-            doc, before, after, n = _bigrams(counts, words)
-            first, second = np.where(before < 0, START, words[before]), words[after]
-            u, v = np.where(before < 0, FIRST, number_of[before]), number_of[after]
-            c1 = np.append(hot[1], 0)[np.where(before < 0, -1, u)]  # 0 where the count is not at hand
-            cw = np.append(hot[1], 0)[v]
-            # frequent pairs of frequent words, and frequent first words, are scored here
-            c = np.where((v >= 0) & (c1 > 0), _lookup(pairs, _pair(first, second)), 0)
-            here = c >= min_count
-            own = np.bincount(doc[here], n[here] * (np.log(c[here]) - np.log(c1[here])), len(ids))
-            start = (before < 0) & (v >= 0)
-            own += np.bincount(doc[start], np.log(cw[start]) - log_total, len(ids))
-            sent_on = ~here & ~start
-            doc, first, second, n, u, v = (x[sent_on] for x in (doc, first, second, n, u, v))
-            part = np.where(v < 0, _mix(second), np.where(u < 0, _mix(first), _pair(first, second))) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            doc, first, second, n, u, v, part = (x[order] for x in (doc, first, second, n, u, v, part))
-            to, at = np.unique(part, return_index=True)
-            rows = [(int(batch % parts), 0, batch, np.array([i is None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), counts.astype(np.int64).tobytes(), own.tobytes())]
-            for p, a, b in zip(to.tolist(), at.tolist(), [*at.tolist()[1:], len(part)], strict=True):
-                rows.append((p, 1, batch, doc[a:b].astype(np.uint16).tobytes(), _squeeze(first[a:b], u[a:b]), _squeeze(second[a:b], v[a:b]), n[a:b].astype(np.uint32).tobytes()))
-            for i in range(0, len(rows), 256):
-                yield _blobs(rows[i : i + 256], names)
-
-    cold = tally.where((F.col("kind") == 0) & (F.col("n") * HOT < total)).select("key", "n")
-    counted = cold.mapInArrow(_word_parts(parts), "part int, key long, n long")
-
-    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Scores a partition's bigrams. kind 0 rows pass; kind 1: sums for a batch's documents;
-        kind 2: pairs that still need the count of their first word, for its partition."""
-        hot, _ = known.value
-        table = _sorted_arrays(right)
-        kinds = left.column("kind").to_pylist()
-        part = key[0].as_py()
-        rows = [tuple(left.column(n)[i].as_py() for n in names) for i, k in enumerate(kinds) if k == 0]
-        mine = [i for i, k in enumerate(kinds) if k == 1]
-        if mine:
-            docs, n = (np.concatenate([np.frombuffer(left.column(c)[i].as_py(), t) for i in mine]) for c, t in (("docs", np.uint16), ("value", np.uint32)))
-            sizes = [len(left.column("docs")[i].as_py()) // 2 for i in mine]
-            first, second = (np.concatenate([_restore(left.column(c)[i].as_py(), k, hot[0]) for i, k in zip(mine, sizes, strict=True)]) for c in ("first", "second"))
-            _, at, inverse = np.unique(_pair(first, second), return_index=True, return_inverse=True)
-            c2 = np.bincount(inverse, n)[: len(at)]
-            u1, u2 = first[at], second[at]
-            found = (c2 >= min_count) & (u1 != START)
-            c1 = np.maximum(_lookup(hot, u1), _lookup(table, u1))
-            cw = np.maximum(_lookup(hot, u2), _lookup(table, u2))
-            with np.errstate(divide="ignore"):
-                backed = np.log(cw) - log_total + np.where(u1 == START, 0.0, log_alpha)
-                value = np.where(found, np.log(c2) - np.where(c1 > 0, np.log(np.maximum(c1, 1)), 0.0), backed)
-            later = found & (c1 == 0)
-            value, later = value[inverse], later[inverse]
-            end = 0
-            for i, size in zip(mine, sizes, strict=True):
-                own = slice(end, end + size)
-                end += size
-                batch = left.column("batch")[i].as_py()
-                to, back = np.unique(docs[own], return_inverse=True)
-                rows.append((part, 1, batch, to.tobytes(), b"", b"", np.bincount(back, value[own] * n[own], len(to)).tobytes()))
-            if later.any():  # one row for each partition that has their first words' counts
-                batches = np.repeat([left.column("batch")[i].as_py() for i in mine], sizes)
-                target = (_mix(first) % np.uint64(parts))[later]
-                w, d, m, batches = first[later], docs[later], n[later], batches[later]
-                for p in np.unique(target).tolist():
-                    at = target == p
-                    rows.append((p, 2, -1, d[at].tobytes(), w[at].tobytes(), batches[at].tobytes(), m[at].tobytes()))
-        return pa.Table.from_batches([_blobs(rows, names)])
-
-    bigrams = texts.mapInArrow(send, sent_schema)
-    joined = materialize(bigrams.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(join, sent_schema), "joined")
-
-    def rest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_batches([_blobs([], names)])
-        kinds = (("docs", np.uint16), ("first", np.uint64), ("second", np.int64), ("value", np.uint32))
-        docs, words, batches, n = (np.concatenate([np.frombuffer(x, t) for x in left.column(c).to_pylist()]) for c, t in kinds)
-        value = -np.log(_lookup(_sorted_arrays(right), words)) * n
-        order = np.argsort(batches, kind="stable")
-        docs, batches, value = docs[order], batches[order], value[order]
-        own, at = np.unique(batches, return_index=True)
-        rows = []
-        for batch, i, j in zip(own.tolist(), at.tolist(), [*at.tolist()[1:], len(batches)], strict=True):
-            to, back = np.unique(docs[i:j], return_inverse=True)
-            rows.append((key[0].as_py(), 1, batch, to.tobytes(), b"", b"", np.bincount(back, value[i:j], len(to)).tobytes()))
-        return pa.Table.from_batches([_blobs(rows, names)])
-
-    rest_rows = joined.where("kind = 2").groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(rest, sent_schema)
-
-    def finish(key: tuple, table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        head = kinds.index(0)
-        null, ids, counts, own = (np.frombuffer(table.column(c)[head].as_py(), t) for c, t in (("docs", np.uint8), ("first", np.int64), ("second", np.int64), ("value", np.float64)))
-        total = own.copy()
-        for i, kind in enumerate(kinds):
-            if kind:
-                np.add.at(total, np.frombuffer(table.column("docs")[i].as_py(), np.uint16), np.frombuffer(table.column("value")[i].as_py(), np.float64))
-        mean = np.divide(total, counts, out=np.zeros(len(total)), where=counts > 0)
-        return pa.table({"doc_id": pa.array(ids, mask=null.view(bool)), "n_words": counts, "log_score": total, "mean_log_score": pa.array(mean, mask=counts == 0)})
-
-    sums = joined.where("kind < 2").union(rest_rows)
-    return sums.groupBy("batch").applyInArrow(finish, "doc_id long, n_words long, log_score double, mean_log_score double")
-
-
-def _blobs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-
-def _sorted_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    names = table.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    return names[order], table.column("n").to_numpy()[order]
+            doc = np.repeat(np.arange(len(ids), dtype=np.int16), counts)
+            first = _starts(counts, len(words))
+            before = np.where(first, START, np.roll(words, 1))
+            known = _lookup(hot, words)  # 0 where the count is not at hand
+            c1 = np.where(first, 0, np.roll(known, 1))
+            c = np.where(c1 > 0, _lookup(pairs, _pair(before, words)), 0)
+            here, begins = (c >= min_count) & (c > 0), first & (known > 0)
+            own = np.zeros(len(ids))
+            own += np.bincount(doc[here], np.log(c[here]) - np.log(c1[here]), len(ids))
+            own += np.bincount(doc[begins], np.log(known[begins]) - log_total, len(ids))
+            null = pa.nulls(1)
+            own_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))
+            columns = [pa.array([base], pa.int64()), pa.array([2], pa.int32()), null.cast(pa.float64()), pa.array([base], pa.int64()), null.cast(pa.list_(pa.int64())), null.cast(pa.list_(pa.int16())), own_ids, pa.array([counts], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+            sent = ~here & ~begins
+            doc, before, after, c1, first = doc[sent], before[sent], words[sent], c1[sent], first[sent]
+            buckets = np.where(c1 > 0, 1 + c1 // split, 1).astype(np.uint64)
+            key = np.where(first, after, np.where(buckets > 1, _pair(before, _mix(after) % buckets), before))
+            after = np.where(first, START, after)
+            order = np.lexsort((key, first))  # rows that begin a text last
+            key, after, doc, c1, first = (x[order] for x in (key, after, doc, c1, first))
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])])) if len(key) else np.zeros(0, int)
+            cuts = np.append(edge, len(key))
+            for i in range(0, len(edge), 8192):
+                rows, ends = edge[i : i + 8192], cuts[i : i + 8193]
+                a, b = ends[0], ends[-1]
+                n = len(rows)
+                with np.errstate(divide="ignore"):
+                    logs = np.log(c1[rows])
+                empty = pa.nulls(n)
+                columns = [
+                    pa.array(key[rows].view(np.int64)), pa.array(first[rows].astype(np.int32)), pa.array(logs, mask=c1[rows] == 0), pa.array(np.full(n, base)),
+                    _lists(after[a:b].view(np.int64), ends - a), _lists(doc[a:b], ends - a), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.float64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+            base += len(ids)
 
+    return run
 
-def _word_parts(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            part = (_mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", "key", "n"])
 
-    return run
+def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of each row of docs (doc_id, text).
+
+    docs is read three times: pass a table, not a computation whose rows change their order.
+    """
+    spark = docs.sparkSession
+    texts = _texts(docs)
+    frequent = spark.sparkContext.broadcast(_frequent(texts))
+    tally = materialize(_tally(texts, lambda pairs: _lookup((frequent.value, np.ones(len(frequent.value), np.int64)), pairs) > 0), "counts")
+    total = tally.where("kind = 0").agg(F.sum("n")).head()[0] or 0
+    hot = _sorted(tally.where((F.col("kind") == 0) & (F.col("n") * HOT >= total)).select("key", "n").collect())
+    pairs = _sorted(tally.where("kind = 1").select("key", "n").collect())  # at most PAIRS
+    parts = min(PARTS, max(shuffle_partitions(spark), -(-total // PARTITION)))
+    known = spark.sparkContext.broadcast((hot, pairs))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _nested(*known.value, total, parts, min_count)(batches)
+
+    words = tally.where("kind = 0").select(F.col("key").alias("word"), F.log("n").alias("log_n"))
+    nested = texts.mapInArrow(send, _SENT).repartition(parts, "k")
+    met = nested.join(words.hint("shuffle_hash"), F.col("k") == F.col("word"), "left")
+    grams = met.where("kind < 2").select("k", "kind", "base", F.coalesce("c1", "log_n").alias("c1"), "docs", F.posexplode("words").alias("i", "w"))
+    grams = grams.select("k", "kind", "c1", (F.col("base") + F.get("docs", F.col("i"))).alias("r"), "w")
+    counted = grams.withColumn("c", F.count("*").over(Window.partitionBy("w", "k")))
+    log_total = math.log(max(total, 1))
+    value = F.when(F.col("kind") == 1, F.col("c1") - log_total).when(F.col("c") >= min_count, F.log("c") - F.col("c1"))
+    valued = counted.select("r", "w", value.alias("s"))
+    none = F.lit(None).cast("long")
+    sums = [valued.where("s is not null").select("r", "s", none.alias("doc_id"), none.alias("n_words"))]
+    if min_count > 1:  # every other pair has a count
+        rest = valued.where("s is null").join(words.hint("merge"), F.col("w") == F.col("word"))
+        sums.append(rest.select("r", (F.col("log_n") + (math.log(alpha) - log_total)).alias("s"), none, none))
+    own = nested.where("kind = 2").select("base", "ids", "own", F.posexplode("counts").alias("i", "n_words"))
+    sums.append(own.select((F.col("base") + F.col("i")).alias("r"), F.get("own", F.col("i")).alias("s"), F.get("ids", F.col("i")), "n_words"))
+    rows = sums[0]
+    for more in sums[1:]:
+        rows = rows.union(more)
+    out = rows.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("log_score"))
+    return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -362,7 +281,7 @@ WITH words AS (
 grams AS (
   SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL], ws[:-2])) AS v FROM words),
 ones AS (SELECT w, count(*) AS c FROM grams GROUP BY w),
-twos AS (SELECT v, w, count(*) AS c FROM grams WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+twos AS (SELECT v, w, count(*) AS c FROM grams WHERE v IS NOT NULL GROUP BY v, w),
 total AS (SELECT count(*) AS n FROM grams),
 scored AS (
   SELECT g.doc_id, CASE WHEN g.v IS NULL THEN ln(w1.c / n)
