@@ -30,7 +30,9 @@ null). Repeated rows count and are scored each. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import materialize, shuffle_partitions
+from vecpress.llm.common import forget, materialize, shuffle_partitions
 
 ALPHA = 0.4
 MIN_COUNT = 1
@@ -83,22 +85,75 @@ class Hasher:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc ids, words of each, all word hashes) of about BATCH bytes of text at a time. A longer
-    text is one batch."""
-    ids, counts, hashes, size = [], [], [], 0
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def _lookup(table: Table, keys: np.ndarray) -> np.ndarray:
+    """Counts of keys in a sorted table, 0 where it has none."""
+    names, values = table
+    if not len(names):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return np.where(names[at] == keys, values[at], 0)
+
+
+class Sparse:
+    """A sorted table that most keys are not in: a bit table turns those away first."""
+
+    def __init__(self, table: Table, bits: int = 1 << 22):
+        self.table, self.mask = table, np.uint64(bits - 1)
+        self.marked = np.zeros(bits, bool)
+        self.marked[table[0] & self.mask] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), np.int64)
+        at = np.flatnonzero(self.marked[keys & self.mask])
+        out[at] = _lookup(self.table, keys[at])
+        return out
+
+
+class Vocabulary:
+    """Words as numbers within a task: a word's hash and count are looked up when it is first
+    met. At most `most` words are remembered; when they are more, `full` says so and `clear`
+    starts again."""
+
+    def __init__(self, counts: Table, most: int = 300_000):
+        self.counts, self.most = counts, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = defaultdict(count().__next__)
+        self.hashes, self.hot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) > self.most
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        before = len(self.known)
+        out = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))  # numbers new words as they come
+        hashes = np.array([xxhash.xxh64_intdigest(w) or 1 for w in islice(self.known, before, None)], np.uint64)
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.hot = np.concatenate([self.hot, _lookup(self.counts, hashes)])
+        return out
+
+
+def _batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(doc ids, words of each, all words' numbers) of about BATCH bytes of text at a time. A
+    longer text is one batch. Numbers hold until the next batch."""
+    ids, counts, words, size = [], [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = (text.as_py() or b"").lower().split()
+            own = (text.as_py() or b"").lower().split()
             ids.append(i)
-            counts.append(len(words))
-            hashes.append(hasher(words))
-            size += len(words) * 6
+            counts.append(len(own))
+            words += own
+            size += len(own) * 6
             if size >= BATCH or len(ids) == 32_000:
-                yield ids, np.array(counts, np.int64), np.concatenate(hashes)
-                ids, counts, hashes, size = [], [], [], 0
+                yield ids, np.array(counts, np.int64), vocabulary(words)
+                ids, counts, words, size = [], [], [], 0
     if ids:
-        yield ids, np.array(counts, np.int64), np.concatenate(hashes)
+        yield ids, np.array(counts, np.int64), vocabulary(words)
 
 
 def _starts(counts: np.ndarray, n: int) -> np.ndarray:
@@ -113,18 +168,6 @@ def _all_pairs(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return _pair(words[:-1], words[1:])[~_starts(counts, len(words))[1:]] if len(words) else words
 
 
-Table = tuple[np.ndarray, np.ndarray]
-
-
-def _lookup(table: Table, keys: np.ndarray) -> np.ndarray:
-    """Counts of keys in a sorted table, 0 where it has none."""
-    names, values = table
-    if not len(names):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-    return np.where(names[at] == keys, values[at], 0)
-
-
 def _sorted(rows: list) -> Table:
     names = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(names)
@@ -135,17 +178,38 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _tally(texts: DataFrame, admit: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-    """(kind, key, n): words (0), and of the pairs (1) those that `admit` marks, or all."""
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 65536):
+        part = slice(i, i + 65536)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=["kind", "key", "n"])
+
+
+def _tally(texts: DataFrame, pairs: np.ndarray | None = None) -> DataFrame:
+    """(kind, key, n): words (0), and those of the sorted `pairs` (1), or all pairs if that is None.
+    A task sums its words before it sends them."""
+    sent = texts.sparkSession.sparkContext.broadcast(pairs)
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, counts, words in _batches(batches, Hasher()):
-            pairs = _all_pairs(counts, words)
-            for kind, keys in ((0, words), (1, pairs[admit(pairs)] if admit else pairs)):
-                names, n = np.unique(keys, return_counts=True)
-                for i in range(0, len(names), 65536):
-                    part = slice(i, i + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names[part]), kind, np.int32)), pa.array(names[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=["kind", "key", "n"])
+        pairs, vocabulary, seen = sent.value, Vocabulary(nothing), np.zeros(0, np.int64)
+        if pairs is not None:
+            place, found = Sparse((pairs, np.arange(1, len(pairs) + 1))), np.zeros(len(pairs) + 1, np.int64)
+        for _, counts, words in _batches(batches, vocabulary):
+            own = np.bincount(words, minlength=len(vocabulary.hashes))
+            own[: len(seen)] += seen
+            seen = own
+            both = _all_pairs(counts, vocabulary.hashes[words])
+            if pairs is None:
+                yield from _rows(1, *np.unique(both, return_counts=True))
+            else:
+                found += np.bincount(place(both), minlength=len(found))
+            if vocabulary.full:
+                yield from _rows(0, vocabulary.hashes, seen)
+                vocabulary.clear()
+                seen = np.zeros(0, np.int64)
+        yield from _rows(0, vocabulary.hashes, seen)
+        if pairs is not None:
+            yield from _rows(1, pairs[found[1:] > 0], found[1:][found[1:] > 0])
 
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -154,20 +218,20 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     """Pairs that a sample finds frequent, sorted: at most PAIRS."""
     share = SAMPLED / max(texts.count(), 1)
     drawn = texts.where(F.rand(5) < share) if share < 1 else texts
-    pairs = _tally(drawn, None).where("kind = 1")
-    pairs = materialize(pairs, "sampled")
+    pairs = materialize(_tally(drawn).where("kind = 1"), "sampled")
     total = pairs.agg(F.sum("n")).head()[0] or 0
     found = pairs.where((F.col("n") * PAIRS >= total) & (F.col("n") > 3)).select("key").collect()
+    forget(pairs)
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word hash, n) of all words of docs (doc_id, text)."""
-    return _tally(_texts(docs), lambda pairs: np.zeros(len(pairs), bool)).where("kind = 0").select(F.col("key").alias("word"), "n")
+    return _tally(_texts(docs), np.zeros(0, np.uint64)).where("kind = 0").select(F.col("key").alias("word"), "n")
 
 
-_SENT = "k long, kind int, c1 double, base long, words array<long>, docs array<short>, ids array<long>, counts array<long>, own array<double>"
-_NAMES = ["k", "kind", "c1", "base", "words", "docs", "ids", "counts", "own"]
+_SENT = "k long, kind int, c1 double, base long, words array<long>, docs array<short>, ids array<long>, own array<double>"
+_NAMES = ["k", "kind", "c1", "base", "words", "docs", "ids", "own"]
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
@@ -177,50 +241,55 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
 def _nested(hot: Table, pairs: Table, total: int, parts: int, min_count: int) -> Callable:
     """The map from texts to _SENT rows. kind 0: second words that follow one first word in a
     batch, and the documents they stand in; kind 1: documents that begin with the word k; kind 2:
-    a batch's documents, with what was scored on the spot. A document's number is base + its place."""
+    a batch's documents, their numbers of words, and what was scored on the spot. A document's
+    number is base + its place in the batch."""
     log_total = math.log(max(total, 1))
     split = max(1, total // parts // 8)  # of a partition, so much may be one key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        for ids, counts, words in _batches(batches, Hasher()):
+        base, vocabulary, pair_count = TaskContext.get().partitionId() << 33, Vocabulary(hot), Sparse(pairs)
+
+        def rows(kind: int, key: np.ndarray, after: np.ndarray, doc: np.ndarray, c1: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(key)
+            key, after, doc, c1 = key[order], after[order], doc[order], c1[order]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+            cuts = np.append(edge, len(key))
+            for i in range(0, len(edge), 8192):
+                at, ends = edge[i : i + 8192], cuts[i : i + 8193]
+                n, a, b = len(at), ends[0], ends[-1]
+                logs = pa.array(np.log(np.maximum(c1[at], 1)), mask=c1[at] == 0)
+                columns = [
+                    pa.array(key[at].view(np.int64)), pa.array(np.full(n, kind, np.int32)), logs, pa.array(np.full(n, base)),
+                    _lists(after[a:b].view(np.int64), ends - a), _lists(doc[a:b], ends - a), pa.nulls(n).cast(pa.list_(pa.int64())), pa.nulls(n).cast(pa.list_(pa.float64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+        for ids, counts, numbers in _batches(batches, vocabulary):
+            words, known = vocabulary.hashes[numbers], vocabulary.hot[numbers]  # 0 where the count is not at hand
             doc = np.repeat(np.arange(len(ids), dtype=np.int16), counts)
             first = _starts(counts, len(words))
-            before = np.where(first, START, np.roll(words, 1))
-            known = _lookup(hot, words)  # 0 where the count is not at hand
-            c1 = np.where(first, 0, np.roll(known, 1))
-            c = np.where(c1 > 0, _lookup(pairs, _pair(before, words)), 0)
+            before, c1 = np.roll(words, 1), np.roll(known, 1)
+            c = np.zeros(len(words), np.int64)
+            ask = np.flatnonzero((c1 > 0) & ~first)
+            c[ask] = pair_count(_pair(before[ask], words[ask]))
             here, begins = (c >= min_count) & (c > 0), first & (known > 0)
             own = np.zeros(len(ids))
             own += np.bincount(doc[here], np.log(c[here]) - np.log(c1[here]), len(ids))
             own += np.bincount(doc[begins], np.log(known[begins]) - log_total, len(ids))
             null = pa.nulls(1)
-            own_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64()))
-            columns = [pa.array([base], pa.int64()), pa.array([2], pa.int32()), null.cast(pa.float64()), pa.array([base], pa.int64()), null.cast(pa.list_(pa.int64())), null.cast(pa.list_(pa.int16())), own_ids, pa.array([counts], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.float64()))]
+            columns = [pa.array([base]), pa.array([2], pa.int32()), null.cast(pa.float64()), pa.array([base]), pa.array([counts], pa.list_(pa.int64())), null.cast(pa.list_(pa.int16())), pa.array([ids], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
-
-            sent = ~here & ~begins
-            doc, before, after, c1, first = doc[sent], before[sent], words[sent], c1[sent], first[sent]
-            buckets = np.where(c1 > 0, 1 + c1 // split, 1).astype(np.uint64)
-            key = np.where(first, after, np.where(buckets > 1, _pair(before, _mix(after) % buckets), before))
-            after = np.where(first, START, after)
-            order = np.lexsort((key, first))  # rows that begin a text last
-            key, after, doc, c1, first = (x[order] for x in (key, after, doc, c1, first))
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])])) if len(key) else np.zeros(0, int)
-            cuts = np.append(edge, len(key))
-            for i in range(0, len(edge), 8192):
-                rows, ends = edge[i : i + 8192], cuts[i : i + 8193]
-                a, b = ends[0], ends[-1]
-                n = len(rows)
-                with np.errstate(divide="ignore"):
-                    logs = np.log(c1[rows])
-                empty = pa.nulls(n)
-                columns = [
-                    pa.array(key[rows].view(np.int64)), pa.array(first[rows].astype(np.int32)), pa.array(logs, mask=c1[rows] == 0), pa.array(np.full(n, base)),
-                    _lists(after[a:b].view(np.int64), ends - a), _lists(doc[a:b], ends - a), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.float64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+            cold = first & ~begins
+            yield from rows(1, words[cold], np.full(cold.sum(), START), doc[cold], np.zeros(cold.sum(), np.int64))
+            sent = ~here & ~first
+            before, after, c1 = before[sent], words[sent], c1[sent]
+            wide = np.flatnonzero(c1 >= split)  # first words that are more than a key should hold
+            key = before.copy()
+            key[wide] = _pair(before[wide], _mix(after[wide]) % (1 + c1[wide] // split).astype(np.uint64))
+            yield from rows(0, key, after, doc[sent], c1)
             base += len(ids)
+            if vocabulary.full:
+                vocabulary.clear()
 
     return run
 
@@ -232,8 +301,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     """
     spark = docs.sparkSession
     texts = _texts(docs)
-    frequent = spark.sparkContext.broadcast(_frequent(texts))
-    tally = materialize(_tally(texts, lambda pairs: _lookup((frequent.value, np.ones(len(frequent.value), np.int64)), pairs) > 0), "counts")
+    tally = materialize(_tally(texts, _frequent(texts)), "counts")
     total = tally.where("kind = 0").agg(F.sum("n")).head()[0] or 0
     hot = _sorted(tally.where((F.col("kind") == 0) & (F.col("n") * HOT >= total)).select("key", "n").collect())
     pairs = _sorted(tally.where("kind = 1").select("key", "n").collect())  # at most PAIRS
@@ -245,23 +313,24 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
 
     words = tally.where("kind = 0").select(F.col("key").alias("word"), F.log("n").alias("log_n"))
     nested = texts.mapInArrow(send, _SENT).repartition(parts, "k")
+    # The rows of documents (kind 2) go along, as a filter would run the map once for each kind.
     met = nested.join(words.hint("shuffle_hash"), F.col("k") == F.col("word"), "left")
-    grams = met.where("kind < 2").select("k", "kind", "base", F.coalesce("c1", "log_n").alias("c1"), "docs", F.posexplode("words").alias("i", "w"))
-    grams = grams.select("k", "kind", "c1", (F.col("base") + F.get("docs", F.col("i"))).alias("r"), "w")
-    counted = grams.withColumn("c", F.count("*").over(Window.partitionBy("w", "k")))
+    met = met.select("k", "kind", "base", F.coalesce("c1", "log_n").alias("c1"), "docs", "ids", "own", F.posexplode("words").alias("i", "w"))
+    of_batch = F.col("kind") == 2
+    grams = met.select(
+        "k", "kind", "w", (F.col("base") + F.when(of_batch, F.col("i")).otherwise(F.get("docs", F.col("i")))).alias("r"),
+        F.when(of_batch, F.get("own", F.col("i"))).otherwise(F.col("c1")).alias("x"), F.get("ids", F.col("i")).alias("doc_id"),
+    )
+    # A pair's own hash comes first in the sort: it tells rows apart where k and w have many ties.
+    counted = grams.withColumn("c", F.count("*").over(Window.partitionBy(F.xxhash64("k", "w"), "w", "k")))
     log_total = math.log(max(total, 1))
-    value = F.when(F.col("kind") == 1, F.col("c1") - log_total).when(F.col("c") >= min_count, F.log("c") - F.col("c1"))
-    valued = counted.select("r", "w", value.alias("s"))
-    none = F.lit(None).cast("long")
-    sums = [valued.where("s is not null").select("r", "s", none.alias("doc_id"), none.alias("n_words"))]
+    value = F.when(of_batch, F.col("x")).when(F.col("kind") == 1, F.col("x") - log_total).when(F.col("c") >= min_count, F.log("c") - F.col("x"))
+    rows = counted.select("r", "doc_id", F.when(of_batch, F.col("w")).alias("n_words"), value.alias("s"), "w")
     if min_count > 1:  # every other pair has a count
-        rest = valued.where("s is null").join(words.hint("merge"), F.col("w") == F.col("word"))
-        sums.append(rest.select("r", (F.col("log_n") + (math.log(alpha) - log_total)).alias("s"), none, none))
-    own = nested.where("kind = 2").select("base", "ids", "own", F.posexplode("counts").alias("i", "n_words"))
-    sums.append(own.select((F.col("base") + F.col("i")).alias("r"), F.get("own", F.col("i")).alias("s"), F.get("ids", F.col("i")), "n_words"))
-    rows = sums[0]
-    for more in sums[1:]:
-        rows = rows.union(more)
+        rest = rows.where("s is null").join(words.hint("merge"), F.col("w") == F.col("word"))
+        none = F.lit(None).cast("long")
+        rest = rest.select("r", none.alias("doc_id"), none.alias("n_words"), (F.col("log_n") + (math.log(alpha) - log_total)).alias("s"), "w")
+        rows = rows.where("s is not null").union(rest)
     out = rows.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("log_score"))
     return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
