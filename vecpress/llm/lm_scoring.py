@@ -51,7 +51,7 @@ PAIRS = 100_000
 #: Documents whose pairs look for frequent ones, about.
 SAMPLED = 10_000
 #: Bytes of text that travel as one batch; words of the corpus for each partition, and partitions at most.
-BATCH = 4 << 20
+BATCH = 2 << 20
 PARTITION = 6_000_000
 PARTS = 100_000
 
@@ -72,7 +72,7 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words, remembered; never 0."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 80_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -113,17 +113,17 @@ class Sparse:
 
 
 class Vocabulary:
-    """Words as numbers within a task: a word's hash and count are looked up when it is first
-    met. At most `most` words are remembered; when they are more, `full` says so and `clear`
-    starts again."""
+    """Words as numbers within a task. A word's hash is taken when it is first met, and looked up
+    among the frequent words: `hot` is its count there, or 0, `code` its place from 1, or the
+    hash. Hashes are never so small. Beyond `most` words `full` says so and `clear` starts again."""
 
-    def __init__(self, counts: Table, most: int = 300_000):
+    def __init__(self, counts: Table, most: int = 80_000):
         self.counts, self.most = counts, most
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = defaultdict(count().__next__)
-        self.hashes, self.hot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.hot, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     @property
     def full(self) -> bool:
@@ -132,9 +132,12 @@ class Vocabulary:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         before = len(self.known)
         out = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))  # numbers new words as they come
-        hashes = np.array([xxhash.xxh64_intdigest(w) or 1 for w in islice(self.known, before, None)], np.uint64)
+        hashes = np.array([xxhash.xxh64_intdigest(w) | 1 << 62 for w in islice(self.known, before, None)], np.uint64)
+        names, counts = self.counts
+        at = _lookup((names, np.arange(1, len(names) + 1)), hashes)
         self.hashes = np.concatenate([self.hashes, hashes])
-        self.hot = np.concatenate([self.hot, _lookup(self.counts, hashes)])
+        self.hot = np.concatenate([self.hot, np.append(0, counts)[at]])
+        self.code = np.concatenate([self.code, np.where(at > 0, at.astype(np.uint64), hashes)])
         return out
 
 
@@ -230,8 +233,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return _tally(_texts(docs), np.zeros(0, np.uint64)).where("kind = 0").select(F.col("key").alias("word"), "n")
 
 
-_SENT = "k long, kind int, c1 double, base long, words array<long>, docs array<short>, ids array<long>, own array<double>"
-_NAMES = ["k", "kind", "c1", "base", "words", "docs", "ids", "own"]
+_SENT = "k long, c1 double, base long, words array<long>, docs array<short>"
+_NAMES = ["k", "c1", "base", "words", "docs"]
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
@@ -239,36 +242,34 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
 
 
 def _nested(hot: Table, pairs: Table, total: int, parts: int, min_count: int) -> Callable:
-    """The map from texts to _SENT rows. kind 0: second words that follow one first word in a
-    batch, and the documents they stand in; kind 1: documents that begin with the word k; kind 2:
-    a batch's documents, their numbers of words, and what was scored on the spot. A document's
-    number is base + its place in the batch."""
+    """The map from texts to _SENT rows, of three kinds. Bigrams: k is the first word, or one of
+    its buckets, which then come with the logarithm c1 of its count; words are the codes of those
+    that follow in one batch, docs their documents, by place from base. Documents that begin with
+    the word k: words holds START for each of docs. A document: k is its number, c1 what was scored
+    on the spot, base its id, words its number of words, and docs is null."""
     log_total = math.log(max(total, 1))
     split = max(1, total // parts // 8)  # of a partition, so much may be one key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, vocabulary, pair_count = TaskContext.get().partitionId() << 33, Vocabulary(hot), Sparse(pairs)
 
-        def rows(kind: int, key: np.ndarray, after: np.ndarray, doc: np.ndarray, c1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, after: np.ndarray, doc: np.ndarray, c1: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.argsort(key)
             key, after, doc, c1 = key[order], after[order], doc[order], c1[order]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
             cuts = np.append(edge, len(key))
             for i in range(0, len(edge), 8192):
                 at, ends = edge[i : i + 8192], cuts[i : i + 8193]
-                n, a, b = len(at), ends[0], ends[-1]
+                a, b = ends[0], ends[-1]
                 logs = pa.array(np.log(np.maximum(c1[at], 1)), mask=c1[at] == 0)
-                columns = [
-                    pa.array(key[at].view(np.int64)), pa.array(np.full(n, kind, np.int32)), logs, pa.array(np.full(n, base)),
-                    _lists(after[a:b].view(np.int64), ends - a), _lists(doc[a:b], ends - a), pa.nulls(n).cast(pa.list_(pa.int64())), pa.nulls(n).cast(pa.list_(pa.float64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+                lists = [_lists(after[a:b].view(np.int64), ends - a), _lists(doc[a:b], ends - a)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), logs, pa.array(np.full(len(at), base)), *lists], names=_NAMES)
 
         for ids, counts, numbers in _batches(batches, vocabulary):
-            words, known = vocabulary.hashes[numbers], vocabulary.hot[numbers]  # 0 where the count is not at hand
+            words, known, code = vocabulary.hashes[numbers], vocabulary.hot[numbers], vocabulary.code[numbers]
             doc = np.repeat(np.arange(len(ids), dtype=np.int16), counts)
             first = _starts(counts, len(words))
-            before, c1 = np.roll(words, 1), np.roll(known, 1)
+            before, c1 = np.roll(words, 1), np.roll(known, 1)  # 0 where the count is not at hand
             c = np.zeros(len(words), np.int64)
             ask = np.flatnonzero((c1 > 0) & ~first)
             c[ask] = pair_count(_pair(before[ask], words[ask]))
@@ -276,18 +277,18 @@ def _nested(hot: Table, pairs: Table, total: int, parts: int, min_count: int) ->
             own = np.zeros(len(ids))
             own += np.bincount(doc[here], np.log(c[here]) - np.log(c1[here]), len(ids))
             own += np.bincount(doc[begins], np.log(known[begins]) - log_total, len(ids))
-            null = pa.nulls(1)
-            columns = [pa.array([base]), pa.array([2], pa.int32()), null.cast(pa.float64()), pa.array([base]), pa.array([counts], pa.list_(pa.int64())), null.cast(pa.list_(pa.int16())), pa.array([ids], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.float64()))]
+            n = len(ids)
+            columns = [pa.array(base + np.arange(n)), pa.array(own), pa.array(ids, pa.int64()), _lists(counts, np.arange(n + 1)), pa.nulls(n).cast(pa.list_(pa.int16()))]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
             cold = first & ~begins
-            yield from rows(1, words[cold], np.full(cold.sum(), START), doc[cold], np.zeros(cold.sum(), np.int64))
+            yield from rows(words[cold], np.full(cold.sum(), START), doc[cold], np.zeros(cold.sum(), np.int64))
             sent = ~here & ~first
-            before, after, c1 = before[sent], words[sent], c1[sent]
+            key, after, c1, doc = before[sent], code[sent], c1[sent], doc[sent]
             wide = np.flatnonzero(c1 >= split)  # first words that are more than a key should hold
-            key = before.copy()
-            key[wide] = _pair(before[wide], _mix(after[wide]) % (1 + c1[wide] // split).astype(np.uint64))
-            yield from rows(0, key, after, doc[sent], c1)
-            base += len(ids)
+            key[wide] = _pair(key[wide], _mix(after[wide]) % (1 + c1[wide] // split).astype(np.uint64))
+            del words, known, code, before, c, ask, here, first, sent, numbers
+            yield from rows(key, after, doc, np.where(c1 >= split, c1, 0))
+            base += n
             if vocabulary.full:
                 vocabulary.clear()
 
@@ -313,21 +314,23 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
 
     words = tally.where("kind = 0").select(F.col("key").alias("word"), F.log("n").alias("log_n"))
     nested = texts.mapInArrow(send, _SENT).repartition(parts, "k")
-    # The rows of documents (kind 2) go along, as a filter would run the map once for each kind.
+    # The rows of documents go along, as a filter would run the map once for each kind.
     met = nested.join(words.hint("shuffle_hash"), F.col("k") == F.col("word"), "left")
-    met = met.select("k", "kind", "base", F.coalesce("c1", "log_n").alias("c1"), "docs", "ids", "own", F.posexplode("words").alias("i", "w"))
-    of_batch = F.col("kind") == 2
+    met = met.select("k", "base", F.coalesce("c1", "log_n").alias("x"), "docs", F.posexplode("words").alias("i", "w"))
+    whole, begins = F.col("docs").isNull(), F.col("w") == int(START)
     grams = met.select(
-        "k", "kind", "w", (F.col("base") + F.when(of_batch, F.col("i")).otherwise(F.get("docs", F.col("i")))).alias("r"),
-        F.when(of_batch, F.get("own", F.col("i"))).otherwise(F.col("c1")).alias("x"), F.get("ids", F.col("i")).alias("doc_id"),
+        "k", "w", "x", F.when(whole, 2).when(begins, 1).otherwise(0).alias("kind"),
+        F.when(whole, F.col("k")).otherwise(F.col("base") + F.get("docs", F.col("i"))).alias("r"), F.when(whole, F.col("base")).alias("doc_id"),
     )
     # A pair's own hash comes first in the sort: it tells rows apart where k and w have many ties.
     counted = grams.withColumn("c", F.count("*").over(Window.partitionBy(F.xxhash64("k", "w"), "w", "k")))
-    log_total = math.log(max(total, 1))
-    value = F.when(of_batch, F.col("x")).when(F.col("kind") == 1, F.col("x") - log_total).when(F.col("c") >= min_count, F.log("c") - F.col("x"))
-    rows = counted.select("r", "doc_id", F.when(of_batch, F.col("w")).alias("n_words"), value.alias("s"), "w")
+    log_total, of_doc = math.log(max(total, 1)), F.col("kind") == 2
+    value = F.when(of_doc, F.col("x")).when(F.col("kind") == 1, F.col("x") - log_total).when(F.col("c") >= min_count, F.log("c") - F.col("x"))
+    rows = counted.select("r", "doc_id", F.when(of_doc, F.col("w")).alias("n_words"), value.alias("s"), "w")
     if min_count > 1:  # every other pair has a count
-        rest = rows.where("s is null").join(words.hint("merge"), F.col("w") == F.col("word"))
+        codes = spark.createDataFrame([(int(w), i) for i, w in enumerate(hot[0].view(np.int64), 1)], "hot long, code long")
+        coded = words.join(F.broadcast(codes), F.col("word") == F.col("hot"), "left").select(F.coalesce("code", "word").alias("word"), "log_n")  # at most HOT
+        rest = rows.where("s is null").join(coded.hint("merge"), F.col("w") == F.col("word"))
         none = F.lit(None).cast("long")
         rest = rest.select("r", none.alias("doc_id"), none.alias("n_words"), (F.col("log_n") + (math.log(alpha) - log_total)).alias("s"), "w")
         rows = rows.where("s is not null").union(rest)
