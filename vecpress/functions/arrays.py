@@ -55,8 +55,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 def reduce_tables(df: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]], combine: dict[str, Callable], width: int = 16) -> dict[str, np.ndarray]:
     """Sums, minima and the like of fn(matrix) over all rows of df (vec_id, v).
 
-    Each task sends one row of its partial results; `width` tasks combine those before the
-    driver does, so what the driver sees does not grow with the number of partitions.
+    Each task sends one row of its partial results; `width` tasks combine those, and one task
+    their rows, so the driver gets one row, as Arrow.
     """
     names = list(combine)
 
@@ -77,14 +77,11 @@ def reduce_tables(df: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray
         return merge(parts())
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return merge([np.asarray(c[i].as_py()) for c in b.columns] for b in batches for i in range(b.num_rows))
+        return merge([c.slice(i, 1).flatten().to_numpy() for c in b.columns] for b in batches for i in range(b.num_rows))
 
     schema = ", ".join(f"{n} array<double>" for n in names)
-    rows = df.mapInArrow(first, schema).repartition(width).mapInArrow(again, schema).collect()
-    total = None
-    for row in rows:
-        part = [np.asarray(x) for x in row]
-        total = part if total is None else [f(a, b) for f, a, b in zip(combine.values(), total, part, strict=True)]
+    rows = df.mapInArrow(first, schema).repartition(width).mapInArrow(again, schema).repartition(1).mapInArrow(again, schema).toArrow()
+    total = [rows.column(n).combine_chunks().flatten().to_numpy() for n in names] if rows.num_rows else None
     if total is None:
         raise ValueError("no vectors to fit on")
     return dict(zip(names, total, strict=True))

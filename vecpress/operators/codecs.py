@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vecpress.functions import distance
 from vecpress.functions.arrays import from_binary, map_batches, reduce_tables, to_binary, to_lists, to_matrix
 from vecpress.operators import allocation, bitpack, kmeans, moments
 
@@ -193,10 +194,17 @@ class OptimizedProduct(Product):
 
 class SignBit(Codec):
     """One sign bit a dimension of the centred vector, with its squared norm and the factor that
-    makes inner products with the signs unbiased (two float32)."""
+    makes inner products with the signs unbiased (two float32). metric ip: the squared norm is
+    kept less that of the vector itself, from which inner products with vectors that are not
+    centred follow."""
 
     name = "rabitq"
 
+    def __init__(self, metric: str = "l2"):
+        self.metric = distance.metric(metric)
+        if self.metric not in ("l2", "ip"):
+            raise ValueError("the metric is l2 or ip")
+
     def fit(self, x: DataFrame) -> SignBit:
         self.mean = moments.mean(x)
         self.dims = len(self.mean)
@@ -210,7 +218,8 @@ class SignBit(Codec):
         norm2 = (o**2).sum(1)
         spread = np.abs(o).sum(1) / np.sqrt(self.dims)  # inner product with the unit sign vector
         factor = np.where(spread > 0, norm2 / np.where(spread > 0, spread, 1), 0)
-        side = np.stack([norm2, factor], 1).astype("<f4").view(np.uint8).reshape(len(rows), 8)
+        kept = norm2 - (rows**2).sum(1) if self.metric == "ip" else norm2
+        side = np.stack([kept, factor], 1).astype("<f4").view(np.uint8).reshape(len(rows), 8)
         return np.concatenate([np.packbits(o > 0, axis=1), side], axis=1)
 
     def parts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +234,8 @@ class SignBit(Codec):
         return signs * factor[:, None] + self.mean
 
     def estimate(self, codes: np.ndarray, queries: np.ndarray, query_bits: int = 4) -> np.ndarray:
-        """Estimated squared distances (queries, rows); query_bits 0 keeps queries in full."""
+        """Estimated squared distances, or inner products, (queries, rows); query_bits 0 keeps
+        queries in full."""
         signs, norm2, factor = self.parts(codes)
         q = queries - self.mean
         near = q
@@ -233,7 +243,8 @@ class SignBit(Codec):
             low, high = q.min(1, keepdims=True), q.max(1, keepdims=True)
             step = np.maximum((high - low) / (2**query_bits - 1), 1e-30)
             near = np.rint((q - low) / step) * step + low
-        return np.maximum(norm2[None, :] + (q**2).sum(1)[:, None] - 2 * (near @ signs.T) * factor[None, :], 0)
+        total = norm2[None, :] + (q**2).sum(1)[:, None] - 2 * (near @ signs.T) * factor[None, :]
+        return np.maximum(total, 0) if self.metric == "l2" else ((queries**2).sum(1)[:, None] - total) / 2
 
 
 class MultiBit(Codec):
@@ -365,7 +376,8 @@ class Segmented(Codec):
 
     name = "saq"
 
-    def __init__(self, avg_bits: float = 4, joint: bool = True, rounds: int = 6, block: int = 16, max_bits: int = 8, rotate: bool = True, seed: int = 0):
+    def __init__(self, avg_bits: float = 4, joint: bool = True, rounds: int = 6, block: int = 16, max_bits: int = 8, rotate: bool = True, seed: int = 0, metric: str = "l2"):
+        self.metric = distance.metric(metric)
         self.avg_bits, self.joint, self.rounds, self.block, self.max_bits, self.rotate, self.seed = avg_bits, joint, rounds, block, max_bits, rotate, seed
 
     def fit(self, x: DataFrame) -> Segmented:
@@ -426,7 +438,14 @@ class Segmented(Codec):
 
     def estimate(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Estimated squared distances (queries, rows): for each segment the two squared norms
-        less twice the scaled inner product; never below zero."""
+        less twice the scaled inner product; never below zero. Or inner products: those with the
+        mean and with each segment's scaled point."""
+        if self.metric == "ip":
+            q = queries @ self.axes
+            total = np.repeat((queries @ self.mean)[:, None], len(codes), 1)
+            for (own, _, turn), (point, _, _) in zip(self._pieces(), self.unpack(codes), strict=True):
+                total += q[:, own] @ turn @ point.T
+            return total
         q = (queries - self.mean) @ self.axes
         total = np.zeros((len(q), len(codes)))
         for (own, _, turn), (point, norm2, _) in zip(self._pieces(), self.unpack(codes), strict=True):

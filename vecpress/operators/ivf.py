@@ -1,9 +1,10 @@
 """Inverted-file search: rows by cell, queries to their nearest cells, exact scores of what the
 codes decode to.
 
-Codes are a table (cell, vec_id, code), written partitioned by cell. Probes, the nearest
-cells of each query, are few: they go to the tasks by cell, in blocks of queries within
-QUERY_BYTES, and rows of cells that no query probes are filtered out before they are read.
+Codes are a table (cell, vec_id, code); `models.save_index` writes it partitioned by cell, and
+rows of cells that no query probes are then not read. Probes, the nearest cells of each query,
+are few: they go to the tasks by cell, in blocks of queries within QUERY_BYTES. Before that
+codes are computed when they are read: write them if they are searched more than once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from vecpress.functions.arrays import ROWS, from_binary, map_batches, to_binary, to_lists, to_matrix
 from vecpress.operators import kmeans
 from vecpress.operators.codecs import Codec, Scalar, SignBit
-from vecpress.operators.knn import SCHEMA, _exact, _prune, collect_queries, top
+from vecpress.operators.knn import SCHEMA, TILE, Top, _exact, collect_queries, meet, top
 
 
 def default_cells(rows: int) -> int:
@@ -112,7 +113,11 @@ class IVF:
     def search(self, codes: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, estimate: bool = False, query_bits: int = 4) -> DataFrame:
         """(qid, rk, id, score). Squared distances, or inner products, largest first. A query
         with fewer than k rows in its cells has fewer rows. estimate: by the estimator of
-        sign-bit or segmented codes instead of decoded rows."""
+        sign-bit or segmented codes, made for the metric of the index, instead of decoded rows."""
+        if k <= 0:
+            return codes.sparkSession.createDataFrame([], "qid long, rk int, id long, score double")
+        if estimate and self.codec.metric != self.metric:
+            raise ValueError(f"the codec estimates {self.codec.metric}, the index searches {self.metric}")
         nprobe = min(nprobe or default_probes(self.cells), self.cells)
         spark, metric = codes.sparkSession, self.metric
         out = None
@@ -123,28 +128,25 @@ class IVF:
 
             def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 state, ids, q, by_cell = sent.value
-                own = IVF._from(state)
-                kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                own, kept = IVF._from(state), Top(len(q), k)
+                args = (query_bits,) if isinstance(own.codec, SignBit) else ()
                 for whole in batches:
                     for i in range(0, whole.num_rows, ROWS):
                         batch = whole.slice(i, ROWS)
                         cell = batch.column("cell").to_numpy()
                         code = from_binary(batch.column("code"))
                         vec = batch.column("vec_id").to_numpy()
-                        rows = None if estimate else own.decode_rows(cell, code)
                         for c in np.unique(cell):
-                            at, to = np.flatnonzero(cell == c), by_cell.get(int(c), ())
+                            at, to = np.flatnonzero(cell == c), by_cell.get(int(c), np.zeros(0, int))
                             if not len(to):
                                 continue
-                            if estimate:
-                                args = (query_bits,) if isinstance(own.codec, SignBit) else ()
-                                score = own.codec.estimate(code[at], q[to] - own.centroids[c], *args).ravel()
-                            else:
-                                score = _exact(metric, np.repeat(q[to], len(at), 0), np.tile(rows[at], (len(to), 1)))
-                            kept = [np.concatenate(p) for p in zip(kept, (np.repeat(to, len(at)), np.tile(vec[at], len(to)), score), strict=True)]
-                        kept = _prune(kept, k, metric == "l2")
-                if len(kept[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=["qid", "id", "score"])
+                            if not estimate:
+                                meet(kept, metric, q, to, own.decode_rows(cell[at], code[at]), vec[at])
+                            elif metric == "l2":
+                                estimated(kept, own.codec, q - own.centroids[c], to, code[at], vec[at], args)
+                            else:  # <q, c + r>: the first is known
+                                estimated(kept, own.codec, q, to, code[at], vec[at], args, q @ own.centroids[c])
+                yield from kept.batch(ids, 1.0 if metric == "l2" else -1.0)
 
             wanted = codes if len(by_cell) == self.cells else codes.where(F.col("cell").isin(list(by_cell)))
             found = wanted.mapInArrow(scan, SCHEMA)
@@ -162,31 +164,40 @@ def flat_search(codec: Codec, codes: DataFrame, queries: DataFrame, k: int, metr
     return search(codes, queries, k, metric, decode=lambda b: sent.value._decode(from_binary(b.column("code"))))
 
 
+def estimated(kept: Top, codec, q: np.ndarray, to: np.ndarray, code: np.ndarray, ids: np.ndarray, args: tuple, plus: np.ndarray | None = None) -> None:
+    """Keeps the best of queries number `to` by a codec's estimator; plus: added to a query's scores."""
+    for i in range(0, len(to), TILE):
+        own = to[i : i + TILE]
+        cost = codec.estimate(code, q[own], *args)
+        if codec.metric == "ip":
+            cost = -(cost if plus is None else cost + plus[own, None])
+        limit = np.partition(cost, kept.k - 1, axis=1)[:, kept.k - 1] if cost.shape[1] >= kept.k else np.full(len(own), np.inf)
+        a, b = np.nonzero(cost <= np.minimum(limit, kept.kth(own))[:, None])  # with all ties
+        for j in range(0, len(a), 1 << 16):
+            m, n = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+            kept.add(own[m], ids[n], cost[m, n])
+
+
 def estimate_search(codec, codes: DataFrame, queries: DataFrame, k: int, *args) -> DataFrame:
-    """Top k by a codec's own distance estimator (sign-bit or segmented codes)."""
-    spark = codes.sparkSession
+    """Top k by a codec's own estimator (sign-bit or segmented codes), of distances or of inner
+    products, as the codec's metric says."""
+    spark, sign = codes.sparkSession, 1.0 if codec.metric == "l2" else -1.0
     out = None
-    for ids, q in collect_queries(queries):
+    for ids, q in collect_queries(queries) if k > 0 else ():
         sent = spark.sparkContext.broadcast((codec, ids, q))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             codec, ids, q = sent.value
-            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            kept, every = Top(len(q), k), np.arange(len(q))
             for whole in batches:
                 for i in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(i, ROWS)
-                    score = codec.estimate(from_binary(batch.column("code")), q, *args)
-                    vec = batch.column("vec_id").to_numpy()
-                    n = min(k, len(vec))
-                    at = np.argpartition(score, n - 1, axis=1)[:, :n]
-                    new = (np.repeat(np.arange(len(q)), n), vec[at].ravel(), np.take_along_axis(score, at, 1).ravel())
-                    kept = _prune([np.concatenate(p) for p in zip(kept, new, strict=True)], k, True)
-            if len(kept[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=["qid", "id", "score"])
+                    estimated(kept, codec, q, every, from_binary(batch.column("code")), batch.column("vec_id").to_numpy(), args)
+            yield from kept.batch(ids, sign)
 
         found = codes.mapInArrow(scan, SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return top(out, k, True) if out is not None else spark.createDataFrame([], "qid long, rk int, id long, score double")
+    return top(out, k, codec.metric == "l2") if out is not None else spark.createDataFrame([], "qid long, rk int, id long, score double")
 
 
 def codebook_query(books: np.ndarray, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecpress.functions.arrays import map_batches, reduce_tables, to_matrix
-from vecpress.operators.knn import best, ordered_sum
+from vecpress.operators.knn import _cost, best, ordered_sum
 from vecpress.operators.moments import ranges
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, spherical: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid of each row, ties to the lowest number, and its squared distance (or,
     spherical, its inner product)."""
-    cost = -(x @ centroids.T) if spherical else (x**2).sum(1)[:, None] + (centroids**2).sum(1)[None, :] - 2 * x @ centroids.T
-    a, b = best(cost, 1)
+    a, b = best(*_cost("ip" if spherical else "l2", x, centroids), 1)
     exact = -ordered_sum(x[a] * centroids[b]) if spherical else ordered_sum((x[a] - centroids[b]) ** 2)
     order = np.lexsort((b, exact, a))
     first = order[np.searchsorted(a[order], np.arange(len(x)), "left")]

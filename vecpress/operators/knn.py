@@ -1,9 +1,11 @@
 """Exact k nearest neighbours of a bounded query set against a table of any size.
 
 The queries go to every task in blocks of a checked size; each task screens its rows by a
-matrix product and keeps the k best of each query, scored again in plain order of dimension,
-so results do not depend on the matrix library. The k best of all tasks meet by query in a
-window with a limit, which Spark applies before and after its shuffle.
+matrix product, tile by tile, and keeps the k best of each query, scored again in plain order
+of dimension, so results do not depend on the matrix library. The screen allows for what
+rounding may add to a product, which follows the vectors' norms and not their distance. The k
+best of all tasks meet by query in a window with a limit, which Spark applies before and after
+its shuffle.
 """
 
 from __future__ import annotations
@@ -18,20 +20,24 @@ from pyspark.sql import functions as F
 from vecpress.functions import distance
 from vecpress.functions.arrays import ROWS, to_matrix
 
-#: Bytes of queries that one pass sends to the tasks.
+#: Bytes of queries that one pass sends to the tasks, and queries whose results a task keeps.
 QUERY_BYTES = 64 << 20
+QUERY_ROWS = 16_384
+#: Queries that meet a batch of rows at a time.
+TILE = 512
+ROUND = float(np.finfo(np.float64).eps)
 
 SCHEMA = "qid long, id long, score double"
 
 
 def collect_queries(queries: DataFrame, limit: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) blocks of a query table (qid, q), each within `limit` bytes."""
+    """(ids, matrix) blocks of a query table (qid, q), each within `limit` bytes and QUERY_ROWS."""
     ids, rows, size = [], [], 0
     for row in queries.toLocalIterator():
         ids.append(row["qid"])
         rows.append(row["q"])
         size += 8 * len(row["q"])
-        if size >= limit:
+        if size >= limit or len(ids) == QUERY_ROWS:
             yield np.array(ids, np.int64), np.array(rows, np.float64)
             ids, rows, size = [], [], 0
     if ids:
@@ -50,17 +56,65 @@ def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ordered_sum((q - x) ** 2) if metric == "l2" else ordered_sum(q * x)
 
 
-def _cost(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Smaller is nearer; approximate in the last bits."""
-    product = q @ x.T
-    return (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * product if metric == "l2" else -product
-
-
-def best(cost: np.ndarray, k: int, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, row number) of all pairs that may be among each query's k of least cost."""
-    k = min(k, cost.shape[1])
-    kth = np.partition(cost, k - 1, axis=1)[:, k - 1]
-    return np.nonzero(cost <= (kth + slack * (1 + np.abs(kth)))[:, None])
+def _cost(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs, smaller is nearer, and how far off rounding may have put them."""
+    q2, x2 = (q**2).sum(1)[:, None], (x**2).sum(1)[None, :]
+    off = 4 * (q.shape[1] + 16) * ROUND * (q2 + x2)
+    return (q2 + x2 - 2 * q @ x.T if metric == "l2" else -(q @ x.T)), off
+
+
+def best(cost: np.ndarray, off: np.ndarray, k: int, kth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, row number) of all pairs that may be among each query's k of least cost.
+    kth: costs that k rows of each query are known to keep."""
+    high = cost + off
+    most = np.partition(high, k - 1, axis=1)[:, k - 1] if k <= cost.shape[1] else np.full(len(cost), np.inf)
+    most = most if kth is None else np.minimum(most, kth)
+    return np.nonzero(~(cost - off > most[:, None]))
+
+
+class Top:
+    """The k ids of least cost of each query, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.cost = np.full((queries, k), np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def kth(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.cost[at, -1]
+
+    def add(self, q: np.ndarray, ids: np.ndarray, cost: np.ndarray) -> None:
+        if not len(q):
+            return
+        rows = np.unique(q)
+        q = np.concatenate([np.repeat(rows, self.k), q])
+        ids, cost = np.concatenate([self.ids[rows].ravel(), ids]), np.concatenate([self.cost[rows].ravel(), cost])
+        order = np.lexsort((ids, cost, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = order[place < self.k]
+        self.ids[rows], self.cost[rows] = ids[keep].reshape(-1, self.k), cost[keep].reshape(-1, self.k)
+
+    def batch(self, names: np.ndarray, sign: float) -> Iterator[pa.RecordBatch]:
+        q, at = np.nonzero(self.ids != np.iinfo(np.int64).max)
+        for i in range(0, len(q), 1 << 16):
+            a, b = q[i : i + (1 << 16)], at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(self.ids[a, b]), pa.array(sign * self.cost[a, b])], names=["qid", "id", "score"])
+
+
+def meet(top: Top, metric: str, q: np.ndarray, at: np.ndarray, x: np.ndarray, ids: np.ndarray, div: np.ndarray | None = None) -> None:
+    """Scores queries number `at` against rows x and keeps the best."""
+    for i in range(0, len(at), TILE):
+        own = at[i : i + TILE]
+        cost, off = _cost(metric, q[own], x)
+        if div is not None:
+            cost, off = cost / div[None, :], off / div[None, :]
+        a, b = best(cost, off, top.k, top.kth(own))
+        for j in range(0, len(a), 1 << 16):
+            m, n = own[a[j : j + (1 << 16)]], b[j : j + (1 << 16)]
+            score = _exact(metric, q[m], x[n])
+            score = score / div[n] if div is not None else score
+            top.add(m, ids[n], score if metric == "l2" else -score)
 
 
 def top(df: DataFrame, k: int, nearest_first: bool) -> DataFrame:
@@ -86,23 +140,14 @@ def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", deco
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            kept, every = Top(len(q), k), np.arange(len(q))
             for whole in batches:
                 for i in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(i, ROWS)
-                    x = read(batch)
                     own = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
                     div = batch.column(scale).to_numpy(zero_copy_only=False) if scale else None
-                    cost = _cost(metric, q, x)
-                    a, b = best(cost / div[None, :] if scale else cost, k)
-                    for j in range(0, len(a), 1 << 16):
-                        m, n = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-                        score = _exact(metric, q[m], x[n])
-                        score = score / div[n] if scale else score
-                        kept = [np.concatenate(p) for p in zip(kept, (m, own[n], score), strict=True)]
-                    kept = _prune(kept, k, metric == "l2")
-            if len(kept[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=["qid", "id", "score"])
+                    meet(kept, metric, q, every, read(batch), own, div)
+            yield from kept.batch(ids, 1.0 if metric == "l2" else -1.0)
 
         found = base.mapInArrow(scan, SCHEMA)
         out = found if out is None else out.unionByName(found)
@@ -111,15 +156,6 @@ def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", deco
     return top(out, k, metric == "l2")
 
 
-def _prune(kept: list[np.ndarray], k: int, nearest_first: bool) -> list[np.ndarray]:
-    q, i, s = kept
-    order = np.lexsort((i, s if nearest_first else -s, q))
-    q, i, s = q[order], i[order], s[order]
-    first = np.searchsorted(q, q, "left")
-    ok = np.arange(len(q)) - first < k
-    return [q[ok], i[ok], s[ok]]
-
-
 def search_metric(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """Search under any metric of `distance.METRICS`, as column expressions over query blocks.
 

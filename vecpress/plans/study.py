@@ -175,7 +175,8 @@ def grid(method: str, subquantizers: str = "8,16,32", bits: str = "8", avg_bits:
 
 def configured(config: dict) -> codecs.Codec:
     kinds = {"pq": codecs.Product, "opq": codecs.OptimizedProduct, "sq": codecs.Scalar, "rabitq": codecs.SignBit, "saq": codecs.Segmented}
-    return kinds[config["method"]](**{k: v for k, v in config.items() if k not in ("method", "metric")})
+    plain = ("method", "metric")[: 1 if config["method"] in ("rabitq", "saq") else 2]
+    return kinds[config["method"]](**{k: v for k, v in config.items() if k not in plain})
 
 
 def sweep(x: DataFrame, queries: DataFrame, configs: list[dict], k: int = 10, pairs: int = 1000) -> DataFrame:
