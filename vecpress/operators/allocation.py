@@ -1,7 +1,8 @@
 """Bits for dimensions: greedy, optimal and analytic allocation, and sub-quantizer counts.
 
 Vectors of costs have D times a few entries, whatever the number of rows, so this runs on the
-driver; `greedy_ranked` states the greedy rule as one ranking, which SQL can check.
+driver. Where gains fall from bit to bit the greedy rule is one ranking of all gains, and its
+result the least cost, which SQL can check.
 """
 
 from __future__ import annotations

@@ -60,6 +60,16 @@ class Codec:
 
         return map_batches(x, run, "vec_id long, v array<double>, r array<double>")
 
+    def reconstruct_ids(self, codes: DataFrame, ids: DataFrame) -> DataFrame:
+        """(vec_id, v) of the codes whose id is in ids (vec_id); ids without a code give no row. A
+        codec that was not fitted, and a negative id, are errors."""
+        if not hasattr(self, "dims"):
+            raise RuntimeError(f"{self.name} reconstructs after it was fitted")
+        wanted = ids.select("vec_id").distinct()
+        if not wanted.where("vec_id < 0").isEmpty():
+            raise ValueError("ids are not negative")
+        return self.decode(codes.join(wanted, "vec_id", "left_semi"))
+
     def compression_ratio(self) -> float:
         return 4 * self.dims / self.code_size()
 
@@ -370,23 +380,43 @@ class RankAware(Codec):
 
 class Segmented(Codec):
     """Principal axes cut into segments of equal bits. Each segment is rotated, put on a grid
-    over its own largest entry, and its codes are moved step by step while the cosine between
-    segment and grid point grows. A row keeps for each segment its squared norm and the factor
-    that scales the grid point (two float32)."""
+    over its own largest entry or on levels of each dimension that are learned (codebook lloyd or
+    exact, on about `sample` rows), and its codes are moved step by step while the cosine between
+    segment and point grows. A row keeps for each segment its squared norm and the factor that
+    scales the point (two float32).
+
+    axes False takes the plain dimensions in place of the principal axes. prune: searches by
+    estimate bound a row by its segments' norms first and decode only rows that may be among the
+    best; the estimate is then never on the wrong side of that bound."""
 
     name = "saq"
 
-    def __init__(self, avg_bits: float = 4, joint: bool = True, rounds: int = 6, block: int = 16, max_bits: int = 8, rotate: bool = True, seed: int = 0, metric: str = "l2"):
+    def __init__(self, avg_bits: float = 4, joint: bool = True, rounds: int = 6, block: int = 16, max_bits: int = 8, rotate: bool = True, seed: int = 0, metric: str = "l2", codebook: str = "grid", sample: int | None = 200_000, axes: bool = True, prune: bool = False):
+        if codebook not in ("grid", "lloyd", "exact"):
+            raise ValueError("codebook grid, lloyd or exact")
         self.metric = distance.metric(metric)
         self.avg_bits, self.joint, self.rounds, self.block, self.max_bits, self.rotate, self.seed = avg_bits, joint, rounds, block, max_bits, rotate, seed
+        self.codebook, self.sample, self.principal, self.prune = codebook, sample, axes, prune
 
     def fit(self, x: DataFrame) -> Segmented:
-        self.mean, self.axes, self.variance = moments.pca(x)
+        if self.principal:
+            self.mean, self.axes, self.variance = moments.pca(x)
+        else:
+            got = moments.dim_stats(x)
+            self.mean, self.variance, self.axes = got["mean"], got["var"], np.eye(len(got["mean"]))
         self.dims = len(self.mean)
         self.plan = allocation.segments(self.variance, self.avg_bits, self.block, self.max_bits, self.joint)
         self.turns = [moments.random_rotation(n, self.seed + i) if self.rotate else np.eye(n) for i, (n, _) in enumerate(self.plan)]
+        if self.codebook != "grid":
+            turned = map_batches(x, lambda b: {"vec_id": b.column("vec_id"), "v": to_lists(self._turned(to_matrix(b.column("v"))))}, "vec_id long, v array<double>")
+            books = kmeans.per_dimension(turned, sorted({b for _, b in self.plan if b}), self.codebook, self.sample)
+            self.levels = [_square([books[d, bits] for d in range(own.start, own.stop)], 1 << bits) if bits else np.zeros((own.stop - own.start, 1)) for own, bits, _ in self._pieces()]
         return self
 
+    def _turned(self, rows: np.ndarray) -> np.ndarray:
+        y = (rows - self.mean) @ self.axes
+        return np.concatenate([y[:, own] @ turn for own, _, turn in self._pieces()], axis=1)
+
     def code_size(self) -> int:
         return sum(-(-n * b // 8) + 8 for n, b in self.plan)
 
@@ -400,20 +430,29 @@ class Segmented(Codec):
             at += n
         return out
 
+    def _levels(self, segment: int) -> np.ndarray:
+        """(dimensions, 2**bits) levels of a segment, rising."""
+        n, bits = self.plan[segment]
+        return np.tile(grid(np.arange(1 << bits), bits), (n, 1)) if self.codebook == "grid" else self.levels[segment]
+
     def _encode(self, rows: np.ndarray) -> np.ndarray:
         y = (rows - self.mean) @ self.axes
         out = []
-        for own, bits, turn in self._pieces():
+        for segment, (own, bits, turn) in enumerate(self._pieces()):
             o = y[:, own] @ turn
             norm2 = (o**2).sum(1)
             if not bits:
                 out.append(np.stack([norm2, np.zeros(len(o))], 1).astype("<f4").view(np.uint8).reshape(len(o), 8))
                 continue
-            codes = grid_codes(o, bits)
-            codes = adjust(o, codes, bits, self.rounds)
-            point = grid(codes, bits)
+            levels = self._levels(segment)
+            if self.codebook == "grid":
+                codes = grid_codes(o, bits)
+            else:
+                codes = np.stack([kmeans.levels_of(o[:, d], levels[d]) for d in range(o.shape[1])], axis=1)
+            codes = adjust(o, codes, bits, self.rounds, levels=levels)
+            point = levels[np.arange(o.shape[1]), codes]
             ip = (o * point).sum(1)
-            scale = np.where(ip > 0, norm2 / np.where(ip > 0, ip, 1), 0)  # takes a grid point of the unit cube to the segment
+            scale = np.where(ip > 0, norm2 / np.where(ip > 0, ip, 1), 0)  # takes the point to the segment
             side = np.stack([norm2, scale], 1).astype("<f4").view(np.uint8).reshape(len(o), 8)
             out += [bitpack.pack_dense(codes, np.full(codes.shape[1], bits)), side]
         return np.concatenate(out, axis=1)
@@ -421,11 +460,11 @@ class Segmented(Codec):
     def unpack(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each segment: its points in the rotated axes, squared norms, scales."""
         at, out = 0, []
-        for (n, bits), _ in zip(self.plan, self.turns, strict=True):
+        for segment, (n, bits) in enumerate(self.plan):
             size = -(-n * bits // 8)
             side = codes[:, at + size : at + size + 8].copy().view("<f4").astype(np.float64)
             if bits:
-                point = grid(bitpack.unpack_dense(codes[:, at : at + size], np.full(n, bits)), bits)
+                point = self._levels(segment)[np.arange(n), bitpack.unpack_dense(codes[:, at : at + size], np.full(n, bits))]
             else:
                 point = np.zeros((len(codes), n))
             out.append((point * side[:, 1:], side[:, 0], side[:, 1]))
@@ -436,7 +475,28 @@ class Segmented(Codec):
         y = np.concatenate([point @ turn.T for (point, _, _), turn in zip(self.unpack(codes), self.turns, strict=True)], axis=1)
         return y @ self.axes.T + self.mean
 
+    def bound(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Least squared distances, or largest inner products, that the norms of a row's segments
+        leave room for (queries, rows). Reads no codes but the norms beside them."""
+        q = (queries if self.metric == "ip" else queries - self.mean) @ self.axes
+        total = np.repeat((queries @ self.mean)[:, None], len(codes), 1) if self.metric == "ip" else np.zeros((len(q), len(codes)))
+        at = 0
+        for own, bits, _ in self._pieces():
+            at += -(-(own.stop - own.start) * bits // 8)
+            size = np.sqrt(codes[:, at : at + 4].copy().view("<f4").astype(np.float64).ravel())[None, :] * (1 + 1e-6)  # as a float32 may round it
+            part = np.sqrt((q[:, own] ** 2).sum(1))[:, None]
+            total += part * size if self.metric == "ip" else np.maximum(np.abs(part - size) - 2e-6 * size, 0) ** 2
+            at += 8
+        return total
+
     def estimate(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """The estimates of `_estimate`, if `prune` within `bound`."""
+        out = self._estimate(codes, queries)
+        if not self.prune:
+            return out
+        return (np.minimum if self.metric == "ip" else np.maximum)(out, self.bound(codes, queries))
+
+    def _estimate(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Estimated squared distances (queries, rows): for each segment the two squared norms
         less twice the scaled inner product; never below zero. Or inner products: those with the
         mean and with each segment's scaled point."""
@@ -467,29 +527,37 @@ def grid(codes: np.ndarray, bits: int) -> np.ndarray:
     return (codes + 0.5) * (2 / 2**bits) - 1
 
 
-def adjust(o: np.ndarray, codes: np.ndarray, bits: int, rounds: int, eps: float = 1e-8) -> np.ndarray:
-    """Moves codes by one, dimension by dimension, as long as the cosine with o grows; a round
-    without a move ends it. Rows go side by side, dimensions one after another."""
-    codes, top, step = codes.copy(), 2**bits - 1, 2 / 2**bits
+def adjust(o: np.ndarray, codes: np.ndarray, bits: int, rounds: int, eps: float = 1e-8, levels: np.ndarray | None = None) -> np.ndarray:
+    """Moves codes by one level, dimension by dimension, as long as the cosine with o grows; a
+    round without a move ends it. Rows go side by side, dimensions one after another. levels:
+    (dimensions, 2**bits), rising; the grid's without them."""
+    levels = np.tile(grid(np.arange(1 << bits), bits), (o.shape[1], 1)) if levels is None else levels
+    codes, top, every = codes.copy(), levels.shape[1] - 1, np.arange(o.shape[1])
     for _ in range(rounds):
-        point = grid(codes, bits)
+        point = levels[every, codes]
         ip, size = (o * point).sum(1), (point**2).sum(1)
         moves = 0
         for d in range(o.shape[1]):
             for sign in (1, -1):
                 new = codes[:, d] + sign
-                new_ip = ip + sign * step * o[:, d]
-                new_size = size + 2 * sign * step * point[:, d] + step**2
+                to = levels[d, np.clip(new, 0, top)]
+                new_ip = ip + (to - point[:, d]) * o[:, d]
+                new_size = size + to**2 - point[:, d] ** 2
                 better = (new >= 0) & (new <= top) & (new_ip > 0) & ((ip**2 + eps * size) * new_size < new_ip**2 * size)
                 moves += int(better.sum())
                 codes[:, d] = np.where(better, new, codes[:, d])
-                point[:, d] = np.where(better, point[:, d] + sign * step, point[:, d])
+                point[:, d] = np.where(better, to, point[:, d])
                 ip, size = np.where(better, new_ip, ip), np.where(better, new_size, size)
         if not moves:
             break
     return codes
 
 
+def _square(books: list[np.ndarray], width: int) -> np.ndarray:
+    """Levels of several dimensions as one matrix; a dimension with fewer repeats its last one."""
+    return np.stack([np.concatenate([b, np.full(width - len(b), b[-1])]) for b in books])
+
+
 def downsample(codes: np.ndarray, bits: int, fewer: int) -> np.ndarray:
     """Codes of a finer grid as those of a coarser one."""
     return codes >> (bits - fewer)

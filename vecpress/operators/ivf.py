@@ -38,16 +38,20 @@ def probe(queries: np.ndarray, centroids: np.ndarray, nprobe: int, metric: str =
 
 class IVF:
     """codec None keeps rows as they are. per_cell: a scalar codec fitted on each cell's
-    residuals; else one codec for the residuals of all cells."""
+    residuals; else one codec for the residuals of all cells. Centroids are fitted on about
+    rows_per_cell rows for each cell, drawn by a hash of the id, or on all rows if that is None
+    or more than there are; every row is indexed."""
 
-    def __init__(self, cells: int | None = None, codec: Codec | None = None, metric: str = "l2", per_cell: bool = False, iterations: int = 10):
-        self.cells, self.codec, self.metric, self.per_cell, self.iterations = cells, codec, metric, per_cell, iterations
+    def __init__(self, cells: int | None = None, codec: Codec | None = None, metric: str = "l2", per_cell: bool = False, iterations: int = 10, rows_per_cell: int | None = 256):
+        self.cells, self.codec, self.metric, self.per_cell, self.iterations, self.rows_per_cell = cells, codec, metric, per_cell, iterations, rows_per_cell
         if per_cell and not isinstance(codec, Scalar):
             raise ValueError("only scalar codes are fitted for each cell; a cell may have too few rows for others")
 
     def fit(self, x: DataFrame) -> IVF:
-        cells = self.cells or default_cells(x.count())
-        self.centroids = kmeans.kmeans(x, cells, self.iterations, self.metric == "ip")
+        rows = x.count()
+        cells = self.cells or default_cells(rows)
+        drawn = kmeans.drawn(x, self.rows_per_cell and self.rows_per_cell * cells, rows)
+        self.centroids = kmeans.kmeans(drawn, cells, self.iterations, self.metric == "ip")
         self.cells = len(self.centroids)
         self.residuals = self._residuals(x)
         if self.per_cell:
@@ -168,14 +172,23 @@ def estimated(kept: Top, codec, q: np.ndarray, to: np.ndarray, code: np.ndarray,
     """Keeps the best of queries number `to` by a codec's estimator; plus: added to a query's scores."""
     for i in range(0, len(to), TILE):
         own = to[i : i + TILE]
-        cost = codec.estimate(code, q[own], *args)
+        rows, names = code, ids
+        if getattr(codec, "prune", False):  # rows that their norms rule out are not decoded
+            least = codec.bound(code, q[own])
+            if codec.metric == "ip":
+                least = -(least if plus is None else least + plus[own, None])
+            some = np.flatnonzero((least <= kept.kth(own)[:, None]).any(0))
+            if not len(some):
+                continue
+            rows, names = code[some], ids[some]
+        cost = codec.estimate(rows, q[own], *args)
         if codec.metric == "ip":
             cost = -(cost if plus is None else cost + plus[own, None])
         limit = np.partition(cost, kept.k - 1, axis=1)[:, kept.k - 1] if cost.shape[1] >= kept.k else np.full(len(own), np.inf)
         a, b = np.nonzero(cost <= np.minimum(limit, kept.kth(own))[:, None])  # with all ties
         for j in range(0, len(a), 1 << 16):
             m, n = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-            kept.add(own[m], ids[n], cost[m, n])
+            kept.add(own[m], names[n], cost[m, n])
 
 
 def estimate_search(codec, codes: DataFrame, queries: DataFrame, k: int, *args) -> DataFrame:
@@ -200,9 +213,9 @@ def estimate_search(codec, codes: DataFrame, queries: DataFrame, k: int, *args)
     return top(out, k, codec.metric == "l2") if out is not None else spark.createDataFrame([], "qid long, rk int, id long, score double")
 
 
-def codebook_query(books: np.ndarray, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def codebook_query(books: np.ndarray, queries: DataFrame, k: int, metric: str = "l2", rotation: np.ndarray | None = None) -> DataFrame:
     """(qid, m, rk, id, score): each query's k nearest centroids of each sub-space, numbered
-    m * ksub + centroid."""
+    m * ksub + centroid. Queries are turned by `rotation` first, as rows of a rotated codec are."""
     if metric not in ("l2", "ip"):
         raise ValueError("codebooks are queried under l2 or ip")
     if books.ndim != 3:
@@ -213,6 +226,7 @@ def codebook_query(books: np.ndarray, queries: DataFrame, k: int, metric: str =
         books = sent.value
         m, ksub, width = books.shape
         q = to_matrix(b.column("q"))
+        q = q @ rotation if rotation is not None and len(q) else q
         if len(q) and q.shape[1] != m * width:
             raise ValueError(f"queries have {q.shape[1]} dimensions, the codebook {m * width}")
         qid = b.column("qid").to_numpy()

@@ -28,6 +28,15 @@ def first_rows(x: DataFrame, k: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], np.float64)
 
 
+def drawn(x: DataFrame, most: int | None, rows: int | None = None) -> DataFrame:
+    """About `most` rows of x by a hash of the id; all of them if that is None or not fewer."""
+    if most is None:
+        return x
+    share = most / max(x.count() if rows is None else rows, 1)
+    u = F.xxhash64("vec_id", F.lit(2)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    return x if share >= 1 else x.where(u < share)
+
+
 def kmeans(x: DataFrame, k: int, iterations: int = 10, spherical: bool = False) -> np.ndarray:
     """Lloyd's iterations from the first k rows; an empty cell keeps its centroid."""
     c = first_rows(x, k)
@@ -186,10 +195,7 @@ def per_dimension(x: DataFrame, bits: list[int], method: str = "lloyd", sample:
     """Codebook of each (dimension, bits), trained on all rows, or on about `sample` drawn by a
     hash of the id. 0 bits is the single level 0. A histogram is counted where the rows are;
     the other methods take one group a dimension, whose values one task holds."""
-    if sample is not None:
-        share = min(1.0, sample / max(x.count(), 1))
-        u = F.xxhash64("vec_id", F.lit(2)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-        x = x.where(u < share)
+    x = drawn(x, sample)
     if method == "histogram":
         books = {(d, 0): np.zeros(1) for d in range(len(first_rows(x, 1)[0]))} if 0 in bits else {}
         for d, (n, total) in enumerate(zip(*histograms(x), strict=True)):

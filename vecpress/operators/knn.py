@@ -124,14 +124,17 @@ def top(df: DataFrame, k: int, nearest_first: bool) -> DataFrame:
     return df.withColumn("rk", rank).where(F.col("rk") <= k).select("qid", "rk", "id", "score")
 
 
-def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decode: Callable[[pa.RecordBatch], np.ndarray] | None = None, scale: str | None = None) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decode: Callable[[pa.RecordBatch], np.ndarray] | None = None, scale: str | None = None, full: bool = False) -> DataFrame:
     """Exact search. base: vec_id and v (or what `decode` makes rows of); queries: qid, q.
 
     metric l2 scores squared distances, ip inner products, largest first. `scale` names a
-    column of base by which an inner product is divided (the normalised score).
+    column of base by which an inner product is divided (the normalised score). A base of fewer
+    than k rows gives shorter results, or with `full` an error.
     """
     if k <= 0:
         return base.sparkSession.createDataFrame([], "qid long, rk int, id long, score double")
+    if full and base.limit(k).count() < k:
+        raise ValueError(f"the table has fewer than {k} rows")
     read = decode or (lambda batch: to_matrix(batch.column("v")))
     spark = base.sparkSession
     out = None

@@ -21,8 +21,8 @@ METHODS: dict[str, Callable[[float, int], codecs.Codec]] = {
     "rabitq": lambda bpd, dims: codecs.MultiBit(int(bpd)) if bpd > 1 else codecs.SignBit(),
     "lvq": lambda bpd, dims: codecs.Local(int(bpd)),
     "saq_paper": lambda bpd, dims: codecs.Segmented(bpd, joint=True),
-    "ours": lambda bpd, dims: codecs.Segmented(bpd, joint=False),
-    "ours_exact": lambda bpd, dims: codecs.RankAware(bpd, 0.0, packing="dense", codebook="exact"),
+    "ours": lambda bpd, dims: codecs.Segmented(bpd, joint=False, codebook="lloyd"),
+    "ours_exact": lambda bpd, dims: codecs.Segmented(bpd, joint=False, codebook="exact"),
     "rankaware": lambda bpd, dims: codecs.RankAware(bpd, 0.5, codebook="lloyd"),
     "perdim_mse": lambda bpd, dims: codecs.RankAware(bpd, 0.0, codebook="lloyd"),
     "rankaware_exact": lambda bpd, dims: codecs.RankAware(bpd, 0.5, codebook="exact"),

@@ -20,17 +20,20 @@ from vecpress.operators import knn
 from vecpress.sources import fvecs
 
 TRUTH_K = 100
+#: Usual names of a text column, in order of preference.
 TEXT_COLUMNS = ("passage", "text", "body", "document", "content")
 
 _own_dir: str | None = None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path that all executors share: under spark.checkpoint.dir, or a folder of our own
-    where that is unset."""
+    """A fresh path that all executors share: under spark.checkpoint.dir. Where that is unset a
+    local master gets a folder of its own; for a cluster it is an error."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="vecpress-")
         base = _own_dir
     return f"{base.rstrip('/')}/vecpress/{name}-{uuid.uuid4().hex}"
@@ -137,14 +140,26 @@ def text_column(df: DataFrame) -> DataFrame:
     return df.select(F.col(name).alias("text"))
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with vec_id: the place of each row, files by name. It does not depend on how
+    files are split among tasks."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    at, firsts = 0, []
+    for name, rows in sorted((r[0], r[1]) for r in df.groupBy("__file").count().collect()):  # one row a file
+        firsts.append((name, at))
+        at += rows
+    table = spark.createDataFrame(firsts, "__name string, __first long")
+    found = df.join(F.broadcast(table), F.col("__file") == F.col("__name"))
+    return found.withColumn("vec_id", F.col("__at") + F.col("__first")).drop("__file", "__at", "__name", "__first")
+
+
 def embedding_table(spark: SparkSession, path: str, limit: int | None = None, columns: tuple[str, ...] = ("emb", "embedding", "vector")) -> DataFrame:
-    """(vec_id, v) of a Parquet table of vectors; rows without an id are numbered by a hash order."""
+    """(vec_id, v) of a Parquet table of vectors; rows without an id are numbered by their place."""
     df = spark.read.parquet(path)
     name = next((c for c in columns if c in df.columns), None)
     if name is None:
         raise ValueError(f"none of {columns} among {df.columns}")
-    df = df if "vec_id" in df.columns else df.withColumn("vec_id", F.monotonically_increasing_id())
-    x = vectors(df, name)
+    x = vectors(df if "vec_id" in df.columns else numbered(spark, path), name)
     return x.limit(limit) if limit else x
 
 
@@ -189,6 +204,8 @@ def cached_truth(spark: SparkSession, folder: str, key: tuple, make) -> DataFram
 
 @dataclass
 class StudyConfig:
+    """The names and defaults are those of the configuration files it reads."""
+
     name: str
     base: str
     queries: str

@@ -20,10 +20,16 @@ def stream_vectors(spark: SparkSession, folder: str, files_per_batch: int = 1, p
     return vectors(reader.parquet(folder))
 
 
+def train_on_first(codec: Codec, x: DataFrame, rows: int) -> Codec:
+    """The codec, fitted on the rows with the `rows` smallest ids: what a stream has to go by
+    before the rest of it is there."""
+    return codec.fit(x.orderBy("vec_id").limit(rows))
+
+
 def streaming_distortion(stream: DataFrame, codec: Codec, checkpoint: str, name: str = "distortion", max_batches: int | None = None) -> DataFrame:
     """Mean squared error of a row over all the stream has, as (distortion, n).
 
-    max_batches stops after so many micro-batches; what they held is the result.
+    max_batches stops the stream after so many micro-batches; what they held is the result.
     """
     spark = stream.sparkSession
     pairs = codec.reconstruct(stream)
@@ -42,6 +48,8 @@ def streaming_distortion(stream: DataFrame, codec: Codec, checkpoint: str, name:
                 seen.append((e, n))
 
         query = error.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
-        query.awaitTermination()
+        while not query.awaitTermination(1) and len(seen) < max_batches:
+            pass
+        query.stop()
         total = spark.createDataFrame(seen, "e double, n long").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
     return total.select((F.col("e") / F.col("n")).alias("distortion"), F.col("n"))
