@@ -11,7 +11,8 @@ from __future__ import annotations
 from vecpress.operators import allocation, moments
 
 DIMS = 64
-QUERIES = 100
+HELD_OUT = 100
+CELLS, PROBES = 8, 7
 
 #: A table of study results with ties, a rerun of one cell and a missing number.
 RUNS = [
@@ -58,7 +59,8 @@ def _metric(name: str, a: str = "q.q", b: str = "x.v") -> str:
     if name == "jaccard":
         return f"1 - {f('low')} / {f('high')}"
     if name == "nan_euclidean":
-        return f"sqrt({f('l2')} * len({b}) / len({b}))"
+        both = f"list_filter(list_zip({a}, {b}), lambda p: NOT isnan(p[1]) AND NOT isnan(p[2]))"
+        return f"sqrt(list_reduce(list_transform({both}, lambda p: {_TERMS['l2']}), lambda s, t: s + t) * len({b}) / len({both}))"
     if name == "jensenshannon":  # of entries that are shares already
         part = lambda w: f"CASE WHEN {w} > 0 THEN {w} * ln({w} / ((p[1] + p[2]) / 2)) ELSE 0.0 END"
         return fold(f"(({part('p[1]')}) + ({part('p[2]')})) / 2", a, b)
@@ -69,8 +71,9 @@ METRIC_TERMS = ("l1", "linf", "lp", "canberra", "braycurtis", "jensenshannon", "
 
 X = "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
 SCALED = "x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e * (1 + vec_id % 7)) AS v FROM embeddings)"
+HOLES = "x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e, d: CASE WHEN (vec_id + d - 1) % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE e * (1 + vec_id % 7) END) AS v FROM embeddings)"
 TAPERED = "x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e, d: e * (CAST(4.0 AS DOUBLE) - CAST(3.8 AS DOUBLE) * (d - 1) / CAST(63.0 AS DOUBLE))) AS v FROM embeddings)"
-Q = f"q AS (SELECT vec_id AS qid, v AS q FROM x ORDER BY vec_id LIMIT {QUERIES})"
+Q = "q AS (SELECT vec_id AS qid, v AS q FROM x WHERE vec_id % 100 = 0)"
 E = "e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM x)"
 MEAN = "mu AS (SELECT list(m ORDER BY d) AS mu FROM (SELECT d, avg(x) AS m FROM e GROUP BY d))"
 RANGE = "rg AS (SELECT list(a ORDER BY d) AS mn, list(b ORDER BY d) AS mx FROM (SELECT d, min(x) AS a, max(x) AS b FROM e GROUP BY d))"
@@ -145,17 +148,20 @@ def flat_search(ctes: str, metric: str, k: int = 10, order: str = "score") -> st
 # --- k-means and product codes ---------------------------------------------------------------
 
 
-def kmeans_ctes(k: int, steps: int) -> str:
-    """CTEs up to cen (cell, c) after `steps` iterations and asg (vec_id, v, cell, dist)."""
+def kmeans_ctes(k: int, steps: int, metric: str = "l2") -> str:
+    """CTEs up to cen (cell, c) after `steps` iterations and asg (vec_id, v, cell, dist). metric ip:
+    by inner products, centroids scaled to length one."""
+    order, norm = ("", "c") if metric == "l2" else (" DESC", "list_transform(c, lambda e: e / greatest(sqrt(" + fold("p[1] * p[2]", "c", "c") + "), 1e-12))")
     out = [f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, v AS c FROM (SELECT * FROM x ORDER BY vec_id LIMIT {k}))"]
     for i in range(steps + 1):
         out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v, cell, dist FROM (
-  SELECT x.vec_id, x.v, cell, {_metric('l2', 'x.v', 'c')} AS dist,
-         row_number() OVER (PARTITION BY x.vec_id ORDER BY {_metric('l2', 'x.v', 'c')}, cell) AS rk FROM x, c{i}) WHERE rk = 1)""")
+  SELECT x.vec_id, x.v, cell, {_metric(metric, 'x.v', 'c')} AS dist,
+         row_number() OVER (PARTITION BY x.vec_id ORDER BY {_metric(metric, 'x.v', 'c')}{order}, cell) AS rk FROM x, c{i}) WHERE rk = 1)""")
         if i < steps:
-            out.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.cell, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+            out.append(f"""n{i + 1} AS MATERIALIZED (SELECT c{i}.cell, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
   SELECT cell, list(m ORDER BY d) AS c FROM (SELECT cell, d, avg(u) AS m FROM (
-    SELECT cell, unnest(v) AS u, unnest(range(len(v))) AS d FROM a{i}) GROUP BY cell, d) GROUP BY cell) n ON n.cell = c{i}.cell)""")
+    SELECT cell, unnest(v) AS u, unnest(range(len(v))) AS d FROM a{i}) GROUP BY cell, d) GROUP BY cell) n ON n.cell = c{i}.cell),
+c{i + 1} AS MATERIALIZED (SELECT cell, {norm} AS c FROM n{i + 1})""")
     out += [f"cen AS (SELECT * FROM c{steps})", f"asg AS (SELECT * FROM a{steps})"]
     return ", ".join(out)
 
@@ -179,16 +185,20 @@ def pq_ctes(source: str, m: int, ksub: int, steps: int) -> str:
     return ", ".join(out)
 
 
-PROBE = f"""pr AS MATERIALIZED (SELECT qid, q, cell, rk FROM (
-  SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY {_metric('l2', 'q.q', 'c')}, cell) AS rk FROM q, cen) WHERE rk <= 3)"""
+def probe(metric: str = "l2") -> str:
+    order = "" if metric == "l2" else " DESC"
+    return f"""pr AS MATERIALIZED (SELECT qid, q, cell, c, rk FROM (
+  SELECT qid, q, cell, c, row_number() OVER (PARTITION BY qid ORDER BY {_metric(metric, 'q.q', 'c')}{order}, cell) AS rk FROM q, cen) WHERE rk <= {PROBES})"""
+
+
 RESIDUAL = "rs AS MATERIALIZED (SELECT vec_id, asg.cell, c, list_transform(list_zip(asg.v, c), lambda p: p[1] - p[2]) AS v FROM asg JOIN cen ON asg.cell = cen.cell)"
 PLUS_C = "list_transform(list_zip({r}, c), lambda p: p[1] + p[2])"
 
 
-def ivf(ctes: str, rows: str, k: int = 10) -> str:
+def ivf(ctes: str, rows: str, k: int = 10, metric: str = "l2") -> str:
     """rows: SELECT of (vec_id, cell, r), r the decoded row."""
-    scored = f"SELECT qid, w.vec_id AS id, {_metric('l2', 'pr.q', 'w.r')} AS score FROM pr JOIN w ON pr.cell = w.cell"
-    return f"WITH {X}, {Q}, {kmeans_ctes(8, 3)}, {PROBE}, {RESIDUAL}{ctes}, w AS MATERIALIZED ({rows}) " + top(scored, k, places=9)
+    scored = f"SELECT qid, w.vec_id AS id, {_metric(metric, 'pr.q', 'w.r')} AS score FROM pr JOIN w ON pr.cell = w.cell"
+    return f"WITH {X}, {Q}, {kmeans_ctes(CELLS, 3, metric)}, {probe(metric)}, {RESIDUAL}{ctes}, w AS MATERIALIZED ({rows}) " + top(scored, k, "score" if metric == "l2" else "score DESC", places=9)
 
 
 SIGNS = f"""{E}, {MEAN}, o AS (SELECT vec_id, mu, list_transform(list_zip(v, mu), lambda p: p[1] - p[2]) AS o FROM x, mu),
@@ -198,12 +208,106 @@ rf AS (SELECT vec_id, mu, list_transform(o, lambda t: CASE WHEN t > 0 THEN 1 ELS
   CAST(CAST(norm2 AS FLOAT) AS DOUBLE) AS norm2, CAST(CAST(CASE WHEN spread > 0 THEN norm2 / spread ELSE 0 END AS FLOAT) AS DOUBLE) AS factor FROM rb)"""
 
 
-def _rabitq_search() -> str:
-    return f"""WITH {X}, {Q}, {SIGNS},
-qc AS (SELECT qid, list_transform(list_zip(q, mu), lambda p: p[1] - p[2]) AS q FROM q, mu),
-qs AS (SELECT qid, q, list_min(q) AS low, greatest((list_max(q) - list_min(q)) / 15, 1e-30) AS step FROM qc),
-qq AS (SELECT qid, {fold('p[1] * p[2]', 'q', 'q')} AS q2, list_transform(q, lambda e: round_even((e - low) / step, 0) * step + low) AS near FROM qs)
-""" + top(f"SELECT qid, vec_id AS id, greatest(0, norm2 + q2 - 2 * {fold(f'p[1] * (p[2] * 2 - 1) / sqrt({DIMS}.0)', 'near', 'bits')} * factor) AS score FROM qq, rf", 10, places=5)
+NEAR = "list_transform(q, lambda e: round_even((e - low) / step, 0) * step + low)"
+SIGN_IP = fold(f"p[1] * (p[2] * 2 - 1) / sqrt({DIMS}.0)", "near", "bits")
+
+
+def _rabitq_search(metric: str) -> str:
+    """Under ip a row keeps its squared length about the mean less that about zero."""
+    source, signs, score, order, places = X, SIGNS, f"greatest(0, norm2 + q2 - 2 * {SIGN_IP} * factor)", "score", 5
+    if metric == "ip":
+        source, order, places = SCALED, "score DESC", 4
+        signs = SIGNS.replace("SELECT vec_id, mu, list_transform(list_zip(v, mu)", "SELECT vec_id, v, mu, list_transform(list_zip(v, mu)").replace("rb AS (SELECT vec_id, mu, o,", "rb AS (SELECT vec_id, v, mu, o,")
+        signs = signs.replace("CAST(CAST(norm2 AS FLOAT) AS DOUBLE)", f"CAST(CAST(norm2 - {fold('p[1] * p[2]', 'v', 'v')} AS FLOAT) AS DOUBLE)")
+        score = f"(raw2 - (norm2 + q2 - 2 * {SIGN_IP} * factor)) / 2"
+    return f"""WITH {source}, {Q}, {signs},
+qc AS (SELECT qid, {fold('p[1] * p[2]', 'q', 'q')} AS raw2, list_transform(list_zip(q, mu), lambda p: p[1] - p[2]) AS q FROM q, mu),
+qs AS (SELECT qid, raw2, q, list_min(q) AS low, greatest((list_max(q) - list_min(q)) / 15, 1e-30) AS step FROM qc),
+qq AS (SELECT qid, raw2, {fold('p[1] * p[2]', 'q', 'q')} AS q2, {NEAR} AS near FROM qs)
+""" + top(f"SELECT qid, vec_id AS id, {score} AS score FROM qq, rf", 10, order, places)
+
+
+def _rabitq_ivf(metric: str) -> str:
+    """Sign-bit codes of residuals. Under l2 a query is a residual of the cell too; under ip it is
+    itself, and its product with the centroid is added."""
+    signs = SIGNS.replace("FROM x)", "FROM rs)").replace("FROM x, mu)", "FROM rs, mu)").replace("SELECT vec_id, mu,", "SELECT vec_id, cell, v, mu,")
+    plus, score, order, mine = "0.0", f"greatest(0, norm2 + q2 - 2 * {SIGN_IP} * factor)", "score", "list_transform(list_zip(q, c), lambda p: p[1] - p[2])"
+    if metric == "ip":
+        signs = signs.replace("CAST(CAST(norm2 AS FLOAT) AS DOUBLE)", f"CAST(CAST(norm2 - {fold('p[1] * p[2]', 'v', 'v')} AS FLOAT) AS DOUBLE)")
+        plus, order, mine = fold("p[1] * p[2]", "q", "c"), "score DESC", "q"
+        score = f"(raw2 - (norm2 + q2 - 2 * {SIGN_IP} * factor)) / 2 + plus"
+    return f"""WITH {X}, {Q}, {kmeans_ctes(CELLS, 3, metric)}, {probe(metric)}, {RESIDUAL}, {signs},
+q0 AS (SELECT qid, cell, {plus} AS plus, {fold('p[1] * p[2]', 'q', 'q')} AS raw2, {mine} AS q FROM pr),
+qc AS (SELECT qid, cell, plus, raw2, list_transform(list_zip(q, mu), lambda p: p[1] - p[2]) AS q FROM q0, mu),
+qs AS (SELECT *, list_min(q) AS low, greatest((list_max(q) - list_min(q)) / 15, 1e-30) AS step FROM qc),
+qq AS (SELECT qid, cell, plus, raw2, {fold('p[1] * p[2]', 'q', 'q')} AS q2, {NEAR} AS near FROM qs)
+""" + top(f"SELECT qid, vec_id AS id, {score} AS score FROM qq JOIN rf ON qq.cell = rf.cell", 10, order, 4)
+
+
+# --- segments ----------------------------------------------------------------------------
+
+
+def _block_bits(units: int) -> str:
+    """CTEs up to bl (block, bits): the largest gains of blocks of 16 dimensions, one bit at a time."""
+    curve = [float(t) for t in allocation.normal_distortion()]
+    gains = ", ".join(f"({b + 1}, CAST({curve[b]!r} AS DOUBLE), CAST({curve[b + 1]!r} AS DOUBLE))" for b in range(len(curve) - 1))
+    return f"""{E}, va AS (SELECT d, var_pop(x) AS var FROM e GROUP BY d), vb AS (SELECT d // 16 AS block, sum(var) AS weight FROM va GROUP BY 1), g(b, hi, lo) AS (VALUES {gains}),
+pk AS (SELECT block, b FROM vb, g QUALIFY row_number() OVER (ORDER BY weight * (hi - lo) DESC, block, b) <= {units}),
+bl AS (SELECT vb.block, count(pk.b) AS bits FROM vb LEFT JOIN pk ON vb.block = pk.block GROUP BY vb.block)"""
+
+
+def _grid(units: int) -> str:
+    """CTEs up to sg (vec_id, sid, d, o, point, norm2, scale): each segment on the grid of its
+    largest entry. Neighbouring blocks of equal bits are one segment."""
+    return f"""{_block_bits(units)}, {MEAN},
+si AS (SELECT block, bits, sum(new) OVER (ORDER BY block) AS sid FROM (SELECT *, CASE WHEN bits IS DISTINCT FROM lag(bits) OVER (ORDER BY block) THEN 1 ELSE 0 END AS new FROM bl)),
+oe AS (SELECT vec_id, e.d, sid, bits, x - mu[e.d + 1] AS o FROM e JOIN si ON e.d // 16 = block, mu),
+vm AS (SELECT *, max(abs(o)) OVER (PARTITION BY vec_id, sid) AS m, power(2, bits) AS cells FROM oe),
+pt AS (SELECT *, CASE WHEN bits = 0 THEN 0.0 ELSE (CASE WHEN m > 0 THEN greatest(0, least(cells - 1, floor((o + m) / (2 * m / cells)))) ELSE 0 END + 0.5) * (2 / cells) - 1 END AS point FROM vm),
+sm AS (SELECT vec_id, sid, sum(o * o ORDER BY d) AS norm2, sum(o * point ORDER BY d) AS ip FROM pt GROUP BY vec_id, sid),
+sg AS (SELECT pt.vec_id, pt.sid, d, point, CAST(CAST(norm2 AS FLOAT) AS DOUBLE) AS norm2, CAST(CAST(CASE WHEN ip > 0 THEN norm2 / ip ELSE 0 END AS FLOAT) AS DOUBLE) AS scale
+  FROM pt JOIN sm ON pt.vec_id = sm.vec_id AND pt.sid = sm.sid)"""
+
+
+def _grid_search(metric: str, prune: bool = False) -> str:
+    score = "sum(part)" if metric == "ip" else "greatest(0, sum(norm2 + q2 - 2 * part))"
+    if prune:  # never nearer than the lengths of the segments allow
+        score = f"greatest({score}, sum(power(greatest(abs(sqrt(q2) - sqrt(norm2) * (1 + 1e-6)) - 2e-6 * sqrt(norm2) * (1 + 1e-6), 0), 2)))"
+    centred = "q[d + 1]" if metric == "ip" else "q[d + 1] - mu[d + 1]"
+    mean = fold("p[1] * p[2]", "q", "mu") if metric == "ip" else "0.0"
+    return f"""WITH {TAPERED}, {Q}, {_grid(3 * DIMS // 16)},
+qd AS (SELECT qid, d, {mean} AS plus, {centred} AS q FROM q, mu, range({DIMS}) t(d)),
+sp AS (SELECT qid, vec_id, sid, any_value(plus) AS plus, any_value(norm2) AS norm2, sum(q * q) AS q2, sum(q * point * scale) AS part FROM qd JOIN sg ON qd.d = sg.d GROUP BY qid, vec_id, sid)
+""" + top(f"SELECT qid, vec_id AS id, {score} + any_value(plus) AS score FROM sp GROUP BY qid, vec_id", 10, "score" if metric == "l2" else "score DESC", 5)
+
+
+# --- two levels a dimension -----------------------------------------------------------------
+
+
+def _two_levels(source: str) -> str:
+    """source: CTEs up to w (d, x, n). The split of each dimension with the least error, then the
+    error of all values about its means."""
+    return f"""WITH {TAPERED}, {E}, {source},
+run AS (SELECT d, x, sum(n) OVER (PARTITION BY d ORDER BY x) AS n1, sum(n * x) OVER (PARTITION BY d ORDER BY x) AS s1, sum(n) OVER (PARTITION BY d) AS n, sum(n * x) OVER (PARTITION BY d) AS s FROM w),
+cut AS (SELECT d, s1 / n1 AS low, (s - s1) / (n - n1) AS high FROM run WHERE n1 < n QUALIFY row_number() OVER (PARTITION BY d ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) DESC) = 1)
+{_TWO_ERRORS}"""
+
+
+_TWO_ERRORS = """SELECT CAST(e.d AS INTEGER) AS d, round(any_value(low), 7) AS low, round(any_value(high), 7) AS high,
+  round(sum(CASE WHEN x <= (low + high) / 2 THEN (x - low) * (x - low) ELSE (x - high) * (x - high) END), 7) AS error FROM e JOIN cut ON e.d = cut.d GROUP BY e.d"""
+BINNED = "lim AS (SELECT d, min(x) AS a, max(x) AS b FROM e GROUP BY d), w AS (SELECT e.d, avg(x) AS x, count(*) AS n FROM e JOIN lim ON e.d = lim.d GROUP BY e.d, CAST(least(floor((x - a) / ((b - a) / 500)), 499) AS INTEGER))"
+
+
+def _two_lloyd(steps: int = 40) -> str:
+    """From the quartiles; the cells of this data stand still well before the last step."""
+    out = ["l0 AS (SELECT d, quantile_cont(x, 0.25) AS low, quantile_cont(x, 0.75) AS high FROM e GROUP BY d)"]
+    for i in range(steps):
+        out.append(f"l{i + 1} AS MATERIALIZED (SELECT e.d, avg(x) FILTER (WHERE x <= (low + high) / 2) AS low, avg(x) FILTER (WHERE x > (low + high) / 2) AS high FROM e JOIN l{i} ON e.d = l{i}.d GROUP BY e.d)")
+    return f"WITH {TAPERED}, {E.replace('e AS (', 'e AS MATERIALIZED (')}, {', '.join(out)}, cut AS (SELECT * FROM l{steps}) {_TWO_ERRORS}"
+
+
+def _divisor(most: str) -> str:
+    return f"CAST((SELECT max(k) FROM range(1, CAST(dims AS BIGINT) + 1) r(k) WHERE dims % k = 0 AND k <= greatest(1, least({most}, dims))) AS INTEGER)"
 
 
 def _extended(bits: int = 4) -> str:
@@ -232,6 +336,19 @@ own AS (SELECT va.d, any_value(var) AS var, count(r.b) AS bits FROM va LEFT JOIN
 SELECT CAST(d AS INTEGER) AS d, CAST(bits AS INTEGER) AS bits{cost} FROM own JOIN ds ON ds.b = own.bits"""
 
 
+def _first_fit() -> str:
+    """Widest fields first, fours after threes, each into the first byte with room."""
+    return f"""WITH RECURSIVE own AS ({_alloc('power(var, 1.5)', [float(t) for t in allocation.normal_distortion()], 3 * DIMS, '')}),
+ord AS (SELECT d, bits, row_number() OVER (ORDER BY CASE bits WHEN 3 THEN 3.5 WHEN 4 THEN 3 ELSE bits END DESC, d) AS i FROM own WHERE bits > 0),
+st(i, used, d, bits, byte, bit) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), -1, 0, -1, -1
+  UNION ALL
+  SELECT i, CASE WHEN p > len(used) THEN list_append(used, bits) ELSE list_transform(used, lambda u, j: CASE WHEN j = p THEN u + bits ELSE u END) END,
+         d, bits, CAST(p - 1 AS INTEGER), CASE WHEN p > len(used) THEN 0 ELSE used[p] END
+  FROM (SELECT o.i, used, o.d, o.bits, coalesce(list_position(list_transform(used, lambda u: u + o.bits <= 8), true), len(used) + 1) AS p FROM st JOIN ord o ON o.i = st.i + 1))
+SELECT d, bits, byte, bit FROM st WHERE i > 0 UNION ALL SELECT d, bits, -1, -1 FROM own WHERE bits = 0"""
+
+
 # --- metrics -----------------------------------------------------------------------------
 
 _RANKED = """gt AS MATERIALIZED (SELECT qid, id, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rk FROM (
@@ -320,11 +437,46 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "sq8_flat_search": flat_search(sq_decoded(8), "l2"),
         "sq8_flat_search_ip": flat_search(sq_decoded(8), "ip", order="score DESC"),
         "lvq4_flat_search": flat_search(lvq_decoded(4), "l2"),
-        "ivf_probe": f"WITH {X}, {Q}, {kmeans_ctes(8, 3)}, {PROBE} SELECT qid, CAST(rk - 1 AS INTEGER) AS rk, cell FROM pr",
+        "ivf_probe": f"WITH {X}, {Q}, {kmeans_ctes(CELLS, 3)}, {probe()} SELECT qid, CAST(rk - 1 AS INTEGER) AS rk, cell FROM pr",
         "ivf_flat_search": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs"),
         "ivf_sq_search": ivf(ivfsq, f"SELECT vec_id, cell, {PLUS_C.format(r='r')} AS r FROM dr"),
         "ivfpq_search": ivf(ivfpq, f"SELECT rs.vec_id, cell, {PLUS_C.format(r='pd.r')} AS r FROM rs JOIN pd ON rs.vec_id = pd.vec_id"),
-        "rabitq_search": _rabitq_search(),
+        "ivf_flat_search_ip": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs", metric="ip"),
+        "ivf_saved_search": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs"),
+        "rabitq_search": _rabitq_search("l2"),
+        "rabitq_search_ip": _rabitq_search("ip"),
+        "rabitq_ivf_search": _rabitq_ivf("l2"),
+        "rabitq_ivf_search_ip": _rabitq_ivf("ip"),
+        "saq_grid_search": _grid_search("l2"),
+        "saq_grid_search_ip": _grid_search("ip"),
+        "saq_grid_search_pruned": _grid_search("l2", True),
+        "saq_grid_decode": f"WITH {TAPERED}, {_grid(3 * DIMS // 16)} SELECT vec_id, CAST(d AS INTEGER) AS d, round(point * scale + mu[d + 1], 6) AS x FROM sg, mu",
+        "lvq4_packed": f"WITH {X}, {lvq_levels(4)} SELECT vec_id, array_to_string(list_transform(l, lambda c: printf('%X', CAST(c AS INTEGER))), '') AS code FROM lv",
+        "reconstruct_ids": elements(sq_decoded(8)) + " WHERE vec_id % 3 = 1",
+        "codebook_export": f"WITH {TAPERED}, {E}, lim AS (SELECT d, min(x) AS a, max(x) AS b FROM e GROUP BY d) SELECT CAST(0 AS BIGINT) AS row, CAST(d AS INTEGER) AS d, round(CAST(CAST(a AS FLOAT) AS DOUBLE), 5) AS x FROM lim UNION ALL SELECT 1, CAST(d AS INTEGER), round(CAST(CAST(b AS FLOAT) AS DOUBLE), 5) FROM lim",
+        "rotation_lengths": f"WITH {SCALED} SELECT vec_id, round(sqrt({fold('p[1] * p[2]', 'v', 'v')}), 8) AS length FROM x",
+        "pca_invariants": f"WITH {TAPERED}, {E}, cv AS (SELECT a.d AS i, b.d AS j, covar_pop(a.x, b.x) AS c FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.d, b.d) SELECT round(sum(c) FILTER (WHERE i = j), 8) AS trace, round(sum(c * c), 8) AS square, CAST(0 AS DOUBLE) AS off, CAST(0 AS DOUBLE) AS skew, true AS falling FROM cv",
+        "packing_bytes": f"SELECT CAST(w AS INTEGER) AS width, CAST(ceil({DIMS} * w / 8.0) AS INTEGER) AS dense, CAST(ceil({DIMS} / (8 // w)) AS INTEGER) AS first_fit, CAST(ceil({DIMS} / (8 // w)) AS INTEGER) AS optimal FROM range(1, 9) t(w)",
+        "segment_plan_joint": f"WITH {TAPERED}, {_block_bits(3 * DIMS // 16)} SELECT CAST(block AS INTEGER) AS block, CAST(bits AS INTEGER) AS bits FROM bl",
+        "segment_plan_greedy": f"WITH {TAPERED}, {_block_bits(3 * DIMS // 16)} SELECT CAST(block AS INTEGER) AS block, CAST(bits AS INTEGER) AS bits FROM bl",
+        "alloc_empirical": _alloc("var", [float(t) for t in allocation.normal_distortion()], 3 * DIMS, ""),
+        "alloc_optimal": _alloc("var", [float(t) for t in allocation.normal_distortion()], 3 * DIMS, ""),
+        "bit_rules": f"""SELECT CAST(dims AS INTEGER) AS dims, bpd, {_divisor('CAST(round_even(bpd * dims, 0) AS BIGINT) // 8')} AS m, {_divisor('dims * CAST(floor(bpd) AS BIGINT) // 8')} AS m_floor,
+  CAST(greatest(1, least(dims, CAST(floor(bpd * dims) AS BIGINT) // 8)) AS INTEGER) AS m_clamped, {_divisor('CAST(floor(bpd * dims) AS BIGINT) // 8')} AS m_divisor,
+  CASE WHEN bpd <= 4.5 THEN 4 WHEN bpd <= 12 THEN 8 ELSE 16 END AS bits, CASE WHEN bpd IN (4, 8, 16) THEN CAST(bpd AS INTEGER) ELSE 8 END AS bits_exact
+FROM (VALUES (64), (96), (100), (1536)) a(dims), (SELECT CAST(bpd AS DOUBLE) AS bpd FROM (VALUES (0.5), (1.0), (2.0), (3.0), (4.0), (8.0), (16.0)) t(bpd))""",
+        "codebook_exact_1bit": _two_levels("w AS (SELECT d, x, count(*) AS n FROM e GROUP BY d, x)"),
+        "codebook_histogram_1bit": _two_levels(BINNED),
+        "codebook_lloyd_1bit": _two_lloyd(),
+        "ivecs_roundtrip": f"WITH {X}, {E} SELECT vec_id, CAST(d AS INTEGER) AS d, CAST(round(x * 1000) AS INTEGER) AS x FROM e",
+        "collection_read": "SELECT doc_id, length(t) AS n, md5(t) AS hash FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\t\\r\\n]', ' ', 'g') AS t FROM documents WHERE doc_id % 7 <> 0)",
+        "text_column": "SELECT md5(text) AS hash FROM documents",
+        "ffd_layout": _first_fit(),
+        "numbered_vectors": f"WITH {X}, {E} SELECT row_number() OVER (PARTITION BY d ORDER BY vec_id) - 1 AS vec_id, CAST(d AS INTEGER) AS d, x FROM e",
+        "truth_cached": knn(SCALED, "ip", 10, "score DESC"),
+        "study_resumed": f"SELECT method, bpd, code_bytes, mse, recall_at_1, recall_at_10, recall_at_100 FROM ({_study()}) WHERE bpd = 8",
+        "bench_sq_flat": recall(f"SELECT 'sq_flat' AS method, round(sum(hits) / CAST(sum(least(k, n_truth)) AS DOUBLE), 9) AS recall, (SELECT count(*) FROM x) * {DIMS // 2} AS memory_bytes, 8.0 AS compression_ratio, 10 AS k, (SELECT count(*) FROM x) AS n FROM h WHERE k = 10"),
+        "streaming_first_rows": f"WITH {X}, {sq_decoded(4).replace(E, 'e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM (SELECT * FROM x ORDER BY vec_id LIMIT 100))')} SELECT round(avg({err}), 9) AS distortion, count(*) AS n FROM dec",
         "codebook_query": f"{product}, {Q}, qm AS (SELECT qid, m, list_slice(q, m * 8 + 1, m * 8 + 8) AS p FROM q, range(8) t(m)), sc AS (SELECT qid, qm.m, idx + 16 * qm.m AS id, {_metric('l2', 'p', 'c')} AS score FROM qm JOIN book ON qm.m = book.m) SELECT qid, CAST(m AS INTEGER) AS m, CAST(rk AS INTEGER) AS rk, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, m ORDER BY score, id) AS rk FROM sc) WHERE rk <= 2",
         "sq4_encode_packed": sq_encode(4),
         "sq8_encode": sq_encode(8),
@@ -360,9 +512,9 @@ SELECT round(avg(e), 9) AS mean, round(quantile_cont(e, 0.5), 9) AS median, roun
         "memory_footprint": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT kind, CAST(bytes AS BIGINT) AS bytes FROM n, LATERAL (VALUES ('flat', n * 32), ('ivf', 16 * 64 * 4 + n * 32), ('ivfpq', 16 * 64 * 4 + n * 32 + 64 * 256 * 4), ('rabitq', n * 32), ('rabitq_ivf', n * 32 + 8 * n + 16 * 64 * 4), ('saq', n * 64 * 4 // 8 + 16 * 64 * 4)) t(kind, bytes)",
         "compression_factor": f"SELECT CAST(bits AS INTEGER) AS bits, CAST(n * {DIMS} * bits // 8 AS BIGINT) AS code_bytes, CAST(n * ({DIMS} * bits // 8 + 4) AS BIGINT) AS code_bytes_with_norm, 4.0 * {DIMS} * n / (n * {DIMS} * bits // 8) AS factor FROM (SELECT count(*) AS n FROM embeddings), (VALUES (4), (8), (16)) t(bits)",
         "study_sq_lvq": _study(),
-        "holdout_split": f"SELECT vec_id, CASE WHEN vec_id < (SELECT max(vec_id) + 1 - {QUERIES} FROM embeddings) THEN 'base' ELSE 'query' END AS side FROM embeddings",
-        "base_query_split": "SELECT vec_id, CASE WHEN vec_id < 300 THEN 'base' ELSE 'query' END AS side FROM embeddings WHERE vec_id < 400",
+        "holdout_split": f"SELECT vec_id, CASE WHEN vec_id < (SELECT max(vec_id) + 1 - {HELD_OUT} FROM embeddings) THEN 'base' ELSE 'query' END AS side FROM embeddings",
+        "base_query_split": "SELECT vec_id, CASE WHEN vec_id < (SELECT count(*) * 4 // 5 FROM embeddings) THEN 'base' ELSE 'query' END AS side FROM embeddings",
         "fvecs_roundtrip": f"WITH {X}, {E} SELECT vec_id, CAST(d AS INTEGER) AS d, x FROM e",
     }
-    out |= {f"knn_metric_{m}": knn(SCALED, m, 10, places=9) for m in METRIC_TERMS}
+    out |= {f"knn_metric_{m}": knn(HOLES if m == "nan_euclidean" else SCALED, m, 10, places=9) for m in METRIC_TERMS}
     return out | _reports()

@@ -1,8 +1,9 @@
 """Registered queries of the vector engine, each with its DuckDB SQL where SQL can express it.
 
-All run over the whole `embeddings` table. The query set of a search is its first 100 rows,
-as a dataset's default is; `scaled` and `tapered` variants of the vectors make norms and
-variances unequal, which the table's unit vectors do not have.
+All run over the whole `embeddings` table. The queries of a search are all rows whose vec_id is
+divisible by 100; `scaled` and `tapered` variants of the vectors make norms and variances
+unequal, which the table's unit vectors do not have. Inverted files probe PROBES of CELLS cells:
+what that recalls of the exact results is held at 0.9 or more by a test.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.functions.arrays import from_binary, map_batches, to_lists, vectors
+from vecpress.functions import distance
+from vecpress.functions.arrays import from_binary, map_batches, to_lists, to_matrix, vectors
 from vecpress.operators import allocation, codecs, ivf, kmeans, knn, metrics, moments, report
 from vecpress.plans import oracles, study
-from vecpress.sources import datasets, fvecs, runlog
+from vecpress.sources import datasets, fvecs, models, runlog
 from vecpress.streaming import sweep as streaming
 
 FLAGSHIP = "study_sq_lvq"
-QUERIES = 100
+HELD_OUT = 100
+CELLS, PROBES = oracles.CELLS, oracles.PROBES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +42,7 @@ def _tapered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q(x: DataFrame) -> DataFrame:
-    return datasets.first_queries(x, QUERIES)
+    return datasets.as_queries(x.where("vec_id % 100 = 0"))
 
 
 def _elements(df: DataFrame, places: int | None = None) -> DataFrame:
@@ -95,22 +98,44 @@ def _flat(codec: codecs.Codec, metric: str, spark: SparkSession, sf_dir: str) ->
     return _rounded(ivf.flat_search(codec, codec.encode(x), _q(x), 10, metric))
 
 
-def _ivf(spark: SparkSession, sf_dir: str, codec: codecs.Codec | None = None, per_cell: bool = False, estimate: bool = False, iterations: int = 3) -> DataFrame:
+def _ivf(spark: SparkSession, sf_dir: str, codec: codecs.Codec | None = None, per_cell: bool = False, estimate: bool = False, iterations: int = 3, metric: str = "l2", places: int = 9) -> DataFrame:
     x = _x(spark, sf_dir)
-    index = ivf.IVF(8, codec, per_cell=per_cell, iterations=iterations).fit(x)
-    return _rounded(index.search(index.encode(), _q(x), 10, 3, estimate))
+    index = ivf.IVF(CELLS, codec, metric, per_cell=per_cell, iterations=iterations).fit(x)
+    return _rounded(index.search(index.encode(), _q(x), 10, PROBES, estimate), places)
 
 
-def _ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ivf_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _x(spark, sf_dir)
-    centroids = kmeans.kmeans(x, 8, 3)
-    return map_batches(_q(x), lambda b: {"qid": b.column("qid"), "cells": to_lists(ivf.probe(np.array(b.column("q").to_pylist()), centroids, 3))}, "qid long, cells array<long>").select("qid", F.posexplode("cells").alias("rk", "cell"))
+    index = ivf.build(f"IVF{CELLS},Flat")
+    index.iterations = 3
+    index.fit(x)
+    path = datasets.scratch(spark, "index")
+    models.save_index(index, index.encode(), path)
+    index, codes = models.load_index(spark, path)
+    return _rounded(index.search(codes, _q(x), 10, PROBES))
 
 
-def _rabitq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _x(spark, sf_dir)
-    codec = codecs.SignBit().fit(x)
-    return _rounded(ivf.estimate_search(codec, codec.encode(x), _q(x), 10, 4), 5)
+    centroids = kmeans.kmeans(x, CELLS, 3)
+    return map_batches(_q(x), lambda b: {"qid": b.column("qid"), "cells": to_lists(ivf.probe(np.array(b.column("q").to_pylist()).reshape(b.num_rows, -1), centroids, PROBES))}, "qid long, cells array<long>").select("qid", F.posexplode("cells").alias("rk", "cell"))
+
+
+def _rabitq_search(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir) if metric == "ip" else _x(spark, sf_dir)
+    codec = codecs.SignBit(metric).fit(x)
+    return _rounded(ivf.estimate_search(codec, codec.encode(x), _q(x), 10, 4), 4 if metric == "ip" else 5)
+
+
+def _grid_codec(metric: str = "l2", prune: bool = False) -> codecs.Segmented:
+    """Segments of plain dimensions, without rotation and steps: what SQL can follow."""
+    return codecs.Segmented(3, rounds=0, rotate=False, axes=False, metric=metric, prune=prune)
+
+
+def _grid_search(metric: str, prune: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _tapered(spark, sf_dir)
+    codec = _grid_codec(metric, prune).fit(x)
+    return _rounded(ivf.estimate_search(codec, codec.encode(x), _q(x), 10), 5)
 
 
 def _saq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +144,13 @@ def _saq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.estimate_search(codec, codec.encode(x), _q(x), 10)
 
 
+def _nan_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh entry is missing."""
+    x = _scaled(spark, sf_dir)
+    holes = x.select("vec_id", F.transform("v", lambda e, d: F.when((F.col("vec_id") + d) % 11 == 0, F.lit(float("nan"))).otherwise(e)).alias("v"))
+    return _rounded(knn.search_metric(holes, _q(holes), 10, "nan_euclidean"))
+
+
 def _codebook_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _x(spark, sf_dir)
     return _rounded(ivf.codebook_query(kmeans.pq_train(x, 8, 16, 2), _q(x), 2))
@@ -314,12 +346,14 @@ def _study(methods: list[str], bpds: list[float], spark: SparkSession, sf_dir: s
 
 
 def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, queries = datasets.holdout(_x(spark, sf_dir), QUERIES)
+    base, queries = datasets.holdout(_x(spark, sf_dir), HELD_OUT)
     return base.select("vec_id", F.lit("base").alias("side")).union(queries.select("qid", F.lit("query")))
 
 
 def _base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, queries = datasets.base_and_queries(_x(spark, sf_dir), 300, 100)
+    x = _x(spark, sf_dir)
+    rows = x.count()
+    base, queries = datasets.base_and_queries(x, rows * 4 // 5, rows - rows * 4 // 5)
     return base.select("vec_id", F.lit("base").alias("side")).union(queries.select("qid", F.lit("query")))
 
 
@@ -329,15 +363,170 @@ def _fvecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(vectors(fvecs.read(spark, path)))
 
 
-def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _x(spark, sf_dir)
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
     single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
-    stream = streaming.stream_vectors(spark, sf_dir, 1, "embeddings.parquet") if single else streaming.stream_vectors(spark, f"{sf_dir}/embeddings.parquet")
-    out = streaming.streaming_distortion(stream, codecs.Scalar(4).fit(x), datasets.scratch(spark, "stream"), f"distortion_{abs(hash(sf_dir))}")
+    return streaming.stream_vectors(spark, sf_dir, 1, "embeddings.parquet") if single else streaming.stream_vectors(spark, f"{sf_dir}/embeddings.parquet")
+
+
+def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = codecs.Scalar(4).fit(_x(spark, sf_dir))
+    out = streaming.streaming_distortion(_stream(spark, sf_dir), codec, datasets.scratch(spark, "stream"), f"distortion_{abs(hash(sf_dir))}")
+    return out.withColumn("distortion", F.round("distortion", 9))
+
+
+def _ivecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers of three decimals, written and read again."""
+    path = datasets.scratch(spark, "integers") + ".ivecs"
+    whole = _x(spark, sf_dir).select("vec_id", F.transform("v", lambda e: F.round(e * 1000)).alias("embedding"))
+    fvecs.write(whole, path, kind="i")
+    return fvecs.read(spark, path, "i", strict=False).select("vec_id", F.posexplode("embedding").alias("d", "x"))
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tab-separated lines; those of one field are left out."""
+    path = datasets.scratch(spark, "collection")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\t\\r\\n]", " ")
+    line = F.when(F.col("doc_id") % 7 == 0, F.lit("one field")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), flat))
+    docs.select(line.alias("value")).write.text(path)
+    return datasets.read_collection(spark, path).select(F.col("id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("hash"))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("text", "passage")
+    return datasets.text_column(docs.withColumn("body", F.lit("not this one"))).select(F.md5("text").alias("hash"))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of an entity table that has no ids, by their place in it."""
+    path = datasets.scratch(spark, "entities")
+    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").coalesce(1)
+    x.select(F.col("embedding").alias("openai")).write.parquet(path)
+    return _elements(datasets.openai_table(spark, path))
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir)
+    path = datasets.scratch(spark, "truth")
+    make = lambda: knn.search(x, _q(x), 10, "ip")
+    datasets.cached_truth(spark, path, ("scaled", 10, "ip"), make)
+    return datasets.cached_truth(spark, path, ("scaled", 10, "ip"), lambda: make().limit(0))
+
+
+def _codebook_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = codecs.Scalar(8).fit(_tapered(spark, sf_dir))
+    path = datasets.scratch(spark, "codebook")
+    models.export_codebook(spark, codec, path)
+    back = vectors(fvecs.read(spark, f"{path}.fvecs"))
+    return back.select(F.col("vec_id").alias("row"), F.posexplode("v").alias("d", "x")).withColumn("x", F.round("x", 5))
+
+
+def _reconstruct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _x(spark, sf_dir)
+    codec = models_roundtrip(spark, codecs.Scalar(8).fit(x))
+    return _elements(codec.reconstruct_ids(codec.encode(x), x.where("vec_id % 3 = 1").select("vec_id")))
+
+
+def models_roundtrip(spark: SparkSession, codec: codecs.Codec) -> codecs.Codec:
+    """A codec, saved and loaded again."""
+    path = datasets.scratch(spark, "codec")
+    models.save_codec(spark, codec, path)
+    return models.load_codec(spark, path)
+
+
+def _lvq4_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed bytes of local codes, without their low ends and steps."""
+    x = _x(spark, sf_dir)
+    return _hex(codecs.Local(4).fit(x).encode(x)).withColumn("code", F.expr("left(code, length(code) - 16)"))
+
+
+def _study_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one run and of a second that finds them done."""
+    x, path = _scaled(spark, sf_dir), datasets.scratch(spark, "study")
+    study.run_study(x, _q(x), ["sq"], [8], checkpoint=path)
+    out = study.run_study(x, _q(x), ["sq", "lvq"], [8], checkpoint=path)
+    return out.select("method", "bpd", "code_bytes", F.round("mse", 9).alias("mse"), *(F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in study.KS))
+
+
+def _bench_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bench of flat scalar codes, without its speed."""
+    x = _x(spark, sf_dir)
+    out = study.sweep_bpd(x, _q(x), "sq_flat", [4], 10)
+    return out.select("method", F.round("recall_at_k", 9).alias("recall"), "memory_bytes", "compression_ratio", "k", F.col("N").alias("n"))
+
+
+def _streaming_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A codec of the first 100 rows, and a stream of all."""
+    x = _x(spark, sf_dir)
+    stream = _stream(spark, sf_dir)
+    codec = streaming.train_on_first(codecs.Scalar(4), x, 100)
+    out = streaming.streaming_distortion(stream, codec, datasets.scratch(spark, "stream"), f"first_{abs(hash(sf_dir))}")
     return out.withColumn("distortion", F.round("distortion", 9))
 
 
+def _codebook_1bit(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared error of two levels a dimension."""
+    from vecpress.functions.arrays import reduce_tables
+
+    x = _tapered(spark, sf_dir)
+    books = kmeans.per_dimension(x, [1], method)
+    levels = [books[d, 1] for d in range(len(books))]
+    fold = lambda m: {"e": np.array([((m[:, d] - c[kmeans.levels_of(m[:, d], c)]) ** 2).sum() for d, c in enumerate(levels)])}
+    errors = reduce_tables(x, fold, {"e": np.add})["e"]
+    rows = [(d, round(float(c[0]), 7), round(float(c[1]), 7), round(float(e), 7)) for d, (c, e) in enumerate(zip(levels, errors, strict=True))]
+    return spark.createDataFrame(rows, "d int, low double, high double, error double")
+
+
+def _segment_plan(joint: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = allocation.segments(moments.dim_stats(_tapered(spark, sf_dir))["var"], 3, 16, 8, joint)
+    bits = [b for n, b in plan for _ in range(n // 16)]
+    return spark.createDataFrame(list(enumerate(bits)), "block int, bits int")
+
+
+def _alloc_costs(rule: Callable[[np.ndarray, int], np.ndarray], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits by measured or optimal rules on the costs of normal levels."""
+    var = moments.dim_stats(_tapered(spark, sf_dir))["var"]
+    bits = rule(var[:, None] * allocation.normal_distortion()[None, :], 3 * len(var))
+    return spark.createDataFrame([(d, int(b)) for d, b in enumerate(bits)], "d int, bits int")
+
+
+def _bit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for dims in (64, 96, 100, 1536):
+        for bpd in (0.5, 1.0, 2.0, 3.0, 4.0, 8.0, 16.0):
+            rows.append((dims, bpd, allocation.subquantizers(bpd, dims), allocation.subquantizers_floor(int(bpd), dims), allocation.subquantizers_clamped(bpd, dims), allocation.subquantizers_clamped(bpd, dims, True), allocation.scalar_bits(bpd), allocation.scalar_bits_exact(bpd)))
+    return spark.createDataFrame(rows, "dims int, bpd double, m int, m_floor int, m_clamped int, m_divisor int, bits int, bits_exact int")
+
+
+def _rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the rows of a rotation, and what it does to lengths of vectors."""
+    turn = moments.random_rotation(64, 3)
+    x = _scaled(spark, sf_dir)
+    turned = map_batches(x, lambda b: {"vec_id": b.column("vec_id"), "v": to_lists(to_matrix(b.column("v")) @ turn)}, "vec_id long, v array<double>")
+    return turned.select("vec_id", F.round(distance.norm(F.col("v")), 8).alias("length"))
+
+
+def _pca_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the covariance: trace and squared norm by the axes' variances; what the axes leave off
+    the diagonal, and how far they are from orthonormal."""
+    x = _tapered(spark, sf_dir)
+    _, axes, var = moments.pca(x)
+    _, cov = moments.mean_cov(x)
+    off = np.abs(axes.T @ cov @ axes - np.diag(var)).max()
+    skew = np.abs(axes.T @ axes - np.eye(len(axes))).max()
+    return spark.createDataFrame([(round(float(var.sum()), 8), round(float((var**2).sum()), 8), round(float(off), 8), round(float(skew), 8), bool((np.diff(var) <= 0).all()))], "trace double, square double, off double, skew double, falling boolean")
+
+
+def _packing_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of a row whose fields are of one width."""
+    rows = []
+    for w in range(1, 9):
+        widths = [w] * 64
+        rows.append((w, codecs.bitpack.dense_bytes(np.array(widths)), codecs.bitpack.first_fit_layout(widths)[2], codecs.bitpack.optimal_bytes(widths)))
+    return spark.createDataFrame(rows, "width int, dense int, first_fit int, optimal int")
+
+
 def _runs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(oracles.RUNS, "method string, bpd double, compression double, recall double, mse double, timestamp string")
 
@@ -380,7 +569,8 @@ def queries() -> dict[str, Query]:
         "knn_normalised_ip": _knn_normalised,
         "knn_wide": _wide,
     }
-    out |= {f"knn_metric_{m}": partial(_knn_metric, m) for m in oracles.METRIC_TERMS}
+    out |= {f"knn_metric_{m}": partial(_knn_metric, m) for m in oracles.METRIC_TERMS if m != "nan_euclidean"}
+    out["knn_metric_nan_euclidean"] = _nan_euclidean
     out |= {
         "sq8_flat_search": partial(_flat, codecs.Scalar(8), "l2"),
         "sq8_flat_search_ip": partial(_flat, codecs.Scalar(8), "ip"),
@@ -389,8 +579,16 @@ def queries() -> dict[str, Query]:
         "ivf_flat_search": _ivf,
         "ivf_sq_search": lambda s, d: _ivf(s, d, codecs.Scalar(8), per_cell=True),
         "ivfpq_search": lambda s, d: _ivf(s, d, codecs.Product(8, 4, 2)),
-        "rabitq_search": _rabitq_search,
-        "rabitq_ivf_search": lambda s, d: _ivf(s, d, codecs.SignBit(), estimate=True),
+        "ivf_flat_search_ip": lambda s, d: _ivf(s, d, metric="ip"),
+        "ivf_saved_search": _ivf_saved,
+        "rabitq_search": partial(_rabitq_search, "l2"),
+        "rabitq_search_ip": partial(_rabitq_search, "ip"),
+        "rabitq_ivf_search": lambda s, d: _ivf(s, d, codecs.SignBit(), estimate=True, places=4),
+        "rabitq_ivf_search_ip": lambda s, d: _ivf(s, d, codecs.SignBit("ip"), estimate=True, metric="ip", places=4),
+        "saq_grid_search": partial(_grid_search, "l2", False),
+        "saq_grid_search_ip": partial(_grid_search, "ip", False),
+        "saq_grid_search_pruned": partial(_grid_search, "l2", True),
+        "saq_grid_decode": partial(_decode, _grid_codec, 6, _tapered),
         "saq_ivf_search": lambda s, d: _ivf(s, d, codecs.Segmented(4), estimate=True),
         "saq_search": _saq_search,
         "codebook_query": _codebook_query,
@@ -412,6 +610,20 @@ def queries() -> dict[str, Query]:
         "rankaware_decode": partial(_decode, lambda: codecs.RankAware(4, 0.5), None, _tapered),
         "rankaware_dense_decode": partial(_decode, lambda: codecs.RankAware(4, 0.0, packing="dense", codebook="gaussian"), None, _tapered),
         "saq_decode": partial(_decode, lambda: codecs.Segmented(4), None, _tapered),
+        "lvq4_packed": _lvq4_packed,
+        "reconstruct_ids": _reconstruct_ids,
+        "codebook_export": _codebook_export,
+        "rotation_lengths": _rotation,
+        "pca_invariants": _pca_invariants,
+        "packing_bytes": _packing_bytes,
+        "segment_plan_joint": partial(_segment_plan, True),
+        "segment_plan_greedy": partial(_segment_plan, False),
+        "alloc_empirical": partial(_alloc_costs, allocation.empirical),
+        "alloc_optimal": partial(_alloc_costs, allocation.optimal),
+        "bit_rules": _bit_rules,
+        "codebook_exact_1bit": partial(_codebook_1bit, "exact"),
+        "codebook_lloyd_1bit": partial(_codebook_1bit, "lloyd"),
+        "codebook_histogram_1bit": partial(_codebook_1bit, "histogram"),
         "dim_stats": _dim_stats,
         "mean_cov": _mean_cov,
         "pca_variances": _pca_variances,
@@ -439,7 +651,15 @@ def queries() -> dict[str, Query]:
         "holdout_split": _holdout,
         "base_query_split": _base_query,
         "fvecs_roundtrip": _fvecs,
+        "ivecs_roundtrip": _ivecs,
+        "collection_read": _collection,
+        "text_column": _passages,
+        "numbered_vectors": _numbered,
+        "truth_cached": _truth,
+        "study_resumed": _study_resumed,
+        "bench_sq_flat": _bench_sq,
         "streaming_distortion": _streaming,
+        "streaming_first_rows": _streaming_first,
         "runlog_metrics": _runlog,
     }
     return out | {name: _report(make) for name, make in REPORTS.items()}
