@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,27 +119,35 @@ def ascii_lower(col):
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
+class _Generation(dict):
+    """A dictionary that fills itself: a missing value comes from the generation before, or is learned."""
+
+    def __init__(self, old: dict, learn: Callable):
+        super().__init__()
+        self.old, self.learn = old, learn
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        self[key] = value
+        return value
+
+
 class Recent:
-    """What a worker remembers of chunks of text, in bounded memory.
+    """What a worker remembers of words or chunks of text, in bounded memory.
 
-    Two generations of at most `most` entries: when the new one is full it becomes the old
-    one, and entries that are asked for again move on from there. So frequent ones stay.
+    Two generations of about `most` entries: when the new one is full it becomes the old one,
+    and entries that are asked for again move on from there. So frequent ones stay.
     """
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, learn: Callable):
         self.most = most
-        self.new: dict = {}
-        self.old: dict = {}
+        self.new = _Generation({}, learn)
 
-    def missing(self, keys: Iterable) -> list:
-        """Those of keys that must be put before `new` can be read."""
+    def lookup(self) -> Callable:
+        """From keys to values, for one batch of texts."""
         if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for key in {k for k in keys if k not in new}:
-            value = old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                new[key] = value
-        return out
+            self.new.old = {}
+            self.new = _Generation(self.new, self.new.learn)
+        return self.new.__getitem__

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import materialize, small
+from vecpress.llm.common import Recent, materialize, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -78,17 +78,11 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered."""
 
-    def __init__(self, most: int = 100_000):
-        self.known: dict[str, int] = {}
-        self.most = most
+    def __init__(self, most: int = 150_000):
+        self.known = Recent(most, xxhash.xxh64_intdigest)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.known.lookup(), words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, width: int = WORDS) -> np.ndarray:

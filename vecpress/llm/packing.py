@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +33,7 @@ from vecpress.llm.token_counts import byte_letters
 TOKENS = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker remembers.
-CACHED = 180_000
+CACHED = 260_000
 #: Pieces that one numbering task should get at most.
 RANKED = 250_000
 
@@ -67,7 +67,7 @@ class ChunkEncoder:
         longest = sorted(added, key=len, reverse=True)
         self.split_added = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if added else None
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known = Recent(CACHED)
+        self.known = Recent(CACHED, self._learn)
 
     def _learn(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters only
@@ -78,7 +78,7 @@ class ChunkEncoder:
                 ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -86,11 +86,7 @@ class ChunkEncoder:
         if marked:
             return self._around_added(texts, marked)
         split = [_MARK.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # the normaliser lower-cases anyway
-        missing = self.known.missing(chain.from_iterable(split))
-        new = self.known.new
-        for chunk in missing:
-            new[chunk] = self._learn(chunk)
-        get = new.__getitem__
+        get = self.known.lookup()
         return [b"".join(map(get, chunks)) for chunks in split]
 
     def _around_added(self, texts: list[bytes | None], marked: list[int]) -> list[bytes]:

@@ -22,7 +22,6 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -126,7 +125,7 @@ def words(text: str) -> list[str]:
 class Counter:
     def __init__(self, tokenizer_json: str):
         self.automaton = load(tokenizer_json)
-        self.known = Recent(CACHED)
+        self.known = Recent(CACHED, self._chunk)
         self.same: dict[int, int] = {}  # one object for each number that occurs
 
     def _chunk(self, chunk: bytes) -> int:
@@ -137,11 +136,7 @@ class Counter:
     def texts(self, texts: list[bytes | None]) -> list[tuple[int, int]]:
         """Words and pieces of each. Chunks between ASCII white space share no word."""
         split = [(t or b"").lower().split() for t in texts]
-        missing = self.known.missing(chain.from_iterable(split))
-        new = self.known.new
-        for chunk in missing:
-            new[chunk] = self._chunk(chunk)
-        get = new.__getitem__
+        get = self.known.lookup()
         sums = [sum(map(get, chunks)) for chunks in split]
         return [(s >> 32, s & 0xFFFFFFFF) for s in sums]
 
