@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import Recent, materialize
+from vecpress.llm.common import Recent, materialize, shuffled
 from vecpress.llm.token_counts import byte_letters
 
 TOKENS = 4096
@@ -203,7 +203,7 @@ def pack(parts: DataFrame, capacity: int = TOKENS, ranked: int = RANKED) -> Data
     sizes = salted.groupBy("length", "__salt").count()
     before = "sum(count) over (partition by length order by __salt rows between unbounded preceding and 1 preceding)"
     firsts = sizes.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), F.expr(f"coalesce({before}, 0)").alias("__first"))
-    firsts = materialize(firsts, "firsts")
+    firsts = shuffled(materialize(firsts, "firsts"))  # grows with the pieces; dealt as they are
     order = "row_number() over (partition by length, __salt order by doc_id, piece)"
     numbered = salted.withColumn("__row", F.expr(order) - 1)
     numbered = numbered.join(firsts, (F.col("length") == F.col("__l")) & (F.col("__salt") == F.col("__s")))
