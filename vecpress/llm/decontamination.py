@@ -15,7 +15,7 @@ the whole document holds; pairs at THRESHOLD or more are the result.
 
 What documents are tested against while they are read is two bit tables, filled from the
 items' minima and shingles; a bit set by chance costs a candidate that the joins then drop.
-They have SPARSE bits for each entry, up to MOST_BITS (32 MB each); a benchmark of more than a
+They have SPARSE bits for each entry, up to MOST_BITS (64 MB each); a benchmark of more than a
 million long items fills them further, which costs candidates but loses none.
 
 Defined cases: null or empty texts, and those without words, hold nothing and match nothing.
@@ -47,9 +47,9 @@ HASHES = 32
 #: Items of up to so many shingles are found by any shared shingle.
 SHORT = 8
 #: Bits of the tables that documents are tested against: for each entry, at least, at most.
-SPARSE = 24
-LEAST_BITS = 1 << 20
-MOST_BITS = 1 << 28
+SPARSE = 256
+LEAST_BITS = 1 << 24
+MOST_BITS = 1 << 29
 #: Shingles of a document that are held against all hash functions at a time.
 SEGMENT = 4096
 
@@ -184,11 +184,12 @@ def _tables(items: DataFrame, entries: tuple[int, int]) -> tuple[np.ndarray, np.
     bits = [table_bits(n) for n in entries]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [np.zeros(n, bool) for n in bits]
+        made = [np.zeros(n // 8, np.uint8) for n in bits]
         for batch in batches:
             for table, name in zip(made, ("keys", "hashes"), strict=True):
-                table[_bits(batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64), len(table))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(t).tobytes()]) for t in made], names=["a", "b"])
+                at = _bits(batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64), 8 * len(table))
+                np.bitwise_or.at(table, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()]) for t in made], names=["a", "b"])
 
     out = [np.zeros(n // 8, np.uint8) for n in bits]
     for row in items.select("keys", "hashes").coalesce(4).mapInArrow(fill, "a binary, b binary").toLocalIterator():
