@@ -3,8 +3,8 @@
 Links stay distributed: each round is two grouped minima and two joins, and its result is
 written to the shared folder; the round before is deleted then. Rounds grow with the logarithm
 of the longest chain. A link is kept once, from its larger to its smaller node, so that a node
-of many links is one key only where it is joined; those are sort-merge joins, whose hot keys
-adaptive execution splits.
+of many links is one key only where it is joined. Nodes with 1/HUBS of all links, at most HUBS by
+arithmetic, are joined by broadcast for that; the others by sort-merge.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from vecpress.llm.common import forget, materialize, shuffled
 
+HUBS = 10_000
+
 _PAIR = "u long, v long"
 
 
@@ -41,6 +43,17 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
 
 
+def _least_of(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """edges, a written table, with the m that `least` (key, m) has for `key`, or null."""
+    rows = edges.count()
+    hubs = edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HUBS >= rows).select(key, F.lit(True).alias("hub"))
+    marked = edges.join(F.broadcast(hubs), key, "left")  # at most HUBS rows
+    of_hubs = least.join(F.broadcast(hubs.select(key)), key, "left_semi")
+    hot = marked.where("hub").join(F.broadcast(of_hubs), key, "left")
+    cold = marked.where("hub is null").join(shuffled(least), key, "left")
+    return hot.select("u", "v", "m").union(cold.select("u", "v", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: two long columns. Returns (u, v): every linked node but the smallest of each
     component, with that smallest node. No links give no rows."""
@@ -51,12 +64,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Each node's larger neighbours go to the smallest of its neighbours and itself.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        up = shuffled(least.withColumnRenamed("u", "v"))
-        large = edges.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = _least_of(edges, "v", least.withColumnRenamed("u", "v")).select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = materialize(large, "large")
         # Each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(shuffled(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _least_of(large, "u", least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, materialize(least.select("u", F.col("m").alias("v")).union(moved).distinct(), "small")
         forget(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
