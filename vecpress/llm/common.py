@@ -151,3 +151,7 @@ class Recent:
             self.new.old = {}
             self.new = _Generation(self.new, self.new.learn)
         return self.new.__getitem__
+
+    def rest(self) -> None:
+        """Lets the older generation go: a worker that waits for its next task keeps less."""
+        self.new.old = {}

@@ -33,7 +33,7 @@ from vecpress.llm.token_counts import byte_letters
 TOKENS = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker remembers.
-CACHED = 260_000
+CACHED = 160_000
 #: Pieces that one numbering task should get at most.
 RANKED = 250_000
 
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: i
                             column.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names=names)
+        coder.known.rest()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, schema)
