@@ -153,5 +153,5 @@ class Recent:
         return self.new.__getitem__
 
     def rest(self) -> None:
-        """Lets the older generation go: a worker that waits for its next task keeps less."""
-        self.new.old = {}
+        """Forgets: a worker that waits for its next task keeps nothing."""
+        self.new = _Generation({}, self.new.learn)

@@ -33,7 +33,7 @@ from vecpress.llm.token_counts import byte_letters
 TOKENS = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker remembers.
-CACHED = 160_000
+CACHED = 120_000
 #: Pieces that one numbering task should get at most.
 RANKED = 250_000
 
