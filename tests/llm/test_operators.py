@@ -158,6 +158,23 @@ def test_chunks_tokenize_as_whole_texts(text):
     assert coder.encode([text.encode()]) == [want]
 
 
+def test_odd_words_tokenize_as_the_tokenizer_has_them():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    marks = "abcdestrvlm'’#.,!?;:-_/~019éßÀÞÿ×÷ªµſİ²½漢\u0301 \t\x01\x7f\x85"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    coder = packing.ChunkEncoder(Path(queries.tokenizer_path()).read_text(encoding="utf-8"))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.encode([t.encode() for t in texts]) == want
+    coder.known.rest(10)
+    assert len(coder.known.new) == 10
+    assert coder.encode([t.encode() for t in texts]) == want
+
+
 def test_packing_is_valid_and_tight(spark, nasty, empty):
     packed = packing.pack_documents(nasty, queries.tokenizer_path(), tokens=256, with_ids=True)
     rows = packed.collect()

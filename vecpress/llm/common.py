@@ -6,6 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,6 +153,9 @@ class Recent:
             self.new = _Generation(self.new, self.new.learn)
         return self.new.__getitem__
 
-    def rest(self) -> None:
-        """Forgets: a worker that waits for its next task keeps nothing."""
+    def rest(self, keep: int = 0) -> None:
+        """Forgets: a worker that waits for its next task keeps the `keep` entries that came first,
+        which are mostly frequent ones."""
+        first = dict(islice(self.new.items(), keep))
         self.new = _Generation({}, self.new.learn)
+        self.new.update(first)

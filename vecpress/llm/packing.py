@@ -16,6 +16,7 @@ columns are not carried: the result is pieces, to be joined on doc_id.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 import zlib
@@ -24,6 +25,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,26 @@ TOKENS = 4096
 END_ID = 1
 #: Chunks of text whose ids a worker remembers.
 CACHED = 120_000
+#: Of those, what stays for the worker's next task.
+KEPT = 20_000
 #: Pieces that one numbering task should get at most.
 RANKED = 250_000
 
 _workers: dict[int, ChunkEncoder] = {}
 #: A mark after an ASCII letter or digit and before white space is a chunk of its own.
 _MARK = re.compile(rb"(?<=[a-z0-9])[.,!?;:](?=\s|\Z)")
+#: Printable ASCII and the letters from U+00C0 to U+00FF: their only normalisation is lower case.
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _word_pattern(tokenizer_json: str) -> str | None:
+    """The pattern of words, if matching it and then byte letters are all that the pre-tokenizer does."""
+    steps = (json.loads(tokenizer_json)["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, letters = steps
+    plain = split["behavior"] == "Removed" and split["invert"] and not letters["add_prefix_space"] and not letters["use_regex"]
+    return split["pattern"].get("Regex") if plain else None
 
 
 class ChunkEncoder:
@@ -47,7 +63,8 @@ class ChunkEncoder:
 
     The pre-tokenizer never joins across white space and normalisation acts within a chunk,
     so the ids of a text are those of its chunks in order. A chunk of plain letters is one
-    word, which the merge table takes without the steps before it. Added tokens are taken out
+    word, which the merge table takes without the steps before it; a chunk of `_PLAIN`
+    characters is cut into words by the tokenizer's own pattern. Added tokens are taken out
     of a text first, as the tokenizer does: they stand for their id and split what is around
     them. Those that it would look for in normalised text are not supported.
     """
@@ -67,19 +84,23 @@ class ChunkEncoder:
         longest = sorted(added, key=len, reverse=True)
         self.split_added = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if added else None
         self.letters = {b: c for c, b in byte_letters().items()}
+        pattern = _word_pattern(tokenizer_json)
+        self.words = regex.compile(pattern).findall if pattern else None
         self.known = Recent(CACHED, self._learn)
 
     def _learn(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters only
             ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode())]
+        elif self.words and _PLAIN(chunk):
+            words = self.words(chunk.decode().lower())
+            ids = [t.id for w in words for t in self.tokenizer.model.tokenize(self._byte_letters(w))]
         else:
-            text = chunk.decode("utf-8", "replace")
-            if text.isalpha() and all("à" <= c <= "ÿ" or "a" <= c <= "z" for c in text):
-                ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _byte_letters(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         marked = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
@@ -128,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: i
                             column.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names=names)
-        coder.known.rest()
+        coder.known.rest(KEPT)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, schema)
