@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecpress.llm import chat_format, decontamination, language_id, line_dedup, lm_scoring, nearest, packing, sharding, simhash, token_counts
+from vecpress.llm import chat_format, conversation_repair, decontamination, language_id, line_dedup, lm_scoring, nearest, packing
+from vecpress.llm import sharding, simhash, spelling_variants, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,6 +60,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard_splitters": _op1,
@@ -71,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": _op8,
         "op9_chat_rotation": _op9,
         "op10_token_counts": _op10,
+        "op11_toxicity": _op11,
+        "op12_conversation_repair": _op12,
+        "op13_spelling_variants": _op13,
     }
 
 
@@ -80,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_nearest_blocks": nearest.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op9_chat_rotation": chat_format.ORACLE,
+        "op13_spelling_variants": spelling_variants.ORACLE,
     }
