@@ -40,7 +40,7 @@ def test_near_copies_from_eight_tenths_leave_one(spark, monkeypatch, block):
     monkeypatch.setattr(near_copies, "BLOCK", block)
     rows = _planted()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, source string").repartition(3)
-    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
     assert stage.columns == docs.columns
     got = [r["doc_id"] for r in stage.collect()]
     assert len(got) == len(set(got)) and set(got) == _kept(rows)

@@ -23,10 +23,10 @@ def test_stages_equal_brute_force(spark, data):
     rows = {d: k[2] for d, k in zip(rows, kept, strict=True)}
     assert {r["doc_id"]: r["text"] for r in step.collect()} == rows
 
-    step = after("simhash_near_dedup", step)
+    step = after("near_dedup", step)
     assert step.columns == columns
-    groups = brute.near_copies(list(rows.items()))
-    rows = {d: t for d, t in rows.items() if groups[d][1] == d}
+    first = brute.similar_groups(rows)
+    rows = {d: t for d, t in rows.items() if first[d] == d}
     assert {r["doc_id"]: r["text"] for r in step.collect()} == rows
 
     step = after("decontamination", step)

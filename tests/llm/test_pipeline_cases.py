@@ -81,7 +81,7 @@ def test_line_stage(spark, sf_dir):
 
 
 def test_near_copy_stage(spark, sf_dir):
-    got = _got(STAGES["simhash_near_dedup"](spark, _frame(spark, _rows()), sf_dir), "simhash_near_dedup")
+    got = _got(STAGES["near_dedup"](spark, _frame(spark, _rows()), sf_dir), "near_dedup")
     stay = [_rows()[i] for i in _first_of_groups(_rows())]
     assert Counter(d for d, _ in got) == Counter({d: 1 for d, _ in stay if d is not None}) + Counter({None: sum(d is None for d, _ in stay)})
     assert set(got) <= set(stay)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecpress.llm.common import Recent, materialize, shuffled
-from vecpress.llm.token_counts import byte_letters
+from vecpress.llm.token_counts import byte_letters, lowered
 
 TOKENS = 4096
 END_ID = 1
@@ -43,7 +43,7 @@ RANKED = 250_000
 
 _workers: dict[int, ChunkEncoder] = {}
 #: A mark after an ASCII letter or digit and before white space is a chunk of its own.
-_MARK = re.compile(rb"(?<=[a-z0-9])[.,!?;:](?=\s|\Z)")
+_MARK = re.compile(rb"(?<=[A-Za-z0-9])[.,!?;:](?=\s|\Z)")
 #: Printable ASCII and the letters from U+00C0 to U+00FF: their only normalisation is lower case.
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
@@ -90,7 +90,7 @@ class ChunkEncoder:
 
     def _learn(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters only
-            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode())]
+            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode().lower())]
         elif self.words and _PLAIN(chunk):
             words = self.words(chunk.decode().lower())
             ids = [t.id for w in words for t in self.tokenizer.model.tokenize(self._byte_letters(w))]
@@ -106,7 +106,7 @@ class ChunkEncoder:
         marked = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
         if marked:
             return self._around_added(texts, marked)
-        split = [_MARK.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # the normaliser lower-cases anyway
+        split = [_MARK.sub(rb" \g<0>", lowered(t or b"")).split() for t in texts]
         get = self.known.lookup()
         return [b"".join(map(get, chunks)) for chunks in split]
 

@@ -115,6 +115,12 @@ def load(tokenizer_json: str) -> Automaton:
     return Automaton([symbols(t, letters) for t in vocab if all(c in letters for c in t.removesuffix(WORD_END))])
 
 
+def lowered(text: bytes) -> bytes:
+    """UTF-8 text with A-Z in lower case, which the normaliser does anyway; as it is where a letter
+    may yet be composed with a mark (U+0300 to U+037F), as some letters are only in lower case."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 def words(text: str) -> list[str]:
     """The pre-tokenizer's words of a text without special tokens."""
     text = unicodedata.normalize("NFC", text)
@@ -135,7 +141,7 @@ class Counter:
 
     def texts(self, texts: list[bytes | None]) -> list[tuple[int, int]]:
         """Words and pieces of each. Chunks between ASCII white space share no word."""
-        split = [(t or b"").lower().split() for t in texts]
+        split = [lowered(t or b"").split() for t in texts]
         get = self.known.lookup()
         sums = [sum(map(get, chunks)) for chunks in split]
         return [(s >> 32, s & 0xFFFFFFFF) for s in sums]
