@@ -544,7 +544,8 @@ def test_query_equals_its_sql(spark, data, name):
     if sql is None:
         return
     con = duckdb.connect()
-    con.sql(f"create view embeddings as select * from '{data}/embeddings.parquet'")
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
     want = con.sql(sql).df()[list(got.columns)]
     key = lambda f: sorted(tuple("None" if v is None or v != v else repr(v) for v in r) for r in f.itertuples(index=False))
     assert key(got) == key(want)
