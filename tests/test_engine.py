@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecpress.functions import distance
-from vecpress.operators import allocation, bitpack, codecs, ivf, kmeans, knn, metrics, moments, report
+from vecpress.operators import allocation, bitpack, codecs, grid, ivf, kmeans, knn, metrics, moments, report
 from vecpress.plans import registry, study
 from vecpress.sources import datasets, fvecs, models, runlog
 from vecpress.streaming import sweep
@@ -253,8 +253,8 @@ def test_search_in_query_blocks_and_ties(spark, x, monkeypatch):
     df = datasets.from_matrix(spark, rows).repartition(5)
     queries = datasets.as_queries(df.where("vec_id < 3"))
     assert {q: i[:4] for q, i in ids(knn.search(df, queries, 5)).items()} == {i: [i, i + 3, i + 6, i + 9] for i in range(3)}
-    blocks = list(knn.collect_queries(queries, limit=32))
-    assert [len(b[0]) for b in blocks] == [1, 1, 1]
+    monkeypatch.setattr(grid, "QUERY_ROWS", 1)
+    assert {q: i[:4] for q, i in ids(knn.search(df, queries, 5)).items()} == {i: [i, i + 3, i + 6, i + 9] for i in range(3)}
 
 
 def test_normalised_search(spark, x):
@@ -268,8 +268,9 @@ def test_normalised_search(spark, x):
 
 def test_metric_names():
     assert distance.metric(1) == "l2" and distance.metric("METRIC_INNER_PRODUCT") == "ip" and distance.metric("Canberra") == "canberra" and distance.metric("NaNEuclidean") == "nan_euclidean"
+    assert distance.metric("GOWER") == "gower" and distance.metric(25) == "gower"
     with pytest.raises(ValueError):
-        distance.metric("gower")
+        distance.metric("hamming")
 
 
 @pytest.mark.parametrize("codec", [None, codecs.Scalar(8), codecs.Product(8, 5, 3)])
@@ -291,7 +292,7 @@ def test_scalar_codes_for_each_cell(spark):
     got = index.search(index.encode(), datasets.as_queries(df.where("vec_id = 0")), 1, 1).collect()
     assert got[0]["id"] == 0 and got[0]["score"] < 1e-9
     with pytest.raises(ValueError):
-        ivf.IVF(5, codecs.Product(2, 2), per_cell=True)
+        ivf.IVF(5, None, per_cell=True)
 
 
 def test_codebook_query(spark):

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,13 @@ def vectors(df: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id"
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length as a float64 matrix."""
+    """Rows of equal length as a float64 matrix; others, and rows that are null, are an error. A
+    null entry is NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.list_value_length(column)
+    if column.null_count or len(pc.unique(lengths)) > 1:
+        raise ValueError(f"vectors of unequal length: {sorted(set(lengths.to_pylist()), key=str)[:5]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 

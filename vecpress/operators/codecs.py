@@ -73,6 +73,35 @@ class Codec:
     def compression_ratio(self) -> float:
         return 4 * self.dims / self.code_size()
 
+    def fit_rows(self, rows: np.ndarray) -> Codec:
+        """Fitted on a matrix, in the task that holds it."""
+        raise NotImplementedError(f"{self.name} is not fitted on a cell's rows")
+
+    # --- look-up tables: codes of fields, each with its part of a distance for every value
+
+    def fields(self, codes: np.ndarray) -> np.ndarray:
+        """(rows, fields) values of packed codes."""
+        raise NotImplementedError(f"{self.name} has no look-up tables")
+
+    def table_bytes(self) -> int:
+        """Bytes of one query's tables."""
+        raise NotImplementedError(f"{self.name} has no look-up tables")
+
+    def tables(self, queries: np.ndarray, metric: str) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each field (queries, values), and what each query adds: together the squared
+        distance to, or inner product with, what a code decodes to."""
+        raise NotImplementedError(f"{self.name} has no look-up tables")
+
+
+def _part(queries: np.ndarray, values: np.ndarray, metric: str) -> np.ndarray:
+    """Squared distances or inner products (queries, values) in one field's dimensions, summed in
+    their order."""
+    out = np.zeros((len(queries), len(values)))
+    for d in range(queries.shape[1]):
+        a, b = queries[:, d, None], values[None, :, d]
+        out += (a - b) ** 2 if metric == "l2" else a * b
+    return out
+
 
 class Scalar(Codec):
     """4, 8 or 16 bits of each dimension's range; codes beyond the range are clipped."""
@@ -99,6 +128,22 @@ class Scalar(Codec):
     def values(self, levels: np.ndarray) -> np.ndarray:
         return levels / (2**self.bits - 1) * (self.high - self.low + RANGE_EPS) + self.low
 
+    def fit_rows(self, rows: np.ndarray) -> Scalar:
+        self.low, self.high, self.dims = rows.min(0), rows.max(0), rows.shape[1]
+        return self
+
+    def fields(self, codes: np.ndarray) -> np.ndarray:
+        if self.bits == 16:
+            raise NotImplementedError("16-bit codes have no look-up tables")
+        return codes if self.bits == 8 else np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : self.dims]
+
+    def table_bytes(self) -> int:
+        return 8 * self.dims << self.bits
+
+    def tables(self, queries: np.ndarray, metric: str) -> tuple[list[np.ndarray], np.ndarray]:
+        every = self.values(np.repeat(np.arange(1 << self.bits, dtype=np.float64)[:, None], self.dims, 1))
+        return [_part(queries[:, d : d + 1], every[:, d : d + 1], metric) for d in range(self.dims)], np.zeros(len(queries))
+
     def _encode(self, rows: np.ndarray) -> np.ndarray:
         levels = self.levels(rows)
         if self.bits == 4:
@@ -151,6 +196,21 @@ class Product(Codec):
     def _widths(self) -> np.ndarray:
         return np.full(self.m, self.bits)
 
+    def fit_rows(self, rows: np.ndarray) -> Product:
+        """With fewer rows than centroids each row is one, and the last one fills the rest."""
+        self.books, self.dims = kmeans.pq_train_rows(rows, self.m, 1 << self.bits, self.iterations), rows.shape[1]
+        return self
+
+    def fields(self, codes: np.ndarray) -> np.ndarray:
+        return bitpack.unpack_dense(codes, self._widths())
+
+    def table_bytes(self) -> int:
+        return 8 * self.m << self.bits
+
+    def tables(self, queries: np.ndarray, metric: str) -> tuple[list[np.ndarray], np.ndarray]:
+        parts = queries.reshape(len(queries), self.m, -1)
+        return [_part(parts[:, j], self.books[j], metric) for j in range(self.m)], np.zeros(len(queries))
+
     def _encode(self, rows: np.ndarray) -> np.ndarray:
         return bitpack.pack_dense(self.levels(rows), self._widths())
 
@@ -195,6 +255,12 @@ class OptimizedProduct(Product):
 
         return float(reduce_tables(x, fold, {"e": np.add})["e"][0])
 
+    def fit_rows(self, rows: np.ndarray) -> OptimizedProduct:
+        raise NotImplementedError("a rotation is learned on the whole table")
+
+    def tables(self, queries: np.ndarray, metric: str) -> tuple[list[np.ndarray], np.ndarray]:
+        return super().tables(queries @ self.rotation, metric)
+
     def _encode(self, rows: np.ndarray) -> np.ndarray:
         return super()._encode(rows @ self.rotation)
 
@@ -315,6 +381,10 @@ class Local(Codec):
     def code_size(self) -> int:
         return -(-self.dims * self.bits // 8) + 8
 
+    def fit_rows(self, rows: np.ndarray) -> Local:
+        self.mean, self.dims = rows.mean(0), rows.shape[1]
+        return self
+
     def levels(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r = rows - self.mean
         low, top = r.min(1), 2**self.bits - 1
@@ -365,6 +435,18 @@ class RankAware(Codec):
     def code_size(self) -> int:
         return max(1, self.size)
 
+    def fields(self, codes: np.ndarray) -> np.ndarray:
+        return bitpack.unpack_dense(codes, self.bits) if self.packing == "dense" else bitpack.unpack_layout(codes, self.bits, self.byte, self.offset)
+
+    def table_bytes(self) -> int:
+        return 8 * sum(len(c) for c in self.levels)
+
+    def tables(self, queries: np.ndarray, metric: str) -> tuple[list[np.ndarray], np.ndarray]:
+        """The axes are orthogonal, so distances about the mean are sums over them."""
+        y = (queries - (self.mean if metric == "l2" else 0)) @ self.axes
+        start = np.zeros(len(queries)) if metric == "l2" else queries @ self.mean
+        return [_part(y[:, d : d + 1], c[:, None], metric) for d, c in enumerate(self.levels)], start
+
     def _encode(self, rows: np.ndarray) -> np.ndarray:
         y = (rows - self.mean) @ self.axes
         own = np.stack([kmeans.levels_of(y[:, d], c) for d, c in enumerate(self.levels)], axis=1)
@@ -373,7 +455,7 @@ class RankAware(Codec):
         return bitpack.pack_layout(own, self.bits, self.byte, self.offset, self.size)
 
     def _decode(self, codes: np.ndarray) -> np.ndarray:
-        own = bitpack.unpack_dense(codes, self.bits) if self.packing == "dense" else bitpack.unpack_layout(codes, self.bits, self.byte, self.offset)
+        own = self.fields(codes)
         y = np.stack([c[own[:, d]] for d, c in enumerate(self.levels)], axis=1)
         return y @ self.axes.T + self.mean
 

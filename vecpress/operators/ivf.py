@@ -2,13 +2,16 @@
 codes decode to.
 
 Codes are a table (cell, vec_id, code); `models.save_index` writes it partitioned by cell, and
-rows of cells that no query probes are then not read. Probes, the nearest cells of each query,
-are few: they go to the tasks by cell, in blocks of queries within QUERY_BYTES. Before that
-codes are computed when they are read: write them if they are searched more than once.
+rows of cells that no query probes are then not read. Queries meet the rows of the cells they
+probe as strips (`grid`). Codes are computed when they are read: write them if they are searched
+more than once.
+
+With `tables` a search looks up partial distances by code field and never decodes a row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.functions.arrays import ROWS, from_binary, map_batches, to_binary, to_lists, to_matrix
-from vecpress.operators import kmeans
+from vecpress.functions.arrays import from_binary, map_batches, to_binary, to_lists, to_matrix
+from vecpress.operators import grid, kmeans
 from vecpress.operators.codecs import Codec, Scalar, SignBit
-from vecpress.operators.knn import SCHEMA, TILE, Top, _exact, collect_queries, meet, top
+from vecpress.operators.knn import SCHEMA, TILE, Nearest, Top, _exact, best, nothing, top
+
+#: Bytes of look-up tables that a task makes at a time, and of the codecs of all cells together.
+TABLE_BYTES = 64 << 20
+CELL_CODECS_BYTES = 256 << 20
+#: Rows of a cell that its own codec is fitted on, about, drawn by a hash of the id.
+CELL_ROWS = 16_384
 
 
 def default_cells(rows: int) -> int:
@@ -33,19 +42,29 @@ def default_probes(cells: int) -> int:
 def probe(queries: np.ndarray, centroids: np.ndarray, nprobe: int, metric: str = "l2") -> np.ndarray:
     """(queries, nprobe) cells, nearest first, ties to the lowest number."""
     cost = -(queries @ centroids.T) if metric == "ip" else (centroids**2).sum(1)[None, :] - 2 * queries @ centroids.T + (queries**2).sum(1)[:, None]
-    return np.argsort(cost, axis=1, kind="stable")[:, :nprobe]
+    if nprobe >= cost.shape[1]:
+        return np.argsort(cost, axis=1, kind="stable")
+    # all that may be among the nearest, ties included, then those in order
+    limit = np.partition(cost, nprobe - 1, axis=1)[:, nprobe - 1]
+    out = np.empty((len(cost), nprobe), np.int64)
+    for i, row in enumerate(cost):
+        some = np.flatnonzero(row <= limit[i])
+        out[i] = some[np.argsort(row[some], kind="stable")[:nprobe]]
+    return out
 
 
 class IVF:
-    """codec None keeps rows as they are. per_cell: a scalar codec fitted on each cell's
-    residuals; else one codec for the residuals of all cells. Centroids are fitted on about
+    """codec None keeps rows as they are. per_cell: a codec of its kind fitted on each cell's
+    residuals (scalar ranges on all rows of a cell, other kinds on about CELL_ROWS of them, one
+    task a cell; together they are held to CELL_CODECS_BYTES); else one codec for the residuals of
+    all cells. Centroids are fitted on about
     rows_per_cell rows for each cell, drawn by a hash of the id, or on all rows if that is None
     or more than there are; every row is indexed."""
 
     def __init__(self, cells: int | None = None, codec: Codec | None = None, metric: str = "l2", per_cell: bool = False, iterations: int = 10, rows_per_cell: int | None = 256):
         self.cells, self.codec, self.metric, self.per_cell, self.iterations, self.rows_per_cell = cells, codec, metric, per_cell, iterations, rows_per_cell
-        if per_cell and not isinstance(codec, Scalar):
-            raise ValueError("only scalar codes are fitted for each cell; a cell may have too few rows for others")
+        if per_cell and codec is None:
+            raise ValueError("rows kept as they are have no codec to fit for each cell")
 
     def fit(self, x: DataFrame) -> IVF:
         rows = x.count()
@@ -54,7 +73,10 @@ class IVF:
         self.centroids = kmeans.kmeans(drawn, cells, self.iterations, self.metric == "ip")
         self.cells = len(self.centroids)
         self.residuals = self._residuals(x)
-        if self.per_cell:
+        if self.per_cell and not isinstance(self.codec, Scalar):
+            self.own = self._fit_cells()
+            self.codec.dims = self.centroids.shape[1]
+        elif self.per_cell:
             pieces = self.residuals.select("cell", F.posexplode("v").alias("d", "x")).groupBy("cell", "d").agg(F.min("x").alias("a"), F.max("x").alias("b"))
             dims = self.centroids.shape[1]
             self.low, self.high = np.zeros((cells, dims)), np.zeros((cells, dims))
@@ -77,6 +99,40 @@ class IVF:
 
         return map_batches(x, run, "cell int, vec_id long, v array<double>")
 
+    def _fit_cells(self) -> dict[int, Codec]:
+        """A fitted codec for each cell that has rows, from one grouped job."""
+        sizes = {r["cell"]: r["count"] for r in self.residuals.groupBy("cell").count().collect()}  # a row a cell
+        chance = F.try_element_at(F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, CELL_ROWS / n)))), F.col("cell"))
+        u = F.xxhash64("vec_id", F.lit(4)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+        plain = pickle.dumps(self.codec)
+
+        def train(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("vec_id")
+            fitted = pickle.loads(plain).fit_rows(to_matrix(rows.column("v")))
+            return pa.table({"cell": rows.column("cell").slice(0, 1), "codec": pa.array([pickle.dumps(fitted)], pa.binary())})
+
+        fitted = self.residuals.where(u < chance).groupBy("cell").applyInArrow(train, "cell int, codec binary")
+        one = len(pickle.dumps(pickle.loads(plain).fit_rows(np.eye(self.centroids.shape[1])[:2])))
+        if one * len(sizes) > CELL_CODECS_BYTES:
+            raise ValueError(f"codecs of {len(sizes)} cells take {one * len(sizes) >> 20} MB; take fewer cells, or one codec for all")
+        return {r["cell"]: pickle.loads(r["codec"]) for r in fitted.collect()}
+
+    def codec_of(self, cell: int) -> Codec:
+        """The codec of one cell's residuals."""
+        if hasattr(self, "own"):
+            return self.own[cell]
+        return self._bounded(cell) if self.per_cell else self.codec
+
+    def _by_cell(self, cell: np.ndarray, rows: np.ndarray, method: str) -> np.ndarray:
+        """rows through a method of their own cell's codec."""
+        out = None
+        for c in np.unique(cell):
+            at = np.flatnonzero(cell == c)
+            part = getattr(self.own[int(c)], method)(rows[at])
+            out = np.empty((len(rows), part.shape[1]), part.dtype) if out is None else out
+            out[at] = part
+        return out
+
     def _bounded(self, cell: np.ndarray) -> Codec:
         codec = Scalar(self.codec.bits)
         codec.dims, codec.low, codec.high = self.codec.dims, self.low[cell], self.high[cell]
@@ -92,6 +148,8 @@ class IVF:
             v = to_matrix(b.column("v"))
             if own.codec is None:
                 code = v.astype("<f8").view(np.uint8).reshape(len(v), -1)
+            elif hasattr(own, "own"):
+                code = own._by_cell(cell, v, "_encode")
             else:
                 code = (own._bounded(cell) if own.per_cell else own.codec)._encode(v)
             return {"cell": b.column("cell"), "vec_id": b.column("vec_id"), "code": to_binary(code)}
@@ -110,54 +168,39 @@ class IVF:
     def decode_rows(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
         if self.codec is None:
             v = code.copy().view("<f8")
+        elif hasattr(self, "own"):
+            v = self._by_cell(cell, code, "_decode")
         else:
             v = (self._bounded(cell) if self.per_cell else self.codec)._decode(code)
         return v + self.centroids[cell]
 
-    def search(self, codes: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, estimate: bool = False, query_bits: int = 4) -> DataFrame:
+    def search(self, codes: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, estimate: bool = False, query_bits: int = 4, tables: bool = False, strip: int | None = None) -> DataFrame:
         """(qid, rk, id, score). Squared distances, or inner products, largest first. A query
         with fewer than k rows in its cells has fewer rows. estimate: by the estimator of
-        sign-bit or segmented codes, made for the metric of the index, instead of decoded rows."""
+        sign-bit or segmented codes, made for the metric of the index, instead of decoded rows.
+        tables: by look-up tables of the codec, which no row is decoded for. strip: as in `knn.search`."""
         if k <= 0:
-            return codes.sparkSession.createDataFrame([], "qid long, rk int, id long, score double")
+            return nothing(codes)
         if estimate and self.codec.metric != self.metric:
             raise ValueError(f"the codec estimates {self.codec.metric}, the index searches {self.metric}")
         nprobe = min(nprobe or default_probes(self.cells), self.cells)
-        spark, metric = codes.sparkSession, self.metric
-        out = None
-        for ids, q in collect_queries(queries):
-            cells = probe(q, self.centroids, nprobe, metric)
-            by_cell = {int(c): np.flatnonzero((cells == c).any(1)) for c in np.unique(cells)}
-            sent = spark.sparkContext.broadcast((self.__getstate__(), ids, q, by_cell))
-
-            def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                state, ids, q, by_cell = sent.value
-                own, kept = IVF._from(state), Top(len(q), k)
-                args = (query_bits,) if isinstance(own.codec, SignBit) else ()
-                for whole in batches:
-                    for i in range(0, whole.num_rows, ROWS):
-                        batch = whole.slice(i, ROWS)
-                        cell = batch.column("cell").to_numpy()
-                        code = from_binary(batch.column("code"))
-                        vec = batch.column("vec_id").to_numpy()
-                        for c in np.unique(cell):
-                            at, to = np.flatnonzero(cell == c), by_cell.get(int(c), np.zeros(0, int))
-                            if not len(to):
-                                continue
-                            if not estimate:
-                                meet(kept, metric, q, to, own.decode_rows(cell[at], code[at]), vec[at])
-                            elif metric == "l2":
-                                estimated(kept, own.codec, q - own.centroids[c], to, code[at], vec[at], args)
-                            else:  # <q, c + r>: the first is known
-                                estimated(kept, own.codec, q, to, code[at], vec[at], args, q @ own.centroids[c])
-                yield from kept.batch(ids, 1.0 if metric == "l2" else -1.0)
-
-            wanted = codes if len(by_cell) == self.cells else codes.where(F.col("cell").isin(list(by_cell)))
-            found = wanted.mapInArrow(scan, SCHEMA)
-            out = found if out is None else out.unionByName(found)
-        if out is None:
-            return spark.createDataFrame([], "qid long, rk int, id long, score double")
-        return top(out, k, metric == "l2")
+        metric = self.metric
+        sent = codes.sparkSession.sparkContext.broadcast(self.__getstate__())
+
+        def read(rows: pa.RecordBatch, cell: int) -> np.ndarray:
+            return IVF._from(sent.value).decode_rows(rows.column("cell").to_numpy(), from_binary(rows.column("code")))
+
+        def make(names: np.ndarray, q: np.ndarray) -> grid.Fold:
+            if not estimate and not tables:
+                return Nearest(names, q, k, metric, read)
+            own = IVF._from(sent.value)
+            args = (query_bits,) if isinstance(own.codec, SignBit) else ()
+            if tables:
+                return LookedUp(names, q, k, metric, own.codec_of, own.centroids)
+            return Estimated(names, q, k, own.codec, args, own.centroids)
+
+        found = grid.match(codes.select("cell", "vec_id", "code"), queries, make, SCHEMA, probe=lambda q: probe(q, sent.value["centroids"], nprobe, metric), strip=strip)
+        return top(found, k, metric == "l2")
 
 
 def flat_search(codec: Codec, codes: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -168,6 +211,77 @@ def flat_search(codec: Codec, codes: DataFrame, queries: DataFrame, k: int, metr
     return search(codes, queries, k, metric, decode=lambda b: sent.value._decode(from_binary(b.column("code"))))
 
 
+def table_search(codec: Codec, codes: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """Search of codes (vec_id, code) by look-up tables: for each query and field of a code its
+    part of the squared distance or inner product for every value of the field, summed over the
+    fields in order. Equal to `flat_search` but for the order of sums."""
+    if k <= 0:
+        return nothing(codes)
+    sent = codes.sparkSession.sparkContext.broadcast(codec)
+    found = grid.match(codes.select("vec_id", "code"), queries, lambda names, q: LookedUp(names, q, k, metric, lambda cell: sent.value), SCHEMA)
+    return top(found, k, metric == "l2")
+
+
+class LookedUp:
+    """A strip's best rows by look-up tables. With centroids codes are of residuals: a query's
+    tables are made for what is left of it in each cell, or for itself under inner products."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, k: int, metric: str, codec_of, centroids: np.ndarray | None = None):
+        self.names, self.q, self.metric, self.codec_of, self.centroids, self.top = names, q, metric, codec_of, centroids, Top(len(q), k)
+        self.kept: tuple | None = None
+
+    def _tables(self, own: np.ndarray, cell: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Tables of the queries `own`; those of the last ones asked for are kept."""
+        key = (cell, own[0], own[-1], len(own))
+        if self.kept is None or self.kept[0] != key:
+            q, plus = self.q[own], np.zeros(len(own))
+            if self.centroids is not None and self.metric == "l2":
+                q = q - self.centroids[cell]
+            elif self.centroids is not None:
+                plus = q @ self.centroids[cell]
+            tables, start = self.codec_of(cell).tables(q, self.metric)
+            self.kept = (key, tables, plus + start)
+        return self.kept[1:]
+
+    def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
+        codec = self.codec_of(cell)
+        ids, fields = rows.column("vec_id").to_numpy(), codec.fields(from_binary(rows.column("code")))
+        tile = int(min(len(to), max(1, TABLE_BYTES // codec.table_bytes()), max(1, TABLE_BYTES // (8 * len(ids)))))
+        for i in range(0, len(to), tile):
+            own = to[i : i + tile]
+            tables, start = self._tables(own, cell)
+            total = np.repeat(start[:, None], len(ids), 1)
+            for j, table in enumerate(tables):
+                total += table[:, fields[:, j]]
+            cost = total if self.metric == "l2" else -total
+            a, b = best(cost, np.zeros_like(cost), self.top.k, self.top.kth(own))
+            for j in range(0, len(a), 1 << 16):
+                m, n = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+                self.top.add(own[m], ids[n], cost[m, n])
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        yield from self.top.batch(self.names, 1.0 if self.metric == "l2" else -1.0)
+
+
+class Estimated:
+    """A strip's best rows by a codec's own estimator, of residuals if there are centroids."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, k: int, codec: Codec, args: tuple, centroids: np.ndarray | None = None):
+        self.names, self.q, self.codec, self.args, self.centroids, self.top = names, q, codec, args, centroids, Top(len(q), k)
+
+    def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
+        code, ids = from_binary(rows.column("code")), rows.column("vec_id").to_numpy()
+        if self.centroids is None:
+            estimated(self.top, self.codec, self.q, to, code, ids, self.args)
+        elif self.codec.metric == "l2":
+            estimated(self.top, self.codec, self.q - self.centroids[cell], to, code, ids, self.args)
+        else:  # <q, c + r>: the first is known
+            estimated(self.top, self.codec, self.q, to, code, ids, self.args, self.q @ self.centroids[cell])
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        yield from self.top.batch(self.names, 1.0 if self.codec.metric == "l2" else -1.0)
+
+
 def estimated(kept: Top, codec, q: np.ndarray, to: np.ndarray, code: np.ndarray, ids: np.ndarray, args: tuple, plus: np.ndarray | None = None) -> None:
     """Keeps the best of queries number `to` by a codec's estimator; plus: added to a query's scores."""
     for i in range(0, len(to), TILE):
@@ -194,23 +308,11 @@ def estimated(kept: Top, codec, q: np.ndarray, to: np.ndarray, code: np.ndarray,
 def estimate_search(codec, codes: DataFrame, queries: DataFrame, k: int, *args) -> DataFrame:
     """Top k by a codec's own estimator (sign-bit or segmented codes), of distances or of inner
     products, as the codec's metric says."""
-    spark, sign = codes.sparkSession, 1.0 if codec.metric == "l2" else -1.0
-    out = None
-    for ids, q in collect_queries(queries) if k > 0 else ():
-        sent = spark.sparkContext.broadcast((codec, ids, q))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            codec, ids, q = sent.value
-            kept, every = Top(len(q), k), np.arange(len(q))
-            for whole in batches:
-                for i in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(i, ROWS)
-                    estimated(kept, codec, q, every, from_binary(batch.column("code")), batch.column("vec_id").to_numpy(), args)
-            yield from kept.batch(ids, sign)
-
-        found = codes.mapInArrow(scan, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return top(out, k, codec.metric == "l2") if out is not None else spark.createDataFrame([], "qid long, rk int, id long, score double")
+    if k <= 0:
+        return nothing(codes)
+    sent = codes.sparkSession.sparkContext.broadcast(codec)
+    found = grid.match(codes.select("vec_id", "code"), queries, lambda names, q: Estimated(names, q, k, sent.value, args), SCHEMA)
+    return top(found, k, codec.metric == "l2")
 
 
 def codebook_query(books: np.ndarray, queries: DataFrame, k: int, metric: str = "l2", rotation: np.ndarray | None = None) -> DataFrame:

@@ -91,6 +91,24 @@ def pq_train(x: DataFrame, m: int, ksub: int, iterations: int = 10) -> np.ndarra
     return books
 
 
+def pq_train_rows(rows: np.ndarray, m: int, ksub: int, iterations: int = 10) -> np.ndarray:
+    """`pq_train` on a matrix: starts from its first rows; with fewer rows than centroids each row
+    is one, and the last one fills the rest."""
+    if rows.shape[1] % m:
+        raise AssertionError(f"{rows.shape[1]} dimensions do not divide into {m} sub-spaces")
+    parts = rows.reshape(len(rows), m, -1).transpose(1, 0, 2)
+    out = np.empty((m, ksub, parts.shape[2]))
+    for j, part in enumerate(parts):
+        c = part[:ksub].copy()
+        for _ in range(iterations if len(part) > len(c) else 0):
+            own, _ = nearest(part, c)
+            total, n = np.zeros_like(c), np.bincount(own, minlength=len(c))[:, None]
+            np.add.at(total, own, part)
+            c = np.where(n > 0, total / np.maximum(n, 1), c)
+        out[j, : len(c)], out[j, len(c) :] = c, c[-1]
+    return out
+
+
 # --- one dimension -----------------------------------------------------------------------
 
 

@@ -1,11 +1,10 @@
-"""Exact k nearest neighbours of a bounded query set against a table of any size.
-
-The queries go to every task in blocks of a checked size; each task screens its rows by a
-matrix product, tile by tile, and keeps the k best of each query, scored again in plain order
-of dimension, so results do not depend on the matrix library. The screen allows for what
-rounding may add to a product, which follows the vectors' norms and not their distance. The k
-best of all tasks meet by query in a window with a limit, which Spark applies before and after
-its shuffle.
+"""Exact k nearest neighbours of query sets of any size against a table of any size.
+
+Strips of queries meet strips of rows (`grid`); a task screens rows by a matrix product, tile by
+tile, and keeps the k best of each query, scored again in plain order of dimension, so results do
+not depend on the matrix library. The screen allows for what rounding may add to a product, which
+follows the vectors' norms and not their distance. The k best of all strips meet by query in a
+window with a limit, which Spark applies before and after its shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecpress.functions import distance
-from vecpress.functions.arrays import ROWS, to_matrix
+from vecpress.functions.arrays import reduce_tables, to_matrix
+from vecpress.operators import grid
 
-#: Bytes of queries that one pass sends to the tasks, and queries whose results a task keeps.
-QUERY_BYTES = 64 << 20
-QUERY_ROWS = 16_384
 #: Queries that meet a batch of rows at a time.
 TILE = 512
 ROUND = float(np.finfo(np.float64).eps)
@@ -30,20 +27,6 @@ ROUND = float(np.finfo(np.float64).eps)
 SCHEMA = "qid long, id long, score double"
 
 
-def collect_queries(queries: DataFrame, limit: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) blocks of a query table (qid, q), each within `limit` bytes and QUERY_ROWS."""
-    ids, rows, size = [], [], 0
-    for row in queries.toLocalIterator():
-        ids.append(row["qid"])
-        rows.append(row["q"])
-        size += 8 * len(row["q"])
-        if size >= limit or len(ids) == QUERY_ROWS:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
-
-
 def ordered_sum(terms: np.ndarray) -> np.ndarray:
     """Row sums from the first column to the last."""
     total = np.zeros(len(terms))
@@ -124,57 +107,92 @@ def top(df: DataFrame, k: int, nearest_first: bool) -> DataFrame:
     return df.withColumn("rk", rank).where(F.col("rk") <= k).select("qid", "rk", "id", "score")
 
 
-def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decode: Callable[[pa.RecordBatch], np.ndarray] | None = None, scale: str | None = None, full: bool = False) -> DataFrame:
+def nothing(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "qid long, rk int, id long, score double")
+
+
+class Nearest:
+    """A strip's best rows by squared distance or inner product."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, k: int, metric: str, read: Callable[[pa.RecordBatch, int], np.ndarray], scale: str | None = None):
+        self.names, self.q, self.metric, self.read, self.scale, self.top = names, q, metric, read, scale, Top(len(q), k)
+
+    def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
+        ids = rows.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        div = rows.column(self.scale).to_numpy(zero_copy_only=False) if self.scale else None
+        meet(self.top, self.metric, self.q, to, self.read(rows, cell), ids, div)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        yield from self.top.batch(self.names, 1.0 if self.metric == "l2" else -1.0)
+
+
+def search(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", decode: Callable[[pa.RecordBatch], np.ndarray] | None = None, scale: str | None = None, full: bool = False, strip: int | None = None) -> DataFrame:
     """Exact search. base: vec_id and v (or what `decode` makes rows of); queries: qid, q.
 
     metric l2 scores squared distances, ip inner products, largest first. `scale` names a
     column of base by which an inner product is divided (the normalised score). A base of fewer
-    than k rows gives shorter results, or with `full` an error.
+    than k rows gives shorter results, or with `full` an error. strip: queries that meet the rows
+    at a time, at most.
     """
     if k <= 0:
-        return base.sparkSession.createDataFrame([], "qid long, rk int, id long, score double")
+        return nothing(base)
     if full and base.limit(k).count() < k:
         raise ValueError(f"the table has fewer than {k} rows")
-    read = decode or (lambda batch: to_matrix(batch.column("v")))
-    spark = base.sparkSession
-    out = None
-    for ids, q in collect_queries(queries):
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            kept, every = Top(len(q), k), np.arange(len(q))
-            for whole in batches:
-                for i in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(i, ROWS)
-                    own = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                    div = batch.column(scale).to_numpy(zero_copy_only=False) if scale else None
-                    meet(kept, metric, q, every, read(batch), own, div)
-            yield from kept.batch(ids, 1.0 if metric == "l2" else -1.0)
-
-        found = base.mapInArrow(scan, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "qid long, rk int, id long, score double")
-    return top(out, k, metric == "l2")
-
-
-def search_metric(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """Search under any metric of `distance.METRICS`, as column expressions over query blocks.
-
-    Each row of base meets the broadcast query block (bounded by QUERY_BYTES) as one array, so
-    no join is planned.
-    """
-    measure, nearest_first = distance.METRICS[distance.metric(metric)]
-    out = None
-    for ids, q in collect_queries(queries):
-        block = base.sparkSession.createDataFrame([(list(map(int, ids)), [list(map(float, r)) for r in q])], "qids array<long>, qs array<array<double>>")
-        rows = base.join(F.broadcast(block)).select("vec_id", "v", F.explode(F.arrays_zip("qids", "qs")).alias("b"))
-        found = rows.select(F.col("b.qids").alias("qid"), F.col("vec_id").alias("id"), measure(F.col("b.qs"), F.col("v")).alias("score"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return base.sparkSession.createDataFrame([], "qid long, rk int, id long, score double")
-    return top(out, k, nearest_first)
+
+    def read(rows: pa.RecordBatch, cell: int) -> np.ndarray:
+        return decode(rows) if decode else to_matrix(rows.column("v"))
+
+    rows = base if decode else base.select("vec_id", "v", *[scale] * bool(scale))
+    return top(grid.match(rows, queries, lambda names, q: Nearest(names, q, k, metric, read, scale), SCHEMA, strip=strip), k, metric == "l2")
+
+
+class Measured:
+    """A strip's best rows under any measure of all pairs; undefined ones come last."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, k: int, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray], nearest_first: bool):
+        self.names, self.q, self.pairs, self.sign, self.top = names, q, pairs, 1.0 if nearest_first else -1.0, Top(len(q), k)
+
+    def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
+        ids, x = rows.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64), to_matrix(rows.column("v"))
+        for i in range(0, len(to), TILE):
+            own = to[i : i + TILE]
+            cost = self.sign * self.pairs(self.q[own], x)
+            cost = np.where(np.isnan(cost), np.inf, cost)
+            a, b = best(cost, np.zeros_like(cost), self.top.k, self.top.kth(own))
+            for j in range(0, len(a), 1 << 16):
+                m, n = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+                self.top.add(own[m], ids[n], cost[m, n])
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        yield from self.top.batch(self.names, self.sign)
+
+
+def gower_spans(base: DataFrame) -> np.ndarray:
+    """The span of each dimension's numbers, entries of zero or more; 0 without two of them."""
+
+    def fold(m: np.ndarray) -> dict[str, np.ndarray]:
+        numbers = np.where(m >= 0, m, np.nan)
+        return {"low": np.where(np.isnan(numbers), np.inf, numbers).min(0), "high": np.where(np.isnan(numbers), -np.inf, numbers).max(0)}
+
+    got = reduce_tables(base, fold, {"low": np.minimum, "high": np.maximum})
+    return np.maximum(np.where(np.isfinite(got["low"]), got["high"] - np.where(np.isfinite(got["low"]), got["low"], 0), 0), 0)
+
+
+def search_metric(base: DataFrame, queries: DataFrame, k: int, metric: str | int) -> DataFrame:
+    """Search under any metric of `distance.PAIRWISE`, or `gower`, whose spans a first pass over
+    base measures. A pair whose measure is undefined (no common dimension, a denominator of zero)
+    comes last and has no finite score. Scores are summed in order of dimension, and a task keeps
+    the k best rows of each query."""
+    name = distance.metric(metric)
+    if k <= 0:
+        return nothing(base)
+    nearest_first = name == "gower" or distance.METRICS[name][1]
+    if name == "gower":
+        spans = gower_spans(base)
+        pairs = lambda q, x: distance.gower_pairs(q, x, spans)
+    else:
+        pairs = distance.PAIRWISE[name]
+    return top(grid.match(base.select("vec_id", "v"), queries, lambda names, q: Measured(names, q, k, pairs, nearest_first), SCHEMA), k, nearest_first)
 
 
 def normalised_ground_truth(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -185,6 +185,68 @@ def pq_ctes(source: str, m: int, ksub: int, steps: int) -> str:
     return ", ".join(out)
 
 
+def cell_pq_ctes(m: int, ksub: int, steps: int) -> str:
+    """CTEs up to cbook (cell, m, idx, c) and ccode (vec_id, cell, m, idx) of the residuals rs, a
+    codebook for each cell from its first rows."""
+    width = DIMS // m
+    out = [
+        f"cs AS MATERIALIZED (SELECT vec_id, cell, m, list_slice(v, m * {width} + 1, m * {width} + {width}) AS p FROM rs, range({m}) t(m))",
+        f"cb0 AS (SELECT cell, m, row_number() OVER (PARTITION BY cell, m ORDER BY vec_id) - 1 AS idx, p AS c FROM cs QUALIFY row_number() OVER (PARTITION BY cell, m ORDER BY vec_id) <= {ksub})",
+    ]
+    for i in range(steps + 1):
+        out.append(f"""ck{i} AS MATERIALIZED (SELECT vec_id, cell, m, p, idx FROM (
+  SELECT vec_id, cs.cell, cs.m, p, idx, row_number() OVER (PARTITION BY vec_id, cs.m ORDER BY {_metric('l2', 'p', 'c')}, idx) AS rk
+  FROM cs JOIN cb{i} b ON cs.cell = b.cell AND cs.m = b.m) WHERE rk = 1)""")
+        if i < steps:
+            out.append(f"""cb{i + 1} AS MATERIALIZED (SELECT b.cell, b.m, b.idx, coalesce(n.c, b.c) AS c FROM cb{i} b LEFT JOIN (
+  SELECT cell, m, idx, list(a ORDER BY d) AS c FROM (SELECT cell, m, idx, d, avg(u) AS a FROM (
+    SELECT cell, m, idx, unnest(p) AS u, unnest(range(len(p))) AS d FROM ck{i}) GROUP BY cell, m, idx, d) GROUP BY cell, m, idx) n
+  ON n.cell = b.cell AND n.m = b.m AND n.idx = b.idx)""")
+    return ", ".join([*out, f"cbook AS (SELECT * FROM cb{steps})", f"ccode AS (SELECT vec_id, cell, m, idx FROM ck{steps})"])
+
+
+def _looked_up(scored: str, k: int = 10, metric: str = "l2") -> str:
+    return top(scored, k, "score" if metric == "l2" else "score DESC", 9)
+
+
+def adc_pq(metric: str) -> str:
+    """A table of parts for each query, joined by (m, idx)."""
+    part = _metric(metric, "list_slice(q, m * 8 + 1, m * 8 + 8)", "c")
+    return f"""WITH {X}, {Q}, {pq_ctes('x', 8, 16, 2)}, lut AS MATERIALIZED (SELECT qid, m, idx, {part} AS part FROM q, book)
+""" + _looked_up("SELECT qid, vec_id AS id, sum(part ORDER BY lut.m) AS score FROM code JOIN lut ON code.m = lut.m AND code.idx = lut.idx GROUP BY qid, vec_id", metric=metric)
+
+
+def adc_ivfpq(metric: str) -> str:
+    """Parts for each query and cell it probes; inner products add that with the centroid."""
+    mine = "list_transform(list_zip(q, pr.c), lambda p: p[1] - p[2])" if metric == "l2" else "q"
+    plus = "0.0" if metric == "l2" else fold("p[1] * p[2]", "q", "pr.c")
+    return f"""WITH {X}, {Q}, {kmeans_ctes(CELLS, 3, metric)}, {probe(metric)}, {RESIDUAL}, {pq_ctes('rs', 8, 16, 2)},
+pq AS MATERIALIZED (SELECT qid, cell, {mine} AS q, {plus} AS plus FROM pr),
+lut AS MATERIALIZED (SELECT qid, cell, plus, m, idx, {_metric(metric, 'list_slice(q, m * 8 + 1, m * 8 + 8)', 'c')} AS part FROM pq, book)
+""" + _looked_up("SELECT qid, rs.vec_id AS id, any_value(plus) + sum(part ORDER BY lut.m) AS score FROM rs JOIN code ON rs.vec_id = code.vec_id JOIN lut ON rs.cell = lut.cell AND code.m = lut.m AND code.idx = lut.idx GROUP BY qid, rs.vec_id", metric=metric)
+
+
+def adc_sq4() -> str:
+    return f"""WITH {TAPERED}, {Q}, {sq_levels(4)}, val AS (SELECT b.d, g AS l, g / 15.0 * (mx[b.d + 1] - mn[b.d + 1] + 1e-8) + mn[b.d + 1] AS x FROM rg, range({DIMS}) b(d), range(16) r(g)),
+lut AS MATERIALIZED (SELECT qid, val.d, l, power(q[val.d + 1] - x, 2) AS part FROM q, val),
+lv AS (SELECT vec_id, unnest(l) AS l, unnest(range({DIMS})) AS d FROM sq)
+""" + _looked_up("SELECT qid, vec_id AS id, sum(part ORDER BY lut.d) AS score FROM lv JOIN lut ON lv.d = lut.d AND lv.l = lut.l GROUP BY qid, vec_id")
+
+
+def pq_per_cell() -> str:
+    return ivf(f", {cell_pq_ctes(8, 8, 2)}, pd AS (SELECT vec_id, flatten(list(b.c ORDER BY b.m)) AS r FROM ccode JOIN cbook b ON ccode.cell = b.cell AND ccode.m = b.m AND ccode.idx = b.idx GROUP BY vec_id)",
+               f"SELECT rs.vec_id, cell, {PLUS_C.format(r='pd.r')} AS r FROM rs JOIN pd ON rs.vec_id = pd.vec_id")
+
+
+GOWER = f"""WITH x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e, i: CASE WHEN (vec_id + i - 1) % 11 = 0 THEN CAST('NaN' AS DOUBLE)
+    WHEN (i - 1) % 4 = 3 THEN -1.0 - (vec_id + i - 1) % 5 ELSE abs(e) * (1 + vec_id % 7) END) AS v FROM embeddings), {Q}, {E},
+sp AS (SELECT d, max(x) - min(x) AS span FROM e WHERE NOT isnan(x) AND x >= 0 GROUP BY d),
+qe AS (SELECT qid, unnest(q) AS a, unnest(range(len(q))) AS d FROM q),
+pr AS (SELECT qid, vec_id AS id, qe.d, isnan(a) OR isnan(x) AS gone, CASE WHEN a >= 0 AND x >= 0 THEN CASE WHEN span > 0 THEN least(abs(a - x) / span, 1.0) ELSE 0.0 END
+    WHEN a < 0 AND x < 0 AND trunc(a) = trunc(x) THEN 0.0 ELSE 1.0 END AS part FROM qe JOIN e ON qe.d = e.d LEFT JOIN sp ON sp.d = e.d)
+""" + top("SELECT qid, id, sum(CASE WHEN gone THEN 0.0 ELSE part END ORDER BY d) / count(*) FILTER (WHERE NOT gone) AS score FROM pr GROUP BY qid, id", 10, "score", 9)
+
+
 def probe(metric: str = "l2") -> str:
     order = "" if metric == "l2" else " DESC"
     return f"""pr AS MATERIALIZED (SELECT qid, q, cell, c, rk FROM (
@@ -281,6 +343,31 @@ sp AS (SELECT qid, vec_id, sid, any_value(plus) AS plus, any_value(norm2) AS nor
 """ + top(f"SELECT qid, vec_id AS id, {score} + any_value(plus) AS score FROM sp GROUP BY qid, vec_id", 10, "score" if metric == "l2" else "score DESC", 5)
 
 
+def saq_blocks() -> str:
+    """Highest bits first by dimension, the others lowest first, 32 rows a block."""
+    return f"""WITH {TAPERED}, {_grid(3 * DIMS // 16)},
+co AS (SELECT pt.vec_id, CAST(pt.sid AS BIGINT) - 1 AS segment, pt.bits, pt.d - min(pt.d) OVER (PARTITION BY pt.vec_id, pt.sid) AS d, CASE WHEN pt.bits > 0 THEN CAST(round((point + 1) * power(2, pt.bits) / 2 - 0.5) AS BIGINT) ELSE 0 END AS code FROM pt),
+bt AS (SELECT vec_id, segment, 's' AS kind, d // 8 AS pos, sum((code >> (bits - 1)::INTEGER) << (7 - d % 8)::INTEGER) AS byte FROM co WHERE bits > 0 GROUP BY ALL
+  UNION ALL SELECT vec_id, segment, 'l', (d * (bits - 1) + b) // 8, sum(((code >> b::INTEGER) & 1) << ((d * (bits - 1) + b) % 8)::INTEGER) FROM co, range(8) t(b) WHERE b < bits - 1 GROUP BY ALL),
+hx AS (SELECT vec_id, segment, coalesce(string_agg(printf('%02X', byte::INTEGER), '' ORDER BY pos) FILTER (WHERE kind = 's'), '') AS short, coalesce(string_agg(printf('%02X', byte::INTEGER), '' ORDER BY pos) FILTER (WHERE kind = 'l'), '') AS long
+  FROM (SELECT DISTINCT vec_id, segment FROM co) LEFT JOIN bt USING (vec_id, segment) GROUP BY vec_id, segment),
+nr AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS nr FROM x)
+SELECT nr // 32 AS block, string_agg(vec_id::VARCHAR, ',' ORDER BY nr) AS ids, CAST(segment AS INTEGER) AS segment,
+  string_agg(short, '' ORDER BY nr) || repeat('0', (32 - count(*)) * any_value(length(short))) AS short, string_agg(long, '' ORDER BY nr) || repeat('0', (32 - count(*)) * any_value(length(long))) AS long
+FROM hx JOIN nr USING (vec_id) GROUP BY block, segment"""
+
+
+def saq_factors() -> str:
+    """h is half a step above or below zero. A segment without bits has its length alone."""
+    return f"""WITH {TAPERED}, {_grid(3 * DIMS // 16)},
+ph AS (SELECT sg.vec_id, sg.sid, sg.d, bits, norm2, scale, sg.point * scale AS p, CASE WHEN bits = 0 THEN 0.0 WHEN sg.point > 0 THEN 0.5 ELSE -0.5 END AS h FROM sg JOIN pt ON sg.vec_id = pt.vec_id AND sg.sid = pt.sid AND sg.d = pt.d),
+al AS (SELECT vec_id, sid, any_value(bits) AS bits, any_value(norm2) AS norm2, any_value(scale) AS scale, count(*) AS n, sum(p * p) AS p2, CASE WHEN sum(h * h) > 0 THEN CAST(CAST(sum(p * h) / sum(h * h) AS FLOAT) AS DOUBLE) ELSE 0.0 END AS along FROM ph GROUP BY vec_id, sid)
+SELECT ph.vec_id, CAST(ph.sid - 1 AS INTEGER) AS segment, round(any_value(al.norm2), 4) AS norm2, round(any_value(al.scale), 4) AS scale,
+  round(any_value(CASE WHEN al.bits = 0 OR al.norm2 = 0 THEN 0.0 ELSE 1.9 * sqrt(al.norm2) * sqrt(greatest(p2 / al.norm2 - 1, 0) / greatest(n - 1, 1)) END), 4) AS error,
+  round(sqrt(any_value(p2)), 4) AS length, round(any_value(along), 4) AS along, round(sqrt(sum(power(p - along * h, 2))), 4) AS beside
+FROM ph JOIN al ON ph.vec_id = al.vec_id AND ph.sid = al.sid GROUP BY ph.vec_id, ph.sid"""
+
+
 # --- two levels a dimension -----------------------------------------------------------------
 
 
@@ -431,6 +518,7 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
     dist = lambda a, b: f"sqrt({fold(_TERMS['l2'], a, b)})"
     out = {
         "knn_l2": knn(SCALED, "l2", 100),
+        "knn_l2_strips": knn(SCALED, "l2", 100),
         "knn_ip": knn(SCALED, "ip", 100, "score DESC"),
         "knn_normalised_ip": norm_ip,
         "knn_wide": f"SELECT qid, array_to_string(list(id ORDER BY rk), ',') AS ids FROM ({knn(X, 'l2', 100)}) GROUP BY qid",
@@ -441,6 +529,15 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "ivf_flat_search": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs"),
         "ivf_sq_search": ivf(ivfsq, f"SELECT vec_id, cell, {PLUS_C.format(r='r')} AS r FROM dr"),
         "ivfpq_search": ivf(ivfpq, f"SELECT rs.vec_id, cell, {PLUS_C.format(r='pd.r')} AS r FROM rs JOIN pd ON rs.vec_id = pd.vec_id"),
+        "ivf_pq_per_cell_search": pq_per_cell(),
+        "ivf_pq_per_cell_tables": pq_per_cell(),
+        "ivf_flat_search_strips": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs"),
+        "adc_pq_search": adc_pq("l2"),
+        "adc_pq_search_ip": adc_pq("ip"),
+        "adc_sq4_search": adc_sq4(),
+        "adc_ivfpq_search": adc_ivfpq("l2"),
+        "adc_ivfpq_search_ip": adc_ivfpq("ip"),
+        "knn_metric_gower": GOWER,
         "ivf_flat_search_ip": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs", metric="ip"),
         "ivf_saved_search": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs"),
         "rabitq_search": _rabitq_search("l2"),
@@ -449,6 +546,10 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "rabitq_ivf_search_ip": _rabitq_ivf("ip"),
         "saq_grid_search": _grid_search("l2"),
         "saq_grid_search_ip": _grid_search("ip"),
+        "saq_blocks": saq_blocks(),
+        "saq_block_factors": saq_factors(),
+        "saq_staged_search": _grid_search("l2"),
+        "saq_staged_search_ip": _grid_search("ip"),
         "saq_grid_search_pruned": _grid_search("l2", True),
         "saq_grid_decode": f"WITH {TAPERED}, {_grid(3 * DIMS // 16)} SELECT vec_id, CAST(d AS INTEGER) AS d, round(point * scale + mu[d + 1], 6) AS x FROM sg, mu",
         "lvq4_packed": f"WITH {X}, {lvq_levels(4)} SELECT vec_id, array_to_string(list_transform(l, lambda c: printf('%X', CAST(c AS INTEGER))), '') AS code FROM lv",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vecpress.functions import distance
 from vecpress.functions.arrays import from_binary, map_batches, to_lists, to_matrix, vectors
-from vecpress.operators import allocation, codecs, ivf, kmeans, knn, metrics, moments, report
+from vecpress.operators import allocation, blocks, codecs, ivf, kmeans, knn, metrics, moments, report
 from vecpress.plans import oracles, study
 from vecpress.sources import datasets, fvecs, models, runlog
 from vecpress.streaming import sweep as streaming
@@ -72,9 +72,9 @@ def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
 # --- search ------------------------------------------------------------------------------
 
 
-def _knn(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _knn(metric: str, spark: SparkSession, sf_dir: str, strip: int | None = None) -> DataFrame:
     x = _scaled(spark, sf_dir)
-    return knn.search(x, _q(x), 100, metric)
+    return knn.search(x, _q(x), 100, metric, strip=strip)
 
 
 def _knn_metric(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +98,25 @@ def _flat(codec: codecs.Codec, metric: str, spark: SparkSession, sf_dir: str) ->
     return _rounded(ivf.flat_search(codec, codec.encode(x), _q(x), 10, metric))
 
 
-def _ivf(spark: SparkSession, sf_dir: str, codec: codecs.Codec | None = None, per_cell: bool = False, estimate: bool = False, iterations: int = 3, metric: str = "l2", places: int = 9) -> DataFrame:
+def _ivf(spark: SparkSession, sf_dir: str, codec: codecs.Codec | None = None, per_cell: bool = False, estimate: bool = False, iterations: int = 3, metric: str = "l2", places: int = 9, tables: bool = False, strip: int | None = None) -> DataFrame:
     x = _x(spark, sf_dir)
     index = ivf.IVF(CELLS, codec, metric, per_cell=per_cell, iterations=iterations).fit(x)
-    return _rounded(index.search(index.encode(), _q(x), 10, PROBES, estimate), places)
+    return _rounded(index.search(index.encode(), _q(x), 10, PROBES, estimate, tables=tables, strip=strip), places)
+
+
+def _tables(make: Callable[[], codecs.Codec], metric: str, source, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = source(spark, sf_dir)
+    codec = make().fit(x)
+    return _rounded(ivf.table_search(codec, codec.encode(x), _q(x), 10, metric))
+
+
+def _gower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, every fourth dimension categories, every eleventh entry missing."""
+    x = _x(spark, sf_dir)
+    kind = F.col("vec_id")
+    entry = lambda e, d: F.when((kind + d) % 11 == 0, F.lit(float("nan"))).when(d % 4 == 3, -1.0 - (kind + d) % 5).otherwise(F.abs(e) * (1 + kind % 7))
+    mixed = x.select("vec_id", F.transform("v", entry).alias("v"))
+    return _rounded(knn.search_metric(mixed, _q(mixed), 10, "gower"))
 
 
 def _ivf_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +153,35 @@ def _grid_search(metric: str, prune: bool, spark: SparkSession, sf_dir: str) ->
     return _rounded(ivf.estimate_search(codec, codec.encode(x), _q(x), 10), 5)
 
 
+def _saq_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and bytes of each block and segment."""
+    x = _tapered(spark, sf_dir)
+    codec = _grid_codec().fit(x)
+    out = blocks.to_blocks(codec, codec.encode(x)).withColumn("p", F.explode(F.arrays_zip("short", "long", F.sequence(F.lit(0), F.size("short") - 1).alias("s"))))
+    return out.select("block", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.col("p.s").alias("segment"), F.hex("p.short").alias("short"), F.hex("p.long").alias("long"))
+
+
+def _saq_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six factors of each row and segment."""
+    x = _tapered(spark, sf_dir)
+    codec = _grid_codec().fit(x)
+
+    def run(b) -> dict:
+        parts = blocks.split(codec, from_binary(b.column("code")))
+        return {"vec_id": b.column("vec_id"), "v": to_lists(np.concatenate([f for _, _, f in parts], axis=1).astype(np.float64))}
+
+    flat = map_batches(blocks.from_blocks(codec, blocks.to_blocks(codec, codec.encode(x))).select("vec_id", "code"), run, "vec_id long, v array<double>")
+    n = len(blocks.FACTORS)
+    each = flat.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("v") / n - 1).cast("int")), lambda s: F.struct(s.cast("int").alias("segment"), F.slice("v", (s * n + 1).cast("int"), n).alias("f")))).alias("r"))
+    return each.select("vec_id", "r.segment", *(F.round(F.col("r.f")[i], 4).alias(name) for i, name in enumerate(blocks.FACTORS)))
+
+
+def _saq_staged(metric: str, strip: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _tapered(spark, sf_dir)
+    codec = _grid_codec(metric).fit(x)
+    return _rounded(blocks.staged_search(codec, blocks.to_blocks(codec, codec.encode(x)), _q(x), 10, strip=strip), 5)
+
+
 def _saq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _tapered(spark, sf_dir)
     codec = codecs.Segmented(4).fit(x)
@@ -580,6 +624,17 @@ def queries() -> dict[str, Query]:
         "ivf_sq_search": lambda s, d: _ivf(s, d, codecs.Scalar(8), per_cell=True),
         "ivfpq_search": lambda s, d: _ivf(s, d, codecs.Product(8, 4, 2)),
         "ivf_flat_search_ip": lambda s, d: _ivf(s, d, metric="ip"),
+        "knn_l2_strips": partial(_knn, "l2", strip=2),
+        "ivf_flat_search_strips": lambda s, d: _ivf(s, d, strip=2),
+        "ivf_pq_per_cell_search": lambda s, d: _ivf(s, d, codecs.Product(8, 3, 2), per_cell=True),
+        "ivf_pq_per_cell_tables": lambda s, d: _ivf(s, d, codecs.Product(8, 3, 2), per_cell=True, tables=True),
+        "adc_pq_search": partial(_tables, lambda: codecs.Product(8, 4, 2), "l2", _x),
+        "adc_pq_search_ip": partial(_tables, lambda: codecs.Product(8, 4, 2), "ip", _x),
+        "adc_sq4_search": partial(_tables, lambda: codecs.Scalar(4), "l2", _tapered),
+        "adc_ivfpq_search": lambda s, d: _ivf(s, d, codecs.Product(8, 4, 2), tables=True),
+        "adc_ivfpq_search_ip": lambda s, d: _ivf(s, d, codecs.Product(8, 4, 2), metric="ip", tables=True),
+        "adc_ffd_search": partial(_tables, lambda: codecs.RankAware(3, codebook="gaussian"), "l2", _tapered),
+        "knn_metric_gower": _gower,
         "ivf_saved_search": _ivf_saved,
         "rabitq_search": partial(_rabitq_search, "l2"),
         "rabitq_search_ip": partial(_rabitq_search, "ip"),
@@ -588,6 +643,10 @@ def queries() -> dict[str, Query]:
         "saq_grid_search": partial(_grid_search, "l2", False),
         "saq_grid_search_ip": partial(_grid_search, "ip", False),
         "saq_grid_search_pruned": partial(_grid_search, "l2", True),
+        "saq_blocks": _saq_blocks,
+        "saq_block_factors": _saq_factors,
+        "saq_staged_search": partial(_saq_staged, "l2", None),
+        "saq_staged_search_ip": partial(_saq_staged, "ip", 3),
         "saq_grid_decode": partial(_decode, _grid_codec, 6, _tapered),
         "saq_ivf_search": lambda s, d: _ivf(s, d, codecs.Segmented(4), estimate=True),
         "saq_search": _saq_search,

@@ -59,15 +59,40 @@ def first_queries(x: DataFrame, num_queries: int = 100) -> DataFrame:
     return as_queries(x.orderBy("vec_id").limit(num_queries))
 
 
+def id_at(x: DataFrame, place: int) -> int:
+    """The vec_id at a place, from 0, of all ids in rising order, whatever gaps they have: counts
+    of 1,024 equal ranges, then of the ranges of the one that holds the place, to a single id."""
+    low, high, rows = x.agg(F.min("vec_id"), F.max("vec_id"), F.count("vec_id")).head()
+    if not 0 <= place < rows:
+        raise ValueError(f"place {place} of {rows} rows")
+    while low < high:
+        width = (high - low) // 1024 + 1
+        of = F.floor((F.col("vec_id").cast("decimal(38,0)") - low) / width).cast("long").alias("range")
+        inside = x.where(F.col("vec_id").between(low, high))
+        for r in sorted(inside.groupBy(of).count().collect()):
+            if place < r["count"]:
+                low, high = low + r["range"] * width, min(high, low + (r["range"] + 1) * width - 1)
+                break
+            place -= r["count"]
+    return low
+
+
 def holdout(x: DataFrame, num_queries: int) -> tuple[DataFrame, DataFrame]:
-    """The last num_queries ids are queries and leave the table. Ids are 0 to n - 1."""
-    edge = x.agg(F.max("vec_id")).head()[0] + 1 - num_queries
+    """The num_queries largest ids are queries and leave the table; all of them, if there are no
+    more. Rows that share an id stay together."""
+    rows = x.count()
+    if num_queries <= 0 or rows == 0:
+        return x, as_queries(x.limit(0))
+    edge = id_at(x, max(rows - num_queries, 0))
     return x.where(F.col("vec_id") < edge), as_queries(x.where(F.col("vec_id") >= edge))
 
 
 def base_and_queries(x: DataFrame, base: int, queries: int) -> tuple[DataFrame, DataFrame]:
-    """The first `base` ids, and the next `queries` ids."""
-    return x.where(F.col("vec_id") < base), as_queries(x.where((F.col("vec_id") >= base) & (F.col("vec_id") < base + queries)))
+    """The `base` smallest ids, and the next `queries` ids; fewer, if there are no more."""
+    rows = x.count()
+    edge = F.lit(True) if base >= rows else F.col("vec_id") < id_at(x, base)
+    end = F.lit(True) if base + queries >= rows else F.col("vec_id") < id_at(x, base + queries)
+    return x.where(edge), as_queries(x.where(~edge & end))
 
 
 def bundle(x: DataFrame, num_queries: int = 100, truth: bool = True, metric: str = "l2", k: int = TRUTH_K) -> Dataset:
