@@ -91,6 +91,26 @@ def test_keys_are_those_of_strings():
     assert sorted(map(sorted, by_key.values())) == sorted(map(sorted, by_text.values()))
 
 
+def test_slices_end_between_runs(monkeypatch):
+    text = "abÀc déf, GHI\n jkl" * 30 + "x" * 90
+    whole = [r for part in variants.runs(text.encode()) for r in part]
+    monkeypatch.setattr(variants, "SLICE", 5)
+    assert [r for part in variants.runs(text.encode()) for r in part] == whole and len(whole) > 100
+
+
+def test_counts_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(variants, "HELD", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(["1", "2", None]), pa.array([b"hello world again " * 3, b"hello other words shall count here", None])], names=["d", "t"])
+    parts = list(variants._counts(iter([batch])))
+    counts = Counter()
+    for p in parts:
+        for w, n in zip(*(c.to_pylist() for c in p.columns), strict=True):
+            counts[w] += n
+    assert len(parts) > 1 and counts["hello"] == 4 and all(len(w) >= 5 for w in counts)
+
+
 def test_a_word_of_many_letters():
     """Rows follow the letters, and their size does not."""
     assert sum(len(r) for r, *_ in variants.keys(["ab" * 5000])) == 1 + 10_000 + 10_000
