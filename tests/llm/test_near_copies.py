@@ -1,7 +1,9 @@
+import hashlib
 import random
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 from vecpress.llm import near_copies, queries
 
@@ -35,9 +37,10 @@ def _planted():
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 2])
-def test_near_copies_from_eight_tenths_leave_one(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, held", [(2048, 1024), (2, 1024), (2, 1)])
+def test_near_copies_from_eight_tenths_leave_one(spark, monkeypatch, block, held):
     monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "ACTIVE", held)
     rows = _planted()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, source string").repartition(3)
     stage = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
@@ -47,6 +50,35 @@ def test_near_copies_from_eight_tenths_leave_one(spark, monkeypatch, block):
     assert len(got) < len(rows) - 80
 
 
+def _units():
+    """Sets of several units: chains, stars whose middle alone holds them together, copies, strangers."""
+    rng = np.random.default_rng(3)
+    chain = [range(i * 5, i * 5 + 100) for i in range(40)]
+    middle = set(range(100_000, 100_200))
+    star = [middle] + [middle - set(rng.choice(sorted(middle), 20, replace=False)) | set(range(200_000 + 100 * i, 200_010 + 100 * i)) for i in range(40)]
+    strangers = [range(300_000 + 1000 * i, 300_050 + 1000 * i) for i in range(15)]
+    units = [chain, star, strangers, chain[:20] + [[*x, 10**7] for x in chain[:20]], [*strangers, *chain[10:20], *star[:9]]]
+    return [[np.array(sorted(x), np.uint64) for x in unit] for unit in units]
+
+
+@pytest.mark.parametrize("held, strip, size", [(1024, 1 << 25, 1 << 26), (5, 1 << 25, 4000), (7, 3000, 1 << 26), (1, 1, 900)])
+def test_units_in_rounds_lose_no_group(spark, monkeypatch, held, strip, size):
+    for name, value in (("ACTIVE", held), ("STRIP", strip), ("STREAM", size)):
+        monkeypatch.setattr(near_copies, name, value)
+    units, rows, members = _units(), {}, []
+    for key, unit in enumerate(units):
+        for own in unit:
+            fp = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=7).digest())
+            rows[fp] = own
+            members.append((key, fp, own.nbytes))
+    sets = spark.createDataFrame([(fp, own.nbytes, own.tobytes()) for fp, own in rows.items()], "fp long, size long, own binary")
+    found = near_copies._rounds(spark.createDataFrame(members, "key long, fp long, size long"), sets, 0.8)
+    got = brute.components(rows, lambda a, b, pairs={(min(r), max(r)) for f in found for r in map(tuple, f.collect())}: (min(a, b), max(a, b)) in pairs)
+    joint = {(min(a, b), max(a, b)) for unit in range(len(units)) for a in [m[1] for m in members if m[0] == unit] for b in [m[1] for m in members if m[0] == unit]}
+    want = brute.components(rows, lambda a, b: (min(a, b), max(a, b)) in joint and near_copies.similar(rows[a], rows[b]))
+    assert got == want
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(map(str, range(60)))
     rows = [(7, text), (7, text), (9, text + " end"), (None, text), (None, None), (8, "else")]
