@@ -1,11 +1,13 @@
 """Vector files: records of an int32 length and that many float32 or int32, little-endian.
 
-Reading is one task a file (Spark's binaryFile source, so any store that Spark reads); a file
-must fit a task. Ids are the record numbers in file order, files by name.
+Files are read as byte ranges by the data source `vectorfile`. In a store that only Spark opens
+each file is read whole by a task (Spark's binaryFile source). Ids are the record numbers in file
+order, files by name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.functions.arrays import map_batches, to_matrix
+from vecpress.sources import vectorfile
 
 
 def parse(data: bytes, kind: str = "<f4", strict: bool = True) -> np.ndarray:
@@ -44,6 +46,8 @@ def dump(matrix: np.ndarray, kind: str = "<f4") -> bytes:
 
 def read(spark: SparkSession, path: str, kind: str = "f", strict: bool = True) -> DataFrame:
     """(vec_id, embedding) of a file or a folder of files; kind f (float32) or i (int32)."""
+    if vectorfile.reachable(path):
+        return vectorfile.read(spark, path, kind, strict)
     dtype, out = ("<f4", "array<float>") if kind == "f" else ("<i4", "array<int>")
     files = spark.read.format("binaryFile").load(path)
 
@@ -80,9 +84,12 @@ def write_bytes(spark: SparkSession, path: str, blocks: Iterable[bytes]) -> None
 
 
 def write(x: DataFrame, path: str, vector_col: str = "embedding", id_col: str = "vec_id", kind: str = "f") -> None:
-    """One file of rows in order of id. Records are made by the tasks and pass the driver one
-    block of at most 4096 rows at a time; the format is a single file, so one writer is its limit."""
-    dtype = "<f4" if kind == "f" else "<i4"
-    parts = x.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).orderBy(id_col)
-    blobs = map_batches(parts, lambda b: {"data": pa.array([dump(to_matrix(b.column(1)), dtype)] if b.num_rows else [], pa.binary())}, "data binary")
-    write_bytes(x.sparkSession, path, (row["data"] for row in blobs.toLocalIterator()))
+    """One file of rows in order of id: written as a folder of parts by the tasks, which then put
+    them together (`vectorfile.join_files`). No row passes the driver. `vectorfile.write` leaves
+    the folder, which is read like one file."""
+    spark = x.sparkSession
+    folder = f"{path}.parts-{uuid.uuid4().hex[:8]}"
+    vectorfile.write(x, folder, vector_col, id_col, kind)
+    vectorfile.join_files(spark, folder, path)
+    store, inside = vectorfile.opened(folder)
+    store.delete_dir(inside)
