@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,30 +208,28 @@ def histograms(x: DataFrame, bins: int = 500) -> tuple[np.ndarray, np.ndarray]:
     return got["n"].reshape(-1, bins), got["total"].reshape(-1, bins)
 
 
-def per_dimension(x: DataFrame, bits: list[int], method: str = "lloyd", sample: int | None = None) -> dict[tuple[int, int], np.ndarray]:
+def per_dimension(x: DataFrame, bits: list[int], method: str = "lloyd", sample: int | None = None, restarts: int = 0, seed: int = 0) -> dict[tuple[int, int], np.ndarray]:
     """Codebook of each (dimension, bits), trained on all rows, or on about `sample` drawn by a
-    hash of the id. 0 bits is the single level 0. A histogram is counted where the rows are;
-    the other methods take one group a dimension, whose values one task holds."""
+    hash of the id. 0 bits is the single level 0. Rows are counted where they are; lloyd and exact
+    levels are those on the values themselves (`codebooks`), histogram levels those on the means of
+    500 bins. restarts, seed: more starts of lloyd."""
+    from vecpress.operators import codebooks
+
     x = drawn(x, sample)
+    some = [b for b in bits if b]
+    books: dict[tuple[int, int], np.ndarray] = {}
     if method == "histogram":
-        books = {(d, 0): np.zeros(1) for d in range(len(first_rows(x, 1)[0]))} if 0 in bits else {}
-        for d, (n, total) in enumerate(zip(*histograms(x), strict=True)):
+        counted = list(zip(*histograms(x), strict=True))
+        for d, (n, total) in enumerate(counted):
             used = n > 0
-            found = exact_1d(total[used] / n[used], [1 << b for b in bits if b], n[used])
-            books |= {(d, b): np.sort(found[1 << b]) for b in bits if b}
-        return books
-    long = x.select(F.posexplode("v").alias("d", "x"))
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        values, d = frame["x"].to_numpy(), int(frame["d"].iloc[0])
-        if method == "lloyd":
-            books = {b: lloyd_1d(values, 1 << b)[0] for b in bits if b}
-        else:
-            found = exact_1d(values, [1 << b for b in bits if b])
-            books = {b: found[1 << b] for b in bits if b}
-        if 0 in bits:
-            books[0] = np.zeros(1)
-        return pd.DataFrame([(d, b, np.sort(c)) for b, c in books.items()], columns=["d", "bits", "levels"])
-
-    got = long.groupBy("d").applyInPandas(fit, "d int, bits int, levels array<double>").collect()
-    return {(r["d"], r["bits"]): np.array(r["levels"]) for r in got}
+            found = exact_1d(total[used] / n[used], [1 << b for b in some], n[used]) if some else {}
+            books |= {(d, b): np.sort(found[1 << b]) for b in some}
+        dims = len(counted)
+    else:
+        bins = codebooks.Bins(x)
+        dims = bins.dims
+        best = codebooks.exact(bins, [1 << b for b in some]) if method == "exact" else {1 << b: codebooks.lloyd(bins, 1 << b, restarts=restarts, seed=seed) for b in some}
+        books |= {(d, b): np.sort(best[1 << b][d]) for d in range(dims) for b in some}
+    if 0 in bits:
+        books |= {(d, 0): np.zeros(1) for d in range(dims)}
+    return books

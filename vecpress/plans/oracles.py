@@ -393,6 +393,34 @@ def _two_lloyd(steps: int = 40) -> str:
     return f"WITH {TAPERED}, {E.replace('e AS (', 'e AS MATERIALIZED (')}, {', '.join(out)}, cut AS (SELECT * FROM l{steps}) {_TWO_ERRORS}"
 
 
+def _lloyd_levels(k: int, steps: int = 100) -> str:
+    """From the quantiles (i + 1/2) / k; an empty cell keeps its centroid."""
+    shares = [(i + 0.5) / k for i in range(k)]
+    out = [f"l0 AS MATERIALIZED (SELECT d, quantile_cont(x, {shares}) AS c FROM e GROUP BY d)"]
+    for i in range(steps):
+        out.append(f"""l{i + 1} AS MATERIALIZED (SELECT l{i}.d, list_transform(range(1, {k + 1}), lambda j: coalesce(m[j], c[j])) AS c FROM l{i} JOIN (
+  SELECT d, map_from_entries(list((cell, a))) AS m FROM (SELECT e.d, len(list_filter(range(1, {k}), lambda j: (c[j] + c[j + 1]) / 2 < x)) + 1 AS cell, avg(x) AS a FROM e JOIN l{i} ON e.d = l{i}.d GROUP BY 1, 2) GROUP BY d) n ON n.d = l{i}.d)""")
+    return f"WITH {TAPERED}, {E.replace('e AS (', 'e AS MATERIALIZED (')}, {', '.join(out)} SELECT CAST(d AS INTEGER) AS d, CAST(unnest(range({k})) AS INTEGER) AS level, round(unnest(c), 7) AS centroid FROM l{steps}"
+
+
+def _optimal_levels(k: int, binned: bool = False) -> str:
+    """The min-plus programme over sorted distinct values, layer by layer, and its cuts back."""
+    source = f"{BINNED}, v AS (SELECT d, x, n FROM w)" if binned else "v AS (SELECT d, x, count(*) AS n FROM e GROUP BY d, x)"
+    out = [
+        source,
+        "p AS MATERIALIZED (SELECT d, row_number() OVER o AS j, sum(n) OVER o AS s0, sum(n * x) OVER o AS s1, sum(n * x * x) OVER o AS s2 FROM v WINDOW o AS (PARTITION BY d ORDER BY x ROWS UNBOUNDED PRECEDING))",
+        "f1 AS MATERIALIZED (SELECT d, j, s2 - s1 * s1 / s0 AS f, CAST(0 AS BIGINT) AS i FROM p)",
+    ]
+    for layer in range(2, k + 1):
+        out.append(f"""f{layer} AS MATERIALIZED (SELECT b.d, b.j, min(g.f + (b.s2 - a.s2) - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.s0 - a.s0)) AS f,
+  arg_min(a.j, g.f + (b.s2 - a.s2) - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.s0 - a.s0)) AS i FROM p b JOIN p a ON a.d = b.d AND a.j < b.j JOIN f{layer - 1} g ON g.d = a.d AND g.j = a.j GROUP BY b.d, b.j)""")
+    out.append(f"t{k} AS (SELECT d, max(j) AS j FROM p GROUP BY d)")
+    for layer in range(k, 0, -1):
+        out.append(f"t{layer - 1} AS MATERIALIZED (SELECT f.d, f.i AS j FROM f{layer} f JOIN t{layer} t ON f.d = t.d AND f.j = t.j)")
+    cells = " UNION ALL ".join(f"SELECT b.d, {layer - 1} AS level, (b.s1 - coalesce(a.s1, 0)) / (b.s0 - coalesce(a.s0, 0)) AS c FROM t{layer} x JOIN p b ON b.d = x.d AND b.j = x.j JOIN t{layer - 1} y ON y.d = x.d LEFT JOIN p a ON a.d = y.d AND a.j = y.j" for layer in range(1, k + 1))
+    return f"WITH {TAPERED}, {E.replace('e AS (', 'e AS MATERIALIZED (')}, {', '.join(out)} SELECT CAST(d AS INTEGER) AS d, CAST(level AS INTEGER) AS level, round(c, 7) AS centroid FROM ({cells})"
+
+
 def _divisor(most: str) -> str:
     return f"CAST((SELECT max(k) FROM range(1, CAST(dims AS BIGINT) + 1) r(k) WHERE dims % k = 0 AND k <= greatest(1, least({most}, dims))) AS INTEGER)"
 
@@ -547,6 +575,9 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "saq_grid_search": _grid_search("l2"),
         "saq_grid_search_ip": _grid_search("ip"),
         "saq_blocks": saq_blocks(),
+        "kmeans1d_lloyd": _lloyd_levels(8),
+        "kmeans1d_exact": _optimal_levels(8),
+        "kmeans1d_histogram": _optimal_levels(8, binned=True),
         "saq_block_factors": saq_factors(),
         "saq_staged_search": _grid_search("l2"),
         "saq_staged_search_ip": _grid_search("ip"),

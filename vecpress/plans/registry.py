@@ -314,7 +314,7 @@ def _ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kmeans1d(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     books = kmeans.per_dimension(_tapered(spark, sf_dir), [3], method)
-    rows = [(d, i, float(c)) for (d, _), levels in sorted(books.items()) for i, c in enumerate(levels)]
+    rows = [(d, i, round(float(c), 7)) for (d, _), levels in sorted(books.items()) for i, c in enumerate(levels)]
     return spark.createDataFrame(rows, "d int, level int, centroid double")
 
 
@@ -445,7 +445,8 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of an entity table that has no ids, by their place in it."""
     path = datasets.scratch(spark, "entities")
-    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").coalesce(1)
+    # files in order of their names hold rows in order of their ids
+    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
     x.select(F.col("embedding").alias("openai")).write.parquet(path)
     return _elements(datasets.openai_table(spark, path))
 

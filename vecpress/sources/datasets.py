@@ -174,7 +174,7 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
         firsts.append((name, at))
         at += rows
     table = spark.createDataFrame(firsts, "__name string, __first long")
-    found = df.join(F.broadcast(table), F.col("__file") == F.col("__name"))
+    found = df.join(table, F.col("__file") == F.col("__name"))
     return found.withColumn("vec_id", F.col("__at") + F.col("__first")).drop("__file", "__at", "__name", "__first")
 
 
