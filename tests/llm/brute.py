@@ -124,14 +124,14 @@ def greedy_pieces(word, vocab):
     return n
 
 
-def shingles(text, width=5):
+def five_word_set(text, width=5):
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset([()])
 
 
 def similar_groups(rows, similarity=0.8):
     """rows: doc_id -> text. The smallest id of each one's group by Jaccard similarity of five-word shingles."""
-    sets = {d: shingles(t) for d, t in rows.items()}
+    sets = {d: five_word_set(t) for d, t in rows.items()}
     group = {d: d for d in rows}
     for a in sorted(rows):
         for b in sorted(rows):

@@ -365,6 +365,17 @@ def test_contained_items_equal_brute_force(spark, nasty, empty):
     assert decontamination.contained(nasty, table.limit(0)).count() == 0
 
 
+def test_a_shingle_that_all_share(spark):
+    """One passage stands in every document and every item; only the items' own texts decide."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared = "all rights reserved by the author"
+    items = [(i, f"{prose(30)} {shared} {prose(30)}") for i in range(40)] + [(100, shared)]
+    docs = [(i, f"{prose(200)} {shared} {prose(100)}" + (f" {items[i][1]}" if i < 5 else "")) for i in range(60)]
+    got = decontamination.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == sorted([(i, i) for i in range(5)] + [(i, 100) for i in range(60)])
+
+
 def test_texts_under_one_item_id_are_items_of_their_own(spark):
     words = [f"w{i}" for i in range(60)]
     one, two = " ".join(words[:15]), " ".join(words[20:35])

@@ -18,7 +18,7 @@ items' minima and shingles; a bit set by chance costs a candidate that the joins
 They have SPARSE bits for each entry, up to MOST_BITS (64 MB each); a benchmark of more than a
 million long items fills them further, which costs candidates but loses none.
 
-Defined cases: null or empty texts, and those without words, hold nothing and match nothing.
+Defined cases: empty tables hold and match nothing. Null or empty texts, and those without words, hold nothing and match nothing.
 A text of one to four words is one shingle, its whole word sequence. Equal items under
 different ids are found each. An item_id that comes with several texts names several items,
 each held against documents on its own and reported with its own figures; rows that repeat
@@ -242,12 +242,13 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     hits = materialize(hits.mapInArrow(read, "doc_id long, doc_row long, keys array<long>, held array<string>"), "hits")
     doc, item = ["doc_id", "doc_row"], ["item_id", "row"]
     by_key = known.select(*item, F.explode("keys").alias("key")).distinct()
-    by_shingle = known.select(*item, F.size("shingles").cast("long").alias("shingles"), F.explode("shingles").alias("shingle")).distinct()
     candidates = hits.select(*doc, F.explode("keys").alias("key")).join(small(by_key), "key").select(*doc, *item).distinct()
-    held = hits.select(*doc, F.explode("held").alias("shingle")).distinct()
-    shared = held.join(small(by_shingle), "shingle").groupBy(*doc, *item, "shingles").agg(F.count("*").alias("shared"))
-    found = shared.where(F.col("shared") >= threshold * F.col("shingles")).join(candidates, [*doc, *item])
-    return found.select(*doc, "item_id", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
+    # only candidates are verified: a shingle that all documents and many items share makes none by itself
+    of_items = known.select(*item, F.array_join("shingles", "\n").alias("of_item"))
+    pairs = candidates.join(small(of_items), item).join(hits.select(*doc, "held").dropDuplicates(doc), doc)
+    of_item = F.split("of_item", "\n")
+    pairs = pairs.select(*doc, "item_id", F.size(F.array_intersect("held", of_item)).cast("long").alias("shared"), F.size(of_item).cast("long").alias("shingles"))
+    return pairs.where(F.col("shared") >= threshold * F.col("shingles")).withColumn("containment", F.col("shared") / F.col("shingles"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
