@@ -163,6 +163,17 @@ def test_codec_of_each_cell(spark, table, codec):
     assert np.mean([len({i for i, _ in found[50 * n]} & set(near[n])) for n in range(10)]) > (3 if codec.name == "pq" else 8)
 
 
+def test_an_index_of_own_codecs_is_saved(spark, table, tmp_path):
+    from vecpress.sources import models
+
+    index = ivf.IVF(4, codecs.Product(4, 3, 3), per_cell=True, iterations=2).fit(table)
+    queries = datasets.as_queries(table.where("vec_id % 50 = 0"))
+    models.save_index(index, index.encode(), str(tmp_path / "index"))
+    again, codes = models.load_index(spark, str(tmp_path / "index"))
+    assert lists(again.search(codes, queries, 5, 2)) == lists(index.search(index.encode(), queries, 5, 2))
+    assert lists(again.search(codes, queries, 5, 2, tables=True)).keys() == {50 * i for i in range(10)}
+
+
 def test_cells_of_few_rows_keep_them(spark):
     """A cell of fewer rows than centroids has them as its centroids: its codes lose nothing."""
     rows = normal(20, 4)
@@ -272,3 +283,53 @@ def test_splits_go_by_rank(spark, ids):
     base, queries = datasets.holdout(x, 2)
     assert base.count() + queries.count() == len(ids) and queries.count() >= min(2, len(ids))
     assert datasets.holdout(x, 0)[0].count() == len(ids) and datasets.holdout(x.limit(0), 3)[1].count() == 0
+
+
+# --- many cells ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k, spread", [(256, 1.0), (700, 0.05), (300, 0.0)])
+def test_groups_find_the_nearest(k, spread):
+    """Equal to comparing all centroids, ties and copies included, and most are never touched."""
+    rng = np.random.default_rng(k)
+    middles = rng.standard_normal((20, 8)) * 10
+    c = middles[rng.integers(0, 20, k)] + spread * rng.standard_normal((k, 8))
+    rows = np.concatenate([middles[rng.integers(0, 20, 2000)] + rng.standard_normal((2000, 8)) * 0.3, c[:50], np.full((1, 8), 1e6), np.zeros((1, 8))])
+    grouped = kmeans.Grouped(c)
+    cell, d = grouped.nearest(rows)
+    want, dist = kmeans.nearest(rows, c)
+    assert np.array_equal(cell, want) and np.array_equal(d, dist)
+    assert grouped.touched < 0.5 * len(rows) * k
+
+
+def test_spread_starts_find_clusters_that_first_rows_miss(spark):
+    rng = np.random.default_rng(2)
+    middles = rng.standard_normal((12, 6)) * 20
+    rows = np.concatenate([middles[0] + rng.standard_normal((400, 6)) * 0.1] + [m + rng.standard_normal((40, 6)) * 0.1 for m in middles[1:]])
+    x = datasets.from_matrix(spark, rows).repartition(3)
+    start = kmeans.spread_rows(x, 12)
+    assert np.array_equal(start, kmeans.spread_rows(x.repartition(5), 12))
+    error = lambda c: kmeans.nearest(rows, c)[1].mean()
+    plain, spread = kmeans.kmeans(x, 12, 3), kmeans.kmeans(x, 12, 3, start=start)
+    assert error(spread) < 0.2 < error(plain)
+    assert len(kmeans.spread_rows(datasets.from_matrix(spark, np.ones((5, 3))), 4)) == 1
+
+
+def test_spread_starts_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "GROUPED", 8)
+    rows = normal(1500, 5)
+    x = datasets.from_matrix(spark, rows).repartition(4)
+    got = kmeans.spread_rows(x, 100)
+    assert 90 <= len(got) <= 100 and len(np.unique(got, axis=0)) == len(got)
+    assert kmeans.nearest(rows, got)[1].mean() < 1.3 * kmeans.nearest(rows, rows[:100])[1].mean()
+
+
+def test_an_index_of_many_spread_cells(spark):
+    rows = normal(3000, 6)
+    x = datasets.from_matrix(spark, rows).repartition(4)
+    index = ivf.IVF(300, None, iterations=1, spread=True, rows_per_cell=None).fit(x)
+    cell = {r["vec_id"]: r["cell"] for r in index.encode().collect()}
+    want, _ = kmeans.nearest(rows, index.centroids)
+    assert all(cell[i] == want[i] for i in range(3000))
+    found = lists(index.search(index.encode(), datasets.as_queries(x.where("vec_id % 100 = 0")), 5, 300))
+    assert all([i for i, _ in found[100 * n]] == brute(rows, rows[100 * n][None], 5)[0].tolist() for n in range(30))

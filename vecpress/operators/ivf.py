@@ -59,9 +59,11 @@ class IVF:
     task a cell; together they are held to CELL_CODECS_BYTES); else one codec for the residuals of
     all cells. Centroids are fitted on about
     rows_per_cell rows for each cell, drawn by a hash of the id, or on all rows if that is None
-    or more than there are; every row is indexed."""
+    or more than there are; every row is indexed. spread: they start from rows that lie apart
+    (`kmeans.spread_rows`, with `seed`) in place of the first ones."""
 
-    def __init__(self, cells: int | None = None, codec: Codec | None = None, metric: str = "l2", per_cell: bool = False, iterations: int = 10, rows_per_cell: int | None = 256):
+    def __init__(self, cells: int | None = None, codec: Codec | None = None, metric: str = "l2", per_cell: bool = False, iterations: int = 10, rows_per_cell: int | None = 256, spread: bool = False, seed: int = 0):
+        self.spread, self.seed = spread, seed
         self.cells, self.codec, self.metric, self.per_cell, self.iterations, self.rows_per_cell = cells, codec, metric, per_cell, iterations, rows_per_cell
         if per_cell and codec is None:
             raise ValueError("rows kept as they are have no codec to fit for each cell")
@@ -70,7 +72,8 @@ class IVF:
         rows = x.count()
         cells = self.cells or default_cells(rows)
         drawn = kmeans.drawn(x, self.rows_per_cell and self.rows_per_cell * cells, rows)
-        self.centroids = kmeans.kmeans(drawn, cells, self.iterations, self.metric == "ip")
+        start = kmeans.spread_rows(drawn, cells, seed=self.seed) if self.spread else None
+        self.centroids = kmeans.kmeans(drawn, cells, self.iterations, self.metric == "ip", start)
         self.cells = len(self.centroids)
         self.residuals = self._residuals(x)
         if self.per_cell and not isinstance(self.codec, Scalar):
@@ -90,12 +93,12 @@ class IVF:
     def _residuals(self, x: DataFrame) -> DataFrame:
         """(cell, vec_id, v): v less its centroid."""
         spherical = self.metric == "ip"
-        sent = x.sparkSession.sparkContext.broadcast(self.centroids)
+        sent = x.sparkSession.sparkContext.broadcast((self.centroids, kmeans.finder(self.centroids, spherical)))
 
         def run(b: pa.RecordBatch) -> dict:
-            rows = to_matrix(b.column("v"))
-            cell, _ = kmeans.nearest(rows, sent.value, spherical)
-            return {"cell": cell.astype(np.int32), "vec_id": b.column("vec_id"), "v": to_lists(rows - sent.value[cell])}
+            rows, (centroids, find) = to_matrix(b.column("v")), sent.value
+            cell, _ = find(rows)
+            return {"cell": cell.astype(np.int32), "vec_id": b.column("vec_id"), "v": to_lists(rows - centroids[cell])}
 
         return map_batches(x, run, "cell int, vec_id long, v array<double>")
 

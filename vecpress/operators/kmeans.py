@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.functions.arrays import map_batches, reduce_tables, to_matrix
+from vecpress.functions.arrays import map_batches, reduce_tables, to_lists, to_matrix
 from vecpress.operators.knn import _cost, best, ordered_sum
 from vecpress.operators.moments import ranges
 
@@ -36,16 +40,151 @@ def drawn(x: DataFrame, most: int | None, rows: int | None = None) -> DataFrame:
     return x if share >= 1 else x.where(u < share)
 
 
-def kmeans(x: DataFrame, k: int, iterations: int = 10, spherical: bool = False) -> np.ndarray:
-    """Lloyd's iterations from the first k rows; an empty cell keeps its centroid."""
-    c = first_rows(x, k)
+def draw(place: int) -> Column:
+    """A number from 0 to 1 for each vec_id and place: steps of an odd multiplier around 2**32."""
+    return F.pmod(F.pmod("vec_id", F.lit(1 << 31)) * 2654435761 + place * 1013904223, F.lit(1 << 32)) / float(1 << 32)
+
+
+def _spread(rows: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of k rows: the heaviest, then each time the one with the most weight by squared
+    distance from those that are chosen; ties to the lowest number."""
+    chosen = [int(np.argmax(weights))]
+    d = ((rows - rows[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(k, len(rows)):
+        best = int(np.argmax(weights * d))
+        if d[best] == 0:
+            break
+        chosen.append(best)
+        d = np.minimum(d, ((rows - rows[best]) ** 2).sum(1))
+    return np.array(chosen)
+
+
+def spread_rows(x: DataFrame, k: int, rounds: int = 3, seed: int = 0) -> np.ndarray:
+    """k rows of x that lie apart, as starts: k-means|| (Bahmani and others).
+
+    From one row drawn, each round draws about 2 k rows, each with a chance in proportion to its
+    squared distance from those drawn before, in two passes of sums; the rows nearest to each are
+    then its weight, and k of them are picked by weight and distance. Beyond GROUPED starts the
+    same is done in two levels: about sqrt(k) groups, each of which picks its share of the k from
+    a bounded draw of its rows, a group in each task. A table with fewer different rows gives fewer.
+    """
+    if k > GROUPED:
+        return _spread_in_groups(x, k, rounds, seed)
+    first = x.orderBy(draw(seed), "vec_id").limit(1).collect()
+    drawn_rows, ids = np.array([r["v"] for r in first], np.float64), {r["vec_id"] for r in first}
+    for r in range(1, rounds + 1):
+        sent = x.sparkSession.sparkContext.broadcast(drawn_rows)
+
+        def apart(batch, sent=sent) -> dict:
+            m = to_matrix(batch.column("v"))
+            return {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "d": nearest(m, sent.value)[1]}
+
+        phi = reduce_tables(x, lambda m, c=drawn_rows: {"phi": [nearest(m, c)[1].sum()]}, {"phi": np.add})["phi"][0]
+        far = map_batches(x.select("vec_id", "v"), apart, "vec_id long, v array<double>, d double")
+        got = far.where((F.col("d") > 0) & (draw(seed + r) * float(phi) < 2.0 * k * F.col("d"))).orderBy("vec_id").collect()  # about 2 k rows
+        got = [g for g in got if g["vec_id"] not in ids]
+        ids |= {g["vec_id"] for g in got}
+        if got:
+            drawn_rows = np.concatenate([drawn_rows, np.array([g["v"] for g in got], np.float64)])
+    weights = reduce_tables(x, lambda m: {"n": np.bincount(nearest(m, drawn_rows)[0], minlength=len(drawn_rows))}, {"n": np.add})["n"]
+    return drawn_rows[_spread(drawn_rows, weights, k)]
+
+
+#: Starts that one level picks, and rows of a group that are drawn for each of its starts.
+GROUPED = 2048
+DRAWN = 64
+
+
+def _spread_in_groups(x: DataFrame, k: int, rounds: int, seed: int) -> np.ndarray:
+    heads = kmeans(x, round(k**0.5), 2, start=spread_rows(x, round(k**0.5), rounds, seed))
+    placed = assign(x, heads).select("vec_id", "cell").join(x, "vec_id")
+    sizes = np.bincount([0], minlength=len(heads)) * 0
+    for r in placed.groupBy("cell").count().collect():  # a row a group
+        sizes[r["cell"]] = r["count"]
+    share = np.maximum(1, np.floor(k * sizes / sizes.sum())).astype(int) * (sizes > 0)
+    share = np.minimum(share, sizes)
+    for g in np.argsort(-sizes, kind="stable").tolist() * 2:
+        if share.sum() < k and share[g] < sizes[g]:
+            share[g] += min(k - share.sum(), sizes[g] - share[g], max(1, k // len(heads)))
+    chance = F.get(F.array(*(F.lit(float(min(1.0, DRAWN * a / n))) if n else F.lit(0.0) for a, n in zip(share, sizes, strict=True))), F.col("cell"))
+    wanted = share.tolist()
+
+    def pick(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        m = to_matrix(rows.column("v"))
+        return pa.table({"cell": rows.column("cell").slice(0, 1), "v": to_lists(m[_spread(m, np.ones(len(m)), wanted[rows.column("cell")[0].as_py()])].reshape(1, -1))})
+
+    got = placed.where(draw(seed) < chance).groupBy("cell").applyInArrow(pick, "cell int, v array<double>").orderBy("cell").collect()
+    return np.concatenate([np.array(r["v"]).reshape(-1, heads.shape[1]) for r in got])[:k]
+
+
+class Grouped:
+    """Nearest centroids without touching most of them. Centroids lie in about sqrt(k) groups about
+    heads; by the triangle inequality a row is no nearer to any of a group than to its head less
+    the group's radius, so groups beyond the best distance so far are left out. Equal to `nearest`."""
+
+    def __init__(self, centroids: np.ndarray, groups: int | None = None):
+        self.centroids = centroids
+        g = groups or max(1, round(len(centroids) ** 0.5))
+        heads = centroids[_spread(centroids, np.ones(len(centroids)), g)]
+        for _ in range(3):
+            own, _ = nearest(centroids, heads)
+            n = np.bincount(own, minlength=len(heads))[:, None]
+            total = np.zeros_like(heads)
+            np.add.at(total, own, centroids)
+            heads = np.where(n > 0, total / np.maximum(n, 1), heads)
+        own, d = nearest(centroids, heads)
+        self.members = [np.flatnonzero(own == i) for i in range(len(heads))]
+        some = [i for i, m in enumerate(self.members) if len(m)]
+        self.members = [self.members[i] for i in some]
+        self.heads, self.radius = heads[some], np.array([np.sqrt(d[m].max()) for m in self.members])
+        self.touched = 0
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to_heads = np.sqrt(np.maximum(_cost("l2", rows, self.heads)[0], 0))
+        # what rounding may have taken from a distance
+        off = 1e-7 * (np.sqrt((rows**2).sum(1))[:, None] + np.sqrt((self.heads**2).sum(1))[None, :]) + 1e-12
+        least = np.maximum(to_heads - self.radius[None, :] - off, 0)
+        best, where = np.full(len(rows), np.inf), np.full(len(rows), len(self.centroids))
+        order = np.argsort(to_heads - self.radius[None, :], axis=1)
+        for turn in range(len(self.heads)):
+            # each row looks at its next nearest group, as long as that may hold a nearer centroid
+            group = order[:, turn]
+            open_rows = np.flatnonzero(least[np.arange(len(rows)), group] ** 2 <= best)
+            if not len(open_rows):
+                break
+            for g in np.unique(group[open_rows]):
+                own = open_rows[group[open_rows] == g]
+                cell, d = nearest(rows[own], self.centroids[self.members[g]])
+                cell = self.members[g][cell]
+                self.touched += len(own) * len(self.members[g])
+                better = (d < best[own]) | ((d == best[own]) & (cell < where[own]))
+                best[own[better]], where[own[better]] = d[better], cell[better]
+        return where, best
+
+
+#: From so many centroids on rows look for the nearest by groups.
+GROUP_FROM = 256
+
+
+def finder(centroids: np.ndarray, spherical: bool = False) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """`nearest` for these centroids, by groups if there are many."""
+    if spherical or len(centroids) < GROUP_FROM:
+        return partial(nearest, centroids=centroids, spherical=spherical)
+    return Grouped(centroids).nearest
+
+
+def kmeans(x: DataFrame, k: int, iterations: int = 10, spherical: bool = False, start: np.ndarray | None = None) -> np.ndarray:
+    """Lloyd's iterations from the first k rows, or from `start`; an empty cell keeps its centroid."""
+    c = first_rows(x, k) if start is None else start
     for _ in range(iterations):
+        sent = x.sparkSession.sparkContext.broadcast(finder(c, spherical))
 
-        def fold(m: np.ndarray, c: np.ndarray = c) -> dict[str, np.ndarray]:
-            own, _ = nearest(m, c, spherical)
-            total = np.zeros_like(c)
+        def fold(m: np.ndarray, sent=sent, shape: tuple = c.shape) -> dict[str, np.ndarray]:
+            own, _ = sent.value(m)
+            total = np.zeros(shape)
             np.add.at(total, own, m)
-            return {"total": total, "n": np.bincount(own, minlength=len(c))}
+            return {"total": total, "n": np.bincount(own, minlength=shape[0])}
 
         got = reduce_tables(x, fold, {"total": np.add, "n": np.add})
         n = got["n"][:, None]
@@ -57,10 +196,10 @@ def kmeans(x: DataFrame, k: int, iterations: int = 10, spherical: bool = False)
 
 def assign(x: DataFrame, centroids: np.ndarray, spherical: bool = False) -> DataFrame:
     """(vec_id, cell, dist)."""
-    sent = x.sparkSession.sparkContext.broadcast(centroids)
+    sent = x.sparkSession.sparkContext.broadcast(finder(centroids, spherical))
 
     def run(batch) -> dict:
-        cell, dist = nearest(to_matrix(batch.column("v")), sent.value, spherical)
+        cell, dist = sent.value(to_matrix(batch.column("v")))
         return {"vec_id": batch.column("vec_id"), "cell": cell.astype(np.int32), "dist": dist}
 
     return map_batches(x, run, "vec_id long, cell int, dist double")

@@ -185,6 +185,31 @@ def pq_ctes(source: str, m: int, ksub: int, steps: int) -> str:
     return ", ".join(out)
 
 
+def spread(k: int, rounds: int = 3) -> str:
+    """CTEs up to sd (cell, c): rows drawn by distance in rounds, weighed, and picked by weight and
+    distance. Numbers from 0 to 1 are steps of a multiplier."""
+    u = lambda place: f"((vec_id % 2147483648) * 2654435761 + {place * 1013904223}::BIGINT) % 4294967296 / 4294967296.0::DOUBLE"
+    out = [f"dr0 AS MATERIALIZED (SELECT 0 AS r, vec_id, v FROM x ORDER BY {u(0)}, vec_id LIMIT 1)"]
+    for r in range(1, rounds + 1):
+        out.append(f"ap{r} AS MATERIALIZED (SELECT x.vec_id, any_value(x.v) AS v, min({_metric('l2', 'x.v', 'c.v')}) AS d FROM x, dr{r - 1} c GROUP BY x.vec_id)")
+        out.append(f"dr{r} AS MATERIALIZED (SELECT * FROM dr{r - 1} UNION ALL SELECT {r}, vec_id, v FROM ap{r}, (SELECT sum(d) AS phi FROM ap{r}) WHERE d > 0 AND {u(r)} * phi < {2.0 * k}::DOUBLE * d AND vec_id NOT IN (SELECT vec_id FROM dr{r - 1}))")
+    out.append(f"nu AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r, vec_id) - 1 AS nr, v FROM dr{rounds})")
+    out.append(f"we AS MATERIALIZED (SELECT nu.nr, nu.v, count(own.nr) AS w FROM nu LEFT JOIN (SELECT x.vec_id, nu.nr FROM x, nu QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY {_metric('l2', 'x.v', 'nu.v')}, nu.nr) = 1) own ON own.nr = nu.nr GROUP BY nu.nr, nu.v)")
+    out.append("pk0 AS MATERIALIZED (SELECT 0 AS cell, v AS c FROM we ORDER BY w DESC, nr LIMIT 1)")
+    for i in range(1, k):
+        out.append(f"pk{i} AS MATERIALIZED (SELECT * FROM pk{i - 1} UNION ALL (SELECT {i}, v FROM (SELECT nr, any_value(v) AS v, any_value(w) * min({_metric('l2', 'v', 'c')}) AS gain FROM we, pk{i - 1} GROUP BY nr) ORDER BY gain DESC, nr LIMIT 1))")
+    return ", ".join([*out, f"sd AS (SELECT * FROM pk{k - 1})"])
+
+
+def kmeans_spread(k: int, steps: int) -> str:
+    cells = kmeans_ctes(k, steps).replace(f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, v AS c FROM (SELECT * FROM x ORDER BY vec_id LIMIT {k}))", "c0 AS (SELECT * FROM sd)")
+    return f"WITH {SCALED}, {spread(k)}, {cells} SELECT vec_id, CAST(cell AS INTEGER) AS cell, round(dist, 6) AS dist FROM asg"
+
+
+KMEANS_GROUPED = f"""WITH {X}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, v AS c FROM (SELECT * FROM x ORDER BY vec_id LIMIT 300))
+SELECT vec_id, CAST(cell AS INTEGER) AS cell, round(dist, 9) AS dist FROM (SELECT vec_id, cell, {_metric('l2', 'x.v', 'c')} AS dist FROM x, c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cell) = 1"""
+
+
 def cell_pq_ctes(m: int, ksub: int, steps: int) -> str:
     """CTEs up to cbook (cell, m, idx, c) and ccode (vec_id, cell, m, idx) of the residuals rs, a
     codebook for each cell from its first rows."""
@@ -566,6 +591,8 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "adc_ivfpq_search": adc_ivfpq("l2"),
         "adc_ivfpq_search_ip": adc_ivfpq("ip"),
         "knn_metric_gower": GOWER,
+        "kmeans_spread": kmeans_spread(CELLS, 2),
+        "kmeans_grouped": KMEANS_GROUPED,
         "ivf_flat_search_ip": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs", metric="ip"),
         "ivf_saved_search": ivf("", f"SELECT vec_id, cell, {PLUS_C.format(r='v')} AS r FROM rs"),
         "rabitq_search": _rabitq_search("l2"),

@@ -136,6 +136,18 @@ def _ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(_q(x), lambda b: {"qid": b.column("qid"), "cells": to_lists(ivf.probe(np.array(b.column("q").to_pylist()).reshape(b.num_rows, -1), centroids, PROBES))}, "qid long, cells array<long>").select("qid", F.posexplode("cells").alias("rk", "cell"))
 
 
+def _kmeans_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _scaled(spark, sf_dir)
+    centroids = kmeans.kmeans(x, CELLS, 2, start=kmeans.spread_rows(x, CELLS))
+    return kmeans.assign(x, centroids).select("vec_id", "cell", F.round("dist", 6).alias("dist"))
+
+
+def _kmeans_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's nearest of 300 centroids, found by groups."""
+    x = _x(spark, sf_dir)
+    return kmeans.assign(x, kmeans.first_rows(x, 300)).select("vec_id", "cell", F.round("dist", 9).alias("dist"))
+
+
 def _rabitq_search(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _scaled(spark, sf_dir) if metric == "ip" else _x(spark, sf_dir)
     codec = codecs.SignBit(metric).fit(x)
@@ -636,6 +648,8 @@ def queries() -> dict[str, Query]:
         "adc_ivfpq_search_ip": lambda s, d: _ivf(s, d, codecs.Product(8, 4, 2), metric="ip", tables=True),
         "adc_ffd_search": partial(_tables, lambda: codecs.RankAware(3, codebook="gaussian"), "l2", _tapered),
         "knn_metric_gower": _gower,
+        "kmeans_spread": _kmeans_spread,
+        "kmeans_grouped": _kmeans_grouped,
         "ivf_saved_search": _ivf_saved,
         "rabitq_search": partial(_rabitq_search, "l2"),
         "rabitq_search_ip": partial(_rabitq_search, "ip"),

@@ -27,6 +27,11 @@ def to_rows(state: dict, prefix: str = "") -> list[tuple]:
         if isinstance(value, codecs.Codec):
             rows.append((f"{prefix}{name}", None, None, None, json.dumps({"codec": value.name})))
             rows += to_rows(value.__dict__, f"{prefix}{name}/")
+        elif isinstance(value, dict):  # a codec for each cell
+            kind = next(iter(value.values())).name if value else None
+            rows.append((f"{prefix}{name}", None, None, None, json.dumps({"cells": sorted(map(int, value)), "codec_of_cells": kind})))
+            for cell, codec in value.items():
+                rows += to_rows(codec.__dict__, f"{prefix}{name}/{int(cell)}/")
         elif isinstance(value, np.ndarray):
             rows.append((f"{prefix}{name}", -1, list(value.shape), value.astype(float).ravel().tolist(), json.dumps(str(value.dtype))))
         elif isinstance(value, list) and value and isinstance(value[0], np.ndarray):
@@ -50,6 +55,8 @@ def from_rows(rows: list, prefix: str = "") -> dict:
                 state.setdefault(name, []).append(value)
             else:
                 state[name] = value
+        elif "cells" in told:
+            state[name] = {c: _codec(told["codec_of_cells"], from_rows(rows, f"{prefix}{name}/{c}/")) for c in told["cells"]}
         elif "codec" in told:
             state[name] = _codec(told["codec"], from_rows(rows, f"{prefix}{name}/"))
         else:
