@@ -11,6 +11,7 @@ import functools
 import heapq
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from vecpress.operators.kmeans import lloyd_1d
 
@@ -82,6 +83,27 @@ def optimal(costs: np.ndarray, budget: int) -> np.ndarray:
     return np.array(bits[::-1])
 
 
+def scalar_costs(x: DataFrame, max_bits: int = 5) -> np.ndarray:
+    """(D, max_bits + 1) measured squared error of each dimension under a grid between its ends,
+    in one pass. Without bits a row is the mean; the two points of one bit are the ends, which
+    often is worse, so the costs of a dimension need not be convex, nor fall."""
+    from vecpress.functions.arrays import reduce_tables
+    from vecpress.operators import moments
+
+    got = moments.dim_stats(x)
+    mean, low, span = got["mean"], got["mn"], got["mx"] - got["mn"]
+
+    def fold(m: np.ndarray) -> dict[str, np.ndarray]:
+        errors = [((m - mean) ** 2).sum(0)]
+        for bits in range(1, max_bits + 1):
+            top = 2**bits - 1
+            near = np.rint((m - low) / np.where(span > 0, span, 1) * top) / top * span + low
+            errors.append(((m - near) ** 2).sum(0))
+        return {"e": np.stack(errors, axis=1)}
+
+    return reduce_tables(x, fold, {"e": np.add})["e"].reshape(-1, max_bits + 1)
+
+
 def bennett(variance: np.ndarray, budget: int, max_bits: int = MAX_BITS) -> np.ndarray:
     """Greedy over the analytic curve variance / 2**bits."""
     curve = variance[:, None] / 2.0 ** np.arange(max_bits + 1)[None, :]

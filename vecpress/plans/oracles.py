@@ -446,6 +446,32 @@ def _optimal_levels(k: int, binned: bool = False) -> str:
     return f"WITH {TAPERED}, {E.replace('e AS (', 'e AS MATERIALIZED (')}, {', '.join(out)} SELECT CAST(d AS INTEGER) AS d, CAST(level AS INTEGER) AS level, round(c, 7) AS centroid FROM ({cells})"
 
 
+#: CTEs up to co (d, b, cost): squared error about the mean, or on a grid of b bits between the ends.
+_COSTS = f"""{E}, st AS (SELECT d, avg(x) AS mu, min(x) AS a, max(x) - min(x) AS span FROM e GROUP BY d),
+co AS MATERIALIZED (SELECT e.d, b, sum(CASE WHEN b = 0 THEN power(x - mu, 2) ELSE power(x - (round_even((x - a) / CASE WHEN span > 0 THEN span ELSE 1 END * (power(2, b) - 1), 0) / (power(2, b) - 1) * span + a), 2) END) AS cost
+  FROM e JOIN st ON e.d = st.d, range(6) t(b) GROUP BY e.d, b)"""
+
+
+def _measured_optimal(budget: int) -> str:
+    """The least cost of the first dimensions for each number of bits used, dimension by dimension."""
+    return f"""WITH RECURSIVE {TAPERED}, {_COSTS},
+f AS (SELECT -1::BIGINT AS d, 0::BIGINT AS used, 0.0::DOUBLE AS total, []::BIGINT[] AS path
+  UNION ALL SELECT co.d, used + b, total + cost, list_append(path, b) FROM f JOIN co ON co.d = f.d + 1 WHERE used + b <= {budget} QUALIFY row_number() OVER (PARTITION BY used + b ORDER BY total + cost) = 1),
+best AS (SELECT path FROM f WHERE d = {DIMS - 1} ORDER BY total LIMIT 1)
+SELECT CAST(co.d AS INTEGER) AS d, CAST(b AS INTEGER) AS bits, round(cost, 6) AS cost FROM co, best WHERE b = path[co.d + 1]"""
+
+
+def _measured_greedy(budget: int) -> str:
+    """A bit is taken by the least gain up to it, as the ones before it must be taken first; one
+    without a gain ends its dimension."""
+    return f"""WITH {TAPERED}, {_COSTS},
+g AS (SELECT d, b, lag(cost) OVER (PARTITION BY d ORDER BY b) - cost AS gain FROM co),
+m AS (SELECT d, b, min(gain) OVER (PARTITION BY d ORDER BY b) AS least FROM g WHERE b > 0),
+pk AS (SELECT d, b FROM m WHERE least > 0 QUALIFY row_number() OVER (ORDER BY least DESC, d, b) <= {budget}),
+bt AS (SELECT st.d, count(pk.b) AS bits FROM st LEFT JOIN pk ON st.d = pk.d GROUP BY st.d)
+SELECT CAST(bt.d AS INTEGER) AS d, CAST(bits AS INTEGER) AS bits, round(cost, 6) AS cost FROM bt JOIN co ON co.d = bt.d AND co.b = bt.bits"""
+
+
 def _divisor(most: str) -> str:
     return f"CAST((SELECT max(k) FROM range(1, CAST(dims AS BIGINT) + 1) r(k) WHERE dims % k = 0 AND k <= greatest(1, least({most}, dims))) AS INTEGER)"
 
@@ -619,6 +645,8 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "segment_plan_joint": f"WITH {TAPERED}, {_block_bits(3 * DIMS // 16)} SELECT CAST(block AS INTEGER) AS block, CAST(bits AS INTEGER) AS bits FROM bl",
         "segment_plan_greedy": f"WITH {TAPERED}, {_block_bits(3 * DIMS // 16)} SELECT CAST(block AS INTEGER) AS block, CAST(bits AS INTEGER) AS bits FROM bl",
         "alloc_empirical": _alloc("var", [float(t) for t in allocation.normal_distortion()], 3 * DIMS, ""),
+        "alloc_measured_greedy": _measured_greedy(2 * DIMS),
+        "alloc_measured_optimal": _measured_optimal(2 * DIMS),
         "alloc_optimal": _alloc("var", [float(t) for t in allocation.normal_distortion()], 3 * DIMS, ""),
         "bit_rules": f"""SELECT CAST(dims AS INTEGER) AS dims, bpd, {_divisor('CAST(round_even(bpd * dims, 0) AS BIGINT) // 8')} AS m, {_divisor('dims * CAST(floor(bpd) AS BIGINT) // 8')} AS m_floor,
   CAST(greatest(1, least(dims, CAST(floor(bpd * dims) AS BIGINT) // 8)) AS INTEGER) AS m_clamped, {_divisor('CAST(floor(bpd * dims) AS BIGINT) // 8')} AS m_divisor,
@@ -636,6 +664,7 @@ FROM (VALUES (64), (96), (100), (1536)) a(dims), (SELECT CAST(bpd AS DOUBLE) AS
         "study_resumed": f"SELECT method, bpd, code_bytes, mse, recall_at_1, recall_at_10, recall_at_100 FROM ({_study()}) WHERE bpd = 8",
         "bench_sq_flat": recall(f"SELECT 'sq_flat' AS method, round(sum(hits) / CAST(sum(least(k, n_truth)) AS DOUBLE), 9) AS recall, (SELECT count(*) FROM x) * {DIMS // 2} AS memory_bytes, 8.0 AS compression_ratio, 10 AS k, (SELECT count(*) FROM x) AS n FROM h WHERE k = 10"),
         "streaming_first_rows": f"WITH {X}, {sq_decoded(4).replace(E, 'e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM (SELECT * FROM x ORDER BY vec_id LIMIT 100))')} SELECT round(avg({err}), 9) AS distortion, count(*) AS n FROM dec",
+        "streaming_trained": f"WITH {X}, {sq_decoded(4).replace(E, 'e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM (SELECT * FROM x ORDER BY vec_id LIMIT 100))')} SELECT round(avg({err}), 9) AS distortion, count(*) AS n FROM dec",
         "codebook_query": f"{product}, {Q}, qm AS (SELECT qid, m, list_slice(q, m * 8 + 1, m * 8 + 8) AS p FROM q, range(8) t(m)), sc AS (SELECT qid, qm.m, idx + 16 * qm.m AS id, {_metric('l2', 'p', 'c')} AS score FROM qm JOIN book ON qm.m = book.m) SELECT qid, CAST(m AS INTEGER) AS m, CAST(rk AS INTEGER) AS rk, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, m ORDER BY score, id) AS rk FROM sc) WHERE rk <= 2",
         "sq4_encode_packed": sq_encode(4),
         "sq8_encode": sq_encode(8),

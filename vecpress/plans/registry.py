@@ -308,6 +308,13 @@ def _cost_table(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return reduce_tables(x, fold, {"e": np.add})["e"].reshape(dims, 6)
 
 
+def _alloc_measured(method, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each dimension on measured costs, which are not convex, at two bits a dimension."""
+    costs = allocation.scalar_costs(_tapered(spark, sf_dir))
+    bits = method(costs, 2 * len(costs))
+    return spark.createDataFrame([(d, int(b), round(float(costs[d, b]), 6)) for d, b in enumerate(bits)], "d int, bits int, cost double")
+
+
 def _alloc_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy, optimal and analytic allocation, scored on measured costs."""
     costs = _cost_table(spark, sf_dir)
@@ -522,6 +529,14 @@ def _streaming_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("distortion", F.round("distortion", 9))
 
 
+def _streaming_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that fits its codec on its own first 100 rows."""
+    own = streaming.TrainedStream(spark, datasets.scratch(spark, "trained"), codecs.Scalar(4), 100)
+    own.run(_stream(spark, sf_dir), datasets.scratch(spark, "stream"), max_batches=1 << 30)
+    own.finish()
+    return own.distortion().withColumn("distortion", F.round("distortion", 9))
+
+
 def _codebook_1bit(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of two levels a dimension."""
     from vecpress.functions.arrays import reduce_tables
@@ -693,6 +708,8 @@ def queries() -> dict[str, Query]:
         "segment_plan_joint": partial(_segment_plan, True),
         "segment_plan_greedy": partial(_segment_plan, False),
         "alloc_empirical": partial(_alloc_costs, allocation.empirical),
+        "alloc_measured_greedy": partial(_alloc_measured, allocation.empirical),
+        "alloc_measured_optimal": partial(_alloc_measured, allocation.optimal),
         "alloc_optimal": partial(_alloc_costs, allocation.optimal),
         "bit_rules": _bit_rules,
         "codebook_exact_1bit": partial(_codebook_1bit, "exact"),
@@ -734,6 +751,7 @@ def queries() -> dict[str, Query]:
         "bench_sq_flat": _bench_sq,
         "streaming_distortion": _streaming,
         "streaming_first_rows": _streaming_first,
+        "streaming_trained": _streaming_trained,
         "runlog_metrics": _runlog,
     }
     return out | {name: _report(make) for name, make in REPORTS.items()}

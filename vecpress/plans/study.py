@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecpress.functions import distance
-from vecpress.operators import allocation, codecs, ivf, knn, metrics
+from vecpress.functions.arrays import vectors
+from vecpress.operators import allocation, codecs, ivf, kmeans, knn, metrics
+from vecpress.sources import datasets, fvecs
 
 KS = (1, 10, 100)
 
@@ -36,20 +38,23 @@ def build(method: str, bpd: float, dims: int) -> codecs.Codec:
     return METHODS[method](bpd, dims)
 
 
-def measure(x: DataFrame, queries: DataFrame, truth: DataFrame, codec: codecs.Codec, ks: Iterable[int] = KS) -> dict:
-    """One cell: code bytes (with a 4-byte norm a row), compression, error and recalls."""
+def measure(x: DataFrame, queries: DataFrame, truth: DataFrame, codec: codecs.Codec, ks: Iterable[int] = KS, mse_sample: int | None = None) -> dict:
+    """One cell: code bytes (with a 4-byte norm a row), compression, error and recalls. mse_sample:
+    the error is that of about so many rows, drawn by a hash of the id, and not of all."""
     codec = codec.fit(x)
     ks = sorted(ks)
     pairs = codec.reconstruct(x)
-    error, n = pairs.agg(F.sum(distance.squared_l2(F.col("v"), F.col("r"))), F.count("*")).head()
+    n = x.count()
+    some = pairs if mse_sample is None else codec.reconstruct(kmeans.drawn(x, mse_sample, n))
+    error, of = some.agg(F.coalesce(F.sum(distance.squared_l2(F.col("v"), F.col("r"))), F.lit(0.0)), F.count("*")).head()
     decoded = pairs.select("vec_id", F.col("r").alias("v"), distance.floored_norm(F.col("v")).alias("norm"))
     found = knn.search(decoded, queries, ks[-1], "ip", scale="norm")
     recalls = metrics.recalls_study(truth, found, ks).head().asDict()
     code_bytes = n * (codec.code_size() + codecs.NORM_BYTES)
-    return {"code_bytes": code_bytes, "compression_factor": metrics.compression_factor(n, codec.dims, code_bytes), "mse": error / (n * codec.dims), "n_db": n, "n_queries": queries.count(), "D": codec.dims} | recalls
+    return {"code_bytes": code_bytes, "compression_factor": metrics.compression_factor(n, codec.dims, code_bytes), "mse": error / (of * codec.dims) if of else None, "n_db": n, "n_queries": queries.count(), "D": codec.dims} | recalls
 
 
-def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: Iterable[float], ks: Iterable[int] = KS, dataset: str = "", checkpoint: str | None = None) -> DataFrame:
+def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: Iterable[float], ks: Iterable[int] = KS, dataset: str = "", checkpoint: str | None = None, mse_sample: int | None = None) -> DataFrame:
     """A row for each (method, bpd). With a checkpoint folder each finished cell is written there,
     and a new run skips the cells that it finds. An unknown method or a failed cell raises after
     what came before it was written."""
@@ -70,7 +75,7 @@ def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: It
         for bpd in map(float, bpds):
             if (method, bpd) in done:
                 continue
-            cell = measure(x, queries, truth, build(method, bpd, dims), ks)
+            cell = measure(x, queries, truth, build(method, bpd, dims), ks, mse_sample)
             cell |= {"dataset": dataset, "method": method, "bpd": bpd, "timestamp": datetime.now(UTC).isoformat(timespec="seconds")}
             rows.append(tuple(cell[c] for c in columns))
             if checkpoint:
@@ -81,6 +86,22 @@ def run_study(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpds: It
     return spark.read.schema(schema).parquet(checkpoint) if checkpoint else spark.createDataFrame(rows, schema)
 
 
+def run_config(spark: SparkSession, config: datasets.StudyConfig, checkpoint: str | None = None) -> DataFrame:
+    """The study that a configuration file names: its vector files, the first n_queries of its
+    queries, its methods and bits. chunk_size: rows that a batch holds while it runs; mse_sample:
+    as in `measure`. Finished cells go to `checkpoint`, or cells below output_dir."""
+    x = vectors(fvecs.read(spark, config.base))
+    q = vectors(fvecs.read(spark, config.queries))
+    q = datasets.first_queries(q, config.n_queries) if config.n_queries else datasets.as_queries(q)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(config.chunk_size))
+    try:
+        return run_study(x, q, config.methods, config.bpd, config.ks, config.name, checkpoint or f"{config.output_dir.rstrip('/')}/{config.name}/cells", config.mse_sample)
+    finally:
+        spark.conf.set(name, before)
+
+
 def _kind(column: str) -> str:
     return {"dataset": "string", "method": "string", "timestamp": "string", "code_bytes": "long", "n_db": "long", "n_queries": "long", "D": "int"}.get(column, "double")
 
@@ -125,8 +146,8 @@ def index_methods(dims: int, bpd: int, cells: int = 64, nprobe: int = 8) -> dict
 
 
 def compare(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpd: int = 4, k: int = 10, cells: int = 64, nprobe: int = 8) -> DataFrame:
-    """(method, recall_at_k, qps, memory_bytes, compression_ratio, k, N, D). Unknown methods are
-    left out; a method that fails leaves a row with nulls."""
+    """(method, recall_at_k, qps, memory_bytes, compression_ratio, k, N, D, error). Unknown methods
+    are left out; one that fails leaves a row with nulls and its error."""
     spark = x.sparkSession
     dims, n = x.select(F.size("v")).head()[0], x.count()
     truth = knn.search(x, queries, k).persist()
@@ -137,15 +158,15 @@ def compare(x: DataFrame, queries: DataFrame, methods: Iterable[str], bpd: int =
             continue
         try:
             found, held = known[method](x, queries, k)
-            seconds, kept = metrics.timed(lambda found=found: found.collect())  # nq * k rows
-            kept = spark.createDataFrame(kept, found.schema)
-            recall = metrics.recall_bench(truth, kept, k).head()["recall"]
-            rows.append((method, recall, nq / seconds, held, metrics.compression_factor(n, dims, held), k, n, dims))
+            found = found.persist()
+            seconds, _ = metrics.timed(lambda found=found: found.count())
+            recall = metrics.recall_bench(truth, found, k).head()["recall"]
+            found.unpersist()
+            rows.append((method, recall, nq / seconds, held, metrics.compression_factor(n, dims, held), k, n, dims, None))
         except Exception as error:  # a bench goes on with the other methods
-            print(f"{method}: {error}")
-            rows.append((method, None, None, None, None, k, n, dims))
+            rows.append((method, None, None, None, None, k, n, dims, f"{type(error).__name__}: {error}"[:2000]))
     truth.unpersist()
-    return spark.createDataFrame(rows, "method string, recall_at_k double, qps double, memory_bytes long, compression_ratio double, k int, N long, D int")
+    return spark.createDataFrame(rows, "method string, recall_at_k double, qps double, memory_bytes long, compression_ratio double, k int, N long, D int, error string")
 
 
 def sweep_bpd(x: DataFrame, queries: DataFrame, method: str, bpds: Iterable[int], k: int = 10) -> DataFrame:
