@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,12 @@ def _mark(which: int, size: int) -> int:
     return (size << 8 | which) * 0x2545F4914F6CDD1D & (2**64 - 1)
 
 
+@cache
+def _marks(size: int) -> np.ndarray:
+    """Those of all minima of a size class, a row each."""
+    return np.array([[_mark(j, size)] for j in range(HASHES)], np.uint64)
+
+
 def _signed(values: np.ndarray, which: int, size: int) -> np.ndarray:
     """Join keys of minimum number `which` in size class `size`."""
     return _scramble(values ^ np.uint64(_mark(which, size)))
@@ -147,8 +154,7 @@ def _minima(hashes: np.ndarray, sizes: list[int], admit) -> Iterator[np.ndarray]
                 pair = np.minimum(level[:, :-1], level[:, 1:])
                 four = np.minimum(pair[:, :-2], pair[:, 2:])
                 low = np.minimum(four[:, :-1], level[:, 4:])
-            marks = np.array([_mark(j, s) for j in range(HASHES)], np.uint64)
-            yield admit(_scramble(low ^ marks[:, None]).ravel())
+            yield admit(_scramble(low ^ _marks(s)).ravel())
 
 
 def _bits(values: np.ndarray, bits: int) -> np.ndarray:

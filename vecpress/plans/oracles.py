@@ -382,6 +382,21 @@ SELECT nr // 32 AS block, string_agg(vec_id::VARCHAR, ',' ORDER BY nr) AS ids, C
 FROM hx JOIN nr USING (vec_id) GROUP BY block, segment"""
 
 
+def saq_adjusted(rounds: int = 6) -> str:
+    """One step of one dimension at a time, up then down, kept where the cosine grows."""
+    level = lambda c: f"(({c}) + 0.5) * (2 / power(2, bits)) - 1"
+    return f"""WITH RECURSIVE {TAPERED}, {_grid(3 * DIMS // 16)},
+s0 AS MATERIALIZED (SELECT vec_id, sid, any_value(bits) AS bits, count(*) AS n, min(d) AS fst, list(o ORDER BY d) AS o, list(CASE WHEN bits > 0 THEN CAST(round((point + 1) * power(2, bits) / 2 - 0.5) AS BIGINT) ELSE 0 END ORDER BY d) AS code,
+  sum(o * point ORDER BY d) AS ip, sum(point * point ORDER BY d) AS size FROM pt GROUP BY vec_id, sid),
+mv AS (SELECT 0 AS step, vec_id, sid, bits, n, fst, o, code, ip, size FROM s0
+  UNION ALL SELECT step + 1, vec_id, sid, bits, n, fst, o, CASE WHEN better THEN list_concat(list_concat(code[:i - 1], [new]), code[i + 1:]) ELSE code END, CASE WHEN better THEN new_ip ELSE ip END, CASE WHEN better THEN new_size ELSE size END
+  FROM (SELECT *, new BETWEEN 0 AND power(2, bits) - 1 AND new_ip > 0 AND (ip * ip + 1e-8 * size) * new_size < new_ip * new_ip * size AS better
+    FROM (SELECT *, ip + (after - before) * o[i] AS new_ip, size + after * after - before * before AS new_size
+      FROM (SELECT *, {level('code[i]')} AS before, {level('new')} AS after
+        FROM (SELECT *, code[i] + CASE WHEN step % 2 = 0 THEN 1 ELSE -1 END AS new FROM (SELECT *, (step // 2) % n + 1 AS i FROM mv WHERE bits > 0 AND step < {rounds} * 2 * n))))))
+SELECT vec_id, CAST(fst + unnest(range(n)) AS INTEGER) AS d, unnest(code) AS code FROM mv WHERE step = CASE WHEN bits > 0 THEN {rounds} * 2 * n ELSE 0 END"""
+
+
 def saq_factors() -> str:
     """h is half a step above or below zero. A segment without bits has its length alone."""
     return f"""WITH {TAPERED}, {_grid(3 * DIMS // 16)},
@@ -627,6 +642,7 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "rabitq_ivf_search_ip": _rabitq_ivf("ip"),
         "saq_grid_search": _grid_search("l2"),
         "saq_grid_search_ip": _grid_search("ip"),
+        "saq_adjusted_codes": saq_adjusted(),
         "saq_blocks": saq_blocks(),
         "kmeans1d_lloyd": _lloyd_levels(8),
         "kmeans1d_exact": _optimal_levels(8),

@@ -173,6 +173,19 @@ def _saq_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("block", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.col("p.s").alias("segment"), F.hex("p.short").alias("short"), F.hex("p.long").alias("long"))
 
 
+def _saq_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes on the grid after six rounds of steps, and how well each row's segments point its way."""
+    x = _tapered(spark, sf_dir)
+    codec = codecs.Segmented(3, rounds=6, rotate=False, axes=False).fit(x)
+
+    def run(b) -> dict:
+        parts = blocks.split(codec, from_binary(b.column("code")))
+        own = [blocks.full_codes(short, rest, n, bits) if bits else np.zeros((b.num_rows, n), np.int64) for (n, bits), (short, rest, _) in zip(codec.plan, parts, strict=True)]
+        return {"vec_id": b.column("vec_id"), "v": to_lists(np.concatenate(own, axis=1))}
+
+    return map_batches(codec.encode(x), run, "vec_id long, v array<long>").select("vec_id", F.posexplode("v").alias("d", "code"))
+
+
 def _saq_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six factors of each row and segment."""
     x = _tapered(spark, sf_dir)
@@ -673,6 +686,7 @@ def queries() -> dict[str, Query]:
         "saq_grid_search": partial(_grid_search, "l2", False),
         "saq_grid_search_ip": partial(_grid_search, "ip", False),
         "saq_grid_search_pruned": partial(_grid_search, "l2", True),
+        "saq_adjusted_codes": _saq_adjusted,
         "saq_blocks": _saq_blocks,
         "saq_block_factors": _saq_factors,
         "saq_staged_search": partial(_saq_staged, "l2", None),
