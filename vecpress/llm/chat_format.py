@@ -14,7 +14,8 @@ any length never meets in one group; `join_parts` puts the rows of a dialogue to
 those that want it whole. One row for each conversation, participant and part; a conversation
 of up to PART turns has one part, whatever its turns are numbered.
 
-Defined cases: a null conv_id is a conversation of its own; a null turn comes first; a null
+Defined cases: an empty table gives no rows, and texts of any length are kept whole.
+A null conv_id is a conversation of its own; a null turn comes first; a null
 role is the speaker `unknown`; a null text is empty. Turns with equal numbers are ordered by
 role and text, and repeated rows are rendered each. A conversation of system turns alone has
 no participant and gives no row. `<|` within texts and names is broken up as `< |`, so that

@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from vecpress.llm.common import forget, materialize, shuffled
 
 HUBS = 10_000
+#: Nodes that a task holds of its links before it hands on what they tell.
+HELD = 1_000_000
 
 _PAIR = "u long, v long"
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one task become (node, smallest node that the task links to it)."""
+    """Links of one task become (node, smallest node that the task links to it), HELD nodes at a time."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -32,15 +34,21 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             parent[x] = x = parent[p]
         return x
 
+    def forest() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if find(x) != x]
+        for i in range(0, len(nodes), 65536):
+            part = nodes[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
+        parent.clear()
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(u), find(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if find(x) != x]
-    for i in range(0, len(nodes), 65536):
-        part = nodes[i : i + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
+        if len(parent) >= HELD:
+            yield from forest()
+    yield from forest()
 
 
 def _least_of(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:

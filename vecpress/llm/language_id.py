@@ -11,7 +11,7 @@ languages, those with the most labelled rows. The draw goes by text, never by do
 that share an id, or have none, are drawn like any others, and a text that fills a third of the
 table is drawn once. Prediction reads every byte of every text.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0. With no labelled
+Defined cases: an empty table gives no rows. A null text, or one without a letter, is `und` with score 0. With no labelled
 text that is not empty every text is `und`. With a single language all others get it with
 score 1. Repeated rows are predicted each; ties go to the language that sorts first. A row with
 a null doc_id is not held out. Extra columns are kept; one named like an output is replaced.

@@ -4,7 +4,8 @@ Every line of every text is exploded to a 128-bit hash of its normalised form; d
 documents are counted for each hash; lines over the threshold go from every document but
 the one with the largest doc_id, and what stays is put together by position.
 
-Defined cases: a null or empty text is one empty line. A null doc_id names no document: such
+Defined cases: an empty table gives no rows, and texts of any length are read whole.
+A null or empty text is one empty line. A null doc_id names no document: such
 a row counts for no line and keeps its text. Rows that repeat a doc_id are one document when
 documents are counted, and each row keeps or loses its own lines. Extra columns are carried
 along by `dedup_lines`; a column named like one of its outputs is replaced.

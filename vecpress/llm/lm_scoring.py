@@ -23,7 +23,7 @@ scored where they stand. Partitions hold about PARTITION words; sorts and counts
 Words: runs without `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Words are told apart by 64-bit
 hashes, pairs by 64-bit hashes of both: of 10**10 distinct words a few would share one.
 
-Defined cases: a null or empty text, or one of white space, has no words and score 0 (mean
+Defined cases: an empty table gives no rows; a null doc_id is kept. A null or empty text, or one of white space, has no words and score 0 (mean
 null). Repeated rows count and are scored each. Extra columns are ignored.
 """
 

@@ -8,8 +8,8 @@ sequences at which offset; pieces take their slot by their rank within their len
 are numbered within (length, salt), so that a length of a third of all pieces is numbered by
 many tasks.
 
-Defined cases: a null or empty text is the end id alone. Repeated rows are packed each on
-its own; ties in length go by salt, doc_id and piece. An empty table gives no pieces. Extra
+Defined cases: a null doc_id is packed like any other. A null or empty text is the end id alone. Repeated rows are packed each on
+its own; ties in length go by salt, doc_id, piece and the row's own salt. An empty table gives no pieces. Extra
 columns are not carried: the result is pieces, to be joined on doc_id.
 """
 
@@ -214,19 +214,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(parts: DataFrame, capacity: int = TOKENS, ranked: int = RANKED) -> DataFrame:
     """parts with sequence_id and offset (long). parts: doc_id, piece, length (1 to capacity)
     and whatever else; it is read twice, so pass a written table. A long column __salt deals the
-    pieces of one length to numbering tasks; without it (doc_id, piece) does, and rows that
-    repeat both are numbered by one task."""
+    pieces of one length to numbering tasks, and tells rows apart that repeat doc_id and piece, so
+    that a task that runs again numbers them alike; without it (doc_id, piece) deals, and rows that
+    repeat both are numbered by one task, in any order."""
     spark = parts.sparkSession
-    kept = [c for c in parts.columns if c not in ("sequence_id", "offset", "__salt")]
+    kept = [c for c in parts.columns if c not in ("sequence_id", "offset", "__salt", "__tie")]
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
     salts = max(16, -(-sum(counts.values()) // ranked))
     dealt = F.col("__salt") if "__salt" in parts.columns else F.xxhash64("doc_id", "piece")
-    salted = parts.withColumn("__salt", F.pmod(dealt, F.lit(salts)).cast("int"))
+    salted = parts.withColumn("__tie", dealt).withColumn("__salt", F.pmod(dealt, F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "__salt").count()
     before = "sum(count) over (partition by length order by __salt rows between unbounded preceding and 1 preceding)"
     firsts = sizes.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), F.expr(f"coalesce({before}, 0)").alias("__first"))
     firsts = shuffled(materialize(firsts, "firsts"))  # grows with the pieces; dealt as they are
-    order = "row_number() over (partition by length, __salt order by doc_id, piece)"
+    order = "row_number() over (partition by length, __salt order by doc_id, piece, __tie)"
     numbered = salted.withColumn("__row", F.expr(order) - 1)
     numbered = numbered.join(firsts, (F.col("length") == F.col("__l")) & (F.col("__salt") == F.col("__s")))
     numbered = numbered.withColumn("__rank", F.col("__row") + F.col("__first"))

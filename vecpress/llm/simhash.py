@@ -12,7 +12,8 @@ Links are found between distinct fingerprints, never between documents; a key th
 fingerprints share is cut into blocks that meet pairwise, and each block pair gives the links
 of a spanning forest rather than all its pairs.
 
-Defined cases: a null or empty text, or one of white space, has fingerprint zero. A null
+Defined cases: an empty table gives no rows; texts of any length are read whole, in parts of
+bounded memory. A null or empty text, or one of white space, has fingerprint zero. A null
 doc_id takes part but names no component; a component of null ids alone has a null id. Rows
 that repeat a doc_id or a text are linked as any others. Extra columns are kept by `link`.
 """
@@ -132,7 +133,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """distinct: one long column of distinct fingerprints. (u, v) links that connect whatever
     is within DISTANCE bits, without listing all pairs of a crowded key."""
-    rows = distinct.mapInArrow(_keys, "key long, fp long, base boolean")
+    rows = materialize(distinct.mapInArrow(_keys, "key long, fp long, base boolean"), "key-rows")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("base").alias("any")).where("n > 1 and any")
     shared = materialize(shared.select("key", "n"), "keys")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

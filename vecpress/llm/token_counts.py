@@ -11,7 +11,8 @@ a run of letters, one number, a run of other signs or a contraction ending, as U
 the last of which carries the word-end mark. All single bytes are pieces, with and without
 the mark, so every word has a count.
 
-Defined cases: a null or empty text, or one of white space, has no words and no pieces.
+Defined cases: an empty table gives no rows; a null doc_id is kept; texts of any length
+are read whole. A null or empty text, or one of white space, has no words and no pieces.
 Repeated rows are counted each; extra columns are kept, save one named like an output.
 """
 
