@@ -14,21 +14,8 @@ DIMS = 64
 HELD_OUT = 100
 CELLS, PROBES = 8, 7
 
-#: A table of study results with ties, a rerun of one cell and a missing number.
-RUNS = [
-    ("sq", 4.0, 7.5, 0.91, 0.0021, "2026-01-01T00:00:00"),
-    ("sq", 8.0, 3.9, 0.99, 0.00001, "2026-01-01T00:01:00"),
-    ("sq", 16.0, 2.0, 1.0, 0.0000001, "2026-01-01T00:02:00"),
-    ("pq", 1.0, 30.1, 0.42, 0.012, "2026-01-01T00:03:00"),
-    ("pq", 2.0, 15.5, 0.61, 0.007, "2026-01-01T00:04:00"),
-    ("pq", 4.0, 7.5, 0.88, 0.0031, "2026-01-01T00:05:00"),
-    ("pq", 4.0, 7.5, 0.89, 0.003, "2026-01-01T00:06:00"),
-    ("pq", 8.0, 3.9, 0.97, 0.0032, "2026-01-01T00:07:00"),
-    ("lvq", 1.0, 30.1, 0.55, 0.02, "2026-01-01T00:08:00"),
-    ("lvq", 2.0, 15.5, 0.7, 0.005, "2026-01-01T00:09:00"),
-    ("lvq", 4.0, 7.9, 0.93, 0.0015, "2026-01-01T00:10:00"),
-    ("lvq", 8.0, 3.9, 0.99, None, "2026-01-01T00:11:00"),
-]
+#: The cells of the measured runs: method, bits, and which rows they are measured on (a rerun of one cell on even ids).
+RUNS = [*(("sq", b, 1) for b in (4, 8, 16)), *(("pq", b, 1) for b in (1, 2, 4, 8)), ("pq", 4, 2), *(("lvq", b, 1) for b in (1, 2, 4, 8))]
 BANDS = [("32x", 24.0, 40.0), ("16x", 12.0, 20.0), ("8x", 6.0, 10.0), ("4x", 3.0, 5.0)]
 
 #: Element terms of metrics that are a plain fold, p[1] and p[2] being the two entries.
@@ -568,18 +555,30 @@ def _study() -> str:
 
 
 def _runs() -> str:
-    def value(v) -> str:
-        return "CAST(NULL AS DOUBLE)" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)"
-
-    rows = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in RUNS)
-    return f"runs(method, bpd, compression, recall, mse, timestamp) AS (VALUES {rows})"
+    """Runs measured on the table: entries on a grid over [-1, 1] (sq), pairs of them as one point of
+    twice the bits (pq), rows on a grid of their own (lvq). recall: the share of rows whose largest
+    entry is in the same place; one number is missing."""
+    grid = lambda e, bits, low, span: f"(round_even(({e} - ({low})) / ({span}) * {2**bits - 1}, 0) / {2**bits - 1} * ({span}) + ({low}))"
+    cells = []
+    for i, (method, bits, step) in enumerate(RUNS):
+        if method == "sq":
+            r = f"list_transform(v, lambda e: {grid('e', bits, '-1.0', '2.0')})"
+        elif method == "pq":
+            r = f"list_transform(v, lambda e, i: {grid('((v[i - (i - 1) % 2] + v[i - (i - 1) % 2 + 1]) / 2)', 2 * bits, '-1.0', '2.0')})"
+        else:
+            r = f"CASE WHEN list_max(v) > list_min(v) THEN list_transform(v, lambda e: {grid('e', bits, 'list_min(v)', 'list_max(v) - list_min(v)')}) ELSE v END"
+        size = f"{DIMS} * {bits} / 8.0" + (" + 8" if method == "lvq" else "")
+        mse = "CAST(NULL AS DOUBLE)" if (method, bits) == ("lvq", 8) else f"round(avg({fold(_TERMS['l2'], 'v', 'r')} / {DIMS}), 12)"
+        cells.append(f"""SELECT '{method}' AS method, CAST({bits} AS DOUBLE) AS bpd, 4.0 * {DIMS} / ({size}) AS compression, avg(CASE WHEN list_position(v, list_max(v)) = list_position(r, list_max(r)) THEN 1.0 ELSE 0.0 END) AS recall, {mse} AS mse, '2026-01-01T00:{i:02d}:00' AS timestamp
+  FROM (SELECT v, {r} AS r FROM x WHERE vec_id % {step} = 0)""")
+    return f"{X}, runs AS MATERIALIZED ({' UNION ALL '.join(cells)})"
 
 
 def _reports() -> dict[str, str]:
     runs = f"WITH {_runs()}"
     last = f"{runs}, kept AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY method, bpd ORDER BY timestamp DESC) = 1)"
     bands = ", ".join(f"('{n}', {a}, {b})" for n, a, b in BANDS)
-    stats = lambda c: f"round(avg({c}), 9) AS {c}_mean, round(quantile_cont({c}, 0.5), 9) AS {c}_median, round(quantile_cont({c}, 0.95), 9) AS {c}_p95, max({c}) AS {c}_max, round(stddev_pop({c}), 9) AS {c}_std"
+    stats = lambda c: f"round(avg({c}), 9) AS {c}_mean, round(quantile_cont({c}, 0.5), 9) AS {c}_median, round(quantile_cont({c}, 0.95), 9) AS {c}_p95, round(max({c}), 9) AS {c}_max, round(stddev_pop({c}), 9) AS {c}_std"
     scaled = lambda c: f"(avg({c}) - (SELECT min({c}) FROM full_runs)) / (SELECT max({c}) - min({c}) FROM full_runs)"
     return {
         "pareto_frontier": f"{runs} SELECT method, bpd, compression, recall, mse FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.compression > a.compression AND b.recall > a.recall)",
@@ -594,7 +593,7 @@ def _reports() -> dict[str, str]:
         "method_summary": f"{runs} SELECT method, {stats('recall')}, {stats('mse')} FROM runs WHERE mse IS NOT NULL GROUP BY method",
         "run_sanity": f"{runs} SELECT count(*) AS n, count(*) FILTER (WHERE recall IS NULL) AS bad_recall, count(*) FILTER (WHERE mse IS NULL) AS bad_mse, count(*) FILTER (WHERE recall < 0 OR recall > 1) AS recall_out FROM runs",
         "top_runs": f"{runs} SELECT method, bpd, compression, recall, mse FROM runs ORDER BY compression * recall DESC, method, bpd LIMIT 10",
-        "ratio_summary": f"{runs} SELECT round(sum(mse * compression) FILTER (WHERE mse IS NOT NULL) / sum(compression), 9) AS weighted, round(avg(mse), 9) AS mean, round(quantile_cont(mse, 0.5), 9) AS median, round(quantile_cont(mse, 0.95), 9) AS p95, max(mse) AS max, round(avg(CASE WHEN mse > 1.01 THEN 1.0 WHEN mse IS NOT NULL THEN 0.0 END), 9) AS share_above FROM runs",
+        "ratio_summary": f"{runs} SELECT round(sum(mse * compression) FILTER (WHERE mse IS NOT NULL) / sum(compression), 9) AS weighted, round(avg(mse), 9) AS mean, round(quantile_cont(mse, 0.5), 9) AS median, round(quantile_cont(mse, 0.95), 9) AS p95, round(max(mse), 9) AS max, round(avg(CASE WHEN mse > 1.01 THEN 1.0 WHEN mse IS NOT NULL THEN 0.0 END), 9) AS share_above FROM runs",
         "runlog_metrics": f"""{runs}, log AS (SELECT method, timestamp, CAST(json_object('compression', compression, 'recall', recall, 'rank_distortion@10', mse) AS VARCHAR) AS j FROM runs)
 SELECT method, timestamp, CAST(json_extract(j, '$.compression') AS DOUBLE) AS compression, CAST(json_extract(j, '$.recall') AS DOUBLE) AS recall, coalesce(CAST(json_extract(j, '$.absent') AS DOUBLE), -1.0) AS absent, CAST(json_extract(j, '$."rank_distortion@10"') AS DOUBLE) AS rank FROM log""",
     }
@@ -667,7 +666,7 @@ dr AS (SELECT vec_id, rs.cell, c, list_transform(list_zip(v, mn, mx), lambda p:
         "bit_rules": f"""SELECT CAST(dims AS INTEGER) AS dims, bpd, {_divisor('CAST(round_even(bpd * dims, 0) AS BIGINT) // 8')} AS m, {_divisor('dims * CAST(floor(bpd) AS BIGINT) // 8')} AS m_floor,
   CAST(greatest(1, least(dims, CAST(floor(bpd * dims) AS BIGINT) // 8)) AS INTEGER) AS m_clamped, {_divisor('CAST(floor(bpd * dims) AS BIGINT) // 8')} AS m_divisor,
   CASE WHEN bpd <= 4.5 THEN 4 WHEN bpd <= 12 THEN 8 ELSE 16 END AS bits, CASE WHEN bpd IN (4, 8, 16) THEN CAST(bpd AS INTEGER) ELSE 8 END AS bits_exact
-FROM (VALUES (64), (96), (100), (1536)) a(dims), (SELECT CAST(bpd AS DOUBLE) AS bpd FROM (VALUES (0.5), (1.0), (2.0), (3.0), (4.0), (8.0), (16.0)) t(bpd))""",
+FROM (SELECT unnest(range(1, max(len(embedding)) + 1)) AS dims FROM embeddings) a, (SELECT CAST(bpd AS DOUBLE) AS bpd FROM (VALUES (0.5), (1.0), (2.0), (3.0), (4.0), (8.0), (16.0)) t(bpd))""",
         "codebook_exact_1bit": _two_levels("w AS (SELECT d, x, count(*) AS n FROM e GROUP BY d, x)"),
         "codebook_histogram_1bit": _two_levels(BINNED),
         "codebook_lloyd_1bit": _two_lloyd(),
