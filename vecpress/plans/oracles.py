@@ -534,6 +534,12 @@ def recall(final: str) -> str:
     return f"WITH {X}, {Q}, {sq_decoded(4)}, {ranked} {final}"
 
 
+def bench(name: str, found: str, size: int, ratio: float) -> str:
+    """Recall at 10 of `found` (qid, rk, id) against exact search, and bytes by row."""
+    return f"""WITH truth AS ({knn(X, 'l2', 10)}), found AS ({found}), rows AS (SELECT count(*) AS n FROM embeddings)
+SELECT '{name}' AS method, round((SELECT count(*) FROM truth JOIN found USING (qid, id)) / CAST((SELECT count(*) FROM truth) AS DOUBLE), 9) AS recall, n * {size} AS memory_bytes, CAST({ratio!r} AS DOUBLE) AS compression_ratio, 10 AS k, n FROM rows"""
+
+
 def _study() -> str:
     """Scalar codes of 4 and 8 bits and local codes of 4 and 8, under the normalised score."""
     parts, unions = [], []
@@ -677,6 +683,9 @@ FROM (SELECT unnest(range(1, max(len(embedding)) + 1)) AS dims FROM embeddings)
         "numbered_vectors": f"WITH {X}, {E} SELECT row_number() OVER (PARTITION BY d ORDER BY vec_id) - 1 AS vec_id, CAST(d AS INTEGER) AS d, x FROM e",
         "truth_cached": knn(SCALED, "ip", 10, "score DESC"),
         "study_resumed": f"SELECT method, bpd, code_bytes, mse, recall_at_1, recall_at_10, recall_at_100 FROM ({_study()}) WHERE bpd = 8",
+        "bench_lvq_flat": bench("lvq_flat", f"WITH {X}, {Q}, {lvq_decoded(4)} " + top(f"SELECT qid, dec.vec_id AS id, {_metric('l2', 'q.q', 'dec.r')} AS score FROM q, dec", 10), DIMS // 2 + 8, 4.0 * DIMS / (DIMS // 2 + 8)),
+        "bench_rabitq": bench("rabitq", _rabitq_search("l2"), DIMS // 8 + 8, 4.0 * DIMS / (DIMS // 8 + 8)),
+        "codebook_export_pq": f"WITH {TAPERED}, {pq_ctes('x', 8, 16, 2)} SELECT CAST(m * 16 + idx AS BIGINT) AS row, CAST(unnest(range(8)) AS INTEGER) AS d, round(CAST(CAST(unnest(c) AS FLOAT) AS DOUBLE), 5) AS x FROM book",
         "bench_sq_flat": recall(f"SELECT 'sq_flat' AS method, round(sum(hits) / CAST(sum(least(k, n_truth)) AS DOUBLE), 9) AS recall, (SELECT count(*) FROM x) * {DIMS // 2} AS memory_bytes, 8.0 AS compression_ratio, 10 AS k, (SELECT count(*) FROM x) AS n FROM h WHERE k = 10"),
         "streaming_first_rows": f"WITH {X}, {sq_decoded(4).replace(E, 'e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM (SELECT * FROM x ORDER BY vec_id LIMIT 100))')} SELECT round(avg({err}), 9) AS distortion, count(*) AS n FROM dec",
         "streaming_trained": f"WITH {X}, {sq_decoded(4).replace(E, 'e AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM (SELECT * FROM x ORDER BY vec_id LIMIT 100))')} SELECT round(avg({err}), 9) AS distortion, count(*) AS n FROM dec",

@@ -491,8 +491,8 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.cached_truth(spark, path, ("scaled", 10, "ip"), lambda: make().limit(0))
 
 
-def _codebook_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codec = codecs.Scalar(8).fit(_tapered(spark, sf_dir))
+def _codebook_export(make: Callable[[], codecs.Codec], spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = make().fit(_tapered(spark, sf_dir))
     path = datasets.scratch(spark, "codebook")
     models.export_codebook(spark, codec, path)
     back = vectors(fvecs.read(spark, f"{path}.fvecs"))
@@ -526,10 +526,10 @@ def _study_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("method", "bpd", "code_bytes", F.round("mse", 9).alias("mse"), *(F.round(f"recall_at_{k}", 9).alias(f"recall_at_{k}") for k in study.KS))
 
 
-def _bench_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bench of flat scalar codes, without its speed."""
+def _bench(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bench of one method, without its speed."""
     x = _x(spark, sf_dir)
-    out = study.sweep_bpd(x, _q(x), "sq_flat", [4], 10)
+    out = study.sweep_bpd(x, _q(x), method, [4], 10)
     return out.select("method", F.round("recall_at_k", 9).alias("recall"), "memory_bytes", "compression_ratio", "k", F.col("N").alias("n"))
 
 
@@ -743,7 +743,8 @@ def queries() -> dict[str, Query]:
         "saq_decode": partial(_decode, lambda: codecs.Segmented(4), None, _tapered),
         "lvq4_packed": _lvq4_packed,
         "reconstruct_ids": _reconstruct_ids,
-        "codebook_export": _codebook_export,
+        "codebook_export": partial(_codebook_export, lambda: codecs.Scalar(8)),
+        "codebook_export_pq": partial(_codebook_export, lambda: codecs.Product(8, 4, 2)),
         "rotation_lengths": _rotation,
         "pca_invariants": _pca_invariants,
         "packing_bytes": _packing_bytes,
@@ -790,7 +791,9 @@ def queries() -> dict[str, Query]:
         "numbered_vectors": _numbered,
         "truth_cached": _truth,
         "study_resumed": _study_resumed,
-        "bench_sq_flat": _bench_sq,
+        "bench_sq_flat": partial(_bench, "sq_flat"),
+        "bench_lvq_flat": partial(_bench, "lvq_flat"),
+        "bench_rabitq": partial(_bench, "rabitq"),
         "streaming_distortion": _streaming,
         "streaming_first_rows": _streaming_first,
         "streaming_trained": _streaming_trained,
