@@ -560,8 +560,13 @@ def _study() -> str:
     return f"WITH {base}, {truth}, {', '.join(parts)} " + " UNION ALL ".join(unions)
 
 
+def pq_width(bits: int) -> int:
+    """Entries that share a point; the widest code has the coarsest ones, so its error is no less."""
+    return 4 if bits == 8 else 2
+
+
 def _runs() -> str:
-    """Runs measured on the table: entries on a grid over [-1, 1] (sq), pairs of them as one point of
+    """Runs measured on the table: entries on a grid over [-1, 1] (sq), neighbours as one point of
     twice the bits (pq), rows on a grid of their own (lvq). recall: the share of rows whose largest
     entry is in the same place; one number is missing."""
     grid = lambda e, bits, low, span: f"(round_even(({e} - ({low})) / ({span}) * {2**bits - 1}, 0) / {2**bits - 1} * ({span}) + ({low}))"
@@ -570,7 +575,9 @@ def _runs() -> str:
         if method == "sq":
             r = f"list_transform(v, lambda e: {grid('e', bits, '-1.0', '2.0')})"
         elif method == "pq":
-            r = f"list_transform(v, lambda e, i: {grid('((v[i - (i - 1) % 2] + v[i - (i - 1) % 2 + 1]) / 2)', 2 * bits, '-1.0', '2.0')})"
+            w = pq_width(bits)
+            mean = "((" + " + ".join(f"v[i - (i - 1) % {w} + {j}]" for j in range(w)) + f") / {w})"
+            r = f"list_transform(v, lambda e, i: {grid(mean, 2 * bits, '-1.0', '2.0')})"
         else:
             r = f"CASE WHEN list_max(v) > list_min(v) THEN list_transform(v, lambda e: {grid('e', bits, 'list_min(v)', 'list_max(v) - list_min(v)')}) ELSE v END"
         size = f"{DIMS} * {bits} / 8.0" + (" + 8" if method == "lvq" else "")

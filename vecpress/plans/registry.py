@@ -614,8 +614,8 @@ def _packing_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs measured on the table, in one scan: entries on a grid over [-1, 1] (sq), pairs of them as
-    one point of twice the bits (pq), rows on a grid of their own (lvq). recall: the share of rows
+    """Runs measured on the table, in one scan: entries on a grid over [-1, 1] (sq), neighbours
+    as one point of twice the bits (pq), rows on a grid of their own (lvq). recall: the share of rows
     whose largest entry is in the same place; one number is missing, one cell was run twice."""
     v, one = F.col("v"), F.lit(1.0)
 
@@ -626,7 +626,8 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         if method == "sq":
             return F.transform(v, lambda e: grid(e, bits, -one, 2 * one))
         if method == "pq":
-            return F.transform(v, lambda e, i: grid((F.get(v, i - i % 2) + F.get(v, i - i % 2 + 1)) / 2, 2 * bits, -one, 2 * one))
+            w = oracles.pq_width(bits)
+            return F.transform(v, lambda e, i: grid(sum((F.get(v, i - i % w + j) for j in range(1, w)), F.get(v, i - i % w)) / w, 2 * bits, -one, 2 * one))
         low, span = F.array_min(v), F.array_max(v) - F.array_min(v)
         return F.when(span > 0, F.transform(v, lambda e: grid(e, bits, low, span))).otherwise(v)
 
