@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import Recent, materialize, small
+from vecpress.llm.common import Recent, give_back, materialize, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -243,6 +243,8 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                         rows.append((doc, row, keys.view(np.int64), list({" ".join(words[k : k + WORDS]) for k in at})))
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "doc_row", "keys", "held"])
+        del hashed, admit
+        give_back()
 
     hits = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_row"), "text")
     hits = materialize(hits.mapInArrow(read, "doc_id long, doc_row long, keys array<long>, held array<string>"), "hits")

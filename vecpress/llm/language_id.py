@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from vecpress.llm.common import give_back
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -205,6 +207,8 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], names: tuple[
                 found = predict_texts(net, tables, batch.column("__text").to_pylist())
                 new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, *names])
+        del tables
+        give_back()
 
     return docs.select(*keep, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
 

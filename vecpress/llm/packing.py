@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import Recent, materialize, shuffled
+from vecpress.llm.common import Recent, give_back, materialize, shuffled
 from vecpress.llm.token_counts import byte_letters, lowered
 
 TOKENS = 4096
@@ -150,6 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, end_id: i
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names=names)
         coder.known.rest(KEPT)
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, schema)
