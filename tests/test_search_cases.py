@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecpress.functions import arrays
-from vecpress.operators import codecs, ivf, kmeans, knn, metrics, moments
+from vecpress.operators import codecs, grid, ivf, kmeans, knn, metrics, moments
 from vecpress.plans import registry, study
 from vecpress.sources import datasets
 from vecpress.streaming import sweep
@@ -53,13 +53,13 @@ def test_many_queries_stay_in_tiles(spark):
     rows, queries = rng.standard_normal((4000, 16)), rng.standard_normal((20_000, 16))
     blocks, top = 0, None
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    for i in range(0, len(queries), knn.QUERY_ROWS):
-        part, blocks = queries[i : i + knn.QUERY_ROWS], blocks + 1
+    for i in range(0, len(queries), grid.QUERY_ROWS):
+        part, blocks = queries[i : i + grid.QUERY_ROWS], blocks + 1
         top = knn.Top(len(part), 5)
         knn.meet(top, "l2", part, np.arange(len(part)), rows, np.arange(4000))
     assert blocks == 2 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
     for j in (0, 77, 3000):
-        d = knn.ordered_sum((queries[knn.QUERY_ROWS + j] - rows) ** 2)
+        d = knn.ordered_sum((queries[grid.QUERY_ROWS + j] - rows) ** 2)
         assert top.ids[j].tolist() == np.lexsort((np.arange(4000), d))[:5].tolist()
 
 

@@ -386,12 +386,13 @@ SELECT vec_id, CAST(fst + unnest(range(n)) AS INTEGER) AS d, unnest(code) AS cod
 
 def saq_factors() -> str:
     """h is half a step above or below zero. A segment without bits has its length alone."""
+    kept = lambda value: f"CAST(CAST({value} AS FLOAT) AS DOUBLE)"
     return f"""WITH {TAPERED}, {_grid(3 * DIMS // 16)},
 ph AS (SELECT sg.vec_id, sg.sid, sg.d, bits, norm2, scale, sg.point * scale AS p, CASE WHEN bits = 0 THEN 0.0 WHEN sg.point > 0 THEN 0.5 ELSE -0.5 END AS h FROM sg JOIN pt ON sg.vec_id = pt.vec_id AND sg.sid = pt.sid AND sg.d = pt.d),
 al AS (SELECT vec_id, sid, any_value(bits) AS bits, any_value(norm2) AS norm2, any_value(scale) AS scale, count(*) AS n, sum(p * p) AS p2, CASE WHEN sum(h * h) > 0 THEN CAST(CAST(sum(p * h) / sum(h * h) AS FLOAT) AS DOUBLE) ELSE 0.0 END AS along FROM ph GROUP BY vec_id, sid)
 SELECT ph.vec_id, CAST(ph.sid - 1 AS INTEGER) AS segment, round(any_value(al.norm2), 4) AS norm2, round(any_value(al.scale), 4) AS scale,
-  round(any_value(CASE WHEN al.bits = 0 OR al.norm2 = 0 THEN 0.0 ELSE 1.9 * sqrt(al.norm2) * sqrt(greatest(p2 / al.norm2 - 1, 0) / greatest(n - 1, 1)) END), 4) AS error,
-  round(sqrt(any_value(p2)), 4) AS length, round(any_value(along), 4) AS along, round(sqrt(sum(power(p - along * h, 2))), 4) AS beside
+  round({kept('any_value(CASE WHEN al.bits = 0 OR al.norm2 = 0 THEN 0.0 ELSE 1.9 * sqrt(al.norm2) * sqrt(greatest(p2 / al.norm2 - 1, 0) / greatest(n - 1, 1)) END)')}, 4) AS error,
+  round({kept('sqrt(any_value(p2))')}, 4) AS length, round(any_value(along), 4) AS along, round({kept('sqrt(sum(power(p - along * h, 2)))')}, 4) AS beside
 FROM ph JOIN al ON ph.vec_id = al.vec_id AND ph.sid = al.sid GROUP BY ph.vec_id, ph.sid"""
 
 
