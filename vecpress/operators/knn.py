@@ -27,11 +27,17 @@ ROUND = float(np.finfo(np.float64).eps)
 SCHEMA = "qid long, id long, score double"
 
 
+#: Entries that are summed at a time, so that they stay in the cache.
+SUMMED = 1 << 18
+
+
 def ordered_sum(terms: np.ndarray) -> np.ndarray:
     """Row sums from the first column to the last."""
     total = np.zeros(len(terms))
-    for d in range(terms.shape[1]):
-        total += terms[:, d]
+    if terms.shape[1]:
+        step = max(1, SUMMED // terms.shape[1])
+        for i in range(0, len(terms), step):
+            total[i : i + step] += np.cumsum(terms[i : i + step], axis=1)[:, -1]
     return total
 
 
@@ -39,6 +45,14 @@ def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ordered_sum((q - x) ** 2) if metric == "l2" else ordered_sum(q * x)
 
 
+def _exact_pairs(metric: str, q: np.ndarray, m: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Scores of the pairs (m, n), a part at a time."""
+    out, step = np.empty(len(m)), max(1, SUMMED // max(1, q.shape[1]))
+    for i in range(0, len(m), step):
+        out[i : i + step] = _exact(metric, q[m[i : i + step]], x[n[i : i + step]])
+    return out
+
+
 def _cost(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Costs, smaller is nearer, and how far off rounding may have put them."""
     q2, x2 = (q**2).sum(1)[:, None], (x**2).sum(1)[None, :]
@@ -95,7 +109,7 @@ def meet(top: Top, metric: str, q: np.ndarray, at: np.ndarray, x: np.ndarray, id
         a, b = best(cost, off, top.k, top.kth(own))
         for j in range(0, len(a), 1 << 16):
             m, n = own[a[j : j + (1 << 16)]], b[j : j + (1 << 16)]
-            score = _exact(metric, q[m], x[n])
+            score = _exact_pairs(metric, q, m, x, n)
             score = score / div[n] if div is not None else score
             top.add(m, ids[n], score if metric == "l2" else -score)
 
