@@ -37,7 +37,12 @@ def ordered_sum(terms: np.ndarray) -> np.ndarray:
     if terms.shape[1]:
         step = max(1, SUMMED // terms.shape[1])
         for i in range(0, len(terms), step):
-            total[i : i + step] += np.cumsum(terms[i : i + step], axis=1)[:, -1]
+            part, own = terms[i : i + step], total[i : i + step]
+            if terms.shape[1] >= 256:
+                own += np.cumsum(part, axis=1)[:, -1]
+            else:
+                for d in range(part.shape[1]):
+                    own += part[:, d]
     return total
 
 
