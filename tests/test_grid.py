@@ -79,6 +79,25 @@ def test_strips_are_bounded_by_bytes(monkeypatch):
     assert grid.queries_a_strip(100, 100 * 80) == 8 and grid.queries_a_strip(1, 8000) == 1 and grid.queries_a_strip(0, 0) == 0
 
 
+def test_strips_copy_no_rows(spark, table):
+    """Fifteen strips, or five of an index's cells, and every row is read where it is."""
+    queries = datasets.as_queries(table.where("vec_id < 30"))
+    index = ivf.IVF(6, None, iterations=3).fit(table)
+    for found in (knn.search(table, queries, 9, strip=2), index.search(index.encode(), queries, 9, 3, strip=2)):
+        assert "__side" not in found._jdf.queryExecution().toString()
+
+
+def test_queries_beyond_one_strip(spark, table, monkeypatch):
+    """Queries that no task holds at once: both sides are dealt, with cells and without."""
+    queries = datasets.as_queries(table.where("vec_id % 5 = 0"))
+    index = ivf.IVF(6, None, iterations=3).fit(table)
+    want = lists(knn.search(table, queries, 9)), lists(index.search(index.encode(), queries, 9, 3))
+    monkeypatch.setattr(grid, "QUERY_ROWS", 16)
+    got = knn.search(table, queries, 9, strip=3), index.search(index.encode(), queries, 9, 3, strip=3)
+    assert all("__side" in g._jdf.queryExecution().toString() for g in got)
+    assert tuple(map(lists, got)) == want
+
+
 def test_fewer_rows_than_k_and_no_queries(spark, table):
     queries = datasets.as_queries(table.where("vec_id < 3"))
     assert {len(r) for r in lists(knn.search(table.limit(4), queries, 9, strip=1)).values()} == {4}

@@ -249,7 +249,7 @@ class LookedUp:
     def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
         codec = self.codec_of(cell)
         ids, fields = rows.column("vec_id").to_numpy(), codec.fields(from_binary(rows.column("code")))
-        tile = int(min(len(to), max(1, TABLE_BYTES // codec.table_bytes()), max(1, TABLE_BYTES // (8 * len(ids)))))
+        tile = int(min(len(to), self.tile, max(1, TABLE_BYTES // codec.table_bytes()), max(1, TABLE_BYTES // (8 * len(ids)))))
         for i in range(0, len(to), tile):
             own = to[i : i + tile]
             tables, start = self._tables(own, cell)
@@ -275,20 +275,23 @@ class Estimated:
     def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
         code, ids = from_binary(rows.column("code")), rows.column("vec_id").to_numpy()
         if self.centroids is None:
-            estimated(self.top, self.codec, self.q, to, code, ids, self.args)
+    tile = grid.QUERY_ROWS
+
+            estimated(self.top, self.codec, self.q, to, code, ids, self.args, tile=self.tile)
         elif self.codec.metric == "l2":
-            estimated(self.top, self.codec, self.q - self.centroids[cell], to, code, ids, self.args)
+            estimated(self.top, self.codec, self.q - self.centroids[cell], to, code, ids, self.args, tile=self.tile)
         else:  # <q, c + r>: the first is known
-            estimated(self.top, self.codec, self.q, to, code, ids, self.args, self.q @ self.centroids[cell])
+            estimated(self.top, self.codec, self.q, to, code, ids, self.args, self.q @ self.centroids[cell], self.tile)
 
     def out(self) -> Iterator[pa.RecordBatch]:
         yield from self.top.batch(self.names, 1.0 if self.codec.metric == "l2" else -1.0)
 
 
-def estimated(kept: Top, codec, q: np.ndarray, to: np.ndarray, code: np.ndarray, ids: np.ndarray, args: tuple, plus: np.ndarray | None = None) -> None:
-    """Keeps the best of queries number `to` by a codec's estimator; plus: added to a query's scores."""
-    for i in range(0, len(to), TILE):
-        own = to[i : i + TILE]
+def estimated(kept: Top, codec, q: np.ndarray, to: np.ndarray, code: np.ndarray, ids: np.ndarray, args: tuple, plus: np.ndarray | None = None, tile: int = TILE) -> None:
+    """Keeps the best of queries number `to` by a codec's estimator, `tile` at a time; plus: added
+    to a query's scores."""
+    for i in range(0, len(to), tile):
+        own = to[i : i + tile]
         rows, names = code, ids
         if getattr(codec, "prune", False):  # rows that their norms rule out are not decoded
             least = codec.bound(code, q[own])
@@ -315,6 +318,8 @@ def estimate_search(codec, codes: DataFrame, queries: DataFrame, k: int, *args)
         return nothing(codes)
     sent = codes.sparkSession.sparkContext.broadcast(codec)
     found = grid.match(codes.select("vec_id", "code"), queries, lambda names, q: Estimated(names, q, k, sent.value, args), SCHEMA)
+    tile = TILE
+
     return top(found, k, codec.metric == "l2")
 
 
