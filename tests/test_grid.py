@@ -182,6 +182,11 @@ def test_codec_of_each_cell(spark, table, codec):
     assert np.mean([len({i for i, _ in found[50 * n]} & set(near[n])) for n in range(10)]) > (3 if codec.name == "pq" else 8)
 
 
+def test_codebooks_of_large_cells_see_all_rows(spark, table, monkeypatch):
+    monkeypatch.setattr(ivf, "CELL_ROWS", 20)
+    test_codec_of_each_cell(spark, table, codecs.Product(4, 3, 4))
+
+
 def test_an_index_of_own_codecs_is_saved(spark, table, tmp_path):
     from vecpress.sources import models
 

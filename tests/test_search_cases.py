@@ -191,3 +191,26 @@ def test_stream_stops_after_its_batches(spark, tmp_path, x):
     codec = sweep.train_on_first(codecs.Scalar(8), x, 50)
     got = sweep.streaming_distortion(sweep.stream_vectors(spark, str(tmp_path / "in")), codec, str(tmp_path / "ck"), max_batches=2).head()
     assert got["n"] == 240
+
+
+INDEXED = ["adc_ivfpq_search", "adc_ivfpq_search_ip", "ivf_flat_search", "ivf_flat_search_ip", "ivf_flat_search_strips", "ivf_pq_per_cell_search", "ivf_pq_per_cell_tables", "ivf_saved_search", "ivf_sq_search", "ivfpq_search", "rabitq_ivf_search", "rabitq_ivf_search_ip"]
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """More rows than 256 for each of the eight cells."""
+    rows = _rows(2600, 64, 11)
+    path = str(tmp_path_factory.mktemp("large"))
+    datasets.from_matrix(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True)).select("vec_id", F.col("v").cast("array<float>").alias("embedding")).write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", INDEXED)
+def test_indexes_are_fitted_as_their_sql(spark, large, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{large}/embeddings.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in registry.queries()[name](spark, large).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

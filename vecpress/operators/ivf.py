@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecpress.functions.arrays import from_binary, map_batches, to_binary, to_lists, to_matrix
+from vecpress.functions.arrays import from_binary, map_batches, reduce_tables, to_binary, to_lists, to_matrix
 from vecpress.operators import grid, kmeans
-from vecpress.operators.codecs import Codec, Scalar, SignBit
+from vecpress.operators.codecs import Codec, Product, Scalar, SignBit
 from vecpress.operators.knn import SCHEMA, TILE, Nearest, Top, _exact, best, nothing, top
 
 #: Bytes of look-up tables that a task makes at a time, and of the codecs of all cells together.
@@ -55,8 +55,8 @@ def probe(queries: np.ndarray, centroids: np.ndarray, nprobe: int, metric: str =
 
 class IVF:
     """codec None keeps rows as they are. per_cell: a codec of its kind fitted on each cell's
-    residuals (scalar ranges on all rows of a cell, other kinds on about CELL_ROWS of them, one
-    task a cell; together they are held to CELL_CODECS_BYTES); else one codec for the residuals of
+    residuals (scalar ranges and product codebooks on all rows of a cell, other kinds on about
+    CELL_ROWS of them, one task a cell; together they are held to CELL_CODECS_BYTES); else one codec for the residuals of
     all cells. Centroids are fitted on about
     rows_per_cell rows for each cell, drawn by a hash of the id, or on all rows if that is None
     or more than there are; every row is indexed. spread: they start from rows that lie apart
@@ -77,7 +77,7 @@ class IVF:
         self.cells = len(self.centroids)
         self.residuals = self._residuals(x)
         if self.per_cell and not isinstance(self.codec, Scalar):
-            self.own = self._fit_cells()
+            self.own = self._fit_books() if type(self.codec) is Product else self._fit_cells()
             self.codec.dims = self.centroids.shape[1]
         elif self.per_cell:
             pieces = self.residuals.select("cell", F.posexplode("v").alias("d", "x")).groupBy("cell", "d").agg(F.min("x").alias("a"), F.max("x").alias("b"))
@@ -115,11 +115,57 @@ class IVF:
             return pa.table({"cell": rows.column("cell").slice(0, 1), "codec": pa.array([pickle.dumps(fitted)], pa.binary())})
 
         fitted = self.residuals.where(u < chance).groupBy("cell").applyInArrow(train, "cell int, codec binary")
-        one = len(pickle.dumps(pickle.loads(plain).fit_rows(np.eye(self.centroids.shape[1])[:2])))
-        if one * len(sizes) > CELL_CODECS_BYTES:
-            raise ValueError(f"codecs of {len(sizes)} cells take {one * len(sizes) >> 20} MB; take fewer cells, or one codec for all")
+        self._bound_codecs(len(sizes))
         return {r["cell"]: pickle.loads(r["codec"]) for r in fitted.collect()}
 
+    def _bound_codecs(self, cells: int) -> None:
+        one = len(pickle.dumps(pickle.loads(pickle.dumps(self.codec)).fit_rows(np.eye(self.centroids.shape[1])[:2])))
+        if one * cells > CELL_CODECS_BYTES:
+            raise ValueError(f"codecs of {cells} cells take {one * cells >> 20} MB; take fewer cells, or one codec for all")
+
+    def _fit_books(self) -> dict[int, Codec]:
+        """Product codecs of all cells that have rows, trained together on all rows: they start
+        from each cell's first rows, and an iteration is one pass of sums."""
+        codec, ksub = self.codec, 1 << self.codec.bits
+        order = F.row_number().over(Window.partitionBy("cell").orderBy("vec_id"))
+        sizes = {r["cell"]: r["count"] for r in self.residuals.groupBy("cell").count().collect()}  # a row a cell
+        self._bound_codecs(len(sizes))
+        first = self.residuals.withColumn("rk", order).where(F.col("rk") <= ksub).orderBy("cell", "vec_id").collect()  # ksub rows a cell
+        names = sorted(sizes)
+        starts: dict[int, list] = {c: [] for c in names}
+        for r in first:
+            starts[r["cell"]].append(r["v"])
+        # a cell of no more rows than centroids keeps its rows; the last one fills the rest
+        books = np.stack([kmeans.pq_train_rows(np.array(starts[c]), codec.m, ksub, 0) for c in names])
+        moving = np.array([sizes[c] > ksub for c in names])
+        place = np.full(len(self.centroids), -1)
+        place[names] = np.arange(len(names))
+        marked = self.residuals.select("vec_id", F.concat(F.array(F.col("cell").cast("double")), "v").alias("v"))
+        for _ in range(codec.iterations if moving.any() else 0):
+            sent = self.residuals.sparkSession.sparkContext.broadcast(books)
+
+            def fold(rows: np.ndarray, sent=sent) -> dict[str, np.ndarray]:
+                books, at = sent.value, place[rows[:, 0].astype(int)]
+                parts = rows[:, 1:].reshape(len(rows), books.shape[1], -1)
+                total, n = np.zeros_like(books), np.zeros(books.shape[:3])
+                for c in np.unique(at):
+                    own = parts[at == c]
+                    for j in range(books.shape[1]):
+                        idx, _ = kmeans.nearest(own[:, j], books[c, j])
+                        np.add.at(total[c, j], idx, own[:, j])
+                        n[c, j] += np.bincount(idx, minlength=books.shape[2])
+                return {"total": total, "n": n}
+
+            got = reduce_tables(marked, fold, {"total": np.add, "n": np.add})
+            n = got["n"].reshape(*books.shape[:3], 1)
+            new = np.where(n > 0, got["total"].reshape(books.shape) / np.maximum(n, 1), books)
+            books = np.where(moving[:, None, None, None], new, books)
+        out = {}
+        for c, own in zip(names, books, strict=True):
+            out[c] = pickle.loads(pickle.dumps(codec))
+            out[c].books, out[c].dims = own, self.centroids.shape[1]
+        return out
+
     def codec_of(self, cell: int) -> Codec:
         """The codec of one cell's residuals."""
         if hasattr(self, "own"):
@@ -229,6 +275,8 @@ class LookedUp:
     """A strip's best rows by look-up tables. With centroids codes are of residuals: a query's
     tables are made for what is left of it in each cell, or for itself under inner products."""
 
+    tile = grid.QUERY_ROWS
+
     def __init__(self, names: np.ndarray, q: np.ndarray, k: int, metric: str, codec_of, centroids: np.ndarray | None = None):
         self.names, self.q, self.metric, self.codec_of, self.centroids, self.top = names, q, metric, codec_of, centroids, Top(len(q), k)
         self.kept: tuple | None = None
@@ -269,14 +317,14 @@ class LookedUp:
 class Estimated:
     """A strip's best rows by a codec's own estimator, of residuals if there are centroids."""
 
+    tile = TILE
+
     def __init__(self, names: np.ndarray, q: np.ndarray, k: int, codec: Codec, args: tuple, centroids: np.ndarray | None = None):
         self.names, self.q, self.codec, self.args, self.centroids, self.top = names, q, codec, args, centroids, Top(len(q), k)
 
     def add(self, rows: pa.RecordBatch, to: np.ndarray, cell: int) -> None:
         code, ids = from_binary(rows.column("code")), rows.column("vec_id").to_numpy()
         if self.centroids is None:
-    tile = grid.QUERY_ROWS
-
             estimated(self.top, self.codec, self.q, to, code, ids, self.args, tile=self.tile)
         elif self.codec.metric == "l2":
             estimated(self.top, self.codec, self.q - self.centroids[cell], to, code, ids, self.args, tile=self.tile)
@@ -318,8 +366,6 @@ def estimate_search(codec, codes: DataFrame, queries: DataFrame, k: int, *args)
         return nothing(codes)
     sent = codes.sparkSession.sparkContext.broadcast(codec)
     found = grid.match(codes.select("vec_id", "code"), queries, lambda names, q: Estimated(names, q, k, sent.value, args), SCHEMA)
-    tile = TILE
-
     return top(found, k, codec.metric == "l2")
 
 
