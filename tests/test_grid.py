@@ -98,6 +98,18 @@ def test_queries_beyond_one_strip(spark, table, monkeypatch):
     assert tuple(map(lists, got)) == want
 
 
+def test_staged_search_is_spread(spark, table):
+    """One run of blocks is built by one task and searched by all; strips copy no block."""
+    codec = codecs.Segmented(3, rounds=0, rotate=False, axes=False, metric="ip").fit(table)
+    queries = datasets.as_queries(table.where("vec_id < 30"))
+    made = blocks.to_blocks(codec, codec.encode(table))
+    found = blocks.staged_search(codec, made, queries, 9, strip=3)
+    assert "__side" not in found._jdf.queryExecution().toString()
+    assert blocks._spread(made.coalesce(1)).rdd.getNumPartitions() >= 4
+    got, want = lists(found), lists(blocks.staged_search(codec, made, queries, 9))
+    assert all([i for i, _ in got[n]] == [i for i, _ in want[n]] and np.allclose([s for _, s in got[n]], [s for _, s in want[n]]) for n in range(30))
+
+
 def test_fewer_rows_than_k_and_no_queries(spark, table):
     queries = datasets.as_queries(table.where("vec_id < 3"))
     assert {len(r) for r in lists(knn.search(table.limit(4), queries, 9, strip=1)).values()} == {4}

@@ -194,10 +194,44 @@ def from_blocks(codec: Segmented, blocks: DataFrame) -> DataFrame:
     return blocks.select("cell", "block", "ids", "short", "long", "factors").mapInArrow(run, "cell int, vec_id long, code binary")
 
 
+class _Slab:
+    """Rows of some blocks. What is decoded of a row is kept for the queries that follow."""
+
+    def __init__(self, codec: Segmented, batch: pa.RecordBatch):
+        self.codec, (self.ids, self.parts) = codec, _rows(codec, batch)
+        self.kept: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _decoded(self, what: str, segment: int, some: np.ndarray, width: int, decode) -> np.ndarray:
+        done, held = self.kept.setdefault((what, segment), (np.zeros(len(self.ids), bool), np.empty((len(self.ids), width))))
+        new = some[~done[some]]
+        if len(new):
+            held[new], done[new] = decode(new), True
+        return held if len(some) == len(held) else held[some]
+
+    def one_bit(self, segment: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One-bit points of the rows `some`, and their squared lengths (1, rows)."""
+        (n, _), short = self.codec.plan[segment], self.parts[segment][0]
+
+        def decode(new: np.ndarray) -> np.ndarray:
+            h = halves(self.codec, segment)[np.arange(n), np.unpackbits(short[new], axis=1)[:, :n]]
+            return np.concatenate([h, np.maximum((h**2).sum(1), 1e-300)[:, None]], axis=1)
+
+        both = self._decoded("h", segment, some, n + 1, decode)
+        return both[:, :n], both[:, n][None, :]
+
+    def point(self, segment: int, some: np.ndarray) -> np.ndarray:
+        """The points that the full codes of the rows `some` stand for."""
+        (n, bits), (short, rest, factors) = self.codec.plan[segment], self.parts[segment]
+        levels = self.codec._levels(segment)
+        return self._decoded("p", segment, some, n, lambda new: levels[np.arange(n), full_codes(short[new], rest[new], n, bits)] * factors[new, 1].astype(np.float64)[:, None])
+
+
 class Staged:
     """A strip's rows of least estimate, by three stages. Counts pairs of a query and a row that
     each stage leaves."""
 
+    tile = TILE
+
     def __init__(self, names: np.ndarray, q: np.ndarray, k: int, codec: Segmented, centroids: np.ndarray | None = None, count: bool = False):
         self.names, self.q, self.codec, self.centroids, self.count, self.top = names, q, codec, centroids, count, Top(len(q), k)
         self.left = np.zeros(4, np.int64)
@@ -209,12 +243,13 @@ class Staged:
         elif self.centroids is not None:
             plus = q @ self.centroids[cell]
         for i in range(0, rows.num_rows, SLAB):
-            ids, parts = _rows(self.codec, rows.slice(i, SLAB))
-            for j in range(0, len(to), TILE):
-                self._stages(ids, parts, to[j : j + TILE], q[to[j : j + TILE]], plus[to[j : j + TILE]])
+            slab = _Slab(self.codec, rows.slice(i, SLAB))
+            for j in range(0, len(to), self.tile):
+                own = to[j : j + self.tile]
+                self._stages(slab, own, q[own], plus[own])
 
-    def _stages(self, ids: np.ndarray, parts: list, own: np.ndarray, q: np.ndarray, plus: np.ndarray) -> None:
-        codec, l2 = self.codec, self.codec.metric == "l2"
+    def _stages(self, slab: _Slab, own: np.ndarray, q: np.ndarray, plus: np.ndarray) -> None:
+        codec, l2, ids, parts = self.codec, self.codec.metric == "l2", slab.ids, slab.parts
         turned = (q - codec.mean if l2 else q) @ codec.axes
         start = np.zeros(len(q)) if l2 else -(q @ codec.mean + plus)
         kth, pieces = self.top.kth(own)[:, None], codec._pieces()
@@ -236,13 +271,12 @@ class Staged:
             return
         alive, slack = alive[:, some], slack[:, some]
         bounds = []
-        for segment, ((n, bits), (short, _, factors)) in enumerate(zip(codec.plan, parts, strict=True)):
+        for segment, ((_, bits), (_, _, factors)) in enumerate(zip(codec.plan, parts, strict=True)):
             if not bits:
                 bounds.append(base[segment][:, some])
                 continue
-            high = np.unpackbits(short[some], axis=1)[:, :n]
-            h = halves(codec, segment)[np.arange(n), high]
-            ip, h2 = asked[segment] @ h.T, np.maximum((h**2).sum(1), 1e-300)[None, :]
+            h, h2 = slab.one_bit(segment, some)
+            ip = asked[segment] @ h.T
             rest = np.sqrt(np.maximum(size2[segment][:, None] - ip**2 / h2, 0))
             near = factors[None, some, 4] * ip + factors[None, some, 5] * rest
             bounds.append(base[segment][:, some] - times * near)
@@ -250,7 +284,7 @@ class Staged:
         alive &= bound - slack <= kth
         self.left[2] += int(alive.sum())
         # full codes, segment by segment
-        for segment, ((n, bits), (short, rest, factors)) in enumerate(zip(codec.plan, parts, strict=True)):
+        for segment, (_, bits) in enumerate(codec.plan):
             keep = np.flatnonzero(alive.any(axis=0))
             if len(keep) < len(some):
                 some, alive, slack, bound = some[keep], alive[:, keep], slack[:, keep], bound[:, keep]
@@ -259,8 +293,7 @@ class Staged:
                 return
             if not bits:
                 continue
-            codes = full_codes(short[some], rest[some], n, bits)
-            point = codec._levels(segment)[np.arange(n), codes] * factors[some, 1].astype(np.float64)[:, None]
+            point = slab.point(segment, some)
             bound = bound + (base[segment][:, some] - times * (asked[segment] @ point.T)) - bounds[segment]
             alive &= bound - slack <= kth
         self.left[3] += int(alive.sum())
@@ -278,6 +311,12 @@ class Staged:
             yield from self.top.batch(self.names, 1.0 if self.codec.metric == "l2" else -1.0)
 
 
+def _spread(blocks: DataFrame) -> DataFrame:
+    """Blocks dealt once to all tasks: a run of RUN rows comes from a single one."""
+    tasks = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), blocks.sparkSession.sparkContext.defaultParallelism)
+    return blocks.repartition(tasks, "cell", "block")
+
+
 def staged_search(codec: Segmented, blocks: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray | None = None, probe=None, strip: int | None = None) -> DataFrame:
     """(qid, rk, id, score): the k rows of least estimated distance, or of largest estimated inner
     product. With `probe`, which gives the cells of queries, and the centroids of an index only
@@ -285,7 +324,7 @@ def staged_search(codec: Segmented, blocks: DataFrame, queries: DataFrame, k: in
     if k <= 0:
         return nothing(blocks)
     sent = blocks.sparkSession.sparkContext.broadcast((codec, centroids))
-    found = grid.match(blocks, queries, lambda names, q: Staged(names, q, k, sent.value[0], sent.value[1]), SCHEMA, probe=probe, strip=strip, key="block")
+    found = grid.match(_spread(blocks), queries, lambda names, q: Staged(names, q, k, sent.value[0], sent.value[1]), SCHEMA, probe=probe, strip=strip, key="block")
     return top(found, k, codec.metric == "l2")
 
 
