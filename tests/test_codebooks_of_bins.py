@@ -68,6 +68,20 @@ def test_levels_of_all_dimensions(table):
         assert books[3, 3].min() == books[3, 3].max() == 2.5
 
 
+def test_levels_by_dimension_take_few_jobs(spark, table, monkeypatch):
+    """All dimensions and numbers of levels in one pass; beyond WHOLE rows by bins, with the same result."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("by dimension", "")
+    books = kmeans.per_dimension(table, [1, 2], "lloyd")
+    jobs = len(tracker.getJobIdsForGroup("by dimension"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 12
+    monkeypatch.setattr(codebooks, "WHOLE", 100)
+    by_bins = kmeans.per_dimension(table, [1, 2], "lloyd", of=[1, 2, 0, 2, 1, 2])
+    assert sorted(by_bins) == [(0, 1), (1, 2), (3, 2), (4, 1), (5, 2)]
+    assert all(np.allclose(c, books[key], rtol=1e-9, atol=1e-9) for key, c in by_bins.items())
+
+
 def test_passes_send_bounded_tables(table, monkeypatch):
     """However many bins are to be split, a pass counts about COUNTS of them."""
     monkeypatch.setattr(codebooks, "COUNTS", 600)
