@@ -36,11 +36,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.common import Recent, give_back, materialize, small
+from vecpress.llm.common import give_back, materialize, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -51,6 +50,8 @@ SHORT = 8
 SPARSE = 256
 LEAST_BITS = 1 << 24
 MOST_BITS = 1 << 29
+#: Characters whose words are hashed at a time, about.
+CHARS = 1 << 20
 #: Shingles of a document that are held against all hash functions at a time.
 SEGMENT = 4096
 
@@ -76,14 +77,47 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered."""
-
-    def __init__(self, most: int = 100_000):
-        self.known = Recent(most, xxhash.xxh64_intdigest)
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.lookup(), words), np.uint64, len(words))
+@cache
+def _letters() -> np.ndarray:
+    """Which code points belong to words: those of `_WORD`."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+class Words:
+    """The words of a text, as `tokenize` gives them, with a 64-bit hash of each: made for all
+    characters at a time, so that strings are cut out only where they are asked for."""
+
+    def __init__(self, text: str | None):
+        self.text = (text or "").lower()
+        if self.text.isascii():
+            codes, known = np.frombuffer(self.text.encode(), np.uint8), _ASCII
+        else:
+            codes, known = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32), _letters()
+        inside = np.zeros(len(codes) + 2, bool)
+        inside[1:-1] = known[codes]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        cuts = np.unique(np.searchsorted(self.starts, np.arange(0, len(codes) + CHARS, CHARS)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # bounded memory for very long texts
+            self.hashes[i:j] = _hashed(codes, inside[1:-1], self.starts[i:j], int(self.ends[j - 1]))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def shingle(self, k: int, width: int) -> str:
+        return " ".join([self.text[a:b] for a, b in zip(self.starts[k : k + width].tolist(), self.ends[k : k + width].tolist(), strict=True)])
+
+
+def _hashed(codes: np.ndarray, inside: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """Hashes of the words that begin at `starts`, the last of which ends at `end`: sums of their
+    scrambled characters, each times the power of its place in the word."""
+    first = int(starts[0])
+    part, at = codes[first:end], starts - first
+    value = _VALUES[part] if part.dtype == np.uint8 else _scramble((part + np.uint64(1)) * _MIX)
+    place = np.arange(len(part)) - np.repeat(at, np.diff(at, append=len(part)))
+    value = value * _POWERS[place & (len(_POWERS) - 1)] * inside[first:end]
+    return _scramble(np.add.reduceat(value, at))
 
 
 def shingle_hashes(words: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -97,6 +131,11 @@ def shingle_hashes(words: np.ndarray, width: int = WORDS) -> np.ndarray:
     return out
 
 
+_ASCII = np.array([chr(c).isalnum() for c in range(128)])
+_VALUES = _scramble((np.arange(128, dtype=np.uint64) + np.uint64(1)) * _MIX)
+_POWERS = np.multiply.accumulate(np.full(4096, 0xD1342543DE82EF95, np.uint64))
+
+
 def size_class(n: int) -> int:
     """0 for short items, else the power of two that bounds the number of shingles."""
     return 0 if n <= SHORT else (n - 1).bit_length()
@@ -115,7 +154,7 @@ def _marks(size: int) -> np.ndarray:
 
 def _signed(values: np.ndarray, which: int, size: int) -> np.ndarray:
     """Join keys of minimum number `which` in size class `size`."""
-    return _scramble(values ^ np.uint64(_mark(which, size)))
+    return values ^ np.uint64(_mark(which, size))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -144,17 +183,24 @@ def window_keys(hashes: np.ndarray, sizes: list[int], admit) -> np.ndarray:
 def _minima(hashes: np.ndarray, sizes: list[int], admit) -> Iterator[np.ndarray]:
     """Admitted keys of the minima of each window: five blocks, each a quarter of the largest item."""
     block = 1 << (sizes[0] - 2)
-    level = np.minimum.reduceat(hashes * _ODD[:, None] + _ADD[:, None], np.arange(0, len(hashes), block), axis=1)
+    if len(hashes) % block:  # the last one again fills the last block and moves no minimum
+        hashes = np.concatenate([hashes, np.repeat(hashes[-1:], -len(hashes) % block)])
+    level = None
+    for place in np.ascontiguousarray(hashes.reshape(-1, block).T):  # the i-th shingles of all blocks
+        own = place * _ODD[:, None]
+        own += _ADD[:, None]
+        level = own if level is None else np.minimum(level, own, out=level)
     for s in range(sizes[0], sizes[-1] + 1):
         if s != sizes[0]:
-            level = np.minimum.reduceat(level, np.arange(0, level.shape[1], 2), axis=1)
+            odd = level[:, -1:] if level.shape[1] % 2 else level[:, :0]
+            level = np.minimum(level[:, : level.shape[1] - odd.shape[1] : 2], level[:, 1::2])
+            level = np.concatenate([level, odd], axis=1) if odd.size else level
         if s in sizes:
-            low = level.min(axis=1, keepdims=True)
+            low = level.min(axis=1, keepdims=True) if level.shape[1] < 5 else np.minimum(level[:, :-1], level[:, 1:])
             if level.shape[1] > 4:
-                pair = np.minimum(level[:, :-1], level[:, 1:])
-                four = np.minimum(pair[:, :-2], pair[:, 2:])
-                low = np.minimum(four[:, :-1], level[:, 4:])
-            yield admit(_scramble(low ^ _marks(s)).ravel())
+                low = np.minimum(low[:, :-2], low[:, 2:])
+                low = np.minimum(low[:, :-1], level[:, 4:], out=low[:, :-1])
+            yield admit((low ^ _marks(s)).ravel())
 
 
 def _bits(values: np.ndarray, bits: int) -> np.ndarray:
@@ -163,19 +209,18 @@ def _bits(values: np.ndarray, bits: int) -> np.ndarray:
 
 def _set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value's bit is set in a packed table."""
-    at = _bits(values, 8 * len(table))
-    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    byte = table[((values >> np.uint64(3)) & np.uint64(len(table) - 1)).view(np.int64)]
+    return (byte << (values.astype(np.uint8) & np.uint8(7)) & np.uint8(128)) != 0
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashed = WordHashes()
     for batch in batches:
         rows = []
         for item, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words = tokenize(text)
-            if words:
-                h = shingle_hashes(hashed(words))
-                rows.append((item, row, size_class(len(np.unique(h))), signature(h).view(np.int64), h.view(np.int64), list(dict.fromkeys(shingles(words)))))
+            words = Words(text)
+            if len(words):
+                h = shingle_hashes(words.hashes)
+                rows.append((item, row, size_class(len(np.unique(h))), signature(h).view(np.int64), h.view(np.int64), list(dict.fromkeys(shingles(tokenize(text))))))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["item_id", "row", "size", "keys", "hashes", "shingles"])
 
@@ -223,27 +268,26 @@ def _found(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_table, shingle_table, sizes = sent.value
-        hashed = WordHashes()
 
         def admit(keys: np.ndarray) -> np.ndarray:
-            return keys[_set(keys_table, keys)]
+            return keys[np.flatnonzero(_set(keys_table, keys))]
 
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
                 batch = whole.slice(i, 64)
                 rows = []
                 for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    words = tokenize(text)
-                    if not words or not sizes:
+                    words = Words(text) if sizes else ()
+                    if not len(words):
                         continue
-                    h = shingle_hashes(hashed(words))
+                    h = shingle_hashes(words.hashes)
                     keys = window_keys(h, sizes, admit)
                     if len(keys):
                         at = np.flatnonzero(_set(shingle_table, h)).tolist()
-                        rows.append((doc, row, keys.view(np.int64), list({" ".join(words[k : k + WORDS]) for k in at})))
+                        rows.append((doc, row, keys.view(np.int64), list({words.shingle(k, WORDS) for k in at})))
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "doc_row", "keys", "held"])
-        del hashed, admit
+        del admit
         give_back()
 
     hits = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_row"), "text")
