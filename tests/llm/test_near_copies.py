@@ -4,6 +4,7 @@ import random
 import brute
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from vecpress.llm import near_copies, queries
 
@@ -50,6 +51,25 @@ def test_near_copies_from_eight_tenths_leave_one(spark, monkeypatch, block, held
     assert len(got) < len(rows) - 80
 
 
+def test_fingerprints_alone_link_close_copies(spark, monkeypatch):
+    """Without bands the pigeonring index finds close copies, and the exact check still decides."""
+
+    def no_bands(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["fp", "key"])
+
+    monkeypatch.setattr(near_copies, "_members", no_bands)
+    rng = random.Random(21)
+    rows = []
+    for group in range(20):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(900)]
+        rows += [(10 * group, " ".join(words)), (10 * group + 1, " ".join([*words, "more"])), (10 * group + 2, " ".join(["some", *words[1:]]))]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in stage.collect()) == sorted(_kept(rows)) == [10 * g for g in range(20)]
+    strict = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.9999)
+    assert strict.count() == len(rows)
+
+
 def _units():
     """Sets of several units: chains, stars whose middle alone holds them together, copies, strangers."""
     rng = np.random.default_rng(3)

@@ -1,10 +1,13 @@
 """Near copies by the similarity of their sets of five-word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets is SIMILARITY or more; a group is
-a component of the links. A fingerprint of 64 bits cannot index that: at 0.8 two fingerprints
-differ in about ten bits, and a distance that misses few of them lets unrelated texts through.
-So texts that share all ROWS minima of any of BANDS bands are candidates (a pair at 0.8 is
-missed with a chance of 1e-5), and each link is checked on the sets themselves.
+a component of the links. Candidates come from `simhash` first: the set's own fingerprint, by the
+majority of its shingle hashes, the pigeonring index and filter over distinct fingerprints, and
+their components. A component is a unit whose sets are then compared exactly. A fingerprint of 64
+bits reaches no further than close copies: at 0.8 two of them differ in about ten bits, and a
+distance that misses few of those lets unrelated texts through. For the rest, texts that share all
+ROWS minima of any of BANDS bands are candidates too (a pair at 0.8 is missed with a chance of
+1e-5). Each link, of either kind, is checked on the sets themselves.
 
 Links are found between distinct sets, of which one text each is read. Keys with the same members
 are one unit of work. A unit of at most BLOCK sets and UNIT_BYTES goes to one task, which gives a
@@ -31,11 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecpress.llm import simhash
 from vecpress.llm.common import forget, give_back, materialize, shuffled, small
-from vecpress.llm.components import spanning_links
+from vecpress.llm.components import components, spanning_links
 from vecpress.llm.decontamination import shingle_hashes
 from vecpress.llm.lm_scoring import Hasher
-from vecpress.llm.simhash import first_of_components, named_fingerprints
+from vecpress.llm.simhash import bit_counts, first_of_components, majority, named_fingerprints
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -68,6 +72,14 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes: bits that more than half of them have."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(own), 65536):  # bounded memory for very long texts
+        counts += bit_counts(own[i : i + 65536])
+    return majority(counts, len(own))
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether two sorted sets have this Jaccard similarity."""
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -77,23 +89,24 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, __t, fp, bands): text hash, hash of the set and its keys of each row."""
+    """(doc_id, __t, fp, ring, bands): text hash, hash, fingerprint and band keys of the set of each row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(WORDS)
         for batch in batches:
-            fps, bands = [], []
+            fps, rings, bands = [], [], []
             for text in batch.column(2):
                 own = shingle_set(text.as_py(), hasher, width)
                 fps.append(xxhash.xxh64_intdigest(own.tobytes()))
+                rings.append(set_fingerprint(own))
                 bands.append(band_keys(own).tobytes())
-            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(bands, pa.binary())], names=["doc_id", "__t", "fp", "bands"])
+            fps, rings = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, rings))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, rings, pa.array(bands, pa.binary())], names=["doc_id", "__t", "fp", "ring", "bands"])
         del hasher
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("__t"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, __t long, fp long, bands binary")
+    return rows.mapInArrow(compute, "doc_id long, __t long, fp long, ring long, bands binary")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +116,18 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys)], names=["fp", "key"])
 
 
+def _ring_members(ids: DataFrame) -> DataFrame:
+    """(fp, key) of each set whose fingerprint is that of another set or within simhash's distance
+    of one: the key is that of the component."""
+    rings = materialize(ids.groupBy("fp").agg(F.any_value("ring").alias("ring")), "rings")
+    held = materialize(rings.groupBy("ring").agg(F.count("*").alias("n")), "fingerprints")
+    joined = components(simhash.links(held.select("ring"))).select(F.col("u").alias("ring"), F.col("v").alias("root"))
+    roots = joined.select("ring", "root").union(joined.select("root", "root").distinct())
+    alone = held.where("n > 1").select("ring").join(shuffled(roots.select("ring")), "ring", "left_anti").select("ring", F.col("ring").alias("root"))
+    roots = materialize(roots.union(alone), "roots")
+    return rings.join(small(roots), "ring").select("fp", F.xxhash64("root", F.lit(BANDS)).alias("key"))
+
+
 def _compared_sets(docs: DataFrame, ids: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(fp, size, own): the sets of the members, and their bytes."""
     # copies share a set: one text of each is named before anything meets by it
@@ -238,7 +263,8 @@ def _rounds(units: DataFrame, sets: DataFrame, similarity: float) -> list[DataFr
 
 def links(docs: DataFrame, ids: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v) links between the distinct sets of docs, ids being their `_sets`."""
-    members = materialize(ids.groupBy("fp").agg(F.any_value("bands").alias("bands")).mapInArrow(_members, "fp long, key long"), "members")
+    members = ids.groupBy("fp").agg(F.any_value("bands").alias("bands")).mapInArrow(_members, "fp long, key long")
+    members = materialize(members.union(_ring_members(ids)), "members")
     sums = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
     shared = members.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
     units = materialize(shared.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n"), "units")
@@ -260,4 +286,4 @@ def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     """One document of each group of near copies, as `simhash.keep_first`."""
     ids = materialize(_sets(docs, width), "sets")
     named = named_fingerprints(ids, lambda distinct: links(docs, ids, width, similarity))
-    return first_of_components(docs, ids.drop("bands"), named)
+    return first_of_components(docs, ids.drop("ring", "bands"), named)

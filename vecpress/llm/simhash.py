@@ -41,6 +41,17 @@ BLOCK = 4096
 _MASK = np.uint64((1 << BITS) - 1)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.uint32).astype(np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes from their bit counts."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """The fingerprint of UTF-8 text as an unsigned integer."""
     words = (text or b"").lower().split()
@@ -59,9 +70,8 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     for i in range(0, n, 65536):  # bounded memory for very long texts
         j = min(n, i + 65536)
         h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[i:j], ends[i + width - 1 : j + width - 1], strict=True)], np.uint64)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        counts += bit_counts(h)
+    return majority(counts, n)
 
 
 def with_fingerprint(docs: DataFrame, keep: list[str], width: int = SHINGLE) -> DataFrame:
