@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecpress.operators import kmeans
 from vecpress.plans import registry
 from vecpress.sources import datasets
 
@@ -57,3 +58,27 @@ def test_allocations_are_scored_on_them(spark, tables):
         d = max((d for d in range(3) if bits[d] < 5), key=lambda d: (costs[d, 0] / 2 ** bits[d], -d))
         bits[d], left = bits[d] + 1, left - 1
     assert np.isclose(got["bennett"]["cost"], sum(costs[d, b] for d, b in enumerate(bits)), rtol=1e-7)
+
+
+def test_exact_levels_of_near_ties(spark):
+    """A lump between two others goes with either at nearly the same error: which is less hangs on values inside bins."""
+    rng = np.random.default_rng(13)
+    half = np.concatenate([rng.normal(4, 0.8, 4000), np.abs(rng.normal(0, 0.8, 2000))])
+    v = np.concatenate([half, -half, [9.0 + rng.random(), 1e-4 * rng.standard_normal()]])
+    s1, s2, n = np.cumsum(np.sort(v)), np.cumsum(np.sort(v) ** 2), np.arange(1, len(v))
+    want = (s2[-1] - s1[:-1] ** 2 / n - (s1[-1] - s1[:-1]) ** 2 / (len(v) - n)).min()
+    c = kmeans.per_dimension(datasets.from_matrix(spark, v[:, None]).repartition(3), [1], "exact")[0, 1]
+    assert np.isclose(((v - c[kmeans.levels_of(v, c)]) ** 2).sum(), want, rtol=1e-10)
+
+
+@pytest.mark.parametrize("kind", ["normal", "long tail", "grid", "clusters", "weights"])
+def test_borders_narrowed_down_are_those_of_all_places(kind, monkeypatch):
+    """With few groups of values for a level most places are ruled out; the optimum stays."""
+    rng = np.random.default_rng(7)
+    v = {"normal": rng.standard_normal(900), "long tail": rng.standard_cauchy(900), "grid": np.round(rng.standard_normal(900), 2), "clusters": np.concatenate([rng.normal(9 * i, 0.1 + i, 180) for i in range(5)]), "weights": rng.random(900)}[kind]
+    w = rng.integers(1, 9, len(v)) if kind == "weights" else np.ones(len(v), int)
+    monkeypatch.setattr(kmeans, "GROUPS", 8)
+    ks = [1, 2, 3, 8, 16]
+    want = least_errors(np.repeat(v, w), 16)
+    for k, c in kmeans.exact_1d(v, ks, w).items():
+        assert len(c) == k and np.isclose((w * (v - c[kmeans.levels_of(v, c)]) ** 2).sum(), want[k - 1], rtol=1e-9)
